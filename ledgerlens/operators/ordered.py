@@ -4,16 +4,15 @@ A window with ``orderBy`` and no ``partitionBy`` moves every row into one
 task. Instead:
 
 1. ``repartitionByRange(n, keys)`` + ``sortWithinPartitions(keys)``: balanced
-   partitions, globally ordered by partition index (keys made unique with a
-   tiebreaker so the order, and so the result, is deterministic);
-2. position inside the partition from ``monotonically_increasing_id`` (it is
-   ``partition << 33 | row``), no window, no second exchange;
-3. per-partition counts (or sums) - one row per partition, a size bounded by
-   ``n`` and not by the data - prefix-summed and broadcast back by partition.
-
-The range exchange is shared by both branches (ReusedExchange), so the data
-is shuffled once. ``n`` is explicit so adaptive execution never coalesces the
-range partitions between the two branches.
+   partitions, globally ordered by partition index (keys are made unique with
+   a tiebreaker, so the order and the result are deterministic);
+2. the partition index and the position inside the partition are written as
+   columns (``monotonically_increasing_id`` is ``partition << 33 | row``), then
+   the lineage is cut with a reliable checkpoint so every later read sees the
+   same rows in the same partitions, also after an executor loss;
+3. per-partition counts (or sums, or boundary rows) - one row per partition,
+   bounded by ``n`` and not by the data - are prefix-summed on the driver and
+   attached back as a literal array indexed by the partition.
 """
 
 from __future__ import annotations
@@ -21,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.session import cut_lineage
+
 _PID = "_ll_pid"
 _POS = "_ll_pos"
 
@@ -31,10 +32,23 @@ def _n_partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _ranged(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    return (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-            .withColumn(_PID, F.spark_partition_id())
-            .withColumn(_POS, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+def ranged(df: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
+    """Range-partitioned, sorted, tagged with (_ll_pid, _ll_pos), checkpointed."""
+    n = _n_partitions(df, n)
+    tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn(_PID, F.spark_partition_id())
+              .withColumn(_POS, F.monotonically_increasing_id()
+                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+    return cut_lineage(tagged)
+
+
+def _per_partition(r: DataFrame, *aggs: Column) -> list:
+    """One row per non-empty partition, ordered by partition index."""
+    return r.groupBy(_PID).agg(*aggs).orderBy(_PID).collect()
+
+
+def _indexed(values: dict[int, object], n: int, default=0) -> Column:
+    return F.array(*[F.lit(values.get(i, default)) for i in range(n)])
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
@@ -42,33 +56,35 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
     """Add ``name`` = 1-based position of the row in ``order`` over the whole
     frame; optionally ``total_name`` = row count of the frame."""
     n = _n_partitions(df, n)
-    ranged = _ranged(df, order, n)
-    counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per partition: a single-partition window here is bounded by n
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        _PID, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy()).alias("_tot"))
-    out = ranged.join(F.broadcast(offsets), _PID, "inner").withColumn(
-        name, F.col("_off") + F.col(_POS) + 1)
+    r = ranged(df, order, n)
+    counts = _per_partition(r, F.count(F.lit(1)).alias("c"))
+    offsets, run = {}, 0
+    for row in counts:
+        offsets[row[_PID]] = run
+        run += row["c"]
+    off = _indexed(offsets, n).cast("array<bigint>")
+    out = r.withColumn(name, F.element_at(off, F.col(_PID) + 1) + F.col(_POS) + 1)
     if total_name:
-        out = out.withColumn(total_name, F.col("_tot"))
-    return out.drop(_PID, _POS, "_off", "_tot")
+        out = out.withColumn(total_name, F.lit(run).cast("bigint"))
+    return out.drop(_PID, _POS)
 
 
 def global_cumsum(df: DataFrame, order: list[Column], value: str, name: str = "cum",
                   n: int | None = None) -> DataFrame:
     """Running sum of ``value`` in ``order`` over the whole frame. Inside a
-    range partition the running sum is a window partitioned by the partition
-    id (balanced by construction); partition totals are prefix-summed."""
+    range partition the running sum is a window over that partition
+    (balanced by construction); partition totals are prefix-summed."""
     n = _n_partitions(df, n)
-    ranged = _ranged(df, order, n)
-    sums = ranged.groupBy(_PID).agg(F.sum(value).alias("_s"))
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(_PID, F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("_off"))
+    r = ranged(df, order, n)
+    sums = _per_partition(r, F.sum(value).alias("s"))
+    offsets, run = {}, 0.0
+    for row in sums:
+        offsets[row[_PID]] = run
+        run += row["s"] or 0.0
+    off = _indexed(offsets, n, 0.0).cast("array<double>")
     local = Window.partitionBy(_PID).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.withColumn("_loc", F.sum(value).over(local)).join(F.broadcast(offsets), _PID, "inner")
-    return out.withColumn(name, F.col("_off") + F.col("_loc")).drop(_PID, _POS, "_off", "_loc")
+    out = r.withColumn(name, F.element_at(off, F.col(_PID) + 1) + F.sum(value).over(local))
+    return out.drop(_PID, _POS)
 
 
 def lag_within(df: DataFrame, group: str, ts: str, name: str = "prev", n: int | None = None) -> DataFrame:
@@ -77,20 +93,28 @@ def lag_within(df: DataFrame, group: str, ts: str, name: str = "prev", n: int |
 
     The frame is range-partitioned on (group, ts), so a hot group is split
     across partitions. Inside a partition the lag is a window on
-    (partition, group); the first row of each partition takes the last row of
-    the nearest non-empty earlier partition when it is the same group.
+    (partition, group); the first row of a partition takes the last row of
+    the nearest non-empty earlier partition when that row is the same group.
     """
     n = _n_partitions(df, n)
-    order = [F.col(group), F.col(ts)]
-    ranged = _ranged(df, order, n)
-    bounds = ranged.groupBy(_PID).agg(
-        F.min_by(F.col(group), F.col(_POS)).alias("_first_g"),
-        F.max_by(F.struct(F.col(group).alias("g"), F.col(ts).alias("t")), F.col(_POS)).alias("_last"))
-    w = Window.orderBy(_PID)
-    prev = bounds.select(_PID, F.lag("_last").over(w).alias("_prev_last"))
+    r = ranged(df, [F.col(group), F.col(ts)], n)
+    gtype = dict(r.dtypes)[group]
+    ttype = dict(r.dtypes)[ts]
+    # timestamps cross the driver as text so no time zone touches them
+    as_text = ttype.startswith("timestamp")
+    t_out = F.col(ts).cast("string") if as_text else F.col(ts)
+    lasts = _per_partition(r, F.max_by(F.struct(F.col(group).alias("g"), t_out.alias("t")),
+                                       F.col(_POS)).alias("last"))
+    prev_g, prev_t, before = {}, {}, None
+    for row in lasts:
+        if before is not None:
+            prev_g[row[_PID]], prev_t[row[_PID]] = before["g"], before["t"]
+        before = row["last"]
+    pg = F.element_at(_indexed(prev_g, n, None).cast(f"array<{gtype}>"), F.col(_PID) + 1)
+    pt_arr = _indexed(prev_t, n, None)
+    pt_arr = pt_arr.cast("array<string>").cast(f"array<{ttype}>") if as_text else pt_arr.cast(f"array<{ttype}>")
+    pt = F.element_at(pt_arr, F.col(_PID) + 1)
     local = Window.partitionBy(_PID, group).orderBy(_POS)
-    out = (ranged.withColumn("_lag", F.lag(ts).over(local))
-           .join(F.broadcast(prev), _PID, "inner"))
-    carried = F.when((F.col(_POS) == 0) & (F.col("_prev_last.g") == F.col(group)), F.col("_prev_last.t"))
-    return (out.withColumn(name, F.coalesce(F.col("_lag"), carried))
-            .drop(_PID, _POS, "_lag", "_prev_last"))
+    carried = F.when((F.col(_POS) == 0) & (pg == F.col(group)), pt)
+    out = r.withColumn(name, F.coalesce(F.lag(ts).over(local), carried))
+    return out.drop(_PID, _POS)

@@ -85,20 +85,20 @@ def rfm_scores(rfm: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     equal amounts.
     """
     q = cfg.rfm_quantiles
-    levels = F.array(*[F.lit(j / q) for j in range(1, q)])
-    stats = rfm.agg(F.struct(
-        F.percentile(F.col("Recency").cast("double"), levels).alias("edges"),
-        F.min("Recency").alias("lo"), F.max("Recency").alias("hi")).alias("s")).scalar()
     ranked = global_row_number(rfm, [F.col("Frequency"), F.col("CustomerID")], "_rf",
                                n=cfg.order_partitions, total_name="_n")
     ranked = global_row_number(ranked, [round_half_up("Monetary", 6), F.col("CustomerID")], "_rm",
                                n=cfg.order_partitions)
-    j = ranked
+    levels = F.array(*[F.lit(j / q) for j in range(1, q)])
+    stats = ranked.agg(F.struct(
+        F.percentile(F.col("Recency").cast("double"), levels).alias("edges"),
+        F.min("Recency").alias("lo"), F.max("Recency").alias("hi")).alias("s")).scalar()
     r_score = edge_count_score(F.col("Recency"), stats["edges"], q)
     if cfg.recency_ties == "error":
         tied = edges_tied(stats["edges"], stats["lo"], stats["hi"], q)
         r_score = F.when(tied, F.raise_error(F.lit("Recency quantile edges are not unique"))
                          .cast("int")).otherwise(r_score)
+    j = ranked
     scored = j.select(
         "CustomerID", "Recency", "Frequency", "Monetary",
         r_score.alias("R_Score"),
