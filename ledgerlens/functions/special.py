@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Lanczos coefficients for g = 7 (published constants).
 LANCZOS_G = 7.0
@@ -84,7 +85,7 @@ def hyp2f1_numpy(a, b, c, z) -> np.ndarray:
     return total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _hyp2f1_udf(a: pd.Series, b: pd.Series, c: pd.Series, z: pd.Series) -> pd.Series:
     return pd.Series(hyp2f1_numpy(a.to_numpy(), b.to_numpy(), c.to_numpy(), z.to_numpy()))
 

@@ -118,3 +118,41 @@ def lag_within(df: DataFrame, group: str, ts: str, name: str = "prev", n: int |
     carried = F.when((F.col(_POS) == 0) & (pg == F.col(group)), pt)
     out = r.withColumn(name, F.coalesce(F.lag(ts).over(local), carried))
     return out.drop(_PID, _POS)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs, group: str | None = None,
+                    n: int | None = None) -> DataFrame:
+    """Linear-interpolation quantiles (type 7, as ``percentile`` /
+    ``quantile_cont``) of ``value`` for each ``group``, without holding a
+    group's values in one task: rows get a global rank in (group, value)
+    order, each group's rank range comes from a partial aggregate, and only
+    the two neighbouring rows of each quantile are picked by an equi-join on
+    the rank. Returns (group, p, quantile)."""
+    keys = [group] if group else []
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    order = ([F.col(group)] if group else []) + [F.col("_v")]
+    ranked = global_row_number(base, order, "_rn", n=n)
+    bounds = ranked.groupBy(*keys).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
+    targets = bounds.select(*keys, "_start", "_cnt", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    h = F.col("p") * (F.col("_cnt") - 1)
+    targets = targets.select(*keys, "p", (h - F.floor(h)).alias("_frac"),
+                             (F.col("_start") + F.floor(h)).cast("bigint").alias("_lo"),
+                             (F.col("_start") + F.ceil(h)).cast("bigint").alias("_hi"))
+    picks = targets.select(*keys, "p", "_frac", "_lo", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rn"))
+    joined = picks.join(ranked.select("_rn", "_v"), "_rn", "inner")
+    agg = joined.groupBy(*keys, "p", "_frac").agg(
+        F.max(F.when(F.col("_rn") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
+        F.max("_v").alias("_vhi"))
+    return agg.select(*keys, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("quantile"))
+
+
+def quantile_columns(df: DataFrame, value: str, probs, names, group: str | None = None,
+                     n: int | None = None) -> DataFrame:
+    """``exact_quantiles`` pivoted to one column per probability (the
+    probabilities are a short static list)."""
+    q = exact_quantiles(df, value, probs, group, n)
+    keys = [group] if group else []
+    cols = [F.max(F.when(F.col("p") == float(p), F.col("quantile"))).alias(nm) for p, nm in zip(probs, names)]
+    if keys:
+        return q.groupBy(*keys).agg(*cols)
+    return q.agg(*cols)

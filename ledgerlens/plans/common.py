@@ -31,3 +31,28 @@ def raw_tx(spark: SparkSession, sf_dir: str, with_country: bool = False) -> Data
 
 def clean_tx(spark: SparkSession, sf_dir: str, with_country: bool = False) -> DataFrame:
     return tx_clean(raw_tx(spark, sf_dir, with_country))
+
+
+_PLANS: dict = {}
+
+
+def customer_plan(spark: SparkSession, sf_dir: str, cfg=None, params: str = "fixed"):
+    """The customer table of ``sf_dir``, built once per Spark application
+    and configuration (its base and ranks are checkpointed, the table too),
+    like the reference's cached customer table, keyed by what produced it."""
+    from ledgerlens.config import DEFAULT
+    from ledgerlens.plans.pipeline import build_customer_plan
+    from ledgerlens.session import cut_lineage
+
+    cfg = cfg or DEFAULT
+    key = (spark.sparkContext.applicationId, sf_dir, cfg, params)
+    plan = _PLANS.get(key)
+    if plan is None:
+        plan = build_customer_plan(clean_tx(spark, sf_dir), cfg, params)
+        plan.customers = cut_lineage(plan.customers)
+        _PLANS[key] = plan
+    return plan
+
+
+def forget_plans() -> None:
+    _PLANS.clear()

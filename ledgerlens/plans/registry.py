@@ -7,12 +7,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.config import DEFAULT
+from ledgerlens.config import DEFAULT, FIXED_BGNBD, FIXED_GAMMA_GAMMA
+from ledgerlens.operators import bgnbd as BG
 from ledgerlens.operators import clean as C
+from ledgerlens.operators import clv as CL
+from ledgerlens.operators import drivers as DR
+from ledgerlens.operators import gammagamma as GG
 from ledgerlens.operators import rfm as RF
+from ledgerlens.operators import summary as SU
 from ledgerlens.operators import views as V
-from ledgerlens.plans.common import clean_tx, rounded
+from ledgerlens.plans.common import clean_tx, customer_plan, raw_tx, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -54,5 +60,89 @@ def q_segment_distribution(spark, sf_dir):
     return rounded(V.segment_distribution(_segments(spark, sf_dir)), ratio=["Percent"])
 
 
+@register("snapshot_date")
+def q_snapshot_date(spark, sf_dir):
+    return C.snapshot_date(clean_tx(spark, sf_dir))
+
+
+def _summary(spark, sf_dir):
+    return SU.purchase_summary(clean_tx(spark, sf_dir))
+
+
+@register("purchase_summary")
+def q_purchase_summary(spark, sf_dir):
+    return rounded(_summary(spark, sf_dir), ratio=["monetary_value"])
+
+
+@register("second_purchase")
+def q_second_purchase(spark, sf_dir):
+    return DR.second_purchase(clean_tx(spark, sf_dir))
+
+
+@register("driver_metrics")
+def q_driver_metrics(spark, sf_dir):
+    return DR.driver_metrics(clean_tx(spark, sf_dir))
+
+
+@register("bgnbd_input")
+def q_bgnbd_input(spark, sf_dir):
+    return rounded(SU.bgnbd_input(_summary(spark, sf_dir)), ratio=["monetary_value"])
+
+
+@register("gg_input")
+def q_gg_input(spark, sf_dir):
+    return rounded(SU.gg_input(_summary(spark, sf_dir)), ratio=["monetary_value"])
+
+
+@register("freq_monetary_corr")
+def q_freq_monetary_corr(spark, sf_dir):
+    return rounded(SU.freq_monetary_corr(_summary(spark, sf_dir)), ratio=["correlation"])
+
+
+@register("bgnbd_prob_alive")
+def q_bgnbd_prob_alive(spark, sf_dir):
+    s = _summary(spark, sf_dir)
+    x, t, T = F.col("frequency"), F.col("recency"), F.col("T")
+    return rounded(s.select("CustomerID", BG.prob_alive(x, t, T, FIXED_BGNBD).alias("prob_alive")),
+                   ratio=["prob_alive"])
+
+
+@register("bgnbd_expected_purchases")
+def q_bgnbd_expected_purchases(spark, sf_dir):
+    horizons = (30, 90, 180, 360)
+    s = BG.expected_purchases_table(_summary(spark, sf_dir), horizons, FIXED_BGNBD)
+    cols = [f"expected_purchases_{h}" for h in horizons]
+    return rounded(s.select("CustomerID", *cols), ratio=cols)
+
+
+@register("gg_expected_value")
+def q_gg_expected_value(spark, sf_dir):
+    s = _summary(spark, sf_dir)
+    return rounded(s.select("CustomerID", GG.expected_average_value(
+        F.col("frequency"), F.col("monetary_value"), FIXED_GAMMA_GAMMA).alias("expected_average_value")),
+        money=["expected_average_value"])
+
+
+@register("predict_clv")
+def q_predict_clv(spark, sf_dir):
+    c = CL.clv_scores(_summary(spark, sf_dir), FIXED_BGNBD, FIXED_GAMMA_GAMMA)
+    return rounded(c, money=["predicted_clv"], ratio=["prob_alive", "avg_transaction_value"])
+
+
+# sums of money round to cents; means of money can sit exactly on a half
+# cent, so they round to 6 decimals like ratios
+CUSTOMER_MONEY = ["Monetary", "predicted_clv"]
+CUSTOMER_RATIO = ["prob_alive", "avg_transaction_value"]
+
+
+def _customers(spark, sf_dir):
+    return customer_plan(spark, sf_dir).customers
+
+
+@register("customer_table")
+def q_customer_table(spark, sf_dir):
+    return rounded(_customers(spark, sf_dir), money=CUSTOMER_MONEY, ratio=CUSTOMER_RATIO)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
