@@ -252,6 +252,8 @@ FROM rfm"""
 SELECT Segment, count(*) AS Count, {P('count(*) / sum(count(*)) OVER () * 100')} AS Percent
 FROM rfm GROUP BY Segment"""
     q.update(_more())
+    from ledgerlens.plans.oracle_views import view_sql
+    q.update(view_sql())
     return q
 
 
