@@ -122,30 +122,33 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return copies.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
+def _fences(w: DataFrame, column: str):
+    """Tukey fences from exact quartiles (distributed ranks, not a gathered
+    value list), as a one-row scalar subquery struct(lo, hi)."""
+    from ledgerlens.operators.ordered import quantile_columns
+    q = quantile_columns(w, column, [0.25, 0.75], ["q1", "q3"])
+    f = q.select(F.struct((F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"),
+                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi")))
+    return f.scalar()
+
+
 def iqr_outliers(df: DataFrame, column: str) -> DataFrame:
-    """Tukey fences on ``column`` (F16): one exact-quantile aggregate used as
-    a scalar subquery; returns the outlier rows with their bounds."""
+    """Rows outside the Tukey fences of ``column`` (F16), with the bounds."""
     w = _with_customer(df)
-    qs = w.agg(F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.75)))).scalar()
-    lo = qs[0] - 1.5 * (qs[1] - qs[0])
-    hi = qs[1] + 1.5 * (qs[1] - qs[0])
-    j = w.withColumn("lower_bound", lo).withColumn("upper_bound", hi)
+    b = _fences(w, column)
+    j = w.withColumn("lower_bound", b["lo"]).withColumn("upper_bound", b["hi"])
     return j.filter((F.col(column) < F.col("lower_bound")) | (F.col(column) > F.col("upper_bound")))
 
 
 def iqr_summary(df: DataFrame) -> DataFrame:
-    """Outlier counts and fences for Quantity and UnitPrice in one row."""
+    """Fences and outlier counts for Quantity and UnitPrice in one row."""
     w = _with_customer(df)
-    half = F.array(F.lit(0.25), F.lit(0.75))
-    qs = w.agg(F.struct(F.percentile("Quantity", half).alias("q"),
-                        F.percentile("UnitPrice", half).alias("p"))).scalar()
-    ql, qh = qs["q"][0] - 1.5 * (qs["q"][1] - qs["q"][0]), qs["q"][1] + 1.5 * (qs["q"][1] - qs["q"][0])
-    pl, ph = qs["p"][0] - 1.5 * (qs["p"][1] - qs["p"][0]), qs["p"][1] + 1.5 * (qs["p"][1] - qs["p"][0])
+    bq, bp = _fences(w, "Quantity"), _fences(w, "UnitPrice")
     counts = w.agg(
-        F.count_if((F.col("Quantity") < ql) | (F.col("Quantity") > qh)).alias("quantity_outliers"),
-        F.count_if((F.col("UnitPrice") < pl) | (F.col("UnitPrice") > ph)).alias("price_outliers"))
-    return counts.select(ql.alias("quantity_lower"), qh.alias("quantity_upper"),
-                         pl.alias("price_lower"), ph.alias("price_upper"),
+        F.count_if((F.col("Quantity") < bq["lo"]) | (F.col("Quantity") > bq["hi"])).alias("quantity_outliers"),
+        F.count_if((F.col("UnitPrice") < bp["lo"]) | (F.col("UnitPrice") > bp["hi"])).alias("price_outliers"))
+    return counts.select(bq["lo"].alias("quantity_lower"), bq["hi"].alias("quantity_upper"),
+                         bp["lo"].alias("price_lower"), bp["hi"].alias("price_upper"),
                          "quantity_outliers", "price_outliers")
 
 

@@ -11,7 +11,7 @@ customer is collapsed map-side at both levels.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, Config
@@ -24,8 +24,9 @@ def purchase_summary(clean: DataFrame, observation_end=None) -> DataFrame:
         end_day = clean.agg(F.to_date(F.max("InvoiceDate"))).scalar()
         rows = clean
     else:
-        end_day = F.to_date(F.lit(observation_end).cast("timestamp_ntz"))
-        rows = clean.filter(F.col("InvoiceDate") <= F.lit(observation_end).cast("timestamp_ntz"))
+        end = observation_end if isinstance(observation_end, Column) else F.lit(observation_end).cast("timestamp_ntz")
+        end_day = F.to_date(end)
+        rows = clean.filter(F.col("InvoiceDate") <= end)
     daily = rows.groupBy("CustomerID", F.to_date("InvoiceDate").alias("_d")).agg(
         F.sum("TotalPrice").alias("_v"))
     per = daily.groupBy("CustomerID").agg(

@@ -64,36 +64,45 @@ def floor_days(start: str, end: str) -> str:
 
 # --- RFM ---------------------------------------------------------------------
 
-RFM = f"""
-snap AS (SELECT max(InvoiceDate) + INTERVAL 1 DAY AS snapshot_date, max(InvoiceDate) AS max_date FROM clean),
-rfm_m AS (
+def rfm_ctes(src: str = "clean", p: str = "", rules: str = "code") -> str:
+    """RFM metrics, scores and segments over the lines of ``src``; CTE names
+    get the prefix ``p`` so two chains can live in one query."""
+    seg = SEGMENT_CASE_APPENDIX if rules == "appendix" else SEGMENT_CASE
+    return f"""
+{p}snap AS (SELECT max(InvoiceDate) + INTERVAL 1 DAY AS snapshot_date, max(InvoiceDate) AS max_date FROM {src}),
+{p}rfm_m AS (
   SELECT CustomerID,
-    {floor_days('max(InvoiceDate)', '(SELECT snapshot_date FROM snap)')} AS Recency,
+    {floor_days('max(InvoiceDate)', f'(SELECT snapshot_date FROM {p}snap)')} AS Recency,
     count(DISTINCT InvoiceNo) AS Frequency,
     sum(TotalPrice) AS Monetary
-  FROM clean GROUP BY CustomerID HAVING sum(TotalPrice) > 0
+  FROM {src} GROUP BY CustomerID HAVING sum(TotalPrice) > 0
 ),
-rfm_edges AS (
-  SELECT quantile_cont(CAST(Recency AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS e FROM rfm_m
+{p}rfm_edges AS (
+  SELECT quantile_cont(CAST(Recency AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS e FROM {p}rfm_m
 ),
-rfm_ranked AS (
+{p}rfm_ranked AS (
   SELECT *,
     row_number() OVER (ORDER BY Frequency, CustomerID) AS rf,
     row_number() OVER (ORDER BY (floor(Monetary * 1000000.0 + 0.5) / 1000000.0), CustomerID) AS rm,
     count(*) OVER () AS n
-  FROM rfm_m
+  FROM {p}rfm_m
 ),
-rfm_s AS (
+{p}rfm_s AS (
   SELECT CustomerID, Recency, Frequency, Monetary,
     CAST(5 - (CAST(round(e[1], 9) < Recency AS INTEGER) + CAST(round(e[2], 9) < Recency AS INTEGER)
             + CAST(round(e[3], 9) < Recency AS INTEGER) + CAST(round(e[4], 9) < Recency AS INTEGER)) AS INTEGER) AS R_Score,
     CAST(CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ceil((rf - 1) * 5 / (n - 1))) END AS INTEGER) AS F_Score,
     CAST(CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ceil((rm - 1) * 5 / (n - 1))) END AS INTEGER) AS M_Score
-  FROM rfm_ranked, rfm_edges
+  FROM {p}rfm_ranked, {p}rfm_edges
 ),
-rfm AS (
+{p}rfm AS (
   SELECT *, CAST(R_Score AS VARCHAR) || CAST(F_Score AS VARCHAR) || CAST(M_Score AS VARCHAR) AS RFM_Score,
-    CASE
+    {seg} AS Segment
+  FROM {p}rfm_s
+)"""
+
+
+SEGMENT_CASE = """CASE
       WHEN R_Score >= 4 AND F_Score >= 4 AND M_Score >= 4 THEN 'Champions'
       WHEN R_Score >= 3 AND F_Score >= 3 AND M_Score >= 3 THEN 'Loyal Customers'
       WHEN R_Score >= 4 AND F_Score >= 1 AND F_Score <= 2 THEN 'New Customers'
@@ -102,9 +111,20 @@ rfm AS (
       WHEN R_Score <= 2 AND F_Score >= 4 AND M_Score >= 4 THEN 'Can''t Lose Them'
       WHEN R_Score <= 2 AND F_Score <= 2 THEN 'Hibernating/Lost'
       ELSE 'Needs Attention'
-    END AS Segment
-  FROM rfm_s
-)"""
+    END"""
+
+SEGMENT_CASE_APPENDIX = """CASE
+      WHEN R_Score >= 4 AND F_Score >= 4 AND M_Score >= 4 THEN 'Champions'
+      WHEN R_Score >= 2 AND F_Score >= 3 AND M_Score >= 3 THEN 'Loyal Customers'
+      WHEN R_Score >= 3 AND F_Score <= 3 AND M_Score <= 3 THEN 'Potential Loyalists'
+      WHEN R_Score >= 4 AND F_Score = 1 THEN 'New Customers'
+      WHEN R_Score >= 2 AND R_Score <= 3 AND F_Score >= 2 AND M_Score >= 2 THEN 'At Risk'
+      WHEN R_Score = 1 AND F_Score >= 4 AND M_Score >= 4 THEN 'Can''t Lose Them'
+      WHEN R_Score = 1 AND F_Score <= 2 AND M_Score <= 2 THEN 'Lost Customers'
+      ELSE 'Other'
+    END"""
+
+RFM = rfm_ctes()
 
 
 # --- repeat-purchase summary, drivers ---------------------------------------
@@ -252,8 +272,10 @@ FROM rfm"""
 SELECT Segment, count(*) AS Count, {P('count(*) / sum(count(*)) OVER () * 100')} AS Percent
 FROM rfm GROUP BY Segment"""
     q.update(_more())
+    from ledgerlens.plans.oracle_more import more_sql
     from ledgerlens.plans.oracle_views import view_sql
     q.update(view_sql())
+    q.update(more_sql())
     return q
 
 

@@ -146,5 +146,5 @@ def q_customer_table(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     # the other registration modules add themselves to REGISTRY on import
-    from ledgerlens.plans import registry_views  # noqa: F401
+    from ledgerlens.plans import registry_more, registry_views  # noqa: F401
     return dict(REGISTRY)
