@@ -1,8 +1,8 @@
 """Special functions the model formulas need.
 
 ``lgamma``: log-gamma as a Column expression (Spark has no built-in), by the
-Lanczos approximation (g = 7, 9 terms, relative error ~1e-15) for x >= 0.5 and
-the recurrence lgamma(x) = lgamma(x + 1) - ln x below; stays in codegen.
+Lanczos approximation (g = 7, 9 terms, relative error ~1e-15) applied at
+x + 1 with lgamma(x) = lgamma(x + 1) - ln x; stays in codegen.
 
 ``hyp2f1``: Gauss hypergeometric series 2F1(a, b; c; z) for 0 <= z < 1, as an
 Arrow-batched pandas UDF. The term count depends on z, so the loop runs until
@@ -46,8 +46,10 @@ def _lanczos(x: Column) -> Column:
 
 
 def lgamma(x: Column) -> Column:
-    """ln Γ(x) for x > 0."""
-    return F.when(x < 0.5, _lanczos(x + 1.0) - F.log(x)).otherwise(_lanczos(x))
+    """ln Γ(x) for x > 0, as ln Γ(x + 1) - ln x: one branch, and the Lanczos
+    sum always sees an argument >= 1. Pass a column reference, not a large
+    expression: the argument appears in every term."""
+    return _lanczos(x + 1.0) - F.log(x)
 
 
 def lgamma_scalar(x: float) -> float:

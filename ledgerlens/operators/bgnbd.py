@@ -12,6 +12,7 @@ buyers.
 from __future__ import annotations
 
 import logging
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, BGNBDParams, Config
 from ledgerlens.functions.special import hyp2f1, lgamma
-from ledgerlens.operators.optimize import minimize_batched
+from ledgerlens.operators.optimize import batch_objective, minimize_batched
 from ledgerlens.operators.summary import bgnbd_input
 from ledgerlens.session import cut_lineage
 
@@ -65,14 +66,21 @@ def expected_purchases_table(summary: DataFrame, horizons, p: BGNBDParams,
 
 # --- fitting -------------------------------------------------------------------
 
-def _loglik(x: Column, t: Column, T: Column, r, alpha, a, b) -> Column:
-    A1 = lgamma(r + x) - lgamma(F.lit(r)) + r * F.log(F.lit(alpha))
-    A2 = lgamma(F.lit(a + b)) + lgamma(b + x) - lgamma(F.lit(b)) - lgamma(a + b + x)
+def _loglik(x: Column, t: Column, T: Column, c: dict) -> Column:
+    """Per-customer log-likelihood from parameter columns ``c`` (r, alpha,
+    a, b and the constants lg_r, lg_b, lg_ab, log_alpha, log_a)."""
+    r, alpha, a, b = c["r"], c["alpha"], c["a"], c["b"]
+    A1 = lgamma(r + x) - c["lg_r"] + r * c["log_alpha"]
+    A2 = c["lg_ab"] + lgamma(b + x) - c["lg_b"] - lgamma(a + b + x)
     A3 = -(r + x) * F.log(alpha + T)
-    A4 = F.when(x > 0, F.log(F.lit(a)) - F.log(b + x - 1.0) - (r + x) * F.log(alpha + t))
+    A4 = F.when(x > 0, c["log_a"] - F.log(b + x - 1.0) - (r + x) * F.log(alpha + t))
     m = F.greatest(A3, F.coalesce(A4, A3))
-    lse = m + F.log(F.exp(A3 - m) + F.coalesce(F.exp(A4 - m), F.lit(0.0)))
-    return A1 + A2 + lse
+    return A1 + A2 + m + F.log(F.exp(A3 - m) + F.coalesce(F.exp(A4 - m), F.lit(0.0)))
+
+
+def _constants(p: dict) -> dict:
+    return {"lg_r": math.lgamma(p["r"]), "lg_b": math.lgamma(p["b"]), "lg_ab": math.lgamma(p["a"] + p["b"]),
+            "log_alpha": math.log(p["alpha"]), "log_a": math.log(p["a"])}
 
 
 def bgnbd_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None = None,
@@ -86,22 +94,18 @@ def bgnbd_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None
     if t_max is None:
         raise ValueError("no customers to fit the BG/NBD model on")
     scale = 10.0 / t_max if t_max > 0 else 1.0
+    # names differ beyond case: Spark resolves t and T to the same column
     comp = rows.groupBy(
-        F.col("frequency").alias("x"), (F.col("recency") * scale).alias("t"), (F.col("T") * scale).alias("T")
+        F.col("frequency").alias("fx"), (F.col("recency") * scale).alias("ft"), (F.col("T") * scale).alias("fage")
     ).agg(F.count(F.lit(1)).cast("double").alias("w"))
     comp = cut_lineage(comp)
-    x, t, T, w = F.col("x"), F.col("t"), F.col("T"), F.col("w")
+    x, t, T = F.col("fx"), F.col("ft"), F.col("fage")
+    mean_ll = batch_objective(comp, lambda c: _loglik(x, t, T, c), ["r", "alpha", "a", "b"], _constants)
 
     def f_batch(points):
-        cols = []
-        for i, th in enumerate(points):
-            r, al, a, b = (float(v) for v in np.exp(th))
-            cols.append(F.sum(w * _loglik(x, t, T, r, al, a, b)).alias(f"l{i}"))
-        row = comp.agg(F.sum(w).alias("n"), *cols).first()
         out = []
-        for i, th in enumerate(points):
-            ll = row[f"l{i}"]
-            val = -ll / row["n"] + lam * float(np.sum(np.exp(th) ** 2)) if ll is not None else float("inf")
+        for th, ll in zip(points, mean_ll(points)):
+            val = -ll + lam * float(np.sum(np.exp(th) ** 2)) if ll is not None else float("inf")
             out.append(val if np.isfinite(val) else float("inf"))
         return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, Config, GammaGammaParams
 from ledgerlens.functions.special import lgamma
-from ledgerlens.operators.optimize import minimize_batched
+from ledgerlens.operators.optimize import batch_objective, minimize_batched
 from ledgerlens.operators.summary import gg_input
 from ledgerlens.session import cut_lineage
 
@@ -23,12 +24,19 @@ def expected_average_value(x: Column, m: Column, p: GammaGammaParams) -> Column:
     return F.lit(p.p) * (F.lit(p.v) + x * m) / (F.lit(p.p) * x + F.lit(p.q - 1.0))
 
 
-def _loglik(x: Column, m: Column, p, q, v) -> Column:
+def _loglik(x: Column, m: Column, c: dict) -> Column:
+    """Per-customer log-likelihood from parameter columns ``c`` (p, q, v and
+    the constants lg_q, log_v)."""
+    p, q, v = c["p"], c["q"], c["v"]
     px = p * x
-    return (lgamma(px + q) - lgamma(px) - lgamma(F.lit(q)) + q * F.log(F.lit(v))
+    return (lgamma(px + q) - lgamma(px) - c["lg_q"] + q * c["log_v"]
             + (px - 1.0) * F.log(m) + px * F.log(x) - (px + q) * F.log(x * m + v))
 
 
+def _constants(p: dict) -> dict:
+    return {"lg_q": math.lgamma(p["q"]), "log_v": math.log(p["v"])}
+
+
 def gg_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None = None,
            max_iter: int = 60) -> GammaGammaParams | None:
     """Penalised maximum likelihood (M2) on customers with repeat purchases
@@ -45,18 +53,13 @@ def gg_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None =
     comp = rows.groupBy(F.col("frequency").alias("x"), (F.col("monetary_value") * scale).alias("m")).agg(
         F.count(F.lit(1)).cast("double").alias("w"))
     comp = cut_lineage(comp)
-    x, m, w = F.col("x"), F.col("m"), F.col("w")
+    x, m = F.col("x"), F.col("m")
+    mean_ll = batch_objective(comp, lambda c: _loglik(x, m, c), ["p", "q", "v"], _constants)
 
     def f_batch(points):
-        cols = []
-        for i, th in enumerate(points):
-            p, q, v = (float(u) for u in np.exp(th))
-            cols.append(F.sum(w * _loglik(x, m, p, q, v)).alias(f"l{i}"))
-        row = comp.agg(F.sum(w).alias("n"), *cols).first()
         out = []
-        for i, th in enumerate(points):
-            ll = row[f"l{i}"]
-            val = -ll / row["n"] + lam * float(np.sum(np.exp(th) ** 2)) if ll is not None else float("inf")
+        for th, ll in zip(points, mean_ll(points)):
+            val = -ll + lam * float(np.sum(np.exp(th) ** 2)) if ll is not None else float("inf")
             out.append(val if np.isfinite(val) else float("inf"))
         return out
 

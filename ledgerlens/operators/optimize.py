@@ -1,9 +1,8 @@
 """Minimise an objective whose evaluation is one distributed aggregate.
 
 ``f_batch(points) -> values`` evaluates many parameter vectors in a single
-Spark job (one column per vector), so each step of the loop costs one pass
-for the central-difference gradient and one for the line search. Only the
-parameter vectors (a handful of floats) live on the driver.
+Spark job, so each step of the loop costs one pass over the (compressed)
+data. Only the parameter vectors (a few dozen floats) live on the driver.
 """
 
 from __future__ import annotations
@@ -12,53 +11,88 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.003, 0.001)
+STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.003, 0.001)  # line-search step sizes
+
+
+def _stencil(x: np.ndarray, h: float) -> list[np.ndarray]:
+    k = x.size
+    return [x] + [x + h * e for e in np.eye(k)] + [x - h * e for e in np.eye(k)]
 
 
 def minimize_batched(f_batch: Callable[[Sequence[np.ndarray]], Sequence[float]], x0,
                      max_iter: int = 60, h: float = 1e-5, gtol: float = 1e-6,
                      ftol: float = 1e-11, bounds: tuple[float, float] = (-25.0, 12.0)):
-    """Quasi-Newton (BFGS) descent with batched gradient and line search.
-    Returns (x, f, iterations)."""
+    """Quasi-Newton (BFGS) descent. Each iteration is one call of ``f_batch``:
+    every line-search candidate is evaluated together with its own
+    central-difference stencil, so the accepted point arrives with its
+    gradient. Returns (x, f, iterations)."""
     x = np.clip(np.asarray(x0, dtype=float), *bounds)
     k = x.size
+    m = 2 * k + 1
+    vals = np.asarray(f_batch(_stencil(x, h)), dtype=float)
+    f = vals[0]
+    g = (vals[1:k + 1] - vals[k + 1:]) / (2 * h)
     H = np.eye(k)
-    g = None
-    f = None
     it = 0
     for it in range(1, max_iter + 1):
-        if g is None:
-            pts = [x] + [x + h * e for e in np.eye(k)] + [x - h * e for e in np.eye(k)]
-            vals = np.asarray(f_batch(pts), dtype=float)
-            f = vals[0]
-            g = (vals[1:k + 1] - vals[k + 1:]) / (2 * h)
         if not np.all(np.isfinite(g)) or np.linalg.norm(g, np.inf) < gtol:
             break
         d = -H @ g
         if g @ d >= 0:  # not a descent direction: reset the curvature
             H = np.eye(k)
             d = -g
-        cands = [np.clip(x + s * d, *bounds) for s in STEPS]
-        vals = np.asarray(f_batch(cands), dtype=float)
-        vals = np.where(np.isfinite(vals), vals, np.inf)
-        best = int(np.argmin(vals))
-        if vals[best] >= f:
+        cands = [np.clip(x + st * d, *bounds) for st in STEPS]
+        pts = [p for c in cands for p in _stencil(c, h)]
+        vals = np.asarray(f_batch(pts), dtype=float).reshape(len(cands), m)
+        centre = np.where(np.isfinite(vals[:, 0]), vals[:, 0], np.inf)
+        best = int(np.argmin(centre))
+        if centre[best] >= f:
             if np.allclose(H, np.eye(k)):
                 break
             H = np.eye(k)
             continue
-        x_new, f_new = cands[best], vals[best]
-        pts = [x_new + h * e for e in np.eye(k)] + [x_new - h * e for e in np.eye(k)]
-        gv = np.asarray(f_batch(pts), dtype=float)
-        g_new = (gv[:k] - gv[k:]) / (2 * h)
-        s, y = x_new - x, g_new - g
-        sy = s @ y
+        x_new, f_new = cands[best], centre[best]
+        g_new = (vals[best, 1:k + 1] - vals[best, k + 1:]) / (2 * h)
+        s_, y = x_new - x, g_new - g
+        sy = s_ @ y
         if sy > 1e-12:
             rho = 1.0 / sy
-            I = np.eye(k)
-            H = (I - rho * np.outer(s, y)) @ H @ (I - rho * np.outer(y, s)) + rho * np.outer(s, s)
+            eye = np.eye(k)
+            H = (eye - rho * np.outer(s_, y)) @ H @ (eye - rho * np.outer(y, s_)) + rho * np.outer(s_, s_)
         done = abs(f - f_new) <= ftol * max(1.0, abs(f))
         x, f, g = x_new, f_new, g_new
         if done:
             break
     return x, f, it
+
+
+def batch_objective(comp, loglik, names, constants=None, weight: str = "w"):
+    """``f_batch`` for ``minimize_batched``: the candidate parameter vectors
+    (8 line-search points with their 2k+1 stencils: at most 72 for k = 4)
+    travel as a broadcast table of that many rows, are evaluated against
+    every row of ``comp`` and summed per candidate. Parameters are data, not literals, so the generated code is
+    the same at every step and compiles once.
+
+    ``constants(params) -> dict`` adds per-candidate scalars computed on the
+    driver (e.g. log-gamma of a parameter); ``loglik(cols) -> Column`` builds
+    the per-row log-likelihood from the parameter and constant columns.
+    Returns the weighted mean log-likelihood per point."""
+    from pyspark.sql import functions as F
+
+    spark = comp.sparkSession
+
+    def f(points):
+        rows, cols = [], None
+        for i, th in enumerate(points):
+            vals = dict(zip(names, (float(v) for v in np.exp(th))))
+            if constants:
+                vals.update(constants(vals))
+            cols = list(vals)
+            rows.append((i, *[float(vals[c]) for c in cols]))
+        params = spark.createDataFrame(rows, ", ".join(["_k int"] + [f"{c} double" for c in cols]))
+        j = comp.crossJoin(F.broadcast(params))  # one row per candidate vector, at most 72
+        ll = loglik({c: F.col(c) for c in cols})
+        agg = j.groupBy("_k").agg((F.sum(F.col(weight) * ll) / F.sum(weight)).alias("ll")).collect()
+        got = {r["_k"]: r["ll"] for r in agg}
+        return [got.get(i) for i in range(len(points))]
+    return f

@@ -337,12 +337,20 @@ def q_train_test_split(spark, sf_dir):
         test.select("CustomerID", F.lit("test").alias("split")))
 
 
+_MODELS: dict = {}
+
+
 def _trained(spark, sf_dir, loss="squared"):
-    data = ML.ml_dataset(_features(spark, sf_dir), _cust(spark, sf_dir))
-    feats = ML.feature_list(data)
-    train, test = ML.train_test_split(data)
-    model = ML.gbt_fit(train, feats, loss)
-    return model, train, test, feats
+    """Train once per application, data and loss; the metrics and importance
+    queries share the model."""
+    from ledgerlens.session import cut_lineage
+    key = (spark.sparkContext.applicationId, sf_dir, loss)
+    if key not in _MODELS:
+        data = cut_lineage(ML.ml_dataset(_features(spark, sf_dir), _cust(spark, sf_dir)))
+        feats = ML.feature_list(data)
+        train, test = ML.train_test_split(data)
+        _MODELS[key] = (ML.gbt_fit(train, feats, loss), train, test, feats)
+    return _MODELS[key]
 
 
 @register("regression_metrics")
