@@ -94,3 +94,21 @@ def _hyp2f1_udf(a: pd.Series, b: pd.Series, c: pd.Series, z: pd.Series) -> pd.Se
 
 def hyp2f1(a: Column, b: Column, c: Column, z: Column) -> Column:
     return _hyp2f1_udf(a.cast("double"), b.cast("double"), c.cast("double"), z.cast("double"))
+
+
+_HORIZON_UDFS: dict = {}
+
+
+def hyp2f1_horizons(a: Column, b: Column, c: Column, base: Column, horizons) -> Column:
+    """array of 2F1(a, b; c; h / (base + h)) for each fixed horizon h, from
+    one UDF call (one Arrow round trip instead of one per horizon)."""
+    hs = tuple(float(h) for h in horizons)
+    fn = _HORIZON_UDFS.get(hs)
+    if fn is None:
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def fn(a_: pd.Series, b_: pd.Series, c_: pd.Series, base_: pd.Series) -> pd.Series:
+            av, bv, cv, basev = (s_.to_numpy(dtype=float) for s_ in (a_, b_, c_, base_))
+            cols = [hyp2f1_numpy(av, bv, cv, h / (basev + h)) for h in hs]
+            return pd.Series(list(np.column_stack(cols)))
+        _HORIZON_UDFS[hs] = fn
+    return fn(a.cast("double"), b.cast("double"), c.cast("double"), base.cast("double"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, BGNBDParams, Config
-from ledgerlens.functions.special import hyp2f1, lgamma
+from ledgerlens.functions.special import hyp2f1, hyp2f1_horizons, lgamma
 from ledgerlens.operators.optimize import batch_objective, minimize_batched
 from ledgerlens.operators.summary import bgnbd_input
 from ledgerlens.session import cut_lineage
@@ -53,15 +53,29 @@ def expected_purchases(h, x: Column, t: Column, T: Column, p: BGNBDParams) -> Co
     return F.when(h == 0, F.lit(0.0)).otherwise(first * second * prob_alive(x, t, T, p))
 
 
+def expected_purchases_many(df: DataFrame, horizons, x: Column, t: Column, T: Column, p: BGNBDParams,
+                            names) -> DataFrame:
+    """``expected_purchases`` for several fixed horizons, the series of all
+    of them computed in one UDF call; adds one column per name."""
+    p = _nudged(p)
+    base = F.lit(p.alpha) + T
+    c = F.lit(p.a + p.b - 1.0) + x
+    out = df.withColumn("_hyp", hyp2f1_horizons(F.lit(p.a + p.b - 1.0 - p.r), F.lit(p.a - 1.0), c, base, horizons))
+    alive = prob_alive(x, t, T, p)
+    for i, (h, name) in enumerate(zip(horizons, names)):
+        z = F.lit(float(h)) / (base + float(h))
+        val = c / (p.a - 1.0) * (1.0 - F.pow(1.0 - z, F.lit(p.a - 1.0)) * F.element_at("_hyp", i + 1)) * alive
+        out = out.withColumn(name, F.lit(0.0) if h == 0 else val)
+    return out.drop("_hyp")
+
+
 def expected_purchases_table(summary: DataFrame, horizons, p: BGNBDParams,
                              unit: float = 1.0, suffix: str = "") -> DataFrame:
     """One column ``expected_purchases_<h>`` per horizon (in periods of
     ``unit`` summary days)."""
     x, t, T = F.col("frequency"), F.col("recency") / unit, F.col("T") / unit
-    out = summary
-    for h in horizons:
-        out = out.withColumn(f"expected_purchases_{h}{suffix}", expected_purchases(h, x, t, T, p))
-    return out
+    return expected_purchases_many(summary, horizons, x, t, T, p,
+                                   [f"expected_purchases_{h}{suffix}" for h in horizons])
 
 
 # --- fitting -------------------------------------------------------------------

@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, BGNBDParams, Config, GammaGammaParams
-from ledgerlens.operators.bgnbd import expected_purchases, prob_alive
+from ledgerlens.operators.bgnbd import expected_purchases_many, prob_alive
 from ledgerlens.operators.gammagamma import expected_average_value
 
 
 def _with_expected(df: DataFrame, x, t, T, bg: BGNBDParams, periods, prefix: str) -> DataFrame:
-    """One column per horizon so each series is evaluated once."""
-    for i, h in periods:
-        df = df.withColumn(f"{prefix}{i}", expected_purchases(h, x, t, T, bg))
-    return df
+    """One column per horizon; all series come from one UDF call."""
+    return expected_purchases_many(df, [h for _, h in periods], x, t, T, bg, [f"{prefix}{i}" for i, _ in periods])
 
 
 def _discounted(value, prefix: str, months: int, discount: float):

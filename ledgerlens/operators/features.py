@@ -1,9 +1,10 @@
 """Engineered customer features for the boosted-tree predictor (L1).
 
-Time between purchases needs each line's predecessor in date order; that lag
-is distributed (``lag_within``: range partitions on (customer, date), so a
-customer with a third of all lines is split across tasks). Everything else
-is one partial aggregate per customer or per (customer, invoice).
+Time between purchases needs each purchase time's predecessor; that lag runs
+over distinct (customer, timestamp) rows and is distributed (``lag_within``:
+range partitions on (customer, timestamp), so a customer with a third of all
+lines is split across tasks). Everything else is one partial aggregate per
+customer or per (customer, invoice).
 """
 
 from __future__ import annotations
@@ -21,13 +22,38 @@ EXTRA = ["PurchaseCountLast3Months", "AvgOrderValueStdDev", "CategoryDiversityIn
 IMPUTED = ["PurchaseCountLast3Months", "AvgOrderValueStdDev"]
 
 
+def purchase_gaps(clean: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """One row per (customer, timestamp) with its line count ``c`` and the
+    floor days since the customer's previous distinct timestamp (null for
+    the first). Copies at one timestamp are combined map-side first, so the
+    distributed lag runs over distinct purchase times, not lines."""
+    ts = clean.groupBy("CustomerID", "InvoiceDate").agg(F.count(F.lit(1)).alias("c"))
+    lagged = lag_within(ts, "CustomerID", "InvoiceDate", "_prev", n=cfg.order_partitions)
+    return lagged.withColumn("gap", floor_days(F.col("_prev"), F.col("InvoiceDate")).cast("double")).drop("_prev")
+
+
 def time_between(clean: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Lines with TimeDiff = floor days since the customer's previous line, 0
-    for the first (W5)."""
-    lines = clean.select("CustomerID", "InvoiceDate", "Quantity", *(["StockCode"] if "StockCode" in clean.columns else []))
-    lagged = lag_within(lines, "CustomerID", "InvoiceDate", "_prev", n=cfg.order_partitions)
-    return lagged.withColumn("TimeDiff", F.coalesce(floor_days(F.col("_prev"), F.col("InvoiceDate")), F.lit(0))
-                             .cast("double")).drop("_prev")
+    """Per line: TimeDiff = floor days since the customer's previous line in
+    date order, 0 for the first (W5). Of the c lines at one timestamp the
+    first carries the gap and the others 0; the lines are regenerated from
+    the counts with a generator, not gathered in a window."""
+    g = purchase_gaps(clean, cfg)
+    lines = g.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
+    return lines.select("CustomerID", "InvoiceDate",
+                        F.when(F.col("_i") == 1, F.coalesce(F.col("gap"), F.lit(0.0))).otherwise(F.lit(0.0))
+                        .alias("TimeDiff"))
+
+
+def time_between_stats(clean: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Per customer: mean and sample std of TimeDiff over lines (std 0 for a
+    single line), from the gap sums: n = lines, s1 = sum gap, s2 = sum gap^2."""
+    g = purchase_gaps(clean, cfg)
+    a = g.groupBy("CustomerID").agg(F.sum("c").alias("_n"), F.sum(F.coalesce("gap", F.lit(0.0))).alias("_s1"),
+                                    F.sum(F.coalesce(F.col("gap") * F.col("gap"), F.lit(0.0))).alias("_s2"))
+    n, s1, s2 = F.col("_n").cast("double"), F.col("_s1"), F.col("_s2")
+    var = F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))
+    return a.select("CustomerID", (s1 / n).alias("MeanTimeBetweenPurchases"),
+                    F.when(n > 1, F.sqrt(var)).otherwise(F.lit(0.0)).alias("StdTimeBetweenPurchases"))
 
 
 def ml_features(rfm: DataFrame, clean: DataFrame, cfg: Config = DEFAULT, fill: str = "median") -> DataFrame:
@@ -36,17 +62,14 @@ def ml_features(rfm: DataFrame, clean: DataFrame, cfg: Config = DEFAULT, fill: s
     as after the reference's imputer."""
     has_stock = "StockCode" in clean.columns
     max_date = clean.agg(F.max("InvoiceDate")).scalar()
-    td = time_between(clean, cfg)
-    per = td.groupBy("CustomerID").agg(
-        F.avg("TimeDiff").alias("MeanTimeBetweenPurchases"),
-        F.coalesce(F.stddev_samp("TimeDiff"), F.lit(0.0)).alias("StdTimeBetweenPurchases"),
+    per = clean.groupBy("CustomerID").agg(
         F.avg("Quantity").alias("AvgOrderQuantity"), F.sum("Quantity").alias("TotalQuantity"),
         (F.count_distinct("StockCode") if has_stock else F.lit(0)).alias("UniqueProducts"),
         F.min("InvoiceDate").alias("FirstPurchase"), F.max("InvoiceDate").alias("LastPurchase"),
         F.count(F.lit(1)).alias("_lines"),
         F.count_distinct(F.when(F.col("InvoiceDate") >= plus_days(max_date, -cfg.recent_days), F.col("InvoiceDate")))
         .alias("_recent"))
-    per = per.select(
+    per = per.join(time_between_stats(clean, cfg), "CustomerID", "inner").select(
         "CustomerID", *ENGINEERED, "FirstPurchase", "LastPurchase",
         floor_days(F.col("FirstPurchase"), max_date).alias("DaysSinceFirstPurchase"),
         floor_days(F.col("FirstPurchase"), F.col("LastPurchase")).alias("CustomerTenure"),
@@ -57,9 +80,14 @@ def ml_features(rfm: DataFrame, clean: DataFrame, cfg: Config = DEFAULT, fill: s
     ostd = inv.groupBy("CustomerID").agg(F.stddev_samp("_v").alias("AvgOrderValueStdDev"))
     feats = rfm.join(per, "CustomerID", "left").join(ostd, "CustomerID", "left")
     if fill == "median":
-        for c in IMPUTED:
-            med = quantile_columns(feats, c, [0.5], ["m"]).select("m").scalar()
-            feats = feats.withColumn(c, F.coalesce(F.col(c).cast("double"), med))
+        # a count column takes few distinct values (k distinct counts need at
+        # least k(k+1)/2 lines), and the exact built-in percentile keeps one
+        # counter per distinct value: a small buffer even for a hot customer
+        med_recent = feats.agg(F.percentile(F.col("PurchaseCountLast3Months").cast("double"), 0.5)).scalar()
+        med_std = quantile_columns(feats, "AvgOrderValueStdDev", [0.5], ["m"]).select("m").scalar()
+        feats = (feats.withColumn("PurchaseCountLast3Months",
+                                  F.coalesce(F.col("PurchaseCountLast3Months").cast("double"), med_recent))
+                 .withColumn("AvgOrderValueStdDev", F.coalesce(F.col("AvgOrderValueStdDev"), med_std)))
     else:
         feats = feats.fillna({c: 0.0 for c in IMPUTED})
     numeric = [f.name for f in feats.schema.fields

@@ -35,9 +35,11 @@ def ml_dataset(features: DataFrame, customers: DataFrame, feature_set: str = "li
     data = features.select("CustomerID", *cols).join(customers.select("CustomerID", TARGET), "CustomerID", "inner")
     for c in cols:
         data = data.withColumn(c, F.when(F.abs(F.col(c)) == float("inf"), None).otherwise(F.col(c)))
+    nulls = data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     for c in cols:
-        med = quantile_columns(data, c, [0.5], ["m"]).select("m").scalar()
-        data = data.withColumn(c, F.coalesce(F.col(c), med))
+        if nulls[c]:  # medians only where something is missing
+            med = quantile_columns(data, c, [0.5], ["m"]).select("m").scalar()
+            data = data.withColumn(c, F.coalesce(F.col(c), med))
     return data
 
 

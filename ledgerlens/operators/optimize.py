@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.003, 0.001)  # line-search step sizes
+STEPS = (1.0, 0.3, 0.05, 0.005)  # line-search step sizes
 
 
 def _stencil(x: np.ndarray, h: float) -> list[np.ndarray]:
@@ -68,7 +68,7 @@ def minimize_batched(f_batch: Callable[[Sequence[np.ndarray]], Sequence[float]],
 
 def batch_objective(comp, loglik, names, constants=None, weight: str = "w"):
     """``f_batch`` for ``minimize_batched``: the candidate parameter vectors
-    (8 line-search points with their 2k+1 stencils: at most 72 for k = 4)
+    (4 line-search points with their 2k+1 stencils: at most 36 for k = 4)
     travel as a broadcast table of that many rows, are evaluated against
     every row of ``comp`` and summed per candidate. Parameters are data, not literals, so the generated code is
     the same at every step and compiles once.
@@ -90,7 +90,7 @@ def batch_objective(comp, loglik, names, constants=None, weight: str = "w"):
             cols = list(vals)
             rows.append((i, *[float(vals[c]) for c in cols]))
         params = spark.createDataFrame(rows, ", ".join(["_k int"] + [f"{c} double" for c in cols]))
-        j = comp.crossJoin(F.broadcast(params))  # one row per candidate vector, at most 72
+        j = comp.crossJoin(F.broadcast(params))  # one row per candidate vector, at most 36
         ll = loglik({c: F.col(c) for c in cols})
         agg = j.groupBy("_k").agg((F.sum(F.col(weight) * ll) / F.sum(weight)).alias("ll")).collect()
         got = {r["_k"]: r["ll"] for r in agg}

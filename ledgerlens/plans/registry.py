@@ -31,8 +31,14 @@ def register(name: str):
     return deco
 
 
-def _segments(spark, sf_dir, cfg=DEFAULT, rules="code"):
-    return RF.rfm_segments(clean_tx(spark, sf_dir), cfg=cfg, rules=rules)
+def _plan(spark, sf_dir):
+    """The customer pipeline of ``sf_dir``, built once per session; the RFM,
+    summary, driver and CLV queries are projections of it."""
+    return customer_plan(spark, sf_dir)
+
+
+def _segments(spark, sf_dir):
+    return _plan(spark, sf_dir).segments
 
 
 @register("tx_clean")
@@ -42,12 +48,13 @@ def q_tx_clean(spark, sf_dir):
 
 @register("rfm_metrics")
 def q_rfm_metrics(spark, sf_dir):
-    return rounded(RF.rfm_metrics(clean_tx(spark, sf_dir)), money=["Monetary"])
+    return rounded(_segments(spark, sf_dir).select("CustomerID", "Recency", "Frequency", "Monetary"),
+                   money=["Monetary"])
 
 
 @register("rfm_scores")
 def q_rfm_scores(spark, sf_dir):
-    return rounded(RF.rfm_scores(RF.rfm_metrics(clean_tx(spark, sf_dir))), money=["Monetary"])
+    return rounded(_segments(spark, sf_dir).drop("Segment"), money=["Monetary"])
 
 
 @register("rfm_segments")
@@ -66,7 +73,7 @@ def q_snapshot_date(spark, sf_dir):
 
 
 def _summary(spark, sf_dir):
-    return SU.purchase_summary(clean_tx(spark, sf_dir))
+    return _plan(spark, sf_dir).summary
 
 
 @register("purchase_summary")
@@ -81,7 +88,7 @@ def q_second_purchase(spark, sf_dir):
 
 @register("driver_metrics")
 def q_driver_metrics(spark, sf_dir):
-    return DR.driver_metrics(clean_tx(spark, sf_dir))
+    return _plan(spark, sf_dir).drivers
 
 
 @register("bgnbd_input")
@@ -125,8 +132,7 @@ def q_gg_expected_value(spark, sf_dir):
 
 @register("predict_clv")
 def q_predict_clv(spark, sf_dir):
-    c = CL.clv_scores(_summary(spark, sf_dir), FIXED_BGNBD, FIXED_GAMMA_GAMMA)
-    return rounded(c, money=["predicted_clv"], ratio=["prob_alive", "avg_transaction_value"])
+    return rounded(_plan(spark, sf_dir).clv, money=["predicted_clv"], ratio=["prob_alive", "avg_transaction_value"])
 
 
 # sums of money round to cents; means of money can sit exactly on a half

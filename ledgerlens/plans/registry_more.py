@@ -88,7 +88,10 @@ def q_tx_clean_appendix(spark, sf_dir):
 # --- appendix variants ------------------------------------------------------------
 
 def _v2(spark, sf_dir):
-    return RF.rfm_segments(clean_tx(spark, sf_dir), rules="appendix")
+    """Appendix segments: same scores, the appendix rule set."""
+    seg = customer_plan(spark, sf_dir).segments
+    return seg.withColumn("Segment", RF.segment_of(F.col("R_Score"), F.col("F_Score"), F.col("M_Score"),
+                                                   5, "appendix"))
 
 
 @register("rfm_segments_v2")
@@ -110,9 +113,19 @@ def q_segment_stats(spark, sf_dir):
     return rounded(out, ratio=cols)
 
 
+_HORIZONS: dict = {}
+
+
 def _horizons(spark, sf_dir):
-    plan = customer_plan(spark, sf_dir)
-    return CL.clv_horizons(plan.summary, _v2(spark, sf_dir), FIXED_BGNBD, FIXED_GAMMA_GAMMA)
+    """Appendix CLV horizons, materialised once per session like the
+    customer table they derive from."""
+    from ledgerlens.session import cut_lineage
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _HORIZONS:
+        plan = customer_plan(spark, sf_dir)
+        _HORIZONS[key] = cut_lineage(CL.clv_horizons(plan.summary, _v2(spark, sf_dir), FIXED_BGNBD,
+                                                     FIXED_GAMMA_GAMMA))
+    return _HORIZONS[key]
 
 
 HORIZON_MONEY = ["predicted_avg_value", "CLV_3months", "CLV_6months", "CLV_12months"]
@@ -375,13 +388,13 @@ def q_feature_importance(spark, sf_dir):
 
 @register("bgnbd_fit")
 def q_bgnbd_fit(spark, sf_dir):
-    p = BG.bgnbd_fit(SU.purchase_summary(clean_tx(spark, sf_dir)), DEFAULT)
+    p = BG.bgnbd_fit(customer_plan(spark, sf_dir).summary, DEFAULT)
     return spark.createDataFrame([(p.r, p.alpha, p.a, p.b)], "r double, alpha double, a double, b double")
 
 
 @register("gg_fit")
 def q_gg_fit(spark, sf_dir):
-    p = GG.gg_fit(SU.purchase_summary(clean_tx(spark, sf_dir)), DEFAULT)
+    p = GG.gg_fit(customer_plan(spark, sf_dir).summary, DEFAULT)
     if p is None:
         return spark.createDataFrame([], "p double, q double, v double")
     return spark.createDataFrame([(p.p, p.q, p.v)], "p double, q double, v double")
