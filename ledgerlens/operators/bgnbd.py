@@ -80,16 +80,22 @@ def expected_purchases_table(summary: DataFrame, horizons, p: BGNBDParams,
 
 # --- fitting -------------------------------------------------------------------
 
-def _loglik(x: Column, t: Column, T: Column, c: dict) -> Column:
-    """Per-customer log-likelihood from parameter columns ``c`` (r, alpha,
-    a, b and the constants lg_r, lg_b, lg_ab, log_alpha, log_a)."""
-    r, alpha, a, b = c["r"], c["alpha"], c["a"], c["b"]
-    A1 = lgamma(r + x) - c["lg_r"] + r * c["log_alpha"]
-    A2 = c["lg_ab"] + lgamma(b + x) - c["lg_b"] - lgamma(a + b + x)
+def _gamma_terms(x: Column, c: dict) -> Column:
+    """The log-likelihood terms that depend on x alone (log-gammas), summed
+    once per distinct x. Parameter columns ``c``: r, a, b and the constants
+    lg_r, lg_b, lg_ab, log_alpha."""
+    r, a, b = c["r"], c["a"], c["b"]
+    return (lgamma(r + x) - c["lg_r"] + r * c["log_alpha"]
+            + c["lg_ab"] + lgamma(b + x) - c["lg_b"] - lgamma(a + b + x))
+
+
+def _row_terms(x: Column, t: Column, T: Column, c: dict) -> Column:
+    """The terms that need (x, t, T): logs and exps only."""
+    r, alpha, b = c["r"], c["alpha"], c["b"]
     A3 = -(r + x) * F.log(alpha + T)
     A4 = F.when(x > 0, c["log_a"] - F.log(b + x - 1.0) - (r + x) * F.log(alpha + t))
     m = F.greatest(A3, F.coalesce(A4, A3))
-    return A1 + A2 + m + F.log(F.exp(A3 - m) + F.coalesce(F.exp(A4 - m), F.lit(0.0)))
+    return m + F.log(F.exp(A3 - m) + F.coalesce(F.exp(A4 - m), F.lit(0.0)))
 
 
 def _constants(p: dict) -> dict:
@@ -101,7 +107,8 @@ def bgnbd_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None
               fit_all: bool | None = None, max_iter: int = 60) -> BGNBDParams:
     """Penalised maximum likelihood (M1): minimise -mean(LL) + lambda * sum(theta^2)
     over log-parameters, with T rescaled to max 10 (alpha scaled back).
-    Customers sharing (x, t, T) are one weighted row."""
+    Customers sharing (x, t, T) are one weighted row; the log-gamma terms are
+    evaluated once per distinct x."""
     lam = cfg.bgnbd_penalizer if penalizer is None else penalizer
     rows = bgnbd_input(summary, cfg.fit_all if fit_all is None else fit_all)
     t_max = rows.agg(F.max("T")).first()[0]
@@ -113,8 +120,11 @@ def bgnbd_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None
         F.col("frequency").alias("fx"), (F.col("recency") * scale).alias("ft"), (F.col("T") * scale).alias("fage")
     ).agg(F.count(F.lit(1)).cast("double").alias("w"))
     comp = cut_lineage(comp)
+    per_x = cut_lineage(comp.groupBy("fx").agg(F.sum("w").alias("w")))
+    n = comp.agg(F.sum("w")).first()[0]
     x, t, T = F.col("fx"), F.col("ft"), F.col("fage")
-    mean_ll = batch_objective(comp, lambda c: _loglik(x, t, T, c), ["r", "alpha", "a", "b"], _constants)
+    mean_ll = batch_objective([(per_x, lambda c: _gamma_terms(x, c)), (comp, lambda c: _row_terms(x, t, T, c))],
+                              ["r", "alpha", "a", "b"], _constants, total=n)
 
     def f_batch(points):
         out = []

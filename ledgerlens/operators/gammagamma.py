@@ -24,13 +24,17 @@ def expected_average_value(x: Column, m: Column, p: GammaGammaParams) -> Column:
     return F.lit(p.p) * (F.lit(p.v) + x * m) / (F.lit(p.p) * x + F.lit(p.q - 1.0))
 
 
-def _loglik(x: Column, m: Column, c: dict) -> Column:
-    """Per-customer log-likelihood from parameter columns ``c`` (p, q, v and
-    the constants lg_q, log_v)."""
+def _gamma_terms(x: Column, c: dict) -> Column:
+    """Terms that depend on x alone, summed once per distinct x."""
+    p, q = c["p"], c["q"]
+    px = p * x
+    return lgamma(px + q) - lgamma(px) - c["lg_q"] + q * c["log_v"] + px * F.log(x)
+
+
+def _row_terms(x: Column, m: Column, c: dict) -> Column:
     p, q, v = c["p"], c["q"], c["v"]
     px = p * x
-    return (lgamma(px + q) - lgamma(px) - c["lg_q"] + q * c["log_v"]
-            + (px - 1.0) * F.log(m) + px * F.log(x) - (px + q) * F.log(x * m + v))
+    return (px - 1.0) * F.log(m) - (px + q) * F.log(x * m + v)
 
 
 def _constants(p: dict) -> dict:
@@ -53,8 +57,10 @@ def gg_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None =
     comp = rows.groupBy(F.col("frequency").alias("x"), (F.col("monetary_value") * scale).alias("m")).agg(
         F.count(F.lit(1)).cast("double").alias("w"))
     comp = cut_lineage(comp)
+    per_x = cut_lineage(comp.groupBy("x").agg(F.sum("w").alias("w")))
     x, m = F.col("x"), F.col("m")
-    mean_ll = batch_objective(comp, lambda c: _loglik(x, m, c), ["p", "q", "v"], _constants)
+    mean_ll = batch_objective([(per_x, lambda c: _gamma_terms(x, c)), (comp, lambda c: _row_terms(x, m, c))],
+                              ["p", "q", "v"], _constants, total=float(stats["n"]))
 
     def f_batch(points):
         out = []

@@ -66,20 +66,22 @@ def minimize_batched(f_batch: Callable[[Sequence[np.ndarray]], Sequence[float]],
     return x, f, it
 
 
-def batch_objective(comp, loglik, names, constants=None, weight: str = "w"):
-    """``f_batch`` for ``minimize_batched``: the candidate parameter vectors
-    (4 line-search points with their 2k+1 stencils: at most 36 for k = 4)
-    travel as a broadcast table of that many rows, are evaluated against
-    every row of ``comp`` and summed per candidate. Parameters are data, not literals, so the generated code is
-    the same at every step and compiles once.
+def batch_objective(parts, names, constants=None, total: float = 1.0):
+    """``f_batch`` for ``minimize_batched``. ``parts`` is a list of
+    ``(table, term)``: each table (weight column ``w``) is evaluated against
+    every candidate parameter vector and ``sum(w * term)`` is taken per
+    candidate; the parts are unioned and summed in the same query, and the
+    result divided by ``total``.
 
-    ``constants(params) -> dict`` adds per-candidate scalars computed on the
-    driver (e.g. log-gamma of a parameter); ``loglik(cols) -> Column`` builds
-    the per-row log-likelihood from the parameter and constant columns.
-    Returns the weighted mean log-likelihood per point."""
+    The candidates (4 line-search points with their 2k+1 stencils: at most 36
+    for k = 4) travel as a broadcast table of that many rows. Parameters are
+    data, not literals, so the generated code is the same at every step and
+    compiles once. ``constants(params) -> dict`` adds per-candidate scalars
+    computed on the driver (e.g. log-gamma of a parameter); ``term(cols)``
+    builds the per-row Column from parameter and constant columns."""
     from pyspark.sql import functions as F
 
-    spark = comp.sparkSession
+    spark = parts[0][0].sparkSession
 
     def f(points):
         rows, cols = [], None
@@ -89,10 +91,13 @@ def batch_objective(comp, loglik, names, constants=None, weight: str = "w"):
                 vals.update(constants(vals))
             cols = list(vals)
             rows.append((i, *[float(vals[c]) for c in cols]))
-        params = spark.createDataFrame(rows, ", ".join(["_k int"] + [f"{c} double" for c in cols]))
-        j = comp.crossJoin(F.broadcast(params))  # one row per candidate vector, at most 36
-        ll = loglik({c: F.col(c) for c in cols})
-        agg = j.groupBy("_k").agg((F.sum(F.col(weight) * ll) / F.sum(weight)).alias("ll")).collect()
-        got = {r["_k"]: r["ll"] for r in agg}
-        return [got.get(i) for i in range(len(points))]
+        params = F.broadcast(spark.createDataFrame(rows, ", ".join(["_k int"] + [f"{c} double" for c in cols])))
+        sums = None
+        for table, term in parts:
+            # one row per candidate vector (at most 36) against every table row
+            s_ = table.crossJoin(params).groupBy("_k").agg(
+                F.sum(F.col("w") * term({c: F.col(c) for c in cols})).alias("s"))
+            sums = s_ if sums is None else sums.unionByName(s_)
+        got = {r["_k"]: r["s"] for r in sums.groupBy("_k").agg(F.sum("s").alias("s")).collect()}
+        return [None if got.get(i) is None else got[i] / total for i in range(len(points))]
     return f
