@@ -4,7 +4,6 @@ the output rounding that makes two engines' float results comparable."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import round_half_up
 from ledgerlens.operators.clean import tx_clean
@@ -48,11 +47,34 @@ def customer_plan(spark: SparkSession, sf_dir: str, cfg=None, params: str = "fix
     key = (spark.sparkContext.applicationId, sf_dir, cfg, params)
     plan = _PLANS.get(key)
     if plan is None:
-        plan = build_customer_plan(clean_tx(spark, sf_dir), cfg, params)
+        if params == "fit":
+            bg, gg = fitted_params(spark, sf_dir, cfg)
+            plan = build_customer_plan(clean_tx(spark, sf_dir), cfg, "fixed", bg=bg, gg=gg)
+            plan.gg = gg
+        else:
+            plan = build_customer_plan(clean_tx(spark, sf_dir), cfg, params)
         plan.customers = cut_lineage(plan.customers)
         _PLANS[key] = plan
     return plan
 
 
+_FITS: dict = {}
+
+
+def fitted_params(spark: SparkSession, sf_dir: str, cfg=None):
+    """BG/NBD and Gamma-Gamma parameters fitted on the repeat-purchase
+    summary of ``sf_dir``, once per application and configuration."""
+    from ledgerlens.config import DEFAULT
+    from ledgerlens.operators.bgnbd import bgnbd_fit
+    from ledgerlens.operators.gammagamma import gg_fit
+
+    cfg = cfg or DEFAULT
+    key = (spark.sparkContext.applicationId, sf_dir, cfg)
+    if key not in _FITS:
+        summ = customer_plan(spark, sf_dir, cfg).summary
+        _FITS[key] = (bgnbd_fit(summ, cfg), gg_fit(summ, cfg))
+    return _FITS[key]
+
+
 def forget_plans() -> None:
     _PLANS.clear()

@@ -52,8 +52,10 @@ def customer_base(clean: DataFrame, checkpoint: bool = True) -> DataFrame:
 def build_customer_plan(clean: DataFrame, cfg: Config = DEFAULT, params: str = "fixed",
                         bg: BGNBDParams | None = None, gg: GammaGammaParams | None = None,
                         rules: str = "code") -> CustomerPlan:
-    """``params="fixed"`` scores with the fixed published parameters (or the
-    ones passed); ``params="fit"`` fits both models on this data first."""
+    """``params="fixed"`` scores with the parameters passed, or the fixed
+    published ones when none are; ``params="fit"`` fits both models on this
+    data first. A missing spend model (gg None) gives CLV 0, as in the
+    reference."""
     base = customer_base(clean)
     summ = base.select("CustomerID", *SUMMARY_COLS)
     drv = base.select("CustomerID", *DRIVER_COLS)
@@ -65,9 +67,8 @@ def build_customer_plan(clean: DataFrame, cfg: Config = DEFAULT, params: str = "
     if params == "fit":
         bg = bgnbd.bgnbd_fit(summ, cfg)
         gg = gammagamma.gg_fit(summ, cfg)
-    else:
-        bg = bg or FIXED_BGNBD
-        gg = gg or FIXED_GAMMA_GAMMA
+    elif bg is None and gg is None:
+        bg, gg = FIXED_BGNBD, FIXED_GAMMA_GAMMA
     clv = clvmod.clv_scores(summ, bg, gg, cfg)
     customers = clvmod.customer_table(segs, clv, drv).withColumn(
         "snapshot_date", base.agg(F.max("snapshot_date")).scalar())

@@ -9,16 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.config import DEFAULT, FIXED_BGNBD, FIXED_GAMMA_GAMMA
+from ledgerlens.config import FIXED_BGNBD, FIXED_GAMMA_GAMMA
 from ledgerlens.operators import bgnbd as BG
 from ledgerlens.operators import clean as C
-from ledgerlens.operators import clv as CL
 from ledgerlens.operators import drivers as DR
 from ledgerlens.operators import gammagamma as GG
-from ledgerlens.operators import rfm as RF
 from ledgerlens.operators import summary as SU
 from ledgerlens.operators import views as V
-from ledgerlens.plans.common import clean_tx, customer_plan, raw_tx, rounded
+from ledgerlens.plans.common import clean_tx, customer_plan, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}

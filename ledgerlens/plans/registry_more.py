@@ -5,16 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.config import DEFAULT, FIXED_BGNBD, FIXED_GAMMA_GAMMA
-from ledgerlens.operators import bgnbd as BG
+from ledgerlens.config import FIXED_BGNBD, FIXED_GAMMA_GAMMA
 from ledgerlens.operators import clean as C
 from ledgerlens.operators import clv as CL
 from ledgerlens.operators import eda as E
 from ledgerlens.operators import features as FE
-from ledgerlens.operators import gammagamma as GG
 from ledgerlens.operators import ml as ML
 from ledgerlens.operators import rfm as RF
-from ledgerlens.operators import summary as SU
 from ledgerlens.operators import validation as VA
 from ledgerlens.operators import views as V
 from ledgerlens.plans.common import clean_tx, customer_plan, raw_tx, rounded
@@ -388,13 +385,15 @@ def q_feature_importance(spark, sf_dir):
 
 @register("bgnbd_fit")
 def q_bgnbd_fit(spark, sf_dir):
-    p = BG.bgnbd_fit(customer_plan(spark, sf_dir).summary, DEFAULT)
+    from ledgerlens.plans.common import fitted_params
+    p = fitted_params(spark, sf_dir)[0]
     return spark.createDataFrame([(p.r, p.alpha, p.a, p.b)], "r double, alpha double, a double, b double")
 
 
 @register("gg_fit")
 def q_gg_fit(spark, sf_dir):
-    p = GG.gg_fit(customer_plan(spark, sf_dir).summary, DEFAULT)
+    from ledgerlens.plans.common import fitted_params
+    p = fitted_params(spark, sf_dir)[1]
     if p is None:
         return spark.createDataFrame([], "p double, q double, v double")
     return spark.createDataFrame([(p.p, p.q, p.v)], "p double, q double, v double")
