@@ -202,6 +202,7 @@ SELECT {M('o')} AS original_total, {M('s')} AS simulated_total, {P('c')} AS chan
     q["scenario_segment_share"] = f + SCENARIO + f""", s AS (SELECT Segment, sum(simulated_clv) AS v FROM sim3 GROUP BY Segment)
 SELECT Segment, {M('v')} AS predicted_clv,
   {P('CASE WHEN sum(v) OVER () > 0 THEN v / sum(v) OVER () * 100 ELSE 0.0 END')} AS percent FROM s"""
+    q["load_customer_table"] = f + f"SELECT {CUST_SELECT} FROM cust"
     cols = ["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country", "TotalPrice"]
     types = ("CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'BIGINT' THEN 'bigint' "
              "WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(typeof({c})) END")

@@ -189,3 +189,21 @@ def q_schema_info(spark, sf_dir):
     from ledgerlens.sources.files import schema_info
     return schema_info(clean_tx(spark, sf_dir, with_country=True))
 
+
+
+@register("load_customer_table")
+def q_load_customer_table(spark, sf_dir):
+    """The customer table written as Parquet under the shared
+    checkpoint folder, keyed by its input and configuration, then read back
+    through the validating loader."""
+    import hashlib
+    import os
+
+    from ledgerlens.config import DEFAULT
+    from ledgerlens.session import ensure_checkpoint_dir
+    from ledgerlens.sources.files import load_customer_table
+
+    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DEFAULT}".encode()).hexdigest()[:16]
+    path = os.path.join(ensure_checkpoint_dir(spark), "customer_table", key)
+    df = load_customer_table(spark, path, compute=lambda: _c(spark, sf_dir))
+    return rounded(df, money=CUSTOMER_MONEY, ratio=CUSTOMER_RATIO)
