@@ -76,12 +76,14 @@ def global_cumsum(df: DataFrame, order: list[Column], value: str, name: str = "c
     (balanced by construction); partition totals are prefix-summed."""
     n = _n_partitions(df, n)
     r = ranged(df, order, n)
+    vtype = "bigint" if dict(df.dtypes)[value] in ("int", "bigint", "smallint", "tinyint") else "double"
+    zero = 0 if vtype == "bigint" else 0.0
     sums = _per_partition(r, F.sum(value).alias("s"))
-    offsets, run = {}, 0.0
+    offsets, run = {}, zero
     for row in sums:
         offsets[row[_PID]] = run
-        run += row["s"] or 0.0
-    off = _indexed(offsets, n, 0.0).cast("array<double>")
+        run += row["s"] or zero
+    off = _indexed(offsets, n, zero).cast(f"array<{vtype}>")
     local = Window.partitionBy(_PID).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
     out = r.withColumn(name, F.element_at(off, F.col(_PID) + 1) + F.sum(value).over(local))
     return out.drop(_PID, _POS)
@@ -124,26 +126,48 @@ def exact_quantiles(df: DataFrame, value: str, probs, group: str | None = None,
                     n: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles (type 7, as ``percentile`` /
     ``quantile_cont``) of ``value`` for each ``group``, without holding a
-    group's values in one task: rows get a global rank in (group, value)
-    order, each group's rank range comes from a partial aggregate, and only
-    the two neighbouring rows of each quantile are picked by an equi-join on
-    the rank. Returns (group, p, quantile)."""
+    group's values - or the copies of one hot value - in one task:
+
+    1. distinct (group, value) rows with their count (partial aggregate: a
+       value held by a third of all rows becomes one row);
+    2. a distributed running sum of the counts in (group, value) order, over
+       unique keys, so range partitions stay balanced;
+    3. each distinct value covers positions [a, b] of its group; the two
+       neighbours of quantile p are the values covering floor and ceil of
+       p (n - 1) + 1, found by flags, not by a range join.
+
+    Returns (group, p, quantile)."""
     keys = [group] if group else []
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    counts = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     order = ([F.col(group)] if group else []) + [F.col("_v")]
-    ranked = global_row_number(base, order, "_rn", n=n)
-    bounds = ranked.groupBy(*keys).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
-    targets = bounds.select(*keys, "_start", "_cnt", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    h = F.col("p") * (F.col("_cnt") - 1)
-    targets = targets.select(*keys, "p", (h - F.floor(h)).alias("_frac"),
-                             (F.col("_start") + F.floor(h)).cast("bigint").alias("_lo"),
-                             (F.col("_start") + F.ceil(h)).cast("bigint").alias("_hi"))
-    picks = targets.select(*keys, "p", "_frac", "_lo", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rn"))
-    joined = picks.join(ranked.select("_rn", "_v"), "_rn", "inner")
-    agg = joined.groupBy(*keys, "p", "_frac").agg(
-        F.max(F.when(F.col("_rn") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
-        F.max("_v").alias("_vhi"))
-    return agg.select(*keys, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("quantile"))
+    cum = global_cumsum(counts, order, "_c", "_cum", n=n)
+    per_group = cum.groupBy(*keys).agg(F.min(F.col("_cum") - F.col("_c")).alias("_before"),
+                                       F.sum("_c").alias("_n"))
+    if keys:
+        j = cum.join(per_group, keys, "inner")
+    else:
+        g = per_group.select(F.struct("_before", "_n")).scalar()
+        j = cum.withColumn("_before", g["_before"]).withColumn("_n", g["_n"])
+    a = F.col("_cum") - F.col("_c") - F.col("_before") + 1
+    b = F.col("_cum") - F.col("_before")
+    covers = []
+    aggs = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1) + 1
+        lo, hi = F.floor(h), F.ceil(h)
+        is_lo, is_hi = (a <= lo) & (lo <= b), (a <= hi) & (hi <= b)
+        covers += [is_lo, is_hi]
+        aggs += [F.max(F.when(is_lo, F.col("_v"))).alias(f"_lo{i}"), F.max(F.when(is_hi, F.col("_v"))).alias(f"_hi{i}"),
+                 F.max(h - lo).alias(f"_f{i}")]
+    any_cover = covers[0]
+    for c in covers[1:]:
+        any_cover = any_cover | c
+    picked = j.filter(any_cover).groupBy(*keys).agg(*aggs)
+    rows = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"),
+                                        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}"))
+                                        .alias("quantile")) for i, p in enumerate(probs)]))
+    return picked.select(*keys, rows.alias("_q")).select(*keys, "_q.p", "_q.quantile")
 
 
 def quantile_columns(df: DataFrame, value: str, probs, names, group: str | None = None,

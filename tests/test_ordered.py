@@ -53,3 +53,14 @@ def test_exact_quantiles(spark):
         assert np.isclose(row["quantile"], np.quantile(vals, row["p"]), rtol=1e-12, atol=1e-9)
     whole = exact_quantiles(df, "v", [0.5]).first()
     assert np.isclose(whole["quantile"], np.median(pdf.v))
+
+
+def test_exact_quantiles_hot_value(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    vals = np.where(rng.random(n) < 1 / 3, 1.0, rng.integers(1, 50, n).astype(float))
+    groups = np.where(rng.random(n) < 0.5, "a", "b")
+    pdf = pd.DataFrame({"g": groups, "v": vals})
+    got = exact_quantiles(spark.createDataFrame(pdf), "v", [0.1, 0.25, 0.5, 0.9], group="g", n=8).toPandas()
+    for _, row in got.iterrows():
+        assert np.isclose(row["quantile"], np.quantile(pdf.loc[pdf.g == row["g"], "v"], row["p"]))
