@@ -302,4 +302,13 @@ FROM clean"""
                                                                         else f"f.{c}") for c in listed)
     q["ml_dataset"] = with_(BASE, rfm_ctes(), SUMMARY, DRIVERS, clv_ctes(), CUST, _features_ctes()) + f"""
 SELECT f.CustomerID, {dsel}, {M('c.predicted_clv')} AS predicted_clv FROM feats f JOIN cust c ON f.CustomerID = c.CustomerID"""
+    ev = """
+ev_clean AS (
+  SELECT DISTINCT CAST(event_id AS VARCHAR) AS InvoiceNo, 1.0 AS Quantity, ts AS InvoiceDate, value AS UnitPrice,
+    CAST(user_id AS VARCHAR) AS CustomerID, 1.0 * value AS TotalPrice
+  FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND value > 0)"""
+    evr = rfm_ctes("ev_clean", "ev_")
+    q["event_rfm_metrics"] = with_(ev, evr) + f"SELECT CustomerID, Recency, Frequency, {M('Monetary')} AS Monetary FROM ev_rfm_m"
+    q["event_purchase_summary"] = with_(ev, SUMMARY.replace("FROM clean", "FROM ev_clean")) + f"""
+SELECT CustomerID, frequency, recency, T, {P('monetary_value')} AS monetary_value FROM summ"""
     return q

@@ -404,3 +404,23 @@ def q_customer_table_fitted(spark, sf_dir):
     """The whole pipeline with both models fitted on this data."""
     plan = customer_plan(spark, sf_dir, params="fit")
     return rounded(plan.customers, money=CUSTOMER_MONEY, ratio=CUSTOMER_RATIO)
+
+
+# --- purchase events: the supplied source with a time of day --------------------------
+
+def _event_clean(spark, sf_dir):
+    from ledgerlens.sources.tables import event_transactions
+    return C.tx_clean(event_transactions(spark, sf_dir))
+
+
+@register("event_rfm_metrics")
+def q_event_rfm_metrics(spark, sf_dir):
+    """Recency in floored 24-hour periods on timestamps with a time of day."""
+    from ledgerlens.operators import rfm as RFM
+    return rounded(RFM.rfm_metrics(_event_clean(spark, sf_dir)), money=["Monetary"])
+
+
+@register("event_purchase_summary")
+def q_event_purchase_summary(spark, sf_dir):
+    from ledgerlens.operators.summary import purchase_summary
+    return rounded(purchase_summary(_event_clean(spark, sf_dir)), ratio=["monetary_value"])

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 ROWS_ONLY = {"bgnbd_fit", "gg_fit", "customer_table_fitted", "train_test_split", "regression_metrics",
              "regression_metrics_absolute", "feature_importance"}
 
-SAMPLE = ["load_customer_table", "tx_clean", "cleaning_audit", "rfm_segments", "segment_distribution", "purchase_summary",
+SAMPLE = ["event_rfm_metrics", "load_customer_table", "tx_clean", "cleaning_audit", "rfm_segments", "segment_distribution", "purchase_summary",
           "driver_metrics", "predict_clv", "customer_table", "kpis", "segment_clv_box", "scenario_totals",
           "executive_summary", "clv_horizons", "value_concentration", "ml_features", "calibration_holdout",
           "gateway_products", "segment_transitions"]

@@ -191,3 +191,22 @@ def test_empty_inputs_keep_schema(spark):
     assert clean.count() == 0
     for df in (RF.rfm_metrics(clean), SU.purchase_summary(clean), DR.driver_metrics(clean)):
         assert df.count() == 0 and "CustomerID" in df.columns
+
+
+def test_load_transactions_roundtrip_and_missing(spark, tmp_path):
+    from ledgerlens.sources.files import load_transactions
+    raw = tx_frame(spark, CLEAN_RULES)
+    raw.write.parquet(str(tmp_path / "tx"))
+    back = load_transactions(spark, str(tmp_path / "tx"))
+    assert back.count() == len(CLEAN_RULES) and C.tx_clean(back).count() == 4
+    raw.write.option("header", "true").csv(str(tmp_path / "csv"))
+    assert C.tx_clean(load_transactions(spark, str(tmp_path / "csv"), fmt="csv")).count() == 4
+    with pytest.raises(FileNotFoundError):
+        load_transactions(spark, str(tmp_path / "absent"))
+
+
+def test_customer_id_float_to_text(spark):
+    df = spark.createDataFrame([("1", 1.0, "2011-01-01 10:00:00", 2.0, 17850.0)],
+                               "InvoiceNo string, Quantity double, InvoiceDate string, UnitPrice double, CustomerID double")
+    r = C.tx_normalized(df).first()
+    assert r.CustomerID == "17850" and r.TotalPrice == 2.0 and r.InvoiceDate.year == 2011
