@@ -40,7 +40,7 @@ def customer_plan(spark: SparkSession, sf_dir: str, cfg=None, params: str = "fix
     and configuration (its base and ranks are checkpointed, the table too),
     like the reference's cached customer table, keyed by what produced it."""
     from ledgerlens.config import DEFAULT
-    from ledgerlens.plans.pipeline import build_customer_plan
+    from ledgerlens.plans.customer_plan import build_customer_plan
     from ledgerlens.session import cut_lineage
 
     cfg = cfg or DEFAULT

@@ -1,4 +1,4 @@
 """No streaming operators: the reference reads one file and caches its
 results whole (SURVEY 2.18). Incremental refresh is a batch rebuild of the
-customer table (``plans.pipeline``), invalidated by its input/config key
+customer table (``plans.customer_plan``), invalidated by its input/config key
 (``load_customer_table``)."""

@@ -8,7 +8,7 @@ import pandas as pd
 
 from ledgerlens.operators import clean as C
 from ledgerlens.operators import features as FE
-from ledgerlens.plans.pipeline import build_customer_plan
+from ledgerlens.plans.customer_plan import build_customer_plan
 from ledgerlens.schema import RAW_TX
 
 
