@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, Config
+from ledgerlens.functions.numeric import safe_ratio
 from ledgerlens.operators.features import ENGINEERED, EXTRA
 from ledgerlens.operators.ordered import quantile_columns
 
@@ -82,8 +83,10 @@ def regression_metrics(model: PipelineModel, test: DataFrame, train: DataFrame)
     a = pred.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
                  F.avg(F.abs(b)).alias("baseline_mae"), F.sqrt(F.avg(b * b)).alias("baseline_rmse"),
                  F.count(F.lit(1)).alias("test_rows"))
-    return a.select("*", ((F.col("baseline_mae") - F.col("mae")) / F.col("baseline_mae") * 100).alias("mae_improvement_pct"),
-                    ((F.col("baseline_rmse") - F.col("rmse")) / F.col("baseline_rmse") * 100).alias("rmse_improvement_pct"))
+    return a.select("*", safe_ratio((F.col("baseline_mae") - F.col("mae")) * 100, F.col("baseline_mae"))
+                    .alias("mae_improvement_pct"),
+                    safe_ratio((F.col("baseline_rmse") - F.col("rmse")) * 100, F.col("baseline_rmse"))
+                    .alias("rmse_improvement_pct"))
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel, features: list[str], top: int = 10) -> DataFrame:

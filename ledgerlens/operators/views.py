@@ -269,7 +269,7 @@ def clv_cumulative(clv: DataFrame, value: str = "CLV_12months") -> DataFrame:
     (W6): a distributed running sum, no single-partition window."""
     total = clv.agg(F.sum(value)).scalar()
     c = global_cumsum(clv.select("CustomerID", value), [F.col(value).desc(), F.col("CustomerID")], value, "_cum")
-    return c.select("CustomerID", value, (F.col("_cum") / total).alias("cum_pct"))
+    return c.select("CustomerID", value, safe_ratio(F.col("_cum"), total).alias("cum_pct"))
 
 
 def value_concentration(df: DataFrame, value: str, shares=(0.01, 0.1, 0.2, 0.5)) -> DataFrame:
@@ -283,8 +283,8 @@ def value_concentration(df: DataFrame, value: str, shares=(0.01, 0.1, 0.2, 0.5))
     a = r.agg(F.sum(value).alias("_total"), *cols)
     out = []
     for i, p in enumerate(shares):
-        out.append(F.coalesce(F.col(f"_t{i}") / F.col("_total"), F.lit(0.0)).alias(f"top_{int(p * 100)}_pct"))
+        out.append(F.coalesce(safe_ratio(F.col(f"_t{i}"), F.col("_total")), F.lit(0.0)).alias(f"top_{int(p * 100)}_pct"))
     last = len(shares) - 1
-    out.append((1 - F.coalesce(F.col(f"_t{last}") / F.col("_total"), F.lit(0.0)))
+    out.append((1 - F.coalesce(safe_ratio(F.col(f"_t{last}"), F.col("_total")), F.lit(0.0)))
                .alias(f"bottom_{100 - int(shares[last] * 100)}_pct"))
     return a.select(*out)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from ledgerlens.functions.numeric import round_half_up
 from ledgerlens.operators.clean import tx_clean
 from ledgerlens.sources.tables import transactions
+from ledgerlens.session import session_key
 
 
 def rnd(c: Column | str, digits: int) -> Column:
@@ -44,7 +45,7 @@ def customer_plan(spark: SparkSession, sf_dir: str, cfg=None, params: str = "fix
     from ledgerlens.session import cut_lineage
 
     cfg = cfg or DEFAULT
-    key = (spark.sparkContext.applicationId, sf_dir, cfg, params)
+    key = (session_key(spark), sf_dir, cfg, params)
     plan = _PLANS.get(key)
     if plan is None:
         if params == "fit":
@@ -69,7 +70,7 @@ def fitted_params(spark: SparkSession, sf_dir: str, cfg=None):
     from ledgerlens.operators.gammagamma import gg_fit
 
     cfg = cfg or DEFAULT
-    key = (spark.sparkContext.applicationId, sf_dir, cfg)
+    key = (session_key(spark), sf_dir, cfg)
     if key not in _FITS:
         summ = customer_plan(spark, sf_dir, cfg).summary
         _FITS[key] = (bgnbd_fit(summ, cfg), gg_fit(summ, cfg))

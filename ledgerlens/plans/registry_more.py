@@ -16,6 +16,7 @@ from ledgerlens.operators import validation as VA
 from ledgerlens.operators import views as V
 from ledgerlens.plans.common import clean_tx, customer_plan, raw_tx, rounded
 from ledgerlens.plans.registry import CUSTOMER_MONEY, CUSTOMER_RATIO, register
+from ledgerlens.session import session_key
 
 # --- cleaning diagnostics -------------------------------------------------------
 
@@ -117,7 +118,7 @@ def _horizons(spark, sf_dir):
     """Appendix CLV horizons, materialised once per session like the
     customer table they derive from."""
     from ledgerlens.session import cut_lineage
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _HORIZONS:
         plan = customer_plan(spark, sf_dir)
         _HORIZONS[key] = cut_lineage(CL.clv_horizons(plan.summary, _v2(spark, sf_dir), FIXED_BGNBD,
@@ -354,7 +355,7 @@ def _trained(spark, sf_dir, loss="squared"):
     """Train once per application, data and loss; the metrics and importance
     queries share the model."""
     from ledgerlens.session import cut_lineage
-    key = (spark.sparkContext.applicationId, sf_dir, loss)
+    key = (session_key(spark), sf_dir, loss)
     if key not in _MODELS:
         data = cut_lineage(ML.ml_dataset(_features(spark, sf_dir), _cust(spark, sf_dir)))
         feats = ML.feature_list(data)

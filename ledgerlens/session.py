@@ -35,7 +35,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``;
     only when nothing is configured (local tests) fall back to a scratch
     folder of our own."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote session has no local context
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -54,3 +57,11 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     executor re-reads the written blocks instead of replaying the plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def session_key(spark: SparkSession) -> str:
+    """Identity of the running application, for per-session caches."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - a remote session has no local context
+        return f"session-{id(spark)}"
