@@ -54,9 +54,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder, so a lost
-    executor re-reads the written blocks instead of replaying the plan."""
+    executor re-reads the written blocks instead of replaying the plan. The
+    input is persisted while the checkpoint is written, so the write does not
+    recompute the last stage."""
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    if not eager:
+        return df.checkpoint(eager=False)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 def session_key(spark: SparkSession) -> str:
