@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import DEFAULT, Config
 from ledgerlens.functions.dates import floor_days, plus_days
 from ledgerlens.operators.ordered import lag_within, quantile_columns
+from ledgerlens.session import cut_lineage
 
 ENGINEERED = ["MeanTimeBetweenPurchases", "StdTimeBetweenPurchases", "AvgOrderQuantity", "TotalQuantity",
               "UniqueProducts"]
@@ -78,7 +79,9 @@ def ml_features(rfm: DataFrame, clean: DataFrame, cfg: Config = DEFAULT, fill: s
         .alias("CategoryDiversityIndex"))
     inv = clean.groupBy("CustomerID", "InvoiceNo").agg(F.sum("TotalPrice").alias("_v"))
     ostd = inv.groupBy("CustomerID").agg(F.stddev_samp("_v").alias("AvgOrderValueStdDev"))
-    feats = rfm.join(per, "CustomerID", "left").join(ostd, "CustomerID", "left")
+    # materialised once: the two median subqueries read it instead of
+    # repeating the feature plan
+    feats = cut_lineage(rfm.join(per, "CustomerID", "left").join(ostd, "CustomerID", "left"))
     if fill == "median":
         # a count column takes few distinct values (k distinct counts need at
         # least k(k+1)/2 lines), and the exact built-in percentile keeps one
