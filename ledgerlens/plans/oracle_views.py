@@ -203,6 +203,27 @@ SELECT {M('o')} AS original_total, {M('s')} AS simulated_total, {P('c')} AS chan
 SELECT Segment, {M('v')} AS predicted_clv,
   {P('CASE WHEN sum(v) OVER () > 0 THEN v / sum(v) OVER () * 100 ELSE 0.0 END')} AS percent FROM s"""
     q["load_customer_table"] = f + f"SELECT {CUST_SELECT} FROM cust"
+    from ledgerlens.operators.scenario import slider_grid
+    grid = ", ".join(f"({float(g.reactivation_pct)}, {float(g.churn_reduction_pct)}, {float(g.new_conversion_pct)}, "
+                     f"{float(g.value_boost_pct)})" for g in slider_grid())
+    q["scenario_grid"] = f + f""", g AS (SELECT * FROM (VALUES {grid}) t(ra, cr, nc, vb)),
+gs AS (
+  SELECT g.ra, g.cr, g.nc, g.vb, c.Segment, c.predicted_clv,
+    CASE WHEN c.Segment = 'At Risk' THEN least(c.prob_alive * (1 + g.ra / 100.0), 0.95)
+         WHEN c.Segment = 'Champions' THEN least(c.prob_alive + (1 - c.prob_alive) * (g.cr / 100.0), 1.0)
+         ELSE c.prob_alive END / (c.prob_alive + 1e-09) AS pf,
+    CASE WHEN c.Segment IN ('At Risk', 'Champions') THEN c.avg_transaction_value * (1 + g.vb / 100.0)
+         ELSE c.avg_transaction_value END / (c.avg_transaction_value + 1e-09) AS vf
+  FROM cust c, g),
+gsim AS (
+  SELECT ra, cr, nc, vb, predicted_clv,
+    greatest(CASE WHEN Segment = 'New Customers' THEN predicted_clv * pf * vf * (1 + nc / 100.0)
+                  ELSE predicted_clv * pf * vf END, 0.0) AS s FROM gs)
+SELECT CAST(ra AS DOUBLE) AS reactivation_pct, CAST(cr AS DOUBLE) AS churn_reduction_pct,
+  CAST(nc AS DOUBLE) AS new_conversion_pct, CAST(vb AS DOUBLE) AS value_boost_pct,
+  {M('sum(predicted_clv)')} AS original_total, {M('sum(s)')} AS simulated_total,
+  {P('(sum(s) - sum(predicted_clv)) / (sum(predicted_clv) + 1e-09) * 100')} AS change_pct
+FROM gsim GROUP BY ra, cr, nc, vb"""
     cols = ["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country", "TotalPrice"]
     types = ("CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'BIGINT' THEN 'bigint' "
              "WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(typeof({c})) END")

@@ -183,6 +183,12 @@ def q_scenario_segment_share(spark, sf_dir):
     return rounded(SC.scenario_segment_share(_sim(spark, sf_dir)), money=["predicted_clv"], ratio=["percent"])
 
 
+@register("scenario_grid")
+def q_scenario_grid(spark, sf_dir):
+    out = SC.scenario_grid(_c(spark, sf_dir), SC.slider_grid())
+    return rounded(out, money=["original_total", "simulated_total"], ratio=["change_pct"])
+
+
 @register("schema_info")
 def q_schema_info(spark, sf_dir):
     from ledgerlens.plans.common import clean_tx
