@@ -13,13 +13,19 @@ they finish. Only this series runs in Python.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The UDFs below travel to the Python workers by value: executors need numpy
+# and pandas, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Lanczos coefficients for g = 7 (published constants).
 LANCZOS_G = 7.0
 LANCZOS_COEF = (

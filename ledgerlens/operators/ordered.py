@@ -11,8 +11,8 @@ task. Instead:
    the lineage is cut with a reliable checkpoint so every later read sees the
    same rows in the same partitions, also after an executor loss;
 3. per-partition counts (or sums, or boundary rows) - one row per partition,
-   bounded by ``n`` and not by the data - are prefix-summed on the driver and
-   attached back as a literal array indexed by the partition.
+   bounded by the partition count and not by the data - are prefix-summed on
+   the driver and attached back as a literal array indexed by the partition.
 """
 
 from __future__ import annotations
@@ -26,20 +26,26 @@ _PID = "_ll_pid"
 _POS = "_ll_pos"
 
 
-def _n_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return int(n)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _default_partitions(df: DataFrame) -> int:
+    """The cluster's parallelism (total executor cores): one range partition
+    per core; ``Config.order_partitions`` overrides it."""
+    spark = df.sparkSession
+    try:
+        return max(1, int(spark.sparkContext.defaultParallelism))
+    except Exception:  # noqa: BLE001 - a remote session has no local context
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranged(df: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
-    """Range-partitioned, sorted, tagged with (_ll_pid, _ll_pos), checkpointed."""
-    n = _n_partitions(df, n)
+def ranged(df: DataFrame, order: list[Column], n: int | None = None) -> tuple[DataFrame, int]:
+    """Range-partitioned, sorted, tagged with (_ll_pid, _ll_pos) and
+    checkpointed; returns the frame and its partition count. The tags are
+    written before the checkpoint, so every later read agrees with them."""
+    n = int(n) if n else _default_partitions(df)
     tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_POS, F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
-    return cut_lineage(tagged)
+    return cut_lineage(tagged), n
 
 
 def _per_partition(r: DataFrame, *aggs: Column) -> list:
@@ -55,8 +61,7 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
                       n: int | None = None, total_name: str | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of the row in ``order`` over the whole
     frame; optionally ``total_name`` = row count of the frame."""
-    n = _n_partitions(df, n)
-    r = ranged(df, order, n)
+    r, n = ranged(df, order, n)
     counts = _per_partition(r, F.count(F.lit(1)).alias("c"))
     offsets, run = {}, 0
     for row in counts:
@@ -74,8 +79,7 @@ def global_cumsum(df: DataFrame, order: list[Column], value: str, name: str = "c
     """Running sum of ``value`` in ``order`` over the whole frame. Inside a
     range partition the running sum is a window over that partition
     (balanced by construction); partition totals are prefix-summed."""
-    n = _n_partitions(df, n)
-    r = ranged(df, order, n)
+    r, n = ranged(df, order, n)
     vtype = "bigint" if dict(df.dtypes)[value] in ("int", "bigint", "smallint", "tinyint") else "double"
     zero = 0 if vtype == "bigint" else 0.0
     sums = _per_partition(r, F.sum(value).alias("s"))
@@ -98,8 +102,7 @@ def lag_within(df: DataFrame, group: str, ts: str, name: str = "prev", n: int |
     (partition, group); the first row of a partition takes the last row of
     the nearest non-empty earlier partition when that row is the same group.
     """
-    n = _n_partitions(df, n)
-    r = ranged(df, [F.col(group), F.col(ts)], n)
+    r, n = ranged(df, [F.col(group), F.col(ts)], n)
     gtype = dict(r.dtypes)[group]
     ttype = dict(r.dtypes)[ts]
     # timestamps cross the driver as text so no time zone touches them
