@@ -185,6 +185,13 @@ SELECT CAST(weekday AS INTEGER) AS weekday, weekday_name, lines, invoices, {M('r
 l AS (SELECT *, lag(revenue) OVER (ORDER BY month) AS prev FROM g)
 SELECT month, {M('revenue')} AS revenue, invoices, customers,
   {P('CASE WHEN prev > 0 THEN (revenue - prev) / prev * 100 END')} AS revenue_change_pct FROM l"""
+    q["sales_by_quarter"] = b + f""", g AS (
+  SELECT CAST(date_trunc('quarter', InvoiceDate) AS DATE) AS quarter, sum(TotalPrice) AS revenue,
+    count(DISTINCT InvoiceNo) AS invoices, count(*) AS lines FROM clean GROUP BY 1),
+l AS (SELECT *, lag(revenue) OVER (ORDER BY quarter) AS pr, lag(invoices) OVER (ORDER BY quarter) AS pi FROM g)
+SELECT quarter, {M('revenue')} AS revenue, invoices, lines,
+  {P('CASE WHEN pr > 0 THEN (revenue - pr) / pr * 100 END')} AS revenue_change_pct,
+  {P('CASE WHEN pi > 0 THEN (invoices - pi) / pi * 100 END')} AS invoice_change_pct FROM l"""
     q["country_share"] = bc + f"""SELECT Country, count(DISTINCT CustomerID) AS customers,
   {P('count(DISTINCT CustomerID) / (SELECT count(DISTINCT CustomerID) FROM clean) * 100')} AS percent
 FROM clean GROUP BY Country"""

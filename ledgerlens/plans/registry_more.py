@@ -213,6 +213,12 @@ def q_sales_by_month(spark, sf_dir):
     return rounded(E.sales_by_month(clean_tx(spark, sf_dir)), money=["revenue"], ratio=["revenue_change_pct"])
 
 
+@register("sales_by_quarter")
+def q_sales_by_quarter(spark, sf_dir):
+    return rounded(E.sales_by_quarter(clean_tx(spark, sf_dir)), money=["revenue"],
+                   ratio=["revenue_change_pct", "invoice_change_pct"])
+
+
 @register("country_share")
 def q_country_share(spark, sf_dir):
     return rounded(E.country_share(clean_tx(spark, sf_dir, with_country=True)), ratio=["percent"])

@@ -133,3 +133,19 @@ def test_gamma_gamma_parameter_recovery(spark):
     assert abs(pop(got) - pop(truth)) / pop(truth) < 0.10
     assert abs(got.p - truth.p) / truth.p < 0.25
     assert abs(got.v - truth.v) / truth.v < 0.25
+
+
+def test_scenario_grid_matches_single_scenarios(spark):
+    rows = [(str(i), seg, 100.0 + 7 * i, 0.3 + 0.05 * (i % 10), 20.0 + i)
+            for i, seg in enumerate(["Champions", "At Risk", "New Customers", "Loyal Customers"] * 5)]
+    df = spark.createDataFrame(rows, "CustomerID string, Segment string, predicted_clv double, prob_alive double, "
+                                     "avg_transaction_value double")
+    grid = SC.slider_grid()
+    assert len(grid) == len(set(grid))
+    got = {(r.reactivation_pct, r.churn_reduction_pct, r.new_conversion_pct, r.value_boost_pct): r.simulated_total
+           for r in SC.scenario_grid(df, grid).collect()}
+    for sc in grid[:3] + grid[-2:]:
+        single = SC.scenario_totals(SC.scenario_clv(df, sc)).first().simulated_total
+        key = (float(sc.reactivation_pct), float(sc.churn_reduction_pct), float(sc.new_conversion_pct),
+               float(sc.value_boost_pct))
+        assert math.isclose(got[key], single, rel_tol=1e-12)
