@@ -82,6 +82,7 @@ def batch_objective(parts, names, constants=None, total: float = 1.0):
     from pyspark.sql import functions as F
 
     spark = parts[0][0].sparkSession
+    built: dict = {}  # the per-row Columns name parameters only: build them once
 
     def f(points):
         rows, cols = [], None
@@ -91,12 +92,14 @@ def batch_objective(parts, names, constants=None, total: float = 1.0):
                 vals.update(constants(vals))
             cols = list(vals)
             rows.append((i, *[float(vals[c]) for c in cols]))
-        params = F.broadcast(spark.createDataFrame(rows, ", ".join(["_k int"] + [f"{c} double" for c in cols])))
+        if not built:
+            built["schema"] = ", ".join(["_k int"] + [f"{c} double" for c in cols])
+            built["sums"] = [F.sum(F.col("w") * term({c: F.col(c) for c in cols})).alias("s") for _, term in parts]
+        params = F.broadcast(spark.createDataFrame(rows, built["schema"]))
         sums = None
-        for table, term in parts:
+        for (table, _), agg in zip(parts, built["sums"]):
             # one row per candidate vector (at most 36) against every table row
-            s_ = table.crossJoin(params).groupBy("_k").agg(
-                F.sum(F.col("w") * term({c: F.col(c) for c in cols})).alias("s"))
+            s_ = table.crossJoin(params).groupBy("_k").agg(agg)
             sums = s_ if sums is None else sums.unionByName(s_)
         got = {r["_k"]: r["s"] for r in sums.groupBy("_k").agg(F.sum("s").alias("s")).collect()}
         return [None if got.get(i) is None else got[i] / total for i in range(len(points))]
