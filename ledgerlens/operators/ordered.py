@@ -54,7 +54,12 @@ def _per_partition(r: DataFrame, *aggs: Column) -> list:
 
 
 def _indexed(values: dict[int, object], n: int, default=0) -> Column:
-    return F.array(*[F.lit(values.get(i, default)) for i in range(n)])
+    """One array literal of n values (one call, not one per partition);
+    callers cast it to the element type they need."""
+    items = [values.get(i, default) for i in range(n)]
+    if any(v is not None for v in items):
+        return F.lit(items)
+    return F.array(*[F.lit(None) for _ in range(n)])
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
