@@ -210,3 +210,15 @@ def test_customer_id_float_to_text(spark):
                                "InvoiceNo string, Quantity double, InvoiceDate string, UnitPrice double, CustomerID double")
     r = C.tx_normalized(df).first()
     assert r.CustomerID == "17850" and r.TotalPrice == 2.0 and r.InvoiceDate.year == 2011
+
+
+def test_rank_score_random_sizes(spark):
+    import numpy as np
+    rng = np.random.default_rng(123)
+    sizes = sorted(set(int(n) for n in rng.integers(2, 5000, 12)))
+    rows = [(int(n), int(r)) for n in sizes for r in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "n bigint, rn bigint")
+    got = df.select("n", "rn", rank_quantile_score(F.col("rn"), F.col("n"), 5).alias("s")).toPandas()
+    for n, g in got.groupby("n"):
+        expected = pd.qcut(pd.Series(range(1, n + 1), dtype=float), 5, labels=[1, 2, 3, 4, 5]).astype(int)
+        assert g.sort_values("rn").s.tolist() == expected.tolist(), n
