@@ -31,7 +31,7 @@ def load_transactions(spark: SparkSession, path: str, fmt: str = "parquet",
     return df
 
 
-def save_customer_table(df: DataFrame, path: str, snapshot_date_col: str | None = None) -> None:
+def save_customer_table(df: DataFrame, path: str) -> None:
     """Write the customer table (S3/S4). The snapshot date travels as a
     column of the table instead of a side file."""
     df.write.mode("overwrite").parquet(path)
