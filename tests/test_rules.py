@@ -222,3 +222,19 @@ def test_rank_score_random_sizes(spark):
     for n, g in got.groupby("n"):
         expected = pd.qcut(pd.Series(range(1, n + 1), dtype=float), 5, labels=[1, 2, 3, 4, 5]).astype(int)
         assert g.sort_values("rn").s.tolist() == expected.tolist(), n
+
+
+def test_customer_table_query_pages(spark):
+    from ledgerlens.operators import views as V
+    rows = [(str(i), "Champions" if i % 2 else "At Risk", i % 7, 1 + i % 4, 100.0 + i, 5, 4, 3,
+             float(1000 - 3 * i), 0.5, 2, 10.0) for i in range(40)]
+    cols = ("CustomerID string, Segment string, Recency bigint, Frequency bigint, Monetary double, R_Score int, "
+            "F_Score int, M_Score int, predicted_clv double, prob_alive double, category_count bigint, "
+            "time_to_second_purchase double")
+    df = spark.createDataFrame(rows, cols)
+    p0 = V.customer_table_query(df, where="Frequency >= 2").collect()
+    p1 = V.customer_table_query(df, where="Frequency >= 2", page=1).collect()
+    assert len(p0) == 15 and len(p1) == 15
+    clvs = [r.predicted_clv for r in p0 + p1]
+    assert clvs == sorted(clvs, reverse=True) and all(r.Frequency >= 2 for r in p0 + p1)
+    assert not {r.CustomerID for r in p0} & {r.CustomerID for r in p1}
