@@ -238,3 +238,23 @@ def test_customer_table_query_pages(spark):
     clvs = [r.predicted_clv for r in p0 + p1]
     assert clvs == sorted(clvs, reverse=True) and all(r.Frequency >= 2 for r in p0 + p1)
     assert not {r.CustomerID for r in p0} & {r.CustomerID for r in p1}
+
+
+def test_load_customer_table_validates(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.sources.files import load_customer_table
+    good = spark.createDataFrame([("1", "Champions", 10.0)], "CustomerID string, Segment string, predicted_clv double") \
+        .withColumn("snapshot_date", F.lit("2011-01-01").cast("date"))
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return good
+
+    path = str(tmp_path / "customers")
+    good.drop("snapshot_date").write.parquet(path)          # invalid: no snapshot date
+    assert load_customer_table(spark, path, compute).count() == 1 and calls == [1]
+    assert load_customer_table(spark, path, compute).count() == 1 and calls == [1]   # now valid: no recompute
+    with pytest.raises(FileNotFoundError):
+        load_customer_table(spark, str(tmp_path / "absent"))
