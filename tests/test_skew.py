@@ -66,3 +66,12 @@ def test_hot_customer_time_between(spark):
     for c in ("777", stats.index[0], stats.index[-1]):
         assert np.isclose(got.loc[c, "MeanTimeBetweenPurchases"], stats.loc[c, "mean"])
         assert np.isclose(got.loc[c, "StdTimeBetweenPurchases"], stats.loc[c, "std"])
+
+
+def test_missing_spend_model_gives_zeros(spark):
+    from ledgerlens.config import FIXED_BGNBD
+    raw = spark.createDataFrame(_lines(400, seed=3), RAW_TX)
+    plan = build_customer_plan(C.tx_clean(raw), bg=FIXED_BGNBD, gg=None)
+    rows = plan.customers.select("predicted_clv", "prob_alive", "avg_transaction_value").collect()
+    assert rows and all(r.predicted_clv == 0.0 and r.prob_alive == 0.0 and r.avg_transaction_value == 0.0
+                        for r in rows)
