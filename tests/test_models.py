@@ -149,3 +149,17 @@ def test_scenario_grid_matches_single_scenarios(spark):
         key = (float(sc.reactivation_pct), float(sc.churn_reduction_pct), float(sc.new_conversion_pct),
                float(sc.value_boost_pct))
         assert math.isclose(got[key], single, rel_tol=1e-12)
+
+
+def test_gbt_early_stopping_option(spark):
+    from ledgerlens.operators import ml as ML
+    rng = np.random.default_rng(3)
+    rows = [(str(i), float(x), float(y), float(3 * x + rng.normal())) for i, (x, y) in
+            enumerate(zip(rng.normal(size=300), rng.normal(size=300)))]
+    df = spark.createDataFrame(rows, "CustomerID string, a double, b double, predicted_clv double")
+    full = ML.gbt_fit(df, ["a", "b"])
+    early = ML.gbt_fit(df, ["a", "b"], early_stopping=True)
+    assert full.stages[-1].getNumTrees == 100
+    assert 1 <= early.stages[-1].getNumTrees <= 100
+    with pytest.raises(ValueError):
+        ML.gbt_model(["a"], loss="huber")
