@@ -10,6 +10,12 @@ from ledgerlens.llm.common import read
 QUERIES: dict = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files are; the operators take any path."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(name: str):
     def keep(fn):
         QUERIES[name] = fn
@@ -32,5 +38,31 @@ def op2(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op6_sentencepiece")
+def op6(spark, sf_dir):
+    from ledgerlens.llm.sentencepiece_codec import encode_decode
+    out = encode_decode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_token_counts")
+def op9(spark, sf_dir):
+    from ledgerlens.llm.token_counts import token_counts
+    return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
+# the contract's rules, as (verdict, host and path prefix)
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query("op10_url_filters")
+def op10(spark, sf_dir):
+    from ledgerlens.llm.url_filters import judge
+    return judge(read(spark, sf_dir, "pages"), URL_RULES).drop("url")
+
+
 def queries() -> dict:
     return dict(QUERIES)
