@@ -82,5 +82,26 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 """
 
 
+ORACLE["op7_substring_dedup"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents
+), win AS (
+  SELECT r, doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM d WHERE len(ws) >= 50
+), keyed AS (
+  SELECT r, doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS w FROM win
+), later AS (
+  SELECT r, i FROM keyed QUALIFY doc_id > min(doc_id) OVER (PARTITION BY w)
+), gone AS (
+  SELECT r, list(DISTINCT i + k) AS gone_at FROM later, (SELECT unnest(range(50)) AS k) GROUP BY r
+), kept AS (
+  SELECT doc_id, ws, list_filter(ws, lambda w, j: gone_at IS NULL OR NOT list_contains(gone_at, j)) AS ks
+  FROM d LEFT JOIN gone USING (r)
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(ks))::BIGINT AS n_removed,
+       sha256(array_to_string(ks, ' ')) AS kept_sha256
+FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

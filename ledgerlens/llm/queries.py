@@ -38,6 +38,12 @@ def op2(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op3_simhash_dedup")
+def op3(spark, sf_dir):
+    from ledgerlens.llm.simhash_dedup import near_duplicates
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
 @query("op6_sentencepiece")
 def op6(spark, sf_dir):
     from ledgerlens.llm.sentencepiece_codec import encode_decode
@@ -47,6 +53,13 @@ def op6(spark, sf_dir):
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op7_substring_dedup")
+def op7(spark, sf_dir):
+    from ledgerlens.llm.substring_dedup import remove_repeats
+    out = remove_repeats(read(spark, sf_dir, "documents"), window=50)
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_token_counts")
 def op9(spark, sf_dir):
     from ledgerlens.llm.token_counts import token_counts
