@@ -44,6 +44,12 @@ def op3(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    from ledgerlens.llm.decontamination import contaminated
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op6_sentencepiece")
 def op6(spark, sf_dir):
     from ledgerlens.llm.sentencepiece_codec import encode_decode
@@ -60,6 +66,12 @@ def op7(spark, sf_dir):
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op8_html_extraction")
+def op8(spark, sf_dir):
+    from ledgerlens.llm.html_extraction import main_text
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 @query("op9_token_counts")
 def op9(spark, sf_dir):
     from ledgerlens.llm.token_counts import token_counts
