@@ -50,6 +50,12 @@ def op4(spark, sf_dir):
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op5_lm_scoring")
+def op5(spark, sf_dir):
+    from ledgerlens.llm.lm_scoring import score_documents
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 @query("op6_sentencepiece")
 def op6(spark, sf_dir):
     from ledgerlens.llm.sentencepiece_codec import encode_decode
@@ -89,5 +95,11 @@ def op10(spark, sf_dir):
     return judge(read(spark, sf_dir, "pages"), URL_RULES).drop("url")
 
 
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return dict(QUERIES)
