@@ -25,8 +25,10 @@ by_value(__name__)
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
 BATCH_CHARS = 1 << 20
+#: Unicode's White_Space characters, as the tokenizer's pattern has them (a fixed list).
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A pre-token ends before white space that follows anything else.
-STABLE = re.compile(r"(?<=\S)(?=\s)")
+STABLE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
 
 def starts(tokenizer, text: str) -> list[int]:
