@@ -1,5 +1,9 @@
 """Token counts with overlap resynchronisation for huge documents.
 
+Documents up to ``chunk_chars`` are cut at every proven boundary (see below);
+each distinct run between two boundaries is encoded once per task and its
+count kept in a bounded table.
+
 A document above ``chunk_chars`` is encoded in overlapping chunks with
 offsets. Two neighbours are spliced at a boundary that both encodings have and
 that is proven stable: white space after a non-space character always starts a
@@ -22,14 +26,36 @@ from ledgerlens.llm.common import by_value
 
 by_value(__name__)
 
-CHUNK_CHARS = 1 << 16
+CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 10
-BATCH_CHARS = 1 << 20
+TABLE_CHARS = 32_000_000  # the table of distinct runs starts anew beyond so many characters
 #: Unicode's White_Space characters, as the tokenizer's pattern has them (a fixed list).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A pre-token ends before white space that follows anything else.
 STABLE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
+#: Text between two such boundaries.
+RUN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+\\Z")
+
+
+class RunCounts:
+    """Token counts of distinct runs, which add up to a text's count."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.table, self.held = tokenizer, {}, 0
+
+    def count(self, text: str) -> int:
+        runs = RUN.findall(text)
+        distinct = set(runs)
+        if not distinct <= self.table.keys():
+            size = sum(map(len, distinct))
+            if self.held + size > TABLE_CHARS:
+                self.table, self.held = {}, 0
+            self.held += size
+            new = [r for r in distinct if r not in self.table]
+            self.table.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        return sum(map(self.table.__getitem__, runs))
+
 
 def starts(tokenizer, text: str) -> list[int]:
     """Start offsets (characters) of the tokens of a text."""
@@ -71,7 +97,8 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     Null and empty texts have no bytes and no tokens. Repeated rows are
     counted each; empty tables give no rows; other columns are not read. No
     text is cut: a huge one is spliced from overlapping chunks."""
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), body.alias("text"), F.octet_length(body).cast("long").alias("n_bytes"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,31 +107,15 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         tok = Tokenizer.from_file(tokenizer)
         tok.no_truncation()
         tok.no_padding()
+        runs = RunCounts(tok)
         for batch in batches:
-            texts = batch.column(1)
-            sizes, counts, group, held = [], [], [], 0
-
-            def flush():
-                counts.extend(len(e) for e in tok.encode_batch_fast(group, add_special_tokens=False))
-                group.clear()
-
-            for i in range(batch.num_rows):
-                value = texts[i].as_py()
-                sizes.append(len(value.encode()))
-                if len(value) > chunk_chars:
-                    flush()
-                    held = 0
-                    counts.append(count_spliced(tok, value, chunk_chars, overlap_chars))
-                    continue
-                group.append(value)
-                held += len(value)
-                if held > BATCH_CHARS:
-                    flush()
-                    held = 0
-            flush()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
-                names=["key", "n_bytes", "n_tokens"])
+            counts = []
+            for text in batch.column(1):
+                value = text.as_py()
+                counts.append(count_spliced(tok, value, chunk_chars, overlap_chars) if len(value) > chunk_chars
+                              else runs.count(value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())],
+                                             names=["key", "n_bytes", "n_tokens"])
 
     out = rows.mapInArrow(counted, f"key {kind}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
