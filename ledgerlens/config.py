@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+
+
+@dataclass(frozen=True)
+class FitReport:
+    """How a fit ended. ``at_bound``: a parameter stopped on the limit of the
+    search, so it is not an estimate; not ``converged``: the iterations ran
+    out or the objective was not finite."""
+    converged: bool
+    at_bound: bool
+    iterations: int
+    objective: float
+    gradient_norm: float
 
 
 @dataclass(frozen=True)
@@ -11,6 +23,7 @@ class BGNBDParams:
     alpha: float
     a: float
     b: float
+    report: FitReport | None = field(default=None, compare=False)
 
 
 @dataclass(frozen=True)
@@ -18,6 +31,7 @@ class GammaGammaParams:
     p: float
     q: float
     v: float
+    report: FitReport | None = field(default=None, compare=False)
 
 
 # Fixed scoring parameters in day units, used wherever a result must be

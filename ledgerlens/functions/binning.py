@@ -33,7 +33,3 @@ def bin_order(x: Column, edges) -> Column:
         expr = expr.when(x < edges[i + 1], F.lit(i))
     return expr.otherwise(F.lit(len(edges) - 1))
 
-
-def title_label(name: str) -> str:
-    """``time_to_second_purchase`` -> ``Time To Second Purchase``."""
-    return name.replace("_", " ").title()

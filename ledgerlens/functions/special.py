@@ -58,38 +58,84 @@ def lgamma(x: Column) -> Column:
     return _lanczos(x + 1.0) - F.log(x)
 
 
-def lgamma_scalar(x: float) -> float:
-    return math.lgamma(x)
+HYP_TOL = 1e-16
+HALF = 0.5
 
 
-HYP_TOL = 1e-15
-HYP_MAX_TERMS = 1_000_000
-
-
-def hyp2f1_numpy(a, b, c, z) -> np.ndarray:
-    a, b, c, z = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, c, z))
-    n = z.shape[0]
-    total = np.ones(n)
-    term = np.ones(n)
-    active = np.flatnonzero(z != 0.0)
-    bad = (z < 0) | (z >= 1)
-    active = active[~bad[active]]
+def _series(a, b, c, z) -> np.ndarray:
+    """Power series at 0 for 0 <= z <= 1/2: terms end up falling by z, so it
+    ends for any parameters."""
+    total, term = np.ones_like(z), np.ones_like(z)
     k = 0
-    while active.size and k < HYP_MAX_TERMS:
+    active = np.flatnonzero(z != 0.0)
+    while active.size:
         aa, bb, cc, zz = a[active], b[active], c[active], z[active]
-        ratio = (aa + k) * (bb + k) / ((cc + k) * (k + 1.0)) * zz
-        term[active] *= ratio
+        term[active] *= (aa + k) * (bb + k) / ((cc + k) * (k + 1.0)) * zz
         total[active] += term[active]
         k += 1
-        # converged once terms shrink and the geometric tail bound is below tol
-        nxt = np.abs((aa + k) * (bb + k) / ((cc + k) * (k + 1.0)) * zz)
-        tail = np.abs(term[active]) / np.maximum(1.0 - zz, 1e-300)
-        done = (nxt < 1.0) & (tail <= HYP_TOL * np.abs(total[active]))
-        done |= term[active] == 0.0
+        falling = np.abs((aa + k) * (bb + k) / ((cc + k) * (k + 1.0)) * zz) < 0.75
+        done = (falling & (np.abs(term[active]) <= HYP_TOL * np.abs(total[active]))) | (term[active] == 0.0)
+        done |= ~np.isfinite(total[active])
         active = active[~done]
-    total[bad] = np.nan
-    if active.size:
-        total[active] = np.nan
+    return total
+
+
+def _step(a, b, c, at, w, dw, t) -> tuple[np.ndarray, np.ndarray]:
+    """Value and slope at ``at + t`` of the solution of the hypergeometric
+    equation with value w and slope dw at ``at`` >= 1/2, by its Taylor series:
+    t is at most half the way to 1, the nearest singular point, so terms end
+    up falling by half."""
+    p0, p1, q0 = at * (1 - at), 1 - 2 * at, c - (a + b + 1) * at
+    # scaled coefficients u_n t^n
+    u, v = w.copy(), dw * t
+    value, slope = u + v, v.copy()
+    n = 0
+    active = np.arange(len(w))
+    while active.size:
+        i = active
+        nxt = -((n + 1) * (p1[i] * n + q0[i]) * v[i] * t[i] - (n + a[i]) * (n + b[i]) * u[i] * t[i] ** 2) \
+            / (p0[i] * (n + 2.0) * (n + 1.0))
+        u[i], v[i] = v[i], nxt
+        value[i] += nxt
+        slope[i] += (n + 2) * nxt
+        n += 1
+        size = np.abs(nxt) * (n + 2) + np.abs(u[i]) * (n + 1)
+        done = (size <= HYP_TOL * (np.abs(value[i]) + np.abs(slope[i]))) | ~np.isfinite(value[i])
+        active = active[~done] if n > 4 else active
+    return value, slope / t
+
+
+def hyp2f1_numpy(a, b, c, z) -> np.ndarray:
+    """2F1(a, b; c; z) for 0 <= z < 1 and c > 0. Up to 1/2 by the power
+    series; beyond, the solution is carried from 1/2 towards 1 in steps of
+    at most half the way, so the work grows with log(1 / (1 - z)) and the size
+    of the parameters and needs no cap.
+    A value outside the domain or the range of doubles is an error."""
+    a, b, c, z = (np.array(v, dtype=float) for v in np.broadcast_arrays(a, b, c, z))
+    if not np.all((z >= 0) & (z < 1)):
+        raise ValueError("2F1 is evaluated for 0 <= z < 1")
+    total = _series(a, b, c, np.minimum(z, HALF))
+    far = np.flatnonzero(z > HALF)
+    if far.size:
+        at = np.full(far.size, HALF)
+        w = total[far]
+        dw = a[far] * b[far] / c[far] * _series(a[far] + 1, b[far] + 1, c[far] + 1, at)
+        todo = np.arange(far.size)
+        while todo.size:
+            i = far[todo]
+            x = at[todo]
+            # also short against the equation's own scales, so that no term
+            # outgrows the value and cancels
+            pull = np.abs(c[i] - (a[i] + b[i] + 1) * x) / (x * (1 - x))
+            bend = np.sqrt(np.abs(a[i] * b[i]) / (x * (1 - x)))
+            t = np.minimum(np.minimum(z[i] - x, (1 - x) / 2), 3 / np.maximum(np.maximum(pull, bend), 1e-9))
+            w[todo], dw[todo] = _step(a[i], b[i], c[i], at[todo], w[todo], dw[todo], t)
+            last = t >= z[i] - at[todo]
+            at[todo] += t
+            todo = todo[~last]
+        total[far] = w
+    if not np.all(np.isfinite(total)):
+        raise ArithmeticError("2F1 is not finite for some rows")
     return total
 
 

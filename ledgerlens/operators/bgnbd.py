@@ -133,7 +133,8 @@ def bgnbd_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None
             out.append(val if np.isfinite(val) else float("inf"))
         return out
 
-    th, fval, it = minimize_batched(f_batch, np.log([1.0, 1.0, 1.0, 1.0]), max_iter=max_iter)
+    th, report = minimize_batched(f_batch, np.log([1.0, 1.0, 1.0, 1.0]), max_iter=max_iter)
     r, al, a, b = np.exp(th)
-    log.info("BG/NBD fit: %d iterations, objective %.6f", it, fval)
-    return BGNBDParams(float(r), float(al / scale), float(a), float(b))
+    if report.at_bound or not report.converged:
+        log.warning("BG/NBD fit is no interior optimum: %s", report)
+    return BGNBDParams(float(r), float(al / scale), float(a), float(b), report)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import plus_days
+from pyspark.sql.types import NumericType
+
 from ledgerlens.schema import require_columns
 
 
@@ -23,7 +25,7 @@ def tx_normalized(df: DataFrame) -> DataFrame:
     out = df
     if types["InvoiceDate"] == "string":
         out = out.withColumn("InvoiceDate", F.to_timestamp_ntz(F.col("InvoiceDate")))
-    if types["CustomerID"] in ("double", "float", "decimal", "int", "bigint", "smallint"):
+    if isinstance(df.schema["CustomerID"].dataType, NumericType):
         out = out.withColumn("CustomerID", F.col("CustomerID").cast("bigint").cast("string"))
     return out.withColumn("TotalPrice", F.col("Quantity") * F.col("UnitPrice"))
 
@@ -56,18 +58,20 @@ def snapshot_date(clean: DataFrame) -> DataFrame:
 
 def cleaning_audit(df: DataFrame) -> DataFrame:
     """Row counts after each cleaning step and rows removed (D4), as one row.
-    The filter counts come from one conditional-sum pass; the dedupe count
-    from the deduplicated frame."""
+    One scan: equal rows are counted together (combined map-side), then the
+    counts are summed by condition."""
     n = tx_normalized(df)
-    c, q, p = _rules(n)
-    steps = n.agg(
-        F.count(F.lit(1)).alias("raw_rows"),
-        F.count_if(c).alias("rows_with_customer"),
-        F.count_if(c & q).alias("rows_positive_quantity"),
-        F.count_if(c & q & p).alias("rows_positive_price"),
+    once = n.groupBy(*n.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    c, q, p = _rules(once)
+    copies = F.col("_copies")
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, copies)), F.lit(0).cast("bigint"))
+    out = once.agg(
+        F.coalesce(F.sum(copies), F.lit(0).cast("bigint")).alias("raw_rows"),
+        rows(c).alias("rows_with_customer"),
+        rows(c & q).alias("rows_positive_quantity"),
+        rows(c & q & p).alias("rows_positive_price"),
+        F.count_if(c & q & p).alias("clean_rows"),
     )
-    clean_rows = n.filter(c & q & p).dropDuplicates().agg(F.count(F.lit(1))).scalar()
-    out = steps.withColumn("clean_rows", clean_rows)
     return out.select(
         "raw_rows", "rows_with_customer", "rows_positive_quantity", "rows_positive_price", "clean_rows",
         (F.col("raw_rows") - F.col("rows_with_customer")).alias("removed_missing_customer"),

@@ -28,7 +28,8 @@ def predict_clv(summary: DataFrame, bg: BGNBDParams, gg: GammaGammaParams | None
                 cfg: Config = DEFAULT, months: int | None = None, discount: float | None = None) -> DataFrame:
     """Adds ``predicted_clv`` (M4): sum over months i of E[M] times the
     expected purchases in month i (30-day months, day-unit summary),
-    discounted monthly; clipped at 0, null -> 0; all 0 without a spend model."""
+    discounted monthly; clipped at 0, null (no spend) -> 0; all 0 without a
+    spend model. The series behind it raises rather than return NaN."""
     months = cfg.clv_months if months is None else months
     discount = cfg.monthly_discount if discount is None else discount
     if gg is None:
@@ -37,7 +38,7 @@ def predict_clv(summary: DataFrame, bg: BGNBDParams, gg: GammaGammaParams | None
     period = float(cfg.days_per_month)
     df = _with_expected(summary, x, t, T, bg, [(i, i * period) for i in range(1, months + 1)], "_ex")
     clv = _discounted(expected_average_value(x, m, gg), "_ex", months, discount)
-    clv = F.coalesce(F.when(F.isnan(clv), None).otherwise(clv), F.lit(0.0))
+    clv = F.coalesce(clv, F.lit(0.0))
     return df.withColumn("predicted_clv", F.greatest(clv, F.lit(0.0))) \
         .drop(*[f"_ex{i}" for i in range(1, months + 1)])
 

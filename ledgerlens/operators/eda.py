@@ -13,7 +13,7 @@ from ledgerlens.config import DEFAULT, Config
 from ledgerlens.functions.dates import floor_days, plus_days
 from ledgerlens.functions.numeric import round_half_up
 from ledgerlens.operators.clean import snapshot_date, tx_normalized
-from ledgerlens.operators.ordered import quantile_columns
+from ledgerlens.operators.ordered import global_row_number, quantile_columns
 from ledgerlens.operators.rfm import rfm_segments
 from ledgerlens.operators.views import value_concentration
 
@@ -205,9 +205,9 @@ def clv_to_cac(customers: DataFrame, cac: float = 30.0) -> DataFrame:
     return g.select("Segment", "avg_clv", (F.col("avg_clv") / cac).alias("clv_to_cac"))
 
 
-def gateway_products(clean: DataFrame, customers: DataFrame, top: int = 20) -> DataFrame:
-    """Products bought on the customer's first purchase date, ranked by the
-    mean CLV of those customers (E17): a top-k report. Lines are first
+def gateway_products(clean: DataFrame, customers: DataFrame) -> DataFrame:
+    """Every product bought on a customer's first purchase date, ranked by the
+    mean CLV of those customers (E17). Lines are first
     collapsed to (customer, date, product) so a heavy customer is combined
     map-side before the join."""
     fp = first_purchases(clean)
@@ -217,7 +217,8 @@ def gateway_products(clean: DataFrame, customers: DataFrame, top: int = 20) -> D
     j = firsts.join(customers.select("CustomerID", "predicted_clv"), "CustomerID", "inner")
     g = j.groupBy("StockCode").agg(F.count(F.lit(1)).alias("customers"), F.avg("predicted_clv").alias("avg_clv"))
     # ranked in cents, so float noise in the means cannot reorder equal values
-    return g.orderBy(round_half_up("avg_clv", 2).desc(), F.col("StockCode")).limit(top)
+    g = g.withColumn("_cents", -round_half_up("avg_clv", 2))
+    return global_row_number(g, [F.col("_cents"), F.col("StockCode")], "rank").drop("_cents")
 
 
 def _month_index(c: F.Column) -> F.Column:

@@ -23,6 +23,9 @@ EXTRA = ["PurchaseCountLast3Months", "AvgOrderValueStdDev", "CategoryDiversityIn
 IMPUTED = ["PurchaseCountLast3Months", "AvgOrderValueStdDev"]
 
 
+LINE_BLOCK = 10_000
+
+
 def purchase_gaps(clean: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row per (customer, timestamp) with its line count ``c`` and the
     floor days since the customer's previous distinct timestamp (null for
@@ -37,9 +40,15 @@ def time_between(clean: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Per line: TimeDiff = floor days since the customer's previous line in
     date order, 0 for the first (W5). Of the c lines at one timestamp the
     first carries the gap and the others 0; the lines are regenerated from
-    the counts with a generator, not gathered in a window."""
+    the counts by two generators: blocks of at most 10,000 lines, which are
+    spread before each is filled, so a timestamp with any number of lines
+    needs neither a long array nor one task."""
     g = purchase_gaps(clean, cfg)
-    lines = g.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
+    blocks = (g.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(c - 1) div {LINE_BLOCK}"))))
+              .repartition("CustomerID", "InvoiceDate", "_b"))
+    size = F.least(F.col("c") - F.col("_b") * LINE_BLOCK, F.lit(LINE_BLOCK))
+    lines = blocks.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).withColumn(
+        "_i", F.col("_b") * LINE_BLOCK + F.col("_k"))
     return lines.select("CustomerID", "InvoiceDate",
                         F.when(F.col("_i") == 1, F.coalesce(F.col("gap"), F.lit(0.0))).otherwise(F.lit(0.0))
                         .alias("TimeDiff"))
@@ -63,13 +72,20 @@ def ml_features(rfm: DataFrame, clean: DataFrame, cfg: Config = DEFAULT, fill: s
     as after the reference's imputer."""
     has_stock = "StockCode" in clean.columns
     max_date = clean.agg(F.max("InvoiceDate")).scalar()
-    per = clean.groupBy("CustomerID").agg(
-        F.avg("Quantity").alias("AvgOrderQuantity"), F.sum("Quantity").alias("TotalQuantity"),
-        (F.count_distinct("StockCode") if has_stock else F.lit(0)).alias("UniqueProducts"),
+    # distinct products and recent times are counted from grouped rows, so no
+    # line is multiplied for a second distinct count
+    times = clean.groupBy("CustomerID", "InvoiceDate").agg(
+        F.sum("Quantity").alias("_q"), F.count(F.lit(1)).alias("_l"))
+    per = times.groupBy("CustomerID").agg(
+        (F.sum("_q") / F.sum("_l")).alias("AvgOrderQuantity"), F.sum("_q").alias("TotalQuantity"),
         F.min("InvoiceDate").alias("FirstPurchase"), F.max("InvoiceDate").alias("LastPurchase"),
-        F.count(F.lit(1)).alias("_lines"),
-        F.count_distinct(F.when(F.col("InvoiceDate") >= plus_days(max_date, -cfg.recent_days), F.col("InvoiceDate")))
-        .alias("_recent"))
+        F.sum("_l").alias("_lines"),
+        F.count_if(F.col("InvoiceDate") >= plus_days(max_date, -cfg.recent_days)).alias("_recent"))
+    if has_stock:
+        products = clean.groupBy("CustomerID", "StockCode").agg(F.count(F.lit(1)).alias("_n"))
+        per = per.join(products.groupBy("CustomerID").agg(F.count("StockCode").alias("UniqueProducts")), "CustomerID")
+    else:
+        per = per.withColumn("UniqueProducts", F.lit(0).cast("bigint"))
     per = per.join(time_between_stats(clean, cfg), "CustomerID", "inner").select(
         "CustomerID", *ENGINEERED, "FirstPurchase", "LastPurchase",
         floor_days(F.col("FirstPurchase"), max_date).alias("DaysSinceFirstPurchase"),
@@ -83,10 +99,7 @@ def ml_features(rfm: DataFrame, clean: DataFrame, cfg: Config = DEFAULT, fill: s
     # repeating the feature plan
     feats = cut_lineage(rfm.join(per, "CustomerID", "left").join(ostd, "CustomerID", "left"))
     if fill == "median":
-        # a count column takes few distinct values (k distinct counts need at
-        # least k(k+1)/2 lines), and the exact built-in percentile keeps one
-        # counter per distinct value: a small buffer even for a hot customer
-        med_recent = feats.agg(F.percentile(F.col("PurchaseCountLast3Months").cast("double"), 0.5)).scalar()
+        med_recent = quantile_columns(feats, "PurchaseCountLast3Months", [0.5], ["m"]).select("m").scalar()
         med_std = quantile_columns(feats, "AvgOrderValueStdDev", [0.5], ["m"]).select("m").scalar()
         feats = (feats.withColumn("PurchaseCountLast3Months",
                                   F.coalesce(F.col("PurchaseCountLast3Months").cast("double"), med_recent))

@@ -69,9 +69,10 @@ def gg_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None =
             out.append(val if np.isfinite(val) else float("inf"))
         return out
 
-    th, fval, it = minimize_batched(f_batch, np.log([1.0, 1.0, 1.0]), max_iter=max_iter)
+    th, report = minimize_batched(f_batch, np.log([1.0, 1.0, 1.0]), max_iter=max_iter)
     p, q, v = np.exp(th)
     if q <= 1.0:
         log.warning("Gamma-Gamma q = %.4f <= 1: population mean spend is undefined", q)
-    log.info("Gamma-Gamma fit: %d iterations, objective %.6f", it, fval)
-    return GammaGammaParams(float(p), float(q), float(v / scale))
+    if report.at_bound or not report.converged:
+        log.warning("Gamma-Gamma fit is no interior optimum: %s", report)
+    return GammaGammaParams(float(p), float(q), float(v / scale), report)

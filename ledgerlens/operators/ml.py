@@ -47,12 +47,13 @@ def ml_dataset(features: DataFrame, customers: DataFrame, feature_set: str = "li
 def train_test_split(data: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Deterministic 80/20 split by a hash of CustomerID and the seed (L3):
     the same customer always lands on the same side, on any cluster size."""
-    bucket = F.abs(F.xxhash64(F.col("CustomerID"), F.lit(cfg.seed))) % 100
+    bucket = F.pmod(F.xxhash64(F.col("CustomerID"), F.lit(cfg.seed)), F.lit(100))
     test = bucket < int(round(cfg.test_fraction * 100))
     return data.filter(~test), data.filter(test)
 
 
 VALIDATION_COL = "_is_validation"
+FIT_PARTITIONS = 64  # fixed, so that a fit is the same on any cluster; raise it with the data
 
 
 def with_validation_rows(train: DataFrame, fraction: float = 0.1, cfg: Config = DEFAULT) -> DataFrame:
@@ -89,7 +90,9 @@ def gbt_fit(train: DataFrame, features: list[str], loss: str = "squared", cfg: C
             early_stopping: bool = False) -> PipelineModel:
     if early_stopping:
         train = with_validation_rows(train, cfg=cfg)
-    return gbt_model(features, loss, cfg, early_stopping).fit(train)
+    # a row sample depends on where rows lie: place and order them by the customer
+    placed = train.repartition(FIT_PARTITIONS, F.xxhash64("CustomerID")).sortWithinPartitions("CustomerID")
+    return gbt_model(features, loss, cfg, early_stopping).fit(placed)
 
 
 def regression_metrics(model: PipelineModel, test: DataFrame, train: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
+from ledgerlens.config import FitReport
+
 STEPS = (1.0, 0.3, 0.05, 0.005)  # line-search step sizes
 
 
@@ -25,7 +27,7 @@ def minimize_batched(f_batch: Callable[[Sequence[np.ndarray]], Sequence[float]],
     """Quasi-Newton (BFGS) descent. Each iteration is one call of ``f_batch``:
     every line-search candidate is evaluated together with its own
     central-difference stencil, so the accepted point arrives with its
-    gradient. Returns (x, f, iterations)."""
+    gradient. Returns (x, FitReport)."""
     x = np.clip(np.asarray(x0, dtype=float), *bounds)
     k = x.size
     m = 2 * k + 1
@@ -33,9 +35,12 @@ def minimize_batched(f_batch: Callable[[Sequence[np.ndarray]], Sequence[float]],
     f = vals[0]
     g = (vals[1:k + 1] - vals[k + 1:]) / (2 * h)
     H = np.eye(k)
-    it = 0
+    it, converged = 0, False
     for it in range(1, max_iter + 1):
-        if not np.all(np.isfinite(g)) or np.linalg.norm(g, np.inf) < gtol:
+        if not np.all(np.isfinite(g)):
+            break
+        if np.linalg.norm(g, np.inf) < gtol:
+            converged = True
             break
         d = -H @ g
         if g @ d >= 0:  # not a descent direction: reset the curvature
@@ -47,7 +52,8 @@ def minimize_batched(f_batch: Callable[[Sequence[np.ndarray]], Sequence[float]],
         centre = np.where(np.isfinite(vals[:, 0]), vals[:, 0], np.inf)
         best = int(np.argmin(centre))
         if centre[best] >= f:
-            if np.allclose(H, np.eye(k)):
+            if np.allclose(H, np.eye(k)):  # no step along the slope improves
+                converged = True
                 break
             H = np.eye(k)
             continue
@@ -62,8 +68,10 @@ def minimize_batched(f_batch: Callable[[Sequence[np.ndarray]], Sequence[float]],
         done = abs(f - f_new) <= ftol * max(1.0, abs(f))
         x, f, g = x_new, f_new, g_new
         if done:
+            converged = True
             break
-    return x, f, it
+    at_bound = bool(np.any((x <= bounds[0] + 1e-9) | (x >= bounds[1] - 1e-9)))
+    return x, FitReport(converged, at_bound, it, float(f), float(np.linalg.norm(g, np.inf)))
 
 
 def batch_objective(parts, names, constants=None, total: float = 1.0):

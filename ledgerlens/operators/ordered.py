@@ -7,12 +7,12 @@ task. Instead:
    partitions, globally ordered by partition index (keys are made unique with
    a tiebreaker, so the order and the result are deterministic);
 2. the partition index and the position inside the partition are written as
-   columns (``monotonically_increasing_id`` is ``partition << 33 | row``), then
-   the lineage is cut with a reliable checkpoint so every later read sees the
-   same rows in the same partitions, also after an executor loss;
-3. per-partition counts (or sums, or boundary rows) - one row per partition,
-   bounded by the partition count and not by the data - are prefix-summed on
-   the driver and attached back as a literal array indexed by the partition.
+   columns (``monotonically_increasing_id`` is ``partition << 33 | row``) with
+   the rows in the shared folder, so every later read sees the same tags, also
+   after an executor loss;
+3. per-partition counts (or sums, or boundary rows) - one row per partition
+   of millions of rows - are prefix-summed on the driver and joined back on
+   the partition.
 """
 
 from __future__ import annotations
@@ -26,26 +26,33 @@ _PID = "_ll_pid"
 _POS = "_ll_pos"
 
 
-def _default_partitions(df: DataFrame) -> int:
-    """The cluster's parallelism (total executor cores): one range partition
-    per core; ``Config.order_partitions`` overrides it."""
-    spark = df.sparkSession
-    try:
-        return max(1, int(spark.sparkContext.defaultParallelism))
-    except Exception:  # noqa: BLE001 - a remote session has no local context
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+ROWS_PER_RANGE = 4_000_000  # some 128-256 MB of the narrow rows that are ranked here
+FEW = 10_000  # rows of a per-partition or per-group table that is broadcast
+
 
+def few(df: DataFrame) -> DataFrame:
+    """A table with one row per group, written once and broadcast if it is
+    checked to be small; a large one is joined by the planner's choice."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= FEW else df
 
-def ranged(df: DataFrame, order: list[Column], n: int | None = None) -> tuple[DataFrame, int]:
-    """Range-partitioned, sorted, tagged with (_ll_pid, _ll_pos) and
-    checkpointed; returns the frame and its partition count. The tags are
-    written before the checkpoint, so every later read agrees with them."""
-    n = int(n) if n else _default_partitions(df)
-    tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_POS, F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
-    return cut_lineage(tagged), n
+
+def ranged(df: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
+    """Range-partitioned, sorted, tagged with (_ll_pid, _ll_pos) and written.
+    The number of ranges follows the rows, with the session's shuffle
+    partitions as the least. The tags are written with the rows, so every
+    later read agrees with them. The input is held only meanwhile."""
+    spark = df.sparkSession
+    df = df.persist()
+    try:
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = int(n) if n else max(least, -(-df.count() // ROWS_PER_RANGE))
+        return cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                           .withColumn(_PID, F.spark_partition_id())
+                           .withColumn(_POS, F.monotonically_increasing_id()
+                                       - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+    finally:
+        df.unpersist()
 
 
 def _per_partition(r: DataFrame, *aggs: Column) -> list:
@@ -53,30 +60,25 @@ def _per_partition(r: DataFrame, *aggs: Column) -> list:
     return r.groupBy(_PID).agg(*aggs).orderBy(_PID).collect()
 
 
-def _indexed(values: dict[int, object], n: int, default=0) -> Column:
-    """One array literal of n values (one call, not one per partition);
-    callers cast it to the element type they need."""
-    items = [values.get(i, default) for i in range(n)]
-    if any(v is not None for v in items):
-        return F.lit(items)
-    return F.array(*[F.lit(None) for _ in range(n)])
+def _attach(r: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """Join per-partition values (pid first) to the rows of the partition."""
+    values = r.sparkSession.createDataFrame(rows, f"{_PID} int, {schema}")
+    return r.join(F.broadcast(values) if len(rows) <= FEW else values, _PID, "left")
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
                       n: int | None = None, total_name: str | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of the row in ``order`` over the whole
     frame; optionally ``total_name`` = row count of the frame."""
-    r, n = ranged(df, order, n)
-    counts = _per_partition(r, F.count(F.lit(1)).alias("c"))
-    offsets, run = {}, 0
-    for row in counts:
-        offsets[row[_PID]] = run
+    r = ranged(df, order, n)
+    offsets, run = [], 0
+    for row in _per_partition(r, F.count(F.lit(1)).alias("c")):
+        offsets.append((row[_PID], run))
         run += row["c"]
-    off = _indexed(offsets, n).cast("array<bigint>")
-    out = r.withColumn(name, F.element_at(off, F.col(_PID) + 1) + F.col(_POS) + 1)
+    out = _attach(r, offsets, "_ll_off bigint").withColumn(name, F.col("_ll_off") + F.col(_POS) + 1)
     if total_name:
         out = out.withColumn(total_name, F.lit(run).cast("bigint"))
-    return out.drop(_PID, _POS)
+    return out.drop(_PID, _POS, "_ll_off")
 
 
 def global_cumsum(df: DataFrame, order: list[Column], value: str, name: str = "cum",
@@ -84,18 +86,16 @@ def global_cumsum(df: DataFrame, order: list[Column], value: str, name: str = "c
     """Running sum of ``value`` in ``order`` over the whole frame. Inside a
     range partition the running sum is a window over that partition
     (balanced by construction); partition totals are prefix-summed."""
-    r, n = ranged(df, order, n)
+    r = ranged(df, order, n)
     vtype = "bigint" if dict(df.dtypes)[value] in ("int", "bigint", "smallint", "tinyint") else "double"
     zero = 0 if vtype == "bigint" else 0.0
-    sums = _per_partition(r, F.sum(value).alias("s"))
-    offsets, run = {}, zero
-    for row in sums:
-        offsets[row[_PID]] = run
-        run += row["s"] or zero
-    off = _indexed(offsets, n, zero).cast(f"array<{vtype}>")
+    offsets, run = [], zero
+    for row in _per_partition(r, F.sum(value).alias("s")):
+        offsets.append((row[_PID], run))
+        run += (int if vtype == "bigint" else float)(row["s"] or zero)
     local = Window.partitionBy(_PID).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
-    out = r.withColumn(name, F.element_at(off, F.col(_PID) + 1) + F.sum(value).over(local))
-    return out.drop(_PID, _POS)
+    out = _attach(r.withColumn("_ll_run", F.sum(value).over(local)), offsets, f"_ll_off {vtype}")
+    return out.withColumn(name, F.col("_ll_off") + F.col("_ll_run")).drop(_PID, _POS, "_ll_off", "_ll_run")
 
 
 def lag_within(df: DataFrame, group: str, ts: str, name: str = "prev", n: int | None = None) -> DataFrame:
@@ -107,7 +107,7 @@ def lag_within(df: DataFrame, group: str, ts: str, name: str = "prev", n: int |
     (partition, group); the first row of a partition takes the last row of
     the nearest non-empty earlier partition when that row is the same group.
     """
-    r, n = ranged(df, [F.col(group), F.col(ts)], n)
+    r = ranged(df, [F.col(group), F.col(ts)], n)
     gtype = dict(r.dtypes)[group]
     ttype = dict(r.dtypes)[ts]
     # timestamps cross the driver as text so no time zone touches them
@@ -115,19 +115,16 @@ def lag_within(df: DataFrame, group: str, ts: str, name: str = "prev", n: int |
     t_out = F.col(ts).cast("string") if as_text else F.col(ts)
     lasts = _per_partition(r, F.max_by(F.struct(F.col(group).alias("g"), t_out.alias("t")),
                                        F.col(_POS)).alias("last"))
-    prev_g, prev_t, before = {}, {}, None
+    befores, before = [], None
     for row in lasts:
         if before is not None:
-            prev_g[row[_PID]], prev_t[row[_PID]] = before["g"], before["t"]
+            befores.append((row[_PID], before["g"], before["t"]))
         before = row["last"]
-    pg = F.element_at(_indexed(prev_g, n, None).cast(f"array<{gtype}>"), F.col(_PID) + 1)
-    pt_arr = _indexed(prev_t, n, None)
-    pt_arr = pt_arr.cast("array<string>").cast(f"array<{ttype}>") if as_text else pt_arr.cast(f"array<{ttype}>")
-    pt = F.element_at(pt_arr, F.col(_PID) + 1)
     local = Window.partitionBy(_PID, group).orderBy(_POS)
-    carried = F.when((F.col(_POS) == 0) & (pg == F.col(group)), pt)
-    out = r.withColumn(name, F.coalesce(F.lag(ts).over(local), carried))
-    return out.drop(_PID, _POS)
+    out = _attach(r.withColumn("_ll_lag", F.lag(ts).over(local)), befores,
+                  f"_ll_g {gtype}, _ll_t {'string' if as_text else ttype}")
+    carried = F.when((F.col(_POS) == 0) & (F.col("_ll_g") == F.col(group)), F.col("_ll_t").cast(ttype))
+    return out.withColumn(name, F.coalesce("_ll_lag", carried)).drop(_PID, _POS, "_ll_lag", "_ll_g", "_ll_t")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, group: str | None = None,
@@ -153,7 +150,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, group: str | None = None,
     per_group = cum.groupBy(*keys).agg(F.min(F.col("_cum") - F.col("_c")).alias("_before"),
                                        F.sum("_c").alias("_n"))
     if keys:
-        j = cum.join(per_group, keys, "inner")
+        j = cum.join(few(per_group), keys, "inner")
     else:
         g = per_group.select(F.struct("_before", "_n")).scalar()
         j = cum.withColumn("_before", g["_before"]).withColumn("_n", g["_n"])

@@ -26,7 +26,7 @@ def purchase_summary(clean: DataFrame, observation_end=None) -> DataFrame:
     else:
         end = observation_end if isinstance(observation_end, Column) else F.lit(observation_end).cast("timestamp_ntz")
         end_day = F.to_date(end)
-        rows = clean.filter(F.col("InvoiceDate") <= end)
+        rows = clean.filter(F.to_date("InvoiceDate") <= end_day)  # whole days, as the holdout counts them
     daily = rows.groupBy("CustomerID", F.to_date("InvoiceDate").alias("_d")).agg(
         F.sum("TotalPrice").alias("_v"))
     per = daily.groupBy("CustomerID").agg(

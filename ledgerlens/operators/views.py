@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import DEFAULT, Config
 from ledgerlens.functions.binning import bin_label, bin_order
 from ledgerlens.functions.numeric import safe_ratio
-from ledgerlens.operators.ordered import global_cumsum, global_row_number, quantile_columns
+from ledgerlens.operators.ordered import few, global_cumsum, global_row_number, quantile_columns
 from ledgerlens.schema import require_columns
 
 
@@ -59,14 +59,14 @@ def segment_value_share(customers: DataFrame, value: str = "predicted_clv") -> D
 
 
 def kpis(customers: DataFrame) -> DataFrame:
-    """Total CLV, mean CLV where positive, distinct customers, mean P(alive)
+    """Total CLV, mean CLV where positive, customers (one row each), mean P(alive)
     where positive; 0 when there is none (A12, F9, F10)."""
     pos_clv = F.when(F.col("predicted_clv") > 0, F.col("predicted_clv"))
     pos_p = F.when(F.col("prob_alive") > 0, F.col("prob_alive"))
     return customers.agg(
         F.coalesce(F.sum("predicted_clv"), F.lit(0.0)).alias("total_clv"),
         F.coalesce(F.avg(pos_clv), F.lit(0.0)).alias("avg_clv_positive"),
-        F.count_distinct("CustomerID").alias("customers"),
+        F.count("CustomerID").alias("customers"),
         F.coalesce(F.avg(pos_p), F.lit(0.0)).alias("avg_prob_alive_positive"))
 
 
@@ -173,7 +173,7 @@ def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     q = quantile_columns(df, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], group)
     q = q.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = df.select(group, F.col(value).alias("_x")).join(q, group, "inner")
+    j = df.select(group, F.col(value).alias("_x")).join(few(q), group, "inner")
     inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
     return j.groupBy(group, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
         F.count(F.lit(1)).alias("n"),
@@ -187,12 +187,16 @@ def segment_clv_box(customers: DataFrame) -> DataFrame:
     return box_stats(positive_clv(customers), "predicted_clv", "Segment")
 
 
-def driver_bins(customers: DataFrame, driver: str, cfg: Config = DEFAULT) -> DataFrame:
+def driver_bins(customers: DataFrame, driver: str, cfg: Config = DEFAULT, binned: bool = True) -> DataFrame:
     """Positive-CLV customers with the driver binned (B1, B2): left-closed
     bins with an open last bin; for time_to_second_purchase, -1 is
-    ``First Purchase Only``."""
+    ``First Purchase Only``. ``binned=False``: the raw value as text, in its
+    own order (B3)."""
     pos = positive_clv(customers)
     x = F.col(driver)
+    if not binned:
+        return pos.select("CustomerID", driver, "predicted_clv", x.cast("string").alias(f"{driver}_binned"),
+                          x.alias("bin_order"))
     if driver == "time_to_second_purchase":
         edges = list(cfg.second_purchase_bins)
         label = F.when(x == -1, F.lit("First Purchase Only")).otherwise(bin_label(x, edges, "days"))
@@ -204,9 +208,10 @@ def driver_bins(customers: DataFrame, driver: str, cfg: Config = DEFAULT) -> Dat
                       label.alias(f"{driver}_binned"), order.alias("bin_order"))
 
 
-def driver_clv_box(customers: DataFrame, driver: str, cfg: Config = DEFAULT) -> DataFrame:
-    """Box statistics of positive CLV per driver bin."""
-    b = driver_bins(customers, driver, cfg)
+def driver_clv_box(customers: DataFrame, driver: str, cfg: Config = DEFAULT, binned: bool = True) -> DataFrame:
+    """Box statistics of positive CLV per driver bin (A21, B4), or per raw
+    value of the driver (B3)."""
+    b = driver_bins(customers, driver, cfg, binned)
     return box_stats(b, "predicted_clv", f"{driver}_binned")
 
 

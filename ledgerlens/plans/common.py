@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from ledgerlens.functions.numeric import round_half_up
 from ledgerlens.operators.clean import tx_clean
-from ledgerlens.sources.tables import transactions
+from ledgerlens.sources.tables import input_state, transactions
 from ledgerlens.session import session_key
 
 
@@ -23,17 +23,33 @@ def rounded(df: DataFrame, money=(), ratio=(), digits_money: int = 2, digits_rat
     return df
 
 
-def raw_tx(spark: SparkSession, sf_dir: str, with_country: bool = False) -> DataFrame:
-    """The registered queries run on the dirty mapping so that every cleaning
-    rule has work to do (see sources.tables)."""
-    return transactions(spark, sf_dir, dirty=True, with_country=with_country)
+def raw_tx(spark: SparkSession, sf_dir: str, with_country: bool = False, dirty: bool = False) -> DataFrame:
+    """Invoice lines of the given tables. ``dirty=True``, for the queries whose
+    feature is cleaning, perturbs the mapping so that every cleaning rule has
+    work to do (see sources.tables)."""
+    return transactions(spark, sf_dir, dirty=dirty, with_country=with_country)
 
 
-def clean_tx(spark: SparkSession, sf_dir: str, with_country: bool = False) -> DataFrame:
-    return tx_clean(raw_tx(spark, sf_dir, with_country))
+def clean_tx(spark: SparkSession, sf_dir: str, with_country: bool = False, dirty: bool = False) -> DataFrame:
+    return tx_clean(raw_tx(spark, sf_dir, with_country, dirty))
 
 
-_PLANS: dict = {}
+class InputCache:
+    """Results by application, input folder and further key, each valid only
+    for the state its input files had: a rewritten table replaces the entry."""
+
+    def __init__(self):
+        self._held: dict = {}
+
+    def get(self, spark: SparkSession, sf_dir: str, key: tuple, compute):
+        place, state = (session_key(spark), sf_dir, key), input_state(spark, sf_dir)
+        held = self._held.get(place)
+        if held is None or held[0] != state:
+            held = self._held[place] = (state, compute())
+        return held[1]
+
+
+_PLANS = InputCache()
 
 
 def customer_plan(spark: SparkSession, sf_dir: str, cfg=None, params: str = "fixed"):
@@ -45,9 +61,8 @@ def customer_plan(spark: SparkSession, sf_dir: str, cfg=None, params: str = "fix
     from ledgerlens.session import cut_lineage
 
     cfg = cfg or DEFAULT
-    key = (session_key(spark), sf_dir, cfg, params)
-    plan = _PLANS.get(key)
-    if plan is None:
+
+    def build():
         if params == "fit":
             bg, gg = fitted_params(spark, sf_dir, cfg)
             plan = build_customer_plan(clean_tx(spark, sf_dir), cfg, "fixed", bg=bg, gg=gg)
@@ -55,11 +70,12 @@ def customer_plan(spark: SparkSession, sf_dir: str, cfg=None, params: str = "fix
         else:
             plan = build_customer_plan(clean_tx(spark, sf_dir), cfg, params)
         plan.customers = cut_lineage(plan.customers)
-        _PLANS[key] = plan
-    return plan
+        return plan
+
+    return _PLANS.get(spark, sf_dir, (cfg, params), build)
 
 
-_FITS: dict = {}
+_FITS = InputCache()
 
 
 def fitted_params(spark: SparkSession, sf_dir: str, cfg=None):
@@ -70,12 +86,9 @@ def fitted_params(spark: SparkSession, sf_dir: str, cfg=None):
     from ledgerlens.operators.gammagamma import gg_fit
 
     cfg = cfg or DEFAULT
-    key = (session_key(spark), sf_dir, cfg)
-    if key not in _FITS:
-        summ = customer_plan(spark, sf_dir, cfg).summary
-        _FITS[key] = (bgnbd_fit(summ, cfg), gg_fit(summ, cfg))
-    return _FITS[key]
 
+    def fit():
+        summ = customer_plan(spark, sf_dir, cfg).summary
+        return bgnbd_fit(summ, cfg), gg_fit(summ, cfg)
 
-def forget_plans() -> None:
-    _PLANS.clear()
+    return _FITS.get(spark, sf_dir, (cfg,), fit)

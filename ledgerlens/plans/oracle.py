@@ -20,7 +20,9 @@ def P(expr: str) -> str:
     return R(expr, 6)
 
 
-# --- transaction mapping (dirty) and cleaning --------------------------------
+# --- transaction mapping and cleaning ----------------------------------------
+# The marks /*price*/, /*customer*/ and /*copies*/ are filled per query: plain,
+# or perturbed for the queries whose feature is cleaning (CLEANING).
 
 TX = """
 tx_base AS (
@@ -31,16 +33,14 @@ tx_base AS (
     CAST(l.l_partkey AS VARCHAR) AS StockCode,
     CASE WHEN l.l_returnflag = 'R' THEN -l.l_quantity ELSE l.l_quantity END AS Quantity,
     o.o_orderdate AS InvoiceDate,
-    CASE WHEN l.l_partkey % 97 = 0 THEN 0.0 ELSE l.l_extendedprice / l.l_quantity END AS UnitPrice,
-    CASE WHEN o.o_orderkey % 10 = 3 THEN NULL ELSE CAST(o.o_custkey AS VARCHAR) END AS CustomerID
+    /*price*/ AS UnitPrice,
+    /*customer*/ AS CustomerID
     {country_col}
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   {country_join}
 ),
 tx AS (
-  SELECT * EXCLUDE (_okey) FROM tx_base
-  UNION ALL
-  SELECT * EXCLUDE (_okey) FROM tx_base WHERE _okey % 50 = 7
+  SELECT * EXCLUDE (_okey) FROM tx_base/*copies*/
 ),
 txn AS (SELECT *, Quantity * UnitPrice AS TotalPrice FROM tx),
 clean AS (
@@ -49,6 +49,24 @@ clean AS (
 )"""
 
 
+CLEANING = {"tx_normalized", "tx_clean", "tx_clean_appendix", "cleaning_audit", "null_counts", "zero_price_lines",
+            "duplicate_count", "dataset_profile", "distinct_customers"}
+PLAIN_MARKS = {"/*price*/": "l.l_extendedprice / l.l_quantity", "/*customer*/": "CAST(o.o_custkey AS VARCHAR)",
+               "/*copies*/": ""}
+DIRTY_MARKS = {
+    "/*price*/": "CASE WHEN l.l_partkey % 97 = 0 THEN 0.0 ELSE l.l_extendedprice / l.l_quantity END",
+    "/*customer*/": "CASE WHEN o.o_orderkey % 10 = 3 THEN NULL ELSE CAST(o.o_custkey AS VARCHAR) END",
+    "/*copies*/": """
+  UNION ALL
+  SELECT * EXCLUDE (_okey) FROM tx_base WHERE _okey % 50 = 7"""}
+
+
+def filled(name: str, sql: str) -> str:
+    for mark, text in (DIRTY_MARKS if name in CLEANING else PLAIN_MARKS).items():
+        sql = sql.replace(mark, text)
+    return sql
+
+
 def tx_ctes(with_country: bool = False) -> str:
     if with_country:
         return TX.format(
@@ -276,7 +294,7 @@ FROM rfm GROUP BY Segment"""
     from ledgerlens.plans.oracle_views import view_sql
     q.update(view_sql())
     q.update(more_sql())
-    return q
+    return {name: filled(name, sql) for name, sql in q.items()}
 
 
 def _more() -> dict[str, str]:

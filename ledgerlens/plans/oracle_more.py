@@ -247,7 +247,8 @@ items AS (SELECT DISTINCT CustomerID, InvoiceDate, StockCode FROM clean),
 firsts AS (SELECT i.CustomerID, i.StockCode FROM items i JOIN fp ON i.CustomerID = fp.CustomerID AND i.InvoiceDate = fp.f),
 g AS (SELECT StockCode, count(*) AS customers, avg(c.predicted_clv) AS avg_clv
       FROM firsts JOIN cust c ON firsts.CustomerID = c.CustomerID GROUP BY StockCode)
-SELECT StockCode, customers, {M('avg_clv')} AS avg_clv FROM g ORDER BY {M('avg_clv')} DESC, StockCode LIMIT 20"""
+SELECT StockCode, customers, {M('avg_clv')} AS avg_clv,
+  row_number() OVER (ORDER BY {M('avg_clv')} DESC, StockCode) AS rank FROM g"""
     q["cohort_retention"] = b + f""", act AS (SELECT DISTINCT CustomerID, year(InvoiceDate) * 12 + month(InvoiceDate) AS m FROM clean),
 fst AS (SELECT CustomerID, min(m) AS c FROM act GROUP BY CustomerID),
 g AS (SELECT fst.c, act.m - fst.c AS months_since, count(*) AS active_customers

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.plans.oracle import CUST_SELECT, M, P, full, tx_ctes, with_
+from ledgerlens.plans.oracle import CUST_SELECT, M, P, R, full, tx_ctes, with_
 
 
 def _box(src: str, group: str) -> str:
@@ -115,9 +115,9 @@ SELECT {M('at_risk_clv')} AS at_risk_clv, {P('CASE WHEN total > 0 THEN at_risk_c
     early = "CASE WHEN late_avg_clv > 0 THEN (early_avg_clv - late_avg_clv) * 100 / late_avg_clv ELSE 0.0 END"
     diverse = "CASE WHEN limited_avg_clv > 0 THEN (diverse_avg_clv - limited_avg_clv) * 100 / limited_avg_clv ELSE 0.0 END"
     q["driver_effects"] = f + eff + f"""
-SELECT {M('early_avg_clv')} AS early_avg_clv, {M('late_avg_clv')} AS late_avg_clv, {P(early)} AS early_impact_pct,
+SELECT {M('early_avg_clv')} AS early_avg_clv, {M('late_avg_clv')} AS late_avg_clv, {R(early, 3)} AS early_impact_pct,
   {M('diverse_avg_clv')} AS diverse_avg_clv, {M('limited_avg_clv')} AS limited_avg_clv,
-  {P(diverse)} AS diversity_impact_pct FROM e"""
+  {R(diverse, 3)} AS diversity_impact_pct FROM e"""
     spr = """, r AS (
   SELECT count(*) FILTER (WHERE Segment = 'New Customers') AS new_customers,
          count(*) FILTER (WHERE Frequency > 1) AS repeat_customers FROM cust)"""

@@ -41,7 +41,7 @@ def _segments(spark, sf_dir):
 
 @register("tx_clean")
 def q_tx_clean(spark, sf_dir):
-    return rounded(clean_tx(spark, sf_dir, with_country=True), money=["UnitPrice", "TotalPrice"])
+    return rounded(clean_tx(spark, sf_dir, with_country=True, dirty=True), money=["UnitPrice", "TotalPrice"])
 
 
 @register("rfm_metrics")

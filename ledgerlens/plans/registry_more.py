@@ -3,6 +3,8 @@ model fits, the boosted-tree predictor and model checks."""
 
 from __future__ import annotations
 
+from dataclasses import astuple
+
 from pyspark.sql import functions as F
 
 from ledgerlens.config import FIXED_BGNBD, FIXED_GAMMA_GAMMA
@@ -14,26 +16,25 @@ from ledgerlens.operators import ml as ML
 from ledgerlens.operators import rfm as RF
 from ledgerlens.operators import validation as VA
 from ledgerlens.operators import views as V
-from ledgerlens.plans.common import clean_tx, customer_plan, raw_tx, rounded
+from ledgerlens.plans.common import InputCache, clean_tx, customer_plan, raw_tx, rounded
 from ledgerlens.plans.registry import CUSTOMER_MONEY, CUSTOMER_RATIO, register
-from ledgerlens.session import session_key
 
 # --- cleaning diagnostics -------------------------------------------------------
 
 
 @register("tx_normalized")
 def q_tx_normalized(spark, sf_dir):
-    return rounded(C.tx_normalized(raw_tx(spark, sf_dir)), money=["UnitPrice", "TotalPrice"])
+    return rounded(C.tx_normalized(raw_tx(spark, sf_dir, dirty=True)), money=["UnitPrice", "TotalPrice"])
 
 
 @register("null_counts")
 def q_null_counts(spark, sf_dir):
-    return C.null_counts(raw_tx(spark, sf_dir))
+    return C.null_counts(raw_tx(spark, sf_dir, dirty=True))
 
 
 @register("cleaning_audit")
 def q_cleaning_audit(spark, sf_dir):
-    return C.cleaning_audit(raw_tx(spark, sf_dir))
+    return C.cleaning_audit(raw_tx(spark, sf_dir, dirty=True))
 
 
 @register("returns_lines")
@@ -43,7 +44,7 @@ def q_returns_lines(spark, sf_dir):
 
 @register("zero_price_lines")
 def q_zero_price_lines(spark, sf_dir):
-    return C.zero_price_lines(raw_tx(spark, sf_dir))
+    return C.zero_price_lines(raw_tx(spark, sf_dir, dirty=True))
 
 
 @register("cancelled_lines")
@@ -53,7 +54,7 @@ def q_cancelled_lines(spark, sf_dir):
 
 @register("duplicate_count")
 def q_duplicate_count(spark, sf_dir):
-    return C.duplicate_count(raw_tx(spark, sf_dir))
+    return C.duplicate_count(raw_tx(spark, sf_dir, dirty=True))
 
 
 @register("iqr_outliers")
@@ -75,12 +76,12 @@ def q_bulk_and_pricey(spark, sf_dir):
 
 @register("distinct_customers")
 def q_distinct_customers(spark, sf_dir):
-    return C.distinct_customers(clean_tx(spark, sf_dir))
+    return C.distinct_customers(clean_tx(spark, sf_dir, dirty=True))
 
 
 @register("tx_clean_appendix")
 def q_tx_clean_appendix(spark, sf_dir):
-    return rounded(C.tx_clean_appendix(raw_tx(spark, sf_dir)), money=["UnitPrice", "TotalPrice"])
+    return rounded(C.tx_clean_appendix(raw_tx(spark, sf_dir, dirty=True)), money=["UnitPrice", "TotalPrice"])
 
 
 # --- appendix variants ------------------------------------------------------------
@@ -111,19 +112,15 @@ def q_segment_stats(spark, sf_dir):
     return rounded(out, ratio=cols)
 
 
-_HORIZONS: dict = {}
+_HORIZONS = InputCache()
 
 
 def _horizons(spark, sf_dir):
     """Appendix CLV horizons, materialised once per session like the
     customer table they derive from."""
     from ledgerlens.session import cut_lineage
-    key = (session_key(spark), sf_dir)
-    if key not in _HORIZONS:
-        plan = customer_plan(spark, sf_dir)
-        _HORIZONS[key] = cut_lineage(CL.clv_horizons(plan.summary, _v2(spark, sf_dir), FIXED_BGNBD,
-                                                     FIXED_GAMMA_GAMMA))
-    return _HORIZONS[key]
+    return _HORIZONS.get(spark, sf_dir, (), lambda: cut_lineage(CL.clv_horizons(
+        customer_plan(spark, sf_dir).summary, _v2(spark, sf_dir), FIXED_BGNBD, FIXED_GAMMA_GAMMA)))
 
 
 HORIZON_MONEY = ["predicted_avg_value", "CLV_3months", "CLV_6months", "CLV_12months"]
@@ -199,7 +196,7 @@ def _rfm(spark, sf_dir):
 
 @register("dataset_profile")
 def q_dataset_profile(spark, sf_dir):
-    out = E.dataset_profile(raw_tx(spark, sf_dir), clean_tx(spark, sf_dir, with_country=True))
+    out = E.dataset_profile(raw_tx(spark, sf_dir, dirty=True), clean_tx(spark, sf_dir, with_country=True, dirty=True))
     return rounded(out, ratio=["lines_per_invoice", "value_per_invoice", "return_rate", "missing_customer_pct"])
 
 
@@ -325,8 +322,14 @@ def q_time_between(spark, sf_dir):
 
 # --- engineered features and the boosted-tree predictor -----------------------------
 
+_FEATURES = InputCache()
+
+
 def _features(spark, sf_dir):
-    return FE.ml_features(_rfm(spark, sf_dir), clean_tx(spark, sf_dir))
+    """Engineered features, built and materialised once per input."""
+    from ledgerlens.session import cut_lineage
+    return _FEATURES.get(spark, sf_dir, (), lambda: cut_lineage(
+        FE.ml_features(_rfm(spark, sf_dir), clean_tx(spark, sf_dir))))
 
 
 FEATURE_MONEY = ["Monetary"]
@@ -354,20 +357,21 @@ def q_train_test_split(spark, sf_dir):
         test.select("CustomerID", F.lit("test").alias("split")))
 
 
-_MODELS: dict = {}
+_MODELS = InputCache()
 
 
 def _trained(spark, sf_dir, loss="squared"):
     """Train once per application, data and loss; the metrics and importance
     queries share the model."""
     from ledgerlens.session import cut_lineage
-    key = (session_key(spark), sf_dir, loss)
-    if key not in _MODELS:
+
+    def train_once():
         data = cut_lineage(ML.ml_dataset(_features(spark, sf_dir), _cust(spark, sf_dir)))
         feats = ML.feature_list(data)
         train, test = ML.train_test_split(data)
-        _MODELS[key] = (ML.gbt_fit(train, feats, loss), train, test, feats)
-    return _MODELS[key]
+        return ML.gbt_fit(train, feats, loss), train, test, feats
+
+    return _MODELS.get(spark, sf_dir, (loss,), train_once)
 
 
 @register("regression_metrics")
@@ -390,11 +394,15 @@ def q_feature_importance(spark, sf_dir):
 
 # --- model fits (parameter rows; no SQL twin) ----------------------------------------
 
+REPORT = "converged boolean, at_bound boolean, iterations int, objective double, gradient_norm double"
+
+
 @register("bgnbd_fit")
 def q_bgnbd_fit(spark, sf_dir):
     from ledgerlens.plans.common import fitted_params
     p = fitted_params(spark, sf_dir)[0]
-    return spark.createDataFrame([(p.r, p.alpha, p.a, p.b)], "r double, alpha double, a double, b double")
+    return spark.createDataFrame([(p.r, p.alpha, p.a, p.b, *astuple(p.report))],
+                                 f"r double, alpha double, a double, b double, {REPORT}")
 
 
 @register("gg_fit")
@@ -402,8 +410,8 @@ def q_gg_fit(spark, sf_dir):
     from ledgerlens.plans.common import fitted_params
     p = fitted_params(spark, sf_dir)[1]
     if p is None:
-        return spark.createDataFrame([], "p double, q double, v double")
-    return spark.createDataFrame([(p.p, p.q, p.v)], "p double, q double, v double")
+        return spark.createDataFrame([], f"p double, q double, v double, {REPORT}")
+    return spark.createDataFrame([(p.p, p.q, p.v, *astuple(p.report))], f"p double, q double, v double, {REPORT}")
 
 
 @register("customer_table_fitted")

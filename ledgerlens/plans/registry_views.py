@@ -56,7 +56,7 @@ def q_at_risk_value(spark, sf_dir):
 def q_driver_effects(spark, sf_dir):
     return rounded(V.driver_effects(_c(spark, sf_dir)),
                    money=["early_avg_clv", "late_avg_clv", "diverse_avg_clv", "limited_avg_clv"],
-                   ratio=["early_impact_pct", "diversity_impact_pct"])
+                   ratio=["early_impact_pct", "diversity_impact_pct"], digits_ratio=3)
 
 
 @register("second_purchase_rate")
@@ -200,16 +200,19 @@ def q_schema_info(spark, sf_dir):
 @register("load_customer_table")
 def q_load_customer_table(spark, sf_dir):
     """The customer table written as Parquet under the shared
-    checkpoint folder, keyed by its input and configuration, then read back
-    through the validating loader."""
+    checkpoint folder, keyed by the state of its input files and the
+    configuration, then read back through the validating loader. A user keeps
+    it across applications with a folder of their own (``save_customer_table``
+    and ``load_customer_table`` take any path)."""
     import hashlib
     import os
 
     from ledgerlens.config import DEFAULT
     from ledgerlens.session import ensure_checkpoint_dir
     from ledgerlens.sources.files import load_customer_table
+    from ledgerlens.sources.tables import input_state
 
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DEFAULT}".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{input_state(spark, sf_dir)}|{DEFAULT}".encode()).hexdigest()[:16]
     path = os.path.join(ensure_checkpoint_dir(spark), "customer_table", key)
     df = load_customer_table(spark, path, compute=lambda: _c(spark, sf_dir))
     return rounded(df, money=CUSTOMER_MONEY, ratio=CUSTOMER_RATIO)

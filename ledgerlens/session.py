@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +24,7 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -41,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
-        return current
+        return _owned(spark, current)
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
@@ -49,24 +52,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()
+    return _owned(spark, sc.getCheckpointDir())
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder, so a lost
-    executor re-reads the written blocks instead of replaying the plan. The
-    input is persisted while the checkpoint is written, so the write does not
-    recompute the last stage."""
-    from pyspark import StorageLevel
+_OWNED: set = set()
 
-    ensure_checkpoint_dir(df.sparkSession)
-    if not eager:
-        return df.checkpoint(eager=False)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+
+def _owned(spark: SparkSession, folder: str) -> str:
+    """Remove the application's own folder under the shared one when the
+    driver ends; the files are only for its running queries."""
+    if folder not in _OWNED:
+        _OWNED.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+        def drop() -> None:
+            with contextlib.suppress(Exception):  # the JVM may have gone first
+                fs.delete(path, True)
+
+        atexit.register(drop)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows once as a table in the shared folder that
+    ``spark.checkpoint.dir`` names and read them from there, so a lost
+    executor re-reads files instead of replaying the plan."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def session_key(spark: SparkSession) -> str:

@@ -59,9 +59,11 @@ def rfm_projection(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in RFM_COLUMNS if c in df.columns])
 
 
-def segment_rows(df: DataFrame, n: int = 1000) -> list[str]:
-    """Bounded row export for a table view (S9): never an unbounded collect."""
-    return df.limit(n).toJSON().collect()
+def segment_rows(df: DataFrame, segment: str | None = None) -> DataFrame:
+    """Every row (of one segment) as a JSON object in the column ``json``
+    (S9); the caller writes it or pages through it by key."""
+    rows = df if segment is None else df.filter(F.col("Segment") == segment)
+    return rows.select(F.to_json(F.struct("*")).alias("json"))
 
 
 def schema_info(df: DataFrame) -> DataFrame:

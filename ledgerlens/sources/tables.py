@@ -27,16 +27,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+TX_TABLES = ("lineitem", "orders", "customer", "nation", "part", "events")
+
+
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, modification time, bytes and number of files of every table that
+    the transactions come from: what a cached result is valid for."""
+    found = []
+    for name in TX_TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            held = fs.getContentSummary(path)
+            found.append((name, fs.getFileStatus(path).getModificationTime(), held.getLength(), held.getFileCount()))
+    return (sf_dir, *found)
+
+
 def _orders_side(spark: SparkSession, sf_dir: str, with_country: bool) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     if not with_country:
         return orders
     # Enrich orders (a quarter of the line count) rather than lines, so the
-    # extra shuffle on the customer key moves the smaller table. nation is a
-    # fixed 25-row dimension: broadcasting it is size-bounded.
+    # extra shuffle on the customer key moves the smaller table. The planner
+    # broadcasts the small dimension by its size.
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    cust_nation = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey, "left")
+    cust_nation = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
     return (orders.join(cust_nation, orders.o_custkey == cust_nation.c_custkey, "left")
             .select("o_orderkey", "o_custkey", "o_orderdate", F.col("n_name").alias("Country")))
 
