@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 import uuid
 
 from pyspark import cloudpickle
@@ -36,10 +37,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a table in the shared folder: written once, read by
-    every later step, and still there when an executor is lost."""
-    path = shared_folder(df.sparkSession)
+    every later step, and still there when an executor is lost. The shuffle
+    files behind it are of no more use; Spark deletes them when the driver
+    collects its garbage, so a collection is asked for."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    time.sleep(0.2)  # the listeners let go of the finished plan
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,9 +9,11 @@ once per task, kept in a bounded table, and ids are joined back by position.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -38,6 +40,9 @@ class Codec:
         self.whole = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.whole.get_piece_size()
         pieces = [self.whole.id_to_piece(i) for i in range(size)]
+        self.pieces = [p.replace(MARK, " ") for p in pieces]
+        kinds = (self.whole.is_byte, self.whole.is_control, self.whole.is_unknown, self.whole.is_unused)
+        self.special = {i for i in range(size) if any(kind(i) for kind in kinds)}
         probe = "a ﬁ½  b\t\n c "
         self.split = (not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
                       and self.whole.decode(self.whole.encode(probe)) == probe
@@ -49,19 +54,24 @@ class Codec:
         self.table: dict[str, tuple[list[int], str]] = {}
         self.held = 0
 
-    def chunk(self, word: str) -> tuple[list[int], str]:
-        known = self.table.get(word)
-        if known is None:
-            # the library puts the first marker back; a lone marker is a piece of its own
-            ids = self.lone if word == MARK else self.whole.encode(word[1:])
-            text = self.whole.decode(self.front + ids)[len(self.front_text):]
-            known = (ids, text)
-            if self.held + len(word) > TABLE_CHARS:
-                self.table.clear()
-                self.held = 0
-            self.table[word] = known
-            self.held += len(word)
-        return known
+    def learn(self, words: set[str]) -> None:
+        """Segment and decode words that the table does not have."""
+        size = sum(map(len, words))
+        if self.held + size > TABLE_CHARS:
+            self.table.clear()
+            self.held = 0
+        self.held += size
+        new = [w for w in words if w not in self.table and w != MARK]
+        # the library puts the first marker back; a lone marker is a piece of its own
+        for word, ids in zip(new, self.whole.encode([w[1:] for w in new], num_threads=1)):
+            self.table[word] = ids, self.decoded(ids)
+        self.table[MARK] = self.lone, self.decoded(self.lone)
+
+    def decoded(self, ids: list[int]) -> str:
+        """Text of ids that are not the first of a document."""
+        if self.special.isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids])
+        return self.whole.decode(self.front + ids)[len(self.front_text):]  # bytes, controls
 
     def round_trip(self, text: str) -> tuple[list[int], str]:
         if not self.split:
@@ -69,19 +79,14 @@ class Codec:
             return ids, self.whole.decode(ids)
         if not text:
             return [], ""
-        marked = MARK + text.replace(" ", MARK)
-        ids: list[int] = []
-        out: list[str] = []
-        first = True
-        for word in CHUNK.findall(marked):
-            known = self.table.get(word) or self.chunk(word)
-            ids += known[0]
-            if first:  # the decoder drops the dummy prefix of the first piece
-                out.append(self.whole.decode(known[0]))
-                first = False
-            else:
-                out.append(known[1])
-        return ids, "".join(out)
+        words = CHUNK.findall(MARK + text.replace(" ", MARK))
+        distinct = set(words)
+        if not distinct <= self.table.keys():
+            self.learn(distinct)
+        known = [self.table[w] for w in words]
+        # the decoder drops the dummy prefix of the first piece
+        out = [self.whole.decode(known[0][0]), *(k[1] for k in known[1:])]
+        return list(itertools.chain.from_iterable(k[0] for k in known)), "".join(out)
 
 
 def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
@@ -105,7 +110,7 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
                 while at < batch.num_rows and done < BATCH_CHARS:
                     value = texts[at].as_py()
                     i, t = codec.round_trip(value)
-                    ids.append(i)
+                    ids.append(np.array(i, np.int32))
                     out.append(t)
                     done += len(value)
                     at += 1

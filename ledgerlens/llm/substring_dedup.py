@@ -8,9 +8,11 @@ prefix-partitioned suffix trees.
    aggregate; suffixes (window starts) without a shared anchor are dropped.
 3. The remaining suffixes, cut at the window length, are dealt into groups by
    variable-length prefixes: one word where that is rare, more words where a
-   prefix has more suffixes than a group may hold. In a group the sorted
-   suffixes are the leaves of its subtree in order; an internal node as deep as
-   the window is a run of equal leaves and gives a repeat with its first document.
+   prefix has more suffixes than a group may hold. A suffix carries its first
+   six words and a 128-bit fingerprint of all, which stands for the edge
+   below them. In a group the sorted suffixes are the leaves of its subtree in
+   order; an internal node as deep as the window is a run of equal leaves and
+   gives a repeat with its first document.
 4. Occurrences in later documents are marked; covered words go.
 """
 
@@ -24,14 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import by_value, materialise, shuffle_partitions
+from ledgerlens.llm.common import by_value, discard, materialise, shuffle_partitions
 
 by_value(__name__)
 
 WINDOW = 50
 GRAM = 20  # words in an anchor
-GROUP = 50_000  # suffixes of a subtree: some 16 MB of text
-LADDER = (1, 2, 4, 8, 16, 32)  # prefix lengths in words, then the whole window
+GROUP = 100_000  # suffixes of a subtree
+EDGE = 6  # words that a suffix carries; its fingerprint has the rest
+LADDER = (1, 2, 3, 4, EDGE)  # prefix lengths in words, then the fingerprint too
 TABLE = 50_000  # distinct suffixes that a task holds before it hands them on
 #: Odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -94,16 +97,16 @@ def _anchors(window: int, gram: int):
                     values.append(own)
             if rows:
                 at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (0, 1, 3)),
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (0, 1)),
                                                   pa.array(np.concatenate(values).view(np.int64))],
-                                                 names=["key", "d1", "d2", "anchor"])
+                                                 names=["d1", "d2", "anchor"])
     return found
 
 
 def _windows(window: int, gram: int):
     """Occurrences (key, d1, d2, start, w1, w2) of the windows whose anchor is
-    shared, and once per task and distinct window its text with the first and
-    last key (start -1)."""
+    shared, and once per task and distinct window its first words with the
+    first and last key (start -1)."""
     names = ["key", "d1", "d2", "start", "w1", "w2", "words", "last"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +134,7 @@ def _windows(window: int, gram: int):
                 for start, w1, w2 in zip(live.tolist(), first.tolist(), second.tolist()):
                     have = table.get((w1, w2))
                     if have is None:
-                        table[w1, w2] = [b" ".join(words[start:start + window]).decode(), key, key]
+                        table[w1, w2] = [b" ".join(words[start:start + EDGE]).decode(), key, key]
                     else:
                         have[1], have[2] = min(have[1], key), max(have[2], key)
                 row = pa.array([i] * len(live), pa.int32())
@@ -160,7 +163,7 @@ def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = batch.column(3).type
         out: list = []
         for words, w1, w2, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
-            if node is not None and words == node[0]:
+            if node is not None and [words, w1, w2] == node[:3]:
                 node[3], node[4] = min(node[3], lo), max(node[4], hi)
             else:
                 close(out)
@@ -180,8 +183,8 @@ def _nodes(rows: list, kind) -> pa.RecordBatch:
 
 def with_prefix(leaves: DataFrame, group: int = GROUP) -> DataFrame:
     """The leaves (``words``) with the shortest prefix of the ladder that at
-    most ``group`` leaves have (the whole window at last: equal windows come
-    once per task)."""
+    most ``group`` leaves have (at last with the fingerprint: equal windows
+    come once per task)."""
     cut = lambda n: F.substring_index("words", " ", n)
     out = leaves.withColumn("n", F.lit(LADDER[0])).withColumn("prefix", cut(LADDER[0]))
     for n, more in zip(LADDER, (*LADDER[1:], None)):
@@ -191,7 +194,7 @@ def with_prefix(leaves: DataFrame, group: int = GROUP) -> DataFrame:
             break
         out = (out.join(crowded, "prefix", "left")
                .withColumn("n", F.when(F.col("crowded"), F.lit(more or 1 << 30)).otherwise(F.col("n")))
-               .withColumn("prefix", F.when(F.col("crowded"), cut(more) if more else F.col("words")).otherwise(F.col("prefix")))
+               .withColumn("prefix", F.when(F.col("crowded"), cut(more) if more else F.concat_ws(" ", "words", "w1")).otherwise(F.col("prefix")))
                .drop("crowded"))
     return out
 
@@ -203,11 +206,11 @@ def repeated_windows(rows: DataFrame, firsts: DataFrame, window: int = WINDOW, g
     text (``firsts``: d1, d2, first)."""
     kind = rows.schema["key"].dataType.simpleString()
     texts = rows.select("key", "d1", "text", "d2")
-    anchors = materialise(texts.mapInArrow(_anchors(window, gram), f"key {kind}, d1 bigint, d2 bigint, anchor bigint"))
-    shared = (anchors.groupBy("anchor").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("d1", "d2")])
-              .where("min_d1 < max_d1 or min_d2 < max_d2").select("anchor"))
-    own = (anchors.join(shared, "anchor").join(firsts, ["d1", "d2"]).where("key = first")
-           .groupBy("key", "d1", "d2").agg(F.collect_set("anchor").alias("anchors")))  # a document's own, so bounded
+    anchors = materialise(rows.select("d1", "d2", "text").mapInArrow(
+        _anchors(window, gram), "d1 bigint, d2 bigint, anchor bigint"))
+    shared = anchors.groupBy("anchor").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("anchor")
+    own = (anchors.join(shared, "anchor").groupBy("d1", "d2").agg(F.collect_set("anchor").alias("anchors"))
+           .join(firsts.withColumnRenamed("first", "key"), ["d1", "d2"]))  # a document's own anchors, so bounded
     found = (texts.join(own, ["key", "d1", "d2"]).select("key", "d1", "text", "d2", "anchors")
              .mapInArrow(_windows(window, gram), f"key {kind}, d1 bigint, d2 bigint, start int, w1 bigint, w2 bigint, "
                                                  f"words string, last {kind}"))
@@ -215,11 +218,14 @@ def repeated_windows(rows: DataFrame, firsts: DataFrame, window: int = WINDOW, g
     leaves = with_prefix(found.where("start < 0").select(
         "words", "w1", "w2", F.col("key").alias("lo"), F.col("last").alias("hi")), group)
     n = shuffle_partitions(rows.sparkSession)
-    nodes = (leaves.repartition(n, "prefix").sortWithinPartitions("words").select("words", "w1", "w2", "lo", "hi")
-             .mapInArrow(_deep_nodes, f"w1 bigint, w2 bigint, first {kind}"))
+    nodes = (leaves.select("words", "w1", "w2", "lo", "hi", F.xxhash64("prefix").alias("group")).repartition(n, "group")
+             .sortWithinPartitions("words", "w1", "w2").drop("group").mapInArrow(_deep_nodes, f"w1 bigint, w2 bigint, first {kind}"))
     later = (found.where("start >= 0").select("key", "d1", "d2", "start", "w1", "w2").join(nodes, ["w1", "w2"])
              .where("key > first"))
-    return later.groupBy("key", "d1", "d2").agg(F.collect_set("start").alias("starts"))
+    starts = materialise(later.groupBy("key", "d1", "d2").agg(F.collect_set("start").alias("starts")))
+    for spent in (anchors, found):
+        discard(spent)
+    return starts
 
 
 def _cut(window: int):
