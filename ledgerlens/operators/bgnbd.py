@@ -103,6 +103,20 @@ def _constants(p: dict) -> dict:
             "log_alpha": math.log(p["alpha"]), "log_a": math.log(p["a"])}
 
 
+def objective(summary: DataFrame, p: BGNBDParams, cfg: Config = DEFAULT) -> DataFrame:
+    """One row: customers, mean log-likelihood and penalised objective (M1)
+    of given parameters on the rows that the fit uses, in the data's own days."""
+    given = {k: getattr(p, k) for k in ("r", "alpha", "a", "b")}
+    c = {k: F.lit(v) for k, v in {**given, **_constants(given)}.items()}
+    x, t, T = F.col("x"), F.col("t"), F.col("age")
+    rows = bgnbd_input(summary, cfg.fit_all).select(
+        F.col("frequency").alias("x"), F.col("recency").alias("t"), F.col("T").alias("age"))
+    out = rows.agg(F.count(F.lit(1)).alias("customers"),
+                   F.avg(_gamma_terms(x, c) + _row_terms(x, t, T, c)).alias("mean_log_likelihood"))
+    penalty = cfg.bgnbd_penalizer * sum(v * v for v in given.values())
+    return out.withColumn("objective", F.lit(penalty) - F.col("mean_log_likelihood"))
+
+
 def bgnbd_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None = None,
               fit_all: bool | None = None, max_iter: int = 60) -> BGNBDParams:
     """Penalised maximum likelihood (M1): minimise -mean(LL) + lambda * sum(theta^2)

@@ -41,6 +41,20 @@ def _constants(p: dict) -> dict:
     return {"lg_q": math.lgamma(p["q"]), "log_v": math.log(p["v"])}
 
 
+def objective(summary: DataFrame, p: GammaGammaParams, cfg: Config = DEFAULT) -> DataFrame:
+    """One row: customers, mean log-likelihood and penalised objective (M2)
+    of given parameters on the rows that the fit uses, in the data's own
+    money."""
+    given = {k: getattr(p, k) for k in ("p", "q", "v")}
+    c = {k: F.lit(v) for k, v in {**given, **_constants(given)}.items()}
+    x, m = F.col("x"), F.col("m")
+    rows = gg_input(summary).select(F.col("frequency").alias("x"), F.col("monetary_value").alias("m"))
+    out = rows.agg(F.count(F.lit(1)).alias("customers"),
+                   F.avg(_gamma_terms(x, c) + _row_terms(x, m, c)).alias("mean_log_likelihood"))
+    penalty = cfg.gg_penalizer * sum(v * v for v in given.values())
+    return out.withColumn("objective", F.lit(penalty) - F.col("mean_log_likelihood"))
+
+
 def gg_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None = None,
            max_iter: int = 60) -> GammaGammaParams | None:
     """Penalised maximum likelihood (M2) on customers with repeat purchases

@@ -45,9 +45,11 @@ def ml_dataset(features: DataFrame, customers: DataFrame, feature_set: str = "li
 
 
 def train_test_split(data: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Deterministic 80/20 split by a hash of CustomerID and the seed (L3):
-    the same customer always lands on the same side, on any cluster size."""
-    bucket = F.pmod(F.xxhash64(F.col("CustomerID"), F.lit(cfg.seed)), F.lit(100))
+    """Deterministic 80/20 split by the MD5 of CustomerID and the seed (L3):
+    the same customer always lands on the same side, on any cluster size and
+    in any engine."""
+    digest = F.md5(F.concat_ws("|", F.col("CustomerID"), F.lit(str(cfg.seed))).cast("binary"))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100
     test = bucket < int(round(cfg.test_fraction * 100))
     return data.filter(~test), data.filter(test)
 
@@ -95,6 +97,16 @@ def gbt_fit(train: DataFrame, features: list[str], loss: str = "squared", cfg: C
     return gbt_model(features, loss, cfg, early_stopping).fit(placed)
 
 
+def baseline_metrics(test: DataFrame, train: DataFrame) -> DataFrame:
+    """Rows of both sides and the MAE and RMSE of predicting the training
+    mean, which the models are held against (L6)."""
+    mean = train.agg(F.avg(TARGET)).scalar()
+    e = mean - F.col(TARGET)
+    return test.agg(F.count(F.lit(1)).alias("test_rows"), F.avg(F.abs(e)).alias("baseline_mae"),
+                    F.sqrt(F.avg(e * e)).alias("baseline_rmse")).withColumn(
+        "train_rows", train.agg(F.count(F.lit(1))).scalar())
+
+
 def regression_metrics(model: PipelineModel, test: DataFrame, train: DataFrame) -> DataFrame:
     """MAE and RMSE of the model and of predicting the training mean, and the
     percent improvement of each (L6)."""

@@ -3,7 +3,7 @@ metrics, model checks and engineered features."""
 
 from __future__ import annotations
 
-from ledgerlens.config import BGNBDParams
+from ledgerlens.config import FIXED_BGNBD, FIXED_GAMMA_GAMMA, BGNBDParams
 from ledgerlens.plans.oracle import (BASE, CUST, DRIVERS, SUMMARY, M, P, R, _fixed, clv_ctes, expected_sql,
                                      floor_days, full, prob_alive_sql, rfm_ctes, tx_ctes, value_sql, with_)
 
@@ -310,6 +310,29 @@ FROM clean"""
                                                                         else f"f.{c}") for c in listed)
     q["ml_dataset"] = with_(BASE, rfm_ctes(), SUMMARY, DRIVERS, clv_ctes(), CUST, _features_ctes()) + f"""
 SELECT f.CustomerID, {dsel}, {M('c.predicted_clv')} AS predicted_clv FROM feats f JOIN cust c ON f.CustomerID = c.CustomerID"""
+    data = with_(BASE, rfm_ctes(), SUMMARY, DRIVERS, clv_ctes(), CUST, _features_ctes()) + """, sides AS (
+  SELECT f.CustomerID, c.predicted_clv AS y,
+         ('0x' || substr(md5(f.CustomerID || '|42'), 1, 8))::BIGINT % 100 < 20 AS test
+  FROM feats f JOIN cust c ON f.CustomerID = c.CustomerID)"""
+    q["train_test_split"] = data + "\nSELECT CustomerID, CASE WHEN test THEN 'test' ELSE 'train' END AS split FROM sides"
+    q["baseline_metrics"] = data + f""", m AS (
+  SELECT avg(y) FILTER (WHERE NOT test) AS mean, count(*) FILTER (WHERE NOT test) AS train_rows FROM sides)
+SELECT count(*) AS test_rows, {M('avg(abs(mean - y))')} AS baseline_mae,
+  {M('sqrt(avg((mean - y) * (mean - y)))')} AS baseline_rmse, any_value(train_rows) AS train_rows
+FROM sides, m WHERE test"""
+    g, s = FIXED_BGNBD, FIXED_GAMMA_GAMMA
+    alive = f"""CASE WHEN frequency > 0 THEN {g.a} / ({g.b} + frequency - 1) * exp(-({g.r} + frequency)
+    * ln({g.alpha} + recency) + ({g.r} + frequency) * ln({g.alpha} + T)) ELSE 0 END"""
+    bg_ll = f"""avg(lgamma({g.r} + frequency) - lgamma({g.r}) + {g.r} * ln({g.alpha}) + lgamma({g.a + g.b})
+    + lgamma({g.b} + frequency) - lgamma({g.b}) - lgamma({g.a + g.b} + frequency)
+    - ({g.r} + frequency) * ln({g.alpha} + T) + ln(1 + {alive}))"""
+    gg_ll = f"""avg(lgamma({s.p} * frequency + {s.q}) - lgamma({s.p} * frequency) - lgamma({s.q}) + {s.q} * ln({s.v})
+    + ({s.p} * frequency - 1) * ln(monetary_value) + {s.p} * frequency * ln(frequency)
+    - ({s.p} * frequency + {s.q}) * ln(frequency * monetary_value + {s.v}))"""
+    for name, ll, theta, where in (("bgnbd_objective", bg_ll, (g.r, g.alpha, g.a, g.b), "frequency > 0"),
+                                   ("gg_objective", gg_ll, (s.p, s.q, s.v), "frequency > 0 AND monetary_value > 0")):
+        q[name] = with_(BASE, SUMMARY) + f""", l AS (SELECT count(*) AS customers, {ll} AS ll FROM summ WHERE {where})
+SELECT customers, {P('ll')} AS mean_log_likelihood, {P(f'{0.01 * sum(v * v for v in theta)} - ll')} AS objective FROM l"""
     ev = """
 ev_clean AS (
   SELECT DISTINCT CAST(event_id AS VARCHAR) AS InvoiceNo, 1.0 AS Quantity, ts AS InvoiceDate, value AS UnitPrice,

@@ -357,6 +357,12 @@ def q_train_test_split(spark, sf_dir):
         test.select("CustomerID", F.lit("test").alias("split")))
 
 
+@register("baseline_metrics")
+def q_baseline_metrics(spark, sf_dir):
+    train, test = ML.train_test_split(ML.ml_dataset(_features(spark, sf_dir), _cust(spark, sf_dir)))
+    return rounded(ML.baseline_metrics(test, train), money=["baseline_mae", "baseline_rmse"])
+
+
 _MODELS = InputCache()
 
 
@@ -394,6 +400,22 @@ def q_feature_importance(spark, sf_dir):
 
 # --- model fits (parameter rows; no SQL twin) ----------------------------------------
 
+@register("bgnbd_objective")
+def q_bgnbd_objective(spark, sf_dir):
+    """Likelihood and penalised objective at the fixed parameters: what the
+    fit minimises, checked by SQL."""
+    from ledgerlens.operators import bgnbd
+    return rounded(bgnbd.objective(customer_plan(spark, sf_dir).summary, FIXED_BGNBD),
+                   ratio=["mean_log_likelihood", "objective"])
+
+
+@register("gg_objective")
+def q_gg_objective(spark, sf_dir):
+    from ledgerlens.operators import gammagamma
+    return rounded(gammagamma.objective(customer_plan(spark, sf_dir).summary, FIXED_GAMMA_GAMMA),
+                   ratio=["mean_log_likelihood", "objective"])
+
+
 REPORT = "converged boolean, at_bound boolean, iterations int, objective double, gradient_norm double"
 
 
