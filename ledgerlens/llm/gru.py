@@ -18,6 +18,7 @@ STEPS = 16  # tokens of a window, over which errors are propagated back
 RATE = 0.1  # of Adagrad
 FLOOR = 1e-6  # first sum of squares
 CLIP = 5.0
+TOP = np.float32(60)  # of a logit, far above those that occur
 
 
 def classes(counts: np.ndarray, n: int = CLASSES) -> np.ndarray:
@@ -37,17 +38,8 @@ def initial(counts: np.ndarray, bounds: np.ndarray, hidden: int = HIDDEN, seed:
     draw = lambda *s: rng.normal(0, 1 / np.sqrt(hidden), s).astype(np.float32)
     return {"embed": draw(k, hidden), "input": draw(hidden, 3 * hidden), "recur": draw(hidden, 3 * hidden),
             "gate": np.concatenate([np.ones(hidden), np.zeros(2 * hidden)]).astype(np.float32),
-            "class_out": np.zeros((hidden, c), np.float32), "class_bias": np.log(mass / mass.sum()).astype(np.float32),
-            "word_out": np.zeros((k, hidden), np.float32), "word_bias": inside.astype(np.float32)}
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+            "class_out": np.vstack([np.zeros((hidden, c)), np.log(mass / mass.sum())]).astype(np.float32),
+            "word_out": np.hstack([np.zeros((k, hidden)), inside[:, None]]).astype(np.float32)}
 
 
 class Streams:
@@ -63,7 +55,9 @@ class Streams:
             load, s = heapq.heappop(heap)
             held[s].append(d)
             heapq.heappush(heap, (load + len(docs[d]), s))
-        self.length = max(load for load, _ in heap)
+        held.sort(key=lambda own: -sum(len(docs[d]) for d in own))
+        self.loads = np.array([sum(len(docs[d]) for d in own) for own in held])
+        self.length = int(self.loads[0])
         shape = (width, self.length)
         self.x, self.y = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
         self.fresh, self.real, self.doc = np.zeros(shape, bool), np.zeros(shape, bool), np.zeros(shape, np.int32)
@@ -78,12 +72,18 @@ class Streams:
                 at += len(ids)
 
     def windows(self, steps: int = STEPS):
+        """Windows over the streams that still have tokens: the longest lead,
+        so one huge document does not keep the others' places busy."""
         for at in range(0, self.length, steps):
-            w = slice(at, at + steps)
-            yield self.x[:, w], self.y[:, w], self.fresh[:, w], self.real[:, w], self.doc[:, w]
+            w = slice(0, int((self.loads > at).sum())), slice(at, at + steps)
+            yield self.x[w], self.y[w], self.fresh[w], self.real[w], self.doc[w]
 
 
 class Gru:
+    """Gates are (1 + tanh) / 2, and the reset gate acts on the state's share
+    of the candidate, so one product with the state serves all three. Biases
+    are the last row or column of a weight, met by a constant one."""
+
     def __init__(self, params: dict[str, np.ndarray], bounds: np.ndarray):
         self.p = {k: v.astype(np.float32) for k, v in params.items()}
         self.bounds = bounds
@@ -91,80 +91,101 @@ class Gru:
         self.squares = {k: np.full_like(v, FLOOR) for k, v in self.p.items()}
 
     def states(self, x, fresh, h):
-        """States after each step of a window, with what back-propagation needs."""
-        p, hid = self.p, self.p["recur"].shape[0]
+        """States after each step of a window, with what back-propagation
+        needs. Arrays are hidden x width, so that a gate is one block."""
+        p, hid = self.p, len(self.p["recur"])
         width, steps = x.shape
-        given = (p["embed"] @ p["input"] + p["gate"])[x.T]  # steps x width x 3 hidden
-        gates, resets = np.ascontiguousarray(p["recur"][:, :2 * hid]), np.ascontiguousarray(p["recur"][:, 2 * hid:])
-        before, zs, rs, ns = (np.empty((steps, width, hid), np.float32) for _ in range(4))
-        after = np.empty((steps, width, hid), np.float32)
+        kind = p["recur"].dtype
+        table = np.ascontiguousarray((p["embed"] @ p["input"] + p["gate"]).T)
+        turned = np.ascontiguousarray(p["recur"].T)
+        act = np.empty((steps, 3 * hid, width), kind)
+        before, after, own = (np.empty((steps, hid, width), kind) for _ in range(3))
+        rec = np.empty((3 * hid, width), kind)
         for t in range(steps):
-            h = np.where(fresh[:, t, None], np.float32(0), h)
-            zr = _sigmoid(given[t, :, :2 * hid] + h @ gates)
-            z, r = zr[:, :hid], zr[:, hid:]
-            n = np.tanh(given[t, :, 2 * hid:] + (r * h) @ resets)
-            before[t], zs[t], rs[t], ns[t] = h, z, r, n
-            h = n + z * (h - n)
+            if fresh[:, t].any():
+                h = h * ~fresh[:, t]
+            before[t] = h
+            np.matmul(turned, h, out=rec)
+            np.take(table, x[:, t], axis=1, out=act[t], mode="clip")
+            gates, n = act[t, :2 * hid], act[t, 2 * hid:]
+            gates += rec[:2 * hid]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            own[t] = rec[2 * hid:]
+            n += gates[hid:] * own[t]
+            np.tanh(n, out=n)
+            h = n + gates[:hid] * (h - n)
             after[t] = h
-        return after, (before, zs, rs, ns), h
+        return after, (before, act, own), h
+
+    def rows(self, states: np.ndarray) -> np.ndarray:
+        """(steps, hidden, width) as one row for each token."""
+        return np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, states.shape[1])
 
     def output(self, states, targets, grads=None):
         """Log probability of each target; with ``grads``, also the gradient of
         the mean negative log likelihood with respect to the states."""
         p = self.p
         rows = np.arange(len(targets))
+        one = np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
+        scale = states.dtype.type(1 / max(len(targets), 1))
         label = self.label[targets]
-        logp = _log_softmax(states @ p["class_out"] + p["class_bias"])
-        score = logp[rows, label].astype(np.float64)
+        e = np.exp(np.minimum(one @ p["class_out"], TOP))
+        total = e.sum(axis=1)
+        score = np.log(e[rows, label] / total).astype(np.float64)
         back = None
         if grads is not None:
-            scale = np.float32(1 / max(len(targets), 1))
-            d = np.exp(logp)
-            d[rows, label] -= 1
-            d *= scale
-            grads["class_out"], grads["class_bias"] = states.T @ d, d.sum(axis=0)
-            back = d @ p["class_out"].T
-            grads["word_out"], grads["word_bias"] = np.zeros_like(p["word_out"]), np.zeros_like(p["word_bias"])
+            e *= (scale / total)[:, None]
+            e[rows, label] -= scale
+            grads["class_out"] = one.T @ e
+            back = e @ p["class_out"].T
+            grads["word_out"] = np.zeros_like(p["word_out"])
         order = np.argsort(label, kind="stable")
         cuts = np.searchsorted(label[order], np.arange(len(self.bounds)))
+        one, hits = one[order], targets[order]
         for c in np.flatnonzero(np.diff(cuts)):
             a, b = self.bounds[c], self.bounds[c + 1]
             if b - a == 1:
                 continue  # a class of one word: probability one
-            own = order[cuts[c]:cuts[c + 1]]
-            at, hit = np.arange(len(own)), targets[own] - a
-            s = states[own]
-            lp = _log_softmax(s @ p["word_out"][a:b].T + p["word_bias"][a:b])
-            score[own] += lp[at, hit]
+            own = slice(cuts[c], cuts[c + 1])
+            at, hit, s = rows[:cuts[c + 1] - cuts[c]], hits[own] - a, one[own]
+            e = np.exp(np.minimum(s @ p["word_out"][a:b].T, TOP))
+            total = e.sum(axis=1)
+            score[order[own]] += np.log(e[at, hit] / total)
             if grads is not None:
-                d = np.exp(lp)
-                d[at, hit] -= 1
-                d *= scale
-                grads["word_out"][a:b], grads["word_bias"][a:b] = d.T @ s, d.sum(axis=0)
-                back[own] += d @ p["word_out"][a:b]
-        return score, back
+                e *= (scale / total)[:, None]
+                e[at, hit] -= scale
+                grads["word_out"][a:b] = e.T @ s
+                back[order[own]] += e @ p["word_out"][a:b]
+        return score, back if back is None else back[:, :-1]
 
     def backward(self, x, fresh, kept, back, grads):
         """Truncated back-propagation: errors do not leave the window, nor
         cross the start of a document."""
-        p, hid = self.p, self.p["recur"].shape[0]
-        before, zs, rs, ns = kept
-        steps, width, _ = before.shape
-        gates, resets = np.ascontiguousarray(p["recur"][:, :2 * hid].T), np.ascontiguousarray(p["recur"][:, 2 * hid:].T)
-        given = np.empty((steps, width, 3 * hid), np.float32)
-        dh = np.zeros((width, hid), np.float32)
+        p, hid = self.p, len(self.p["recur"])
+        before, act, own = kept
+        steps, _, width = before.shape
+        z, r, n = (act[:, i * hid:(i + 1) * hid] for i in range(3))
+        by_n = (1 - z) * (1 - n * n)
+        by_z = (before - n) * (2 * z * (1 - z))
+        by_r = own * (2 * r * (1 - r))
+        given = np.empty_like(act)  # errors of the three sums
+        inner = np.empty_like(act)  # the same, as the state's product sees them
+        dh = np.zeros((hid, width), before.dtype)
         for t in reversed(range(steps)):
-            h, z, r, n = before[t], zs[t], rs[t], ns[t]
-            dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            drh = dn @ resets
-            given[t, :, :hid] = dh * (h - n) * z * (1 - z)
-            given[t, :, hid:2 * hid] = drh * h * r * (1 - r)
-            given[t, :, 2 * hid:] = dn
-            dh = dh * z + drh * r + given[t, :, :2 * hid] @ gates
-            dh[fresh[:, t]] = 0
-        flat, hs = given.reshape(-1, 3 * hid), before.reshape(-1, hid)
-        grads["recur"] = np.hstack([hs.T @ flat[:, :2 * hid], (rs.reshape(-1, hid) * hs).T @ flat[:, 2 * hid:]])
+            dh += back[t]
+            g, i = given[t], inner[t]
+            dn = np.multiply(dh, by_n[t], out=g[2 * hid:])
+            np.multiply(dn, by_r[t], out=g[hid:2 * hid])
+            np.multiply(dh, by_z[t], out=g[:hid])
+            i[:2 * hid] = g[:2 * hid]
+            np.multiply(dn, r[t], out=i[2 * hid:])
+            dh = dh * z[t] + p["recur"] @ i
+            if fresh[:, t].any():
+                dh *= ~fresh[:, t]
+        flat = self.rows(given)
+        grads["recur"] = self.rows(before).T @ self.rows(inner)
         grads["gate"] = flat.sum(axis=0)
         ids = x.T.ravel()
         order = np.argsort(ids, kind="stable")
@@ -178,31 +199,33 @@ class Gru:
     def train(self, docs: list[np.ndarray], start: int) -> None:
         """One pass of truncated back-propagation with Adagrad."""
         streams = Streams(docs, start)
-        h = np.zeros((len(streams.x), self.p["recur"].shape[0]), np.float32)
+        h = np.zeros((len(self.p["recur"]), len(streams.x)), np.float32)
         for x, y, fresh, real, _ in streams.windows():
-            after, kept, h = self.states(x, fresh, h)
+            after, kept, h = self.states(x, fresh, h[:, :len(x)])
             grads: dict = {}
             mask = real.T.ravel()
-            flat = after.reshape(-1, after.shape[2])
-            _, d = self.output(flat[mask], y.T.ravel()[mask], grads)
-            back = np.zeros_like(flat)
+            _, d = self.output(self.rows(after)[mask], y.T.ravel()[mask], grads)
+            back = np.zeros((len(mask), after.shape[1]), after.dtype)
             back[mask] = d
-            self.backward(x, fresh, kept, back.reshape(after.shape), grads)
-            size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            back = back.reshape(len(after), -1, after.shape[1]).transpose(0, 2, 1)
+            self.backward(x, fresh, kept, np.ascontiguousarray(back), grads)
+            size = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
             shrink = np.float32(min(1.0, CLIP / max(size, 1e-9)))
             for k, g in grads.items():
-                g = g * shrink
+                g *= shrink
                 self.squares[k] += g * g
-                self.p[k] -= np.float32(RATE) * g / np.sqrt(self.squares[k])
+                g *= np.float32(RATE)
+                g /= np.sqrt(self.squares[k])
+                self.p[k] -= g
 
     def score(self, docs: list[np.ndarray], start: int) -> np.ndarray:
         """Natural-log probability of each whole document."""
         total = np.zeros(len(docs))
         streams = Streams(docs, start)
-        h = np.zeros((len(streams.x), self.p["recur"].shape[0]), np.float32)
+        h = np.zeros((len(self.p["recur"]), len(streams.x)), np.float32)
         for x, y, fresh, real, doc in streams.windows():
-            after, _, h = self.states(x, fresh, h)
+            after, _, h = self.states(x, fresh, h[:, :len(x)])
             mask = real.T.ravel()
-            got, _ = self.output(after.reshape(-1, after.shape[2])[mask], y.T.ravel()[mask])
+            got, _ = self.output(self.rows(after)[mask], y.T.ravel()[mask])
             total += np.bincount(doc.T.ravel()[mask], got, len(docs))
         return total

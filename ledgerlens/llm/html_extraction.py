@@ -28,6 +28,7 @@ by_value(__name__)
 SAMPLE_PAGES = 2_000  # bound of the sample of labelled pages the weights are fitted on
 TAG_FLOOR = -0.05  # a tag never scores above this
 WORD_CLIP = 4.0
+APART_RANGE = (-1.5, -0.5)
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -176,9 +177,10 @@ def _weight(weights: dict[str, float], feature: str) -> float:
 
 def word_weight(weights: dict[str, float], place: tuple) -> float:
     """Words apart from the article never count as content, however often a
-    labelled page had such a block inside its article element."""
+    labelled page had such a block inside its article element; nor do a few of
+    them end an article that goes on below."""
     w = _weight(weights, _word(place))
-    return min(w, -1.0) if place[2] else w
+    return max(APART_RANGE[0], min(w, APART_RANGE[1])) if place[2] else w
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:

@@ -25,11 +25,11 @@ from ledgerlens.llm.gru import CLASSES, HIDDEN, Gru, classes, initial
 
 by_value(__name__)
 
-LISTED = 2046  # output words of the model, besides the end and "any other"
+LISTED = 1022  # output words of the model, besides the end and "any other"
 HEAD = 1 << 16  # most frequent words, whose counts every task holds
 ROUNDS = 2
 TABLE = 1_000_000  # distinct words a task counts before it hands them on
-GROUP_TOKENS = 1_000_000
+GROUP_TOKENS = 4_000_000  # held by a task at a time, some 60 MB
 END = b""  # no word is empty
 OTHER_ID, END_ID = 0, 1
 
@@ -120,8 +120,11 @@ def _scorer(shipped, other_log: float):
     names = ["key", "held_out", "n_tokens", "n_known", "base", "score", "words", "counts"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, bounds, index, head = shipped.value
+        params, bounds, order, sizes, listed, ends = shipped.value
         model = Gru(params, bounds)
+        place = {w: i for i, w in enumerate(order)}  # by falling count: the listed words lead
+        logs = np.append(np.log10(np.array(sizes, np.float64) + 1), 0.0)  # the last for words that are not held
+        end_log = math.log10(ends + 1)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -129,21 +132,15 @@ def _scorer(shipped, other_log: float):
                 cols: list[list] = [[] for _ in range(6)]
                 while at < batch.num_rows and held < GROUP_TOKENS:
                     words = words_of(batch.column(2)[at].as_py())
-                    docs.append(_ids(index, words))
+                    found = [place.get(w, -1) for w in words]
+                    places = np.array(found, np.int64)
+                    docs.append(np.append(np.where((places >= 0) & (places < listed), places + 2, OTHER_ID), END_ID).astype(np.int32))
                     held += len(docs[-1])
-                    known, base, other, tail, often = 0, 0.0, 0.0, [], []
-                    for w, n in (*Counter(words).items(), (END, 1)):
-                        c = head.get(w)
-                        if c is None:
-                            tail.append(w)
-                            often.append(n)
-                            continue
-                        lc = n * math.log10(c + 1)
-                        base += lc
-                        known += n
-                        if w not in index:
-                            other += lc
-                    for col, v in zip(cols, (len(words) + 1, known, base, other, tail, often)):
+                    each = logs[places]
+                    rare = Counter([w for w, i in zip(words, found) if i < 0])
+                    known = len(words) - rare.total() + (ends > 0)
+                    for col, v in zip(cols, (len(words) + 1, known, each.sum() + end_log, each[places >= listed].sum(),
+                                             list(rare), list(rare.values()))):
                         col.append(v)
                     at += 1
                 unlisted = np.array([(d == OTHER_ID).sum() for d in docs])
@@ -189,9 +186,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", li
         own = training.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r) if rounds > 1 else training
         shipped = spark.sparkContext.broadcast((params, bounds, index))
         params = average(own.select("text").mapInArrow(_replica(shipped), "i int, w double, n double"), params)
-    if ends:
-        head = {**head, END: ends}
-    shipped = spark.sparkContext.broadcast((params, bounds, index, head))
+    shipped = spark.sparkContext.broadcast((params, bounds, list(head), list(head.values()), len(order), ends))
     kind = rows.schema["key"].dataType.simpleString()
     other_log = math.log10(others + other_kinds + 1)
     per_doc = rows.mapInArrow(_scorer(shipped, other_log), f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, "

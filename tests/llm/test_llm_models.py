@@ -32,15 +32,15 @@ def test_gradients_match_differences():
     m, rng = model()
     docs = [rng.integers(0, 22, n).astype(np.int32) for n in (7, 3, 12, 1, 5)]
     x, y, fresh, real, _ = next(Streams(docs, 1, 3).windows(12))
-    mask, zero = real.T.ravel(), np.zeros((3, 5))
+    mask, zero = real.T.ravel(), np.zeros((5, 3))
 
     def loss(grads=None):
         after, kept, _ = m.states(x, fresh, zero)
-        score, back = m.output(after.reshape(-1, 5)[mask], y.T.ravel()[mask], grads)
+        score, back = m.output(m.rows(after)[mask], y.T.ravel()[mask], grads)
         if grads is not None:
             full = np.zeros((len(mask), 5))
             full[mask] = back
-            m.backward(x, fresh, kept, full.reshape(after.shape), grads)
+            m.backward(x, fresh, kept, full.reshape(len(after), 3, 5).transpose(0, 2, 1), grads)
         return -score.mean()
 
     grads: dict = {}
