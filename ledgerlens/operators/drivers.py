@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import floor_days
+from ledgerlens.operators.visits import LINES, products
 from ledgerlens.schema import require_columns
 
 
@@ -22,6 +23,9 @@ def second_purchase(clean: DataFrame, grain: str = "line") -> DataFrame:
     ``grain="invoice"`` counts each invoice once (its earliest line)."""
     require_columns(clean, ["CustomerID", "InvoiceDate"], "clean transactions")
     rows = clean.select("CustomerID", "InvoiceDate")
+    if LINES in clean.columns:  # visits: the first two of a visit's lines can matter
+        rows = clean.select("CustomerID", "InvoiceDate", F.explode(F.sequence(
+            F.lit(1).cast("bigint"), F.least(F.col(LINES), F.lit(2).cast("bigint")))).alias("_l")).drop("_l")
     if grain == "invoice":
         rows = clean.groupBy("CustomerID", "InvoiceNo").agg(F.min("InvoiceDate").alias("InvoiceDate"))
     w = Window.partitionBy("CustomerID").orderBy("InvoiceDate")
@@ -31,14 +35,14 @@ def second_purchase(clean: DataFrame, grain: str = "line") -> DataFrame:
         F.max(F.when(F.col("_rn") == 2, F.col("InvoiceDate"))).alias("second_purchase"))
 
 
-def driver_metrics(clean: DataFrame, grain: str = "line") -> DataFrame:
+def driver_metrics(clean: DataFrame, grain: str = "line", seen: DataFrame | None = None) -> DataFrame:
     """CustomerID, time_to_second_purchase (floor days, -1 when none),
-    category_count (distinct StockCode, 0 when the column is absent)."""
-    pair = second_purchase(clean, grain)
+    category_count (distinct StockCode, 0 when the column is absent).
+    ``seen``: visits of the same lines, to take the purchase times from."""
+    pair = second_purchase(clean if seen is None else seen, grain)
     days = floor_days(F.col("first_purchase"), F.col("second_purchase")).cast("double")
     out = pair.select("CustomerID", F.coalesce(days, F.lit(-1.0)).alias("time_to_second_purchase"))
     if "StockCode" in clean.columns:
-        cats = clean.groupBy("CustomerID").agg(F.count_distinct("StockCode").alias("category_count"))
-        out = out.join(cats, "CustomerID", "left")
+        out = out.join(products(clean), "CustomerID", "left")
         return out.withColumn("category_count", F.coalesce(F.col("category_count"), F.lit(0)).cast("bigint"))
     return out.withColumn("category_count", F.lit(0).cast("bigint"))

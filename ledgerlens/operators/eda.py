@@ -141,13 +141,15 @@ def segment_revenue_share(customers: DataFrame) -> DataFrame:
                     _share_of("revenue", "pct_revenue"), "avg_frequency", "avg_order_value", "avg_recency")
 
 
-def segment_transitions(clean: DataFrame, cfg: Config = DEFAULT, days_back: int = 90) -> DataFrame:
-    """Segment at a snapshot ``days_back`` earlier vs now, for customers in
+def segment_transitions(clean: DataFrame, now: DataFrame | None = None, cfg: Config = DEFAULT,
+                        days_back: int = 90) -> DataFrame:
+    """``clean``: lines or visits; ``now``: today's segments where they are
+    known already. Segment at a snapshot ``days_back`` earlier vs now, for customers in
     both; count and share of the earlier segment moving to each segment (E11)."""
     cutoff = clean.agg(F.max("InvoiceDate")).scalar()
     early = clean.filter(F.col("InvoiceDate") <= plus_days(cutoff, -days_back))
     before = rfm_segments(early, cfg=cfg).select("CustomerID", F.col("Segment").alias("from_segment"))
-    after = rfm_segments(clean, cfg=cfg).select("CustomerID", F.col("Segment").alias("to_segment"))
+    after = (rfm_segments(clean, cfg=cfg) if now is None else now).select("CustomerID", F.col("Segment").alias("to_segment"))
     g = before.join(after, "CustomerID", "inner").groupBy("from_segment", "to_segment").agg(
         F.count(F.lit(1)).alias("customers"))
     tot = F.sum("customers").over(Window.partitionBy("from_segment"))  # over the segment pairs

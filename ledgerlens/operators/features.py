@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import DEFAULT, Config
 from ledgerlens.functions.dates import floor_days, plus_days
 from ledgerlens.operators.ordered import lag_within, quantile_columns
+from ledgerlens.operators.visits import line_count, products
 from ledgerlens.session import cut_lineage
 
 ENGINEERED = ["MeanTimeBetweenPurchases", "StdTimeBetweenPurchases", "AvgOrderQuantity", "TotalQuantity",
@@ -31,7 +32,7 @@ def purchase_gaps(clean: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     floor days since the customer's previous distinct timestamp (null for
     the first). Copies at one timestamp are combined map-side first, so the
     distributed lag runs over distinct purchase times, not lines."""
-    ts = clean.groupBy("CustomerID", "InvoiceDate").agg(F.count(F.lit(1)).alias("c"))
+    ts = clean.groupBy("CustomerID", "InvoiceDate").agg(F.sum(line_count(clean)).cast("bigint").alias("c"))
     lagged = lag_within(ts, "CustomerID", "InvoiceDate", "_prev", n=cfg.order_partitions)
     return lagged.withColumn("gap", floor_days(F.col("_prev"), F.col("InvoiceDate")).cast("double")).drop("_prev")
 
@@ -66,24 +67,27 @@ def time_between_stats(clean: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                     F.when(n > 1, F.sqrt(var)).otherwise(F.lit(0.0)).alias("StdTimeBetweenPurchases"))
 
 
-def ml_features(rfm: DataFrame, clean: DataFrame, cfg: Config = DEFAULT, fill: str = "median") -> DataFrame:
-    """RFM table plus engineered features; nulls of the imputed features take
+def ml_features(rfm: DataFrame, clean: DataFrame, cfg: Config = DEFAULT, fill: str = "median",
+                products_of: DataFrame | None = None) -> DataFrame:
+    """``clean``: the lines, or their visits with ``products_of`` (CustomerID,
+    category_count) from the customer base. RFM table plus engineered features; nulls of the imputed features take
     the column median (``fill="zero"``: 0). Numeric columns come out double,
     as after the reference's imputer."""
-    has_stock = "StockCode" in clean.columns
+    if products_of is None and "StockCode" in clean.columns:
+        products_of = products(clean)
+    has_stock = products_of is not None
     max_date = clean.agg(F.max("InvoiceDate")).scalar()
     # distinct products and recent times are counted from grouped rows, so no
     # line is multiplied for a second distinct count
     times = clean.groupBy("CustomerID", "InvoiceDate").agg(
-        F.sum("Quantity").alias("_q"), F.count(F.lit(1)).alias("_l"))
+        F.sum("Quantity").alias("_q"), F.sum(line_count(clean)).alias("_l"))
     per = times.groupBy("CustomerID").agg(
         (F.sum("_q") / F.sum("_l")).alias("AvgOrderQuantity"), F.sum("_q").alias("TotalQuantity"),
         F.min("InvoiceDate").alias("FirstPurchase"), F.max("InvoiceDate").alias("LastPurchase"),
         F.sum("_l").alias("_lines"),
         F.count_if(F.col("InvoiceDate") >= plus_days(max_date, -cfg.recent_days)).alias("_recent"))
     if has_stock:
-        products = clean.groupBy("CustomerID", "StockCode").agg(F.count(F.lit(1)).alias("_n"))
-        per = per.join(products.groupBy("CustomerID").agg(F.count("StockCode").alias("UniqueProducts")), "CustomerID")
+        per = per.join(products_of.select("CustomerID", F.col("category_count").alias("UniqueProducts")), "CustomerID")
     else:
         per = per.withColumn("UniqueProducts", F.lit(0).cast("bigint"))
     per = per.join(time_between_stats(clean, cfg), "CustomerID", "inner").select(

@@ -1,10 +1,11 @@
 """End-to-end plans: transactions -> customer table.
 
-One pass over the transactions: the per-customer aggregates (RFM metrics,
-driver metrics, repeat-purchase summary) are three partial aggregates over
-the same deduplicated lines, so the dedupe exchange is planned once and
-reused; their join on CustomerID is checkpointed as the per-customer base.
-Ranking, model scoring and every view then work on one row per customer.
+The deduplicated lines are read twice: once for the visits (a row per
+customer, invoice and time), written once, and once for the distinct products.
+RFM metrics, purchase times, the repeat-purchase summary and the engineered
+features are aggregates over the visits; their join on CustomerID is written
+as the per-customer base. Ranking, model scoring and every view then work on
+one row per customer.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import DEFAULT, FIXED_BGNBD, FIXED_GAMMA_GAMMA, BGNBDParams, Config, GammaGammaParams
 from ledgerlens.operators import bgnbd, clv as clvmod, drivers, gammagamma, rfm, summary
 from ledgerlens.operators.clean import snapshot_date
+from ledgerlens.operators.visits import visits
 from ledgerlens.session import cut_lineage
 
 
@@ -30,6 +32,7 @@ class CustomerPlan:
     customers: DataFrame     # the combined customer table
     bg: BGNBDParams | None
     gg: GammaGammaParams | None
+    visits: DataFrame        # one row per customer, invoice and time
 
 
 SUMMARY_COLS = ["frequency", "recency", "T", "monetary_value"]
@@ -37,16 +40,18 @@ DRIVER_COLS = ["time_to_second_purchase", "category_count"]
 RFM_COLS = ["Recency", "Frequency", "Monetary"]
 
 
-def customer_base(clean: DataFrame, checkpoint: bool = True) -> DataFrame:
-    snap = snapshot_date(clean)
-    base = (summary.purchase_summary(clean)
-            .join(drivers.driver_metrics(clean), "CustomerID", "inner")
+def customer_base(clean: DataFrame, seen: DataFrame) -> DataFrame:
+    """One row per customer from the visits, already written, and the distinct
+    products of the lines."""
+    snap = snapshot_date(seen)
+    base = (summary.purchase_summary(seen)
+            .join(drivers.driver_metrics(clean, seen=seen), "CustomerID", "inner")
             # Spark resolves names case-insensitively: Frequency would clash
             # with the summary's frequency inside one table
-            .join(rfm.rfm_metrics(clean, snap).select(
+            .join(rfm.rfm_metrics(seen, snap).select(
                 "CustomerID", *[F.col(c).alias(f"rfm_{c}") for c in RFM_COLS]), "CustomerID", "left")
             .withColumn("snapshot_date", snap.select("snapshot_date").scalar()))
-    return cut_lineage(base) if checkpoint else base
+    return cut_lineage(base)
 
 
 def build_customer_plan(clean: DataFrame, cfg: Config = DEFAULT, params: str = "fixed",
@@ -56,7 +61,8 @@ def build_customer_plan(clean: DataFrame, cfg: Config = DEFAULT, params: str = "
     published ones when none are; ``params="fit"`` fits both models on this
     data first. A missing spend model (gg None) gives CLV 0, as in the
     reference."""
-    base = customer_base(clean)
+    seen = cut_lineage(visits(clean))
+    base = customer_base(clean, seen)
     summ = base.select("CustomerID", *SUMMARY_COLS)
     drv = base.select("CustomerID", *DRIVER_COLS)
     metrics = base.filter(F.col("rfm_Monetary").isNotNull()).select(
@@ -72,4 +78,4 @@ def build_customer_plan(clean: DataFrame, cfg: Config = DEFAULT, params: str = "
     clv = clvmod.clv_scores(summ, bg, gg, cfg)
     customers = clvmod.customer_table(segs, clv, drv).withColumn(
         "snapshot_date", base.agg(F.max("snapshot_date")).scalar())
-    return CustomerPlan(base, segs, summ, drv, clv, customers, bg, gg)
+    return CustomerPlan(base, segs, summ, drv, clv, customers, bg, gg, seen)

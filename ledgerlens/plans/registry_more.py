@@ -256,7 +256,8 @@ def q_segment_revenue_share(spark, sf_dir):
 
 @register("segment_transitions")
 def q_segment_transitions(spark, sf_dir):
-    return rounded(E.segment_transitions(clean_tx(spark, sf_dir)), ratio=["share_pct"])
+    plan = customer_plan(spark, sf_dir)
+    return rounded(E.segment_transitions(plan.visits, plan.segments), ratio=["share_pct"])
 
 
 @register("acquisition_season")
@@ -328,8 +329,12 @@ _FEATURES = InputCache()
 def _features(spark, sf_dir):
     """Engineered features, built and materialised once per input."""
     from ledgerlens.session import cut_lineage
-    return _FEATURES.get(spark, sf_dir, (), lambda: cut_lineage(
-        FE.ml_features(_rfm(spark, sf_dir), clean_tx(spark, sf_dir))))
+
+    def build():
+        plan = customer_plan(spark, sf_dir)
+        return cut_lineage(FE.ml_features(_rfm(spark, sf_dir), plan.visits, products_of=plan.drivers))
+
+    return _FEATURES.get(spark, sf_dir, (), build)
 
 
 FEATURE_MONEY = ["Monetary"]
