@@ -73,6 +73,9 @@ class Config:
     # "count_edges": score Recency by the number of quantile edges below it;
     # "error": raise on tied edges like the reference does.
     recency_ties: str = "count_edges"
+    # CLV of customers without a repeat purchase: "population" follows the
+    # formulas (the spend model's population mean), "zero" gives 0.
+    zero_freq_clv: str = "population"
     # Fit BG/NBD on repeat customers only (reference) or on everyone.
     fit_all: bool = False
     # Partitions for range-partitioned global orderings; None = session default.

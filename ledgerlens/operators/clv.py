@@ -38,6 +38,10 @@ def predict_clv(summary: DataFrame, bg: BGNBDParams, gg: GammaGammaParams | None
     period = float(cfg.days_per_month)
     df = _with_expected(summary, x, t, T, bg, [(i, i * period) for i in range(1, months + 1)], "_ex")
     clv = _discounted(expected_average_value(x, m, gg), "_ex", months, discount)
+    if cfg.zero_freq_clv not in ("population", "zero"):
+        raise ValueError(f"unknown zero_freq_clv {cfg.zero_freq_clv!r}")
+    if cfg.zero_freq_clv == "zero":
+        clv = F.when(x > 0, clv)
     clv = F.coalesce(clv, F.lit(0.0))
     return df.withColumn("predicted_clv", F.greatest(clv, F.lit(0.0))) \
         .drop(*[f"_ex{i}" for i in range(1, months + 1)])

@@ -7,15 +7,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.config import BGNBDParams
+from ledgerlens.config import DEFAULT, BGNBDParams, Config
 from ledgerlens.functions.dates import plus_days
-from ledgerlens.operators.bgnbd import expected_purchases
+from ledgerlens.operators.bgnbd import bgnbd_fit, expected_purchases
 from ledgerlens.operators.ordered import lag_within
 from ledgerlens.operators.summary import purchase_summary
+from ledgerlens.session import cut_lineage
 
 
-def calibration_holdout(clean: DataFrame, bg: BGNBDParams, holdout_days: int = 90) -> DataFrame:
-    """Summary on lines up to ``holdout_days`` before the last date; expected
+def calibration_holdout(clean: DataFrame, bg: BGNBDParams | None = None, holdout_days: int = 90,
+                        cfg: Config = DEFAULT) -> DataFrame:
+    """Summary on lines up to the day ``holdout_days`` before the last; the
+    model is fitted on it unless parameters are given; expected
     repeat purchase days over the holdout vs the purchase days observed in
     it; MAE, MSE and correlation over the calibration customers."""
     last = clean.agg(F.max("InvoiceDate")).scalar()
@@ -23,6 +26,9 @@ def calibration_holdout(clean: DataFrame, bg: BGNBDParams, holdout_days: int = 9
     cal_end_day = F.to_date(cal_end)
     end_day = F.to_date(last)
     summ = purchase_summary(clean, observation_end=cal_end)
+    if bg is None:
+        summ = cut_lineage(summ)
+        bg = bgnbd_fit(summ, cfg)
     actual = (clean.filter(F.to_date("InvoiceDate") > cal_end_day)
               .groupBy("CustomerID").agg(F.count_distinct(F.to_date("InvoiceDate")).alias("actual")))
     h = F.datediff(end_day, cal_end_day).cast("double")

@@ -268,7 +268,8 @@ SELECT g.CustomerID, invoices, cancelled_invoices, {P('cancelled_invoices / invo
     bg, _ = _fixed()
     cal = """
 cal_last AS (SELECT max(InvoiceDate) AS last FROM clean),
-cal_lines AS (SELECT * FROM clean WHERE InvoiceDate <= (SELECT last FROM cal_last) - INTERVAL 90 DAY),
+cal_lines AS (SELECT * FROM clean
+              WHERE CAST(InvoiceDate AS DATE) <= CAST((SELECT last FROM cal_last) - INTERVAL 90 DAY AS DATE)),
 cal_days AS (SELECT CustomerID, CAST(InvoiceDate AS DATE) AS d, sum(TotalPrice) AS v FROM cal_lines GROUP BY 1, 2),
 cal_end AS (SELECT CAST((SELECT last FROM cal_last) - INTERVAL 90 DAY AS DATE) AS e, CAST((SELECT last FROM cal_last) AS DATE) AS l),
 cal_summ AS (
@@ -279,12 +280,18 @@ cal_summ AS (
 act AS (SELECT CustomerID, count(DISTINCT CAST(InvoiceDate AS DATE)) AS actual FROM clean
         WHERE CAST(InvoiceDate AS DATE) > (SELECT e FROM cal_end) GROUP BY CustomerID)"""
     h = "s.h"
-    q["calibration_holdout"] = with_(BASE, cal) + f""", j AS (
+    compare = f""", j AS (
   SELECT s.CustomerID, {expected_sql(h, 's.frequency', 's.recency', 's.T', bg)} AS predicted,
     coalesce(a.actual, 0) AS actual FROM cal_summ s LEFT JOIN act a ON s.CustomerID = a.CustomerID)
 SELECT count(*) AS customers, CAST(sum(actual) AS BIGINT) AS actual_total, {P('sum(predicted)')} AS predicted_total,
   {P('avg(abs(predicted - actual))')} AS mae, {P('avg((predicted - actual) * (predicted - actual))')} AS mse,
   {P('corr(predicted, CAST(actual AS DOUBLE))')} AS correlation FROM j"""
+    q["calibration_holdout"] = with_(BASE, cal) + compare
+    # purchase events have a time of day, so the day cut is seen to be whole days
+    q["event_calibration_holdout"] = with_("""
+clean AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS CustomerID, CAST(event_id AS VARCHAR) AS InvoiceNo, 1.0 AS Quantity,
+  ts AS InvoiceDate, value AS UnitPrice, 1.0 * value AS TotalPrice
+  FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND value > 0)""", cal) + compare
     q["interpurchase_distribution"] = b + f""", days AS (SELECT DISTINCT CustomerID, CAST(InvoiceDate AS DATE) AS day FROM clean),
 lg AS (SELECT CustomerID, day, lag(day) OVER (PARTITION BY CustomerID ORDER BY day) AS prev FROM days),
 gaps AS (SELECT date_diff('day', prev, day) AS gap FROM lg WHERE prev IS NOT NULL),

@@ -311,6 +311,19 @@ def q_calibration_holdout(spark, sf_dir):
     return rounded(out, ratio=["predicted_total", "mae", "mse", "correlation"])
 
 
+@register("calibration_holdout_fitted")
+def q_calibration_holdout_fitted(spark, sf_dir):
+    """The same check of the model fitted on the calibration part."""
+    out = VA.calibration_holdout(customer_plan(spark, sf_dir).visits)
+    return rounded(out, ratio=["predicted_total", "mae", "mse", "correlation"])
+
+
+@register("event_calibration_holdout")
+def q_event_calibration_holdout(spark, sf_dir):
+    out = VA.calibration_holdout(_event_clean(spark, sf_dir), FIXED_BGNBD)
+    return rounded(out, ratio=["predicted_total", "mae", "mse", "correlation"])
+
+
 @register("interpurchase_distribution")
 def q_interpurchase_distribution(spark, sf_dir):
     return rounded(VA.interpurchase_distribution(clean_tx(spark, sf_dir)), ratio=["mean_gap", "share_pct"])

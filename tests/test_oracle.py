@@ -13,14 +13,15 @@ from conftest import ROOT, SF001
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 # model fits and the boosted trees have no SQL twin (iterative algorithms)
-ROWS_ONLY = {"bgnbd_fit", "gg_fit", "customer_table_fitted", "regression_metrics",
+ROWS_ONLY = {"bgnbd_fit", "gg_fit", "customer_table_fitted", "calibration_holdout_fitted", "regression_metrics",
              "regression_metrics_absolute", "feature_importance"}
 
 SAMPLE = ["event_rfm_metrics", "load_customer_table", "tx_clean", "cleaning_audit", "rfm_segments", "segment_distribution", "purchase_summary",
           "driver_metrics", "predict_clv", "customer_table", "kpis", "segment_clv_box", "scenario_totals",
           "executive_summary", "clv_horizons", "value_concentration", "ml_features", "calibration_holdout",
           "gateway_products", "segment_transitions",
-          "train_test_split", "baseline_metrics", "bgnbd_objective", "gg_objective"]
+          "train_test_split", "baseline_metrics", "bgnbd_objective", "gg_objective",
+          "event_calibration_holdout"]
 
 
 @pytest.fixture(scope="module")

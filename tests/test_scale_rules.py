@@ -58,8 +58,11 @@ def test_series_near_one_and_outside():
 def test_a_new_customer_and_a_small_scale_parameter_have_a_value(spark):
     summary = spark.createDataFrame([("a", 0.0, 0.0, 0.0, 5.0), ("b", 3.0, 20.0, 20.0, 5.0)],
                                     "CustomerID string, frequency double, recency double, T double, monetary_value double")
-    out = predict_clv(summary, BGNBDParams(0.243, 0.001, 0.793, 2.426), FIXED_GAMMA_GAMMA).collect()
+    bg = BGNBDParams(0.243, 0.001, 0.793, 2.426)
+    out = predict_clv(summary, bg, FIXED_GAMMA_GAMMA).collect()
     assert all(np.isfinite(r.predicted_clv) and r.predicted_clv > 0 for r in out)
+    zero = {r.CustomerID: r.predicted_clv for r in predict_clv(summary, bg, FIXED_GAMMA_GAMMA, Config(zero_freq_clv="zero")).collect()}
+    assert zero["a"] == 0 and zero["b"] > 0
 
 
 def test_a_fit_says_how_it_ended(spark):
