@@ -55,7 +55,7 @@ def train_test_split(data: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame,
 
 
 VALIDATION_COL = "_is_validation"
-FIT_PARTITIONS = 64  # fixed, so that a fit is the same on any cluster; raise it with the data
+FIT_ROWS = 250_000  # customers of a partition in a fit
 
 
 def with_validation_rows(train: DataFrame, fraction: float = 0.1, cfg: Config = DEFAULT) -> DataFrame:
@@ -93,7 +93,9 @@ def gbt_fit(train: DataFrame, features: list[str], loss: str = "squared", cfg: C
     if early_stopping:
         train = with_validation_rows(train, cfg=cfg)
     # a row sample depends on where rows lie: place and order them by the customer
-    placed = train.repartition(FIT_PARTITIONS, F.xxhash64("CustomerID")).sortWithinPartitions("CustomerID")
+    # in a number of partitions that follows the rows, not the cluster
+    n = max(8, -(-train.count() // FIT_ROWS))
+    placed = train.repartition(n, F.xxhash64("CustomerID")).sortWithinPartitions("CustomerID")
     return gbt_model(features, loss, cfg, early_stopping).fit(placed)
 
 

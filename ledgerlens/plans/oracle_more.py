@@ -140,7 +140,7 @@ SELECT InvoiceNo, StockCode, Quantity, InvoiceDate, {M('UnitPrice')} AS UnitPric
   {P('quantile_cont(Recency, 0.5)')} AS Recency_median, {P('quantile_cont(Frequency, 0.5)')} AS Frequency_median,
   {P('quantile_cont(Monetary, 0.5)')} AS Monetary_median FROM v2rfm GROUP BY Segment"""
     hz = with_(BASE, v2, SUMMARY, _horizon_ctes())
-    hsel = f"""CustomerID, {P('prob_alive')} AS prob_alive, {M('predicted_avg_value')} AS predicted_avg_value,
+    hsel = f"""CustomerID, {P('prob_alive')} AS prob_alive, {R('predicted_avg_value', 4)} AS predicted_avg_value,
   {P('predicted_purch_3m')} AS predicted_purch_3m, {M('CLV_3months')} AS CLV_3months,
   {P('predicted_purch_6m')} AS predicted_purch_6m, {M('CLV_6months')} AS CLV_6months,
   {P('predicted_purch_12m')} AS predicted_purch_12m, {M('CLV_12months')} AS CLV_12months, Segment"""

@@ -123,13 +123,15 @@ def _horizons(spark, sf_dir):
         customer_plan(spark, sf_dir).summary, _v2(spark, sf_dir), FIXED_BGNBD, FIXED_GAMMA_GAMMA)))
 
 
-HORIZON_MONEY = ["predicted_avg_value", "CLV_3months", "CLV_6months", "CLV_12months"]
+# expected spend of cent amounts can sit on a half cent: four decimals
+HORIZON_MONEY = ["CLV_3months", "CLV_6months", "CLV_12months"]
 HORIZON_RATIO = ["prob_alive", "predicted_purch_3m", "predicted_purch_6m", "predicted_purch_12m"]
 
 
 @register("clv_horizons")
 def q_clv_horizons(spark, sf_dir):
-    return rounded(_horizons(spark, sf_dir), money=HORIZON_MONEY, ratio=HORIZON_RATIO)
+    out = rounded(_horizons(spark, sf_dir), money=HORIZON_MONEY, ratio=HORIZON_RATIO)
+    return rounded(out, money=["predicted_avg_value"], digits_money=4)
 
 
 @register("segment_clv_horizons")
