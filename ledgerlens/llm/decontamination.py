@@ -37,6 +37,7 @@ BITS = 64
 RADIUS = 22
 BLOCKS = 4
 BLOCK_BITS = BITS // BLOCKS
+COARSE_BITS = 20  # of a shingle's hash, looked up before the sorted hashes
 PASS_BYTES = 16 << 20  # item text that one pass over the documents ships to each task
 GROUP = 64  # items of one multi-index (one bit each in a word)
 
@@ -81,7 +82,7 @@ class Items:
     counts: list  # Counter of shingle hashes of each item
     weights: dict  # shingle hash -> weight
     known: np.ndarray  # sorted shingle hashes
-    full: int  # shingle words: 5, or fewer where items are that short
+    coarse: np.ndarray  # whether any of them starts with these bits
     tables: list  # per group of items: BLOCKS x 65536 words, bit g for item g
 
 
@@ -116,7 +117,10 @@ def prepare(rows: list[tuple], n_items: int, df: dict[int, int]) -> Items:
                 value = (fp >> (b * BLOCK_BITS)) & ((1 << BLOCK_BITS) - 1)
                 table[b, ball ^ np.uint32(value)] |= np.uint64(1 << g)
         tables.append(table)
-    return Items(ids, np.array(lengths), prints, counts, weights, np.array(sorted(weights), np.uint64), SHINGLE, tables)
+    known = np.array(sorted(weights), np.uint64)
+    coarse = np.zeros(1 << COARSE_BITS, bool)
+    coarse[(known >> np.uint64(BITS - COARSE_BITS)).astype(np.int64)] = True
+    return Items(ids, np.array(lengths), prints, counts, weights, known, coarse, tables)
 
 
 def candidates(items: Items, prints: np.ndarray, length_mask: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -172,16 +176,17 @@ def matches(items: Items, n_items: int, words: list[bytes], masks: dict, thresho
     for size in sorted({min(SHINGLE, int(x)) for x in items.lengths}):
         # items of fewer than five words are one shingle of their own length
         lengths = [int(x) for x in np.unique(items.lengths) if (int(x) == size if size < SHINGLE else x >= size)]
+        if not words:
+            continue
         if n < size:
-            whole = shingles(words)
-            grams, lengths = whole, [x for x in lengths if x >= SHINGLE]
+            h, lengths = hashes(shingles(words)), [x for x in lengths if x >= SHINGLE]
         else:
-            grams = [b" ".join(words[i:i + size]) for i in range(n - size + 1)]
-        if not grams:
-            continue
-        h = hashes(grams)
-        at = np.minimum(np.searchsorted(items.known, h), len(items.known) - 1)
-        places = np.flatnonzero(items.known[at] == h)
+            grams = map(b" ".join, zip(*(words[i:] for i in range(size))))
+            h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, n - size + 1)
+        places = np.flatnonzero(items.coarse[(h >> np.uint64(BITS - COARSE_BITS)).astype(np.int64)])
+        if len(places):
+            at = np.minimum(np.searchsorted(items.known, h[places]), len(items.known) - 1)
+            places = places[items.known[at] == h[places]]
         if not len(places):
             continue
         for length in lengths:
