@@ -42,6 +42,11 @@ def initial(counts: np.ndarray, bounds: np.ndarray, hidden: int = HIDDEN, seed:
             "word_out": np.hstack([np.zeros((k, hidden)), inside[:, None]]).astype(np.float32)}
 
 
+def _exp(logits: np.ndarray) -> np.ndarray:
+    np.minimum(logits, TOP, out=logits)
+    return np.exp(logits, out=logits)
+
+
 class Streams:
     """Documents (arrays of ids, the end included) laid end to end on a fixed
     number of streams of near-equal length. The end's id also starts each
@@ -87,7 +92,7 @@ class Gru:
     def __init__(self, params: dict[str, np.ndarray], bounds: np.ndarray):
         self.p = {k: v.astype(np.float32) for k, v in params.items()}
         self.bounds = bounds
-        self.label = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.int32)
+        self.label = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.int16)  # sorted by radix
         self.squares = {k: np.full_like(v, FLOOR) for k, v in self.p.items()}
 
     def states(self, x, fresh, h):
@@ -96,9 +101,9 @@ class Gru:
         p, hid = self.p, len(self.p["recur"])
         width, steps = x.shape
         kind = p["recur"].dtype
-        table = np.ascontiguousarray((p["embed"] @ p["input"] + p["gate"]).T)
         turned = np.ascontiguousarray(p["recur"].T)
-        act = np.empty((steps, 3 * hid, width), kind)
+        act = np.matmul(np.ascontiguousarray(p["input"].T), p["embed"][x.T].transpose(0, 2, 1))
+        act += p["gate"][:, None]
         before, after, own = (np.empty((steps, hid, width), kind) for _ in range(3))
         rec = np.empty((3 * hid, width), kind)
         for t in range(steps):
@@ -106,7 +111,6 @@ class Gru:
                 h = h * ~fresh[:, t]
             before[t] = h
             np.matmul(turned, h, out=rec)
-            np.take(table, x[:, t], axis=1, out=act[t], mode="clip")
             gates, n = act[t, :2 * hid], act[t, 2 * hid:]
             gates += rec[:2 * hid]
             np.tanh(gates, out=gates)
@@ -131,7 +135,7 @@ class Gru:
         one = np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
         scale = states.dtype.type(1 / max(len(targets), 1))
         label = self.label[targets]
-        e = np.exp(np.minimum(one @ p["class_out"], TOP))
+        e = _exp(one @ p["class_out"])
         total = e.sum(axis=1)
         score = np.log(e[rows, label] / total).astype(np.float64)
         back = None
@@ -150,7 +154,7 @@ class Gru:
                 continue  # a class of one word: probability one
             own = slice(cuts[c], cuts[c + 1])
             at, hit, s = rows[:cuts[c + 1] - cuts[c]], hits[own] - a, one[own]
-            e = np.exp(np.minimum(s @ p["word_out"][a:b].T, TOP))
+            e = _exp(s @ p["word_out"][a:b].T)
             total = e.sum(axis=1)
             score[order[own]] += np.log(e[at, hit] / total)
             if grads is not None:
@@ -188,7 +192,7 @@ class Gru:
         grads["recur"] = self.rows(before).T @ self.rows(inner)
         grads["gate"] = flat.sum(axis=0)
         ids = x.T.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16) if len(p["embed"]) <= 1 << 16 else ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
         by_id = np.add.reduceat(flat[order], first, axis=0)
         seen = ids[order][first]

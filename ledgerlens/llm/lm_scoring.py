@@ -1,7 +1,8 @@
 """Document log-likelihood under a recurrent language model trained here.
 
-Word counts come from every training text. The most frequent words are the
-model's outputs (class-factored softmax); any other word costs the model's
+Word counts come from every training text. The words above a share of the
+tokens, and at least the 2,046 most frequent, are the model's outputs
+(class-factored softmax); any other word costs the model's
 probability of an unlisted word times the word's share among those, smoothed
 by one, from the counts. Replicas of the model are trained on the partitions
 of a round's documents by truncated back-propagation; their weights, weighted
@@ -21,11 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import by_value, materialise
-from ledgerlens.llm.gru import CLASSES, HIDDEN, Gru, classes, initial
+from ledgerlens.llm.gru import HIDDEN, Gru, classes, initial
 
 by_value(__name__)
 
-LISTED = 1022  # output words of the model, besides the end and "any other"
+LISTED = 2046  # least number of output words of the model, besides the end and "any other"
+SHARE = 1 / 25_000  # of the training tokens, from which a word is an output word in any case (so they are 25,000 at most)
 HEAD = 1 << 16  # most frequent words, whose counts every task holds
 ROUNDS = 2
 TABLE = 1_000_000  # distinct words a task counts before it hands them on
@@ -165,8 +167,13 @@ def frequent(counts: DataFrame, distinct: int, most: int) -> dict[bytes, int]:
     return {bytes(r["word"]): r["c"] for r in rows}
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", listed: int = LISTED, rounds: int = ROUNDS,
-                    hidden: int = HIDDEN, n_classes: int = CLASSES, head_words: int = HEAD) -> DataFrame:
+def listing(counts: list[int], total: int) -> int:
+    """How many of the words, by falling count, the model lists."""
+    return max(min(LISTED, len(counts)), sum(c >= SHARE * total for c in counts))
+
+
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", listed: int | None = None, rounds: int = ROUNDS,
+                    hidden: int = HIDDEN, n_classes: int | None = None, head_words: int = HEAD) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every row: log10 probability of the whole text and its end under smoothed
     unigram counts and under the recurrent model.
@@ -184,7 +191,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"),
                                        F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("c"))), F.lit(0))).first()
     head = frequent(counts.where("octet_length(word) > 0"), distinct - bool(ends), head_words)
-    order = list(head)[:listed]
+    order = list(head)[:listing(list(head.values()), total) if listed is None else listed]
+    if n_classes is None:  # by the square root; a third of it, as a class costs a few calls whatever its size
+        n_classes = max(1, round(math.sqrt(len(order)) / 3))
     listed_tokens = sum(head[w] for w in order)
     # ids by falling count, so that classes are runs of ids; the two special
     # ids lead, each of them a class if it is frequent

@@ -115,6 +115,17 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert np.mean([r.score > r.base_score for r in out]) > 0.85
 
 
+@pytest.mark.parametrize("texts,listed", [([" ".join(f"w{i}" for i in range(3000))] * 2, 3000),
+                                          ([" ".join(f"w{i}" for i in range(30_000))], 2046), (["a b b"], 2)])
+def test_listed_words_follow_the_corpus(spark, monkeypatch, texts, listed):
+    from ledgerlens.llm import lm_scoring
+
+    seen = []
+    monkeypatch.setattr(lm_scoring, "initial", lambda sizes, bounds, hidden: seen.append(sizes) or initial(sizes, bounds, hidden))
+    out = score_documents(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), rounds=1)
+    assert out.count() == len(texts) and len(seen[0]) == listed + 2
+
+
 PAGE = """<html><head><title>x y</title><style>p{}</style></head><body class="page with-sidebar"><header><div class="logo">Site
 Name</div></header><nav>Home About</nav><div id="cookie-notice">We use cookies on this site today</div>
 <main><article><header><h1>Real &amp; title</h1></header><p>First   para of the <a href="x>y">story</a> has&nbsp;words.</p>
