@@ -32,7 +32,7 @@ APART_RANGE = (-1.5, -0.5)
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|title|textarea|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|iframe|title|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<tag>/?[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<odd>/?[a-z][a-z0-9:-]*)[^>]*>"
     r"|<[!?/][^>]*(?:>|\Z)", re.IGNORECASE | re.DOTALL)
@@ -43,7 +43,15 @@ SPACE = re.compile(r"\s+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
           "kbd", "label", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
-          "time", "tt", "u", "var", "wbr", "img", "br"}
+          "time", "tt", "u", "var", "wbr", "img", "br",
+          "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder",
+          "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "mspace", "mstyle", "mpadded",
+          "mphantom", "menclose", "merror", "semantics"}
+#: Elements without text of the page; one that is not closed ends where a block begins or ends.
+SILENT = {"svg", "object", "select", "button", "template", "annotation", "annotation-xml"}
+BLOCKS = {"address", "article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
+          "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p",
+          "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: A block that opens ends an open paragraph or an item of its own kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -67,6 +75,29 @@ def marked(rest: str) -> bool:
     return False
 
 
+def silent(page: str, marks: list[re.Match]) -> dict[int, tuple[int, int]]:
+    """First mark of each silent element -> the mark and the place that follow it."""
+    ends: dict[int, tuple[int, int]] = {}
+    opened: dict[str, list[int]] = {}
+    names = [(m["tag"] or m["odd"] or "").lower() for m in marks]
+    for k, name in enumerate(names):
+        if name in SILENT:
+            if (marks[k]["rest"] or "").endswith("/") and name == "svg":
+                ends[k] = k + 1, marks[k].end()
+            else:
+                opened.setdefault(name, []).append(k)
+        elif opened.get(name[1:]) and name[0] == "/":
+            ends[opened[name[1:]].pop()] = k + 1, marks[k].end()
+    loose = {k for own in opened.values() for k in own}
+    after = len(marks), len(page)
+    for k in range(len(marks) - 1, -1, -1) if loose else ():
+        if k in loose:
+            ends[k] = after
+        elif names[k].lstrip("/") in BLOCKS:
+            after = k, marks[k].start()
+    return ends
+
+
 def scan(page: str) -> Iterator[tuple]:
     """("tag", name), ("block",) where a block begins or ends, ("gap",) for a
     line break, and ("text", raw, place, inside); place: (innermost block,
@@ -83,7 +114,11 @@ def scan(page: str) -> Iterator[tuple]:
         while stack and stack.pop()[0] != name:
             pass
 
-    for m in MARKUP.finditer(page):
+    marks = list(MARKUP.finditer(page))
+    ends, upto = silent(page, marks), 0
+    for k, m in enumerate(marks):
+        if k < upto:  # in a silent element
+            continue
         if m.start() > at and page[at:m.start()].strip():
             yield "text", page[at:m.start()], place(), bool(stack) and stack[-1][2]
         elif m.start() > at:
@@ -92,6 +127,9 @@ def scan(page: str) -> Iterator[tuple]:
         name = (m["tag"] or m["odd"] or "").lower()
         if not name:
             continue
+        if k in ends:
+            upto, at = ends[k]
+            continue
         yield "tag", name
         if name[0] == "/":
             name = name[1:]

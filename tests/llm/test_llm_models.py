@@ -148,6 +148,16 @@ def test_extraction(page, text):
     assert H.extract(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<article><p>one <svg class="i"/> two</p><p>three</p></article>', "one two\nthree"),
+    ("<p>one <svg><title>t</title><g>no</g></svg> two</p><p>three", "one two\nthree"),
+    ("<p>one <button>no <p>two</p><p>three <button>no</button> four", "one\ntwo\nthree four"),
+    ("<p>one<select><option>no<option>no</p><p>two", "one\ntwo"), ("<p>one <object><p>no</p><object>no</object></object> two", "one two"),
+    ("<p>as <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is</p>", "as x=2 is"), ("<p>x<script>a <p>b", "x")])
+def test_elements_without_text_end_where_they_end(page, text):
+    assert H.extract(page, WEIGHTS) == text
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(i, "u", p, "x", 3) for i, p in enumerate([PAGE, PAGE, None, ""])] + [(None, None, PAGE, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
