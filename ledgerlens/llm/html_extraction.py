@@ -1,8 +1,10 @@
 """Main text of a web page by the maximum-scoring contiguous region.
 
 A page is a row of words and tags. A word scores the log odds that words in
-its surroundings (innermost block, link or not, names of the blocks around it)
-are content; a tag scores below zero by how rarely it is met inside content.
+its surroundings (innermost block, link or not, in a nav, footer or the like)
+are content. In an element whose class, id or role has a word of MARKS, it
+scores the log odds of that word instead; such a name does not reach into an
+article or main element, nor count if the element holds most of the page. A tag scores below zero by how rarely it is met inside content.
 The weights are learned from labelled pages: those that mark their content
 with an article or main element, which is not itself a feature. A linear scan
 finds the contiguous region with the largest sum; blocks of the region whose
@@ -28,6 +30,7 @@ by_value(__name__)
 SAMPLE_PAGES = 2_000  # bound of the sample of labelled pages the weights are fitted on
 TAG_FLOOR = -0.05  # a tag never scores above this
 WORD_CLIP = 4.0
+MOST = 2 / 3  # of a page's words outside links and nav, footer and the like: a named element with more is the page
 APART_RANGE = (-1.5, -0.5)
 
 MARKUP = re.compile(
@@ -56,7 +59,8 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "dd", "details",
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
 CONTENT = {"article", "main"}
-#: Elements and parts of class, id and role names that mark what surrounds an article.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}  # an id or class there names the text below
+#: Elements, and parts of class, id and role names, that are common around an article; the weight of each name is learned.
 APART = {"nav", "footer", "aside", "form", "dialog", "menu"}
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "bar", "breadcrumb", "breadcrumbs",
          "comment", "comments", "commentlist", "consent", "contentinfo", "cookie", "cookies", "copyright", "disclaimer", "disqus",
@@ -67,12 +71,14 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
 JOINERS = {"with", "has", "no", "without"}
 
 
-def marked(rest: str) -> bool:
+def marked(rest: str) -> str:
+    """The first word of MARKS in the names of an element."""
     for m in NAMES.finditer(rest):
         parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower())
-        if any(p in MARKS and (i == 0 or parts[i - 1] not in JOINERS) for i, p in enumerate(parts)):
-            return True
-    return False
+        for i, p in enumerate(parts):
+            if p in MARKS and (i == 0 or parts[i - 1] not in JOINERS):
+                return p
+    return ""
 
 
 def silent(page: str, marks: list[re.Match]) -> dict[int, tuple[int, int]]:
@@ -98,17 +104,36 @@ def silent(page: str, marks: list[re.Match]) -> dict[int, tuple[int, int]]:
     return ends
 
 
-def scan(page: str) -> Iterator[tuple]:
+def scan(page: str) -> list[tuple]:
     """("tag", name), ("block",) where a block begins or ends, ("gap",) for a
-    line break, and ("text", raw, place, inside); place: (innermost block,
-    in a link, apart); inside an article or main element or not."""
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, content
+    line break, and ("text", raw, place, inside); place: (innermost block, in a
+    link, apart by an element, word of MARKS around it or none); inside an
+    article or main element or not."""
+    parts = list(_parts(page))
+    words: Counter = Counter()  # of the page (none), and of each named element
+    for part in parts:
+        if part[0] == "text" and part[2] is not None and not part[2][1] and not part[2][2]:
+            n = len(part[1].split())
+            words[None] += n
+            words.update({mark: n for mark in part[2][3]})
+    least = MOST * words[None]
+
+    def name(chain):
+        return next((word for at, word in reversed(chain) if words[at, word] <= least), "")
+
+    return [(*part[:2], (*part[2][:3], name(part[2][3])), part[3]) if part[0] == "text" and part[2] is not None else part
+            for part in parts]
+
+
+def _parts(page: str) -> Iterator[tuple]:
+    """As scan, but with the names around a place as (element, word of MARKS)."""
+    stack: list[tuple[str, bool, bool, tuple]] = []  # name, apart, content, names
     at = 0
 
     def place():
         block = next((n for n, *_ in reversed(stack) if n not in INLINE), "")
         link = any(n == "a" for n, *_ in stack)
-        return (block if block not in CONTENT else "div", link, bool(stack) and stack[-1][1])
+        return (block if block not in CONTENT else "div", link, bool(stack) and stack[-1][1], stack[-1][3] if stack else ())
 
     def drop(name):
         while stack and stack.pop()[0] != name:
@@ -148,11 +173,13 @@ def scan(page: str) -> Iterator[tuple]:
                 del stack[opened:]
         if name in VOID or (m["rest"] or "").endswith("/"):
             continue
-        outer = stack[-1] if stack else ("", False, False)
+        outer = stack[-1] if stack else ("", False, False, ())
         own = name in APART or (name == "header" and not outer[2])
-        if not own and name not in CONTENT and name not in ("html", "body"):
-            own = bool(m["rest"]) and not (name == "header" and outer[2]) and marked(m["rest"])
-        stack.append((name, outer[1] or own, outer[2] or name in CONTENT))
+        names = () if name in CONTENT else outer[3]
+        if not own and m["rest"] and name not in CONTENT and name not in HEADINGS and name not in ("html", "body", "header"):
+            word = marked(m["rest"])
+            names = (*names, (k, word)) if word else names
+        stack.append((name, outer[1] or own, outer[2] or name in CONTENT, names))
     if page[at:].strip():
         yield "text", page[at:], place(), bool(stack) and stack[-1][2]
 
@@ -176,7 +203,7 @@ def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _word(place: tuple) -> str:
-    return f"{place[0]}|{int(place[1])}|{int(place[2])}"
+    return f"@{place[3]}" if place[3] and not place[2] else f"{place[0]}|{int(place[1])}|{int(place[2])}"
 
 
 def fit(pages: DataFrame, text: str = "html", sample: int = SAMPLE_PAGES) -> dict[str, float]:
@@ -201,6 +228,8 @@ def fit(pages: DataFrame, text: str = "html", sample: int = SAMPLE_PAGES) -> dic
 def _prior(feature: str) -> float:
     if feature[0] == "<":
         return 0.45
+    if feature[0] == "@":
+        return 0.2
     _, link, apart = feature.rsplit("|", 2)
     return 0.02 if apart == "1" else 0.25 if link == "1" else 0.8
 
@@ -214,16 +243,19 @@ def _weight(weights: dict[str, float], feature: str) -> float:
 
 
 def word_weight(weights: dict[str, float], place: tuple) -> float:
-    """Words apart from the article never count as content, however often a
-    labelled page had such a block inside its article element; nor do a few of
-    them end an article that goes on below."""
+    """Words apart from the article by an element never count as content,
+    however often a labelled page had such a block inside its article element;
+    those apart by a name do if its weight says so. A few words of either kind
+    do not end an article that goes on below."""
     w = _weight(weights, _word(place))
-    return max(APART_RANGE[0], min(w, APART_RANGE[1])) if place[2] else w
+    if place[2]:
+        return max(APART_RANGE[0], min(w, APART_RANGE[1]))
+    return max(APART_RANGE[0], w) if place[3] else w
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """Main text: blocks of the best region, one a line."""
-    parts = list(scan(page or ""))
+    parts = scan(page or "")
     best, best_from, best_to, run, start = 0.0, 0, 0, 0.0, 0
     for i, part in enumerate(parts):  # maximum-scoring contiguous subsequence
         if part[0] == "text" and part[2] is not None:
@@ -250,7 +282,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             end()
         elif part[0] == "gap":
             block.append(" ")
-        elif part[0] == "text" and (part[2] is None or not part[2][2]):
+        elif part[0] == "text" and (part[2] is None or not ((part[2][2] or part[2][3]) and word_weight(weights, part[2]) < 0)):
             block.append(part[1])
     end()
     return "\n".join(blocks)

@@ -158,6 +158,26 @@ def test_elements_without_text_end_where_they_end(page, text):
     assert H.extract(page, WEIGHTS) == text
 
 
+LONG = "<p>" + "some words of the story " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f'<div class="content sidebar-right"><article>{LONG}</article></div>', H.SPACE.sub(" ", LONG[3:-4]).strip()),
+    (f'<div id="page" class="site header-fixed"><p>one</p>{LONG}<div class="share">no no</div></div>', "one\n" + LONG[3:-4].strip()),
+    (f'<article><h2 id="related-work">Related work</h2>{LONG}<h2 id="search">Search</h2>{LONG}</article>',
+     "\n".join(["Related work", LONG[3:-4].strip(), "Search", LONG[3:-4].strip()])),
+    (f'<article>{LONG}<div class="promo"><p>buy</p></div>{LONG}</article>', "\n".join([LONG[3:-4].strip()] * 2))])
+def test_names_do_not_take_the_article(page, text):
+    assert H.extract(page, WEIGHTS) == text
+
+
+def test_learned_weights_of_names_decide(spark):
+    page = f'<article>{LONG}<div class="notice">{"kept words " * 9}</div>{LONG}</article><div class="promo">{"buy now " * 9}</div>'
+    weights = H.fit(spark.createDataFrame([(page,)] * 3, "html string"))
+    assert weights["@notice"] > 0 > weights["@promo"]
+    assert H.extract(page, weights) == "\n".join([LONG[3:-4].strip(), ("kept words " * 9).strip(), LONG[3:-4].strip()])
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(i, "u", p, "x", 3) for i, p in enumerate([PAGE, PAGE, None, ""])] + [(None, None, PAGE, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
