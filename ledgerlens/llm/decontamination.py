@@ -32,8 +32,9 @@ by_value(__name__)
 SHINGLE = 5
 SIMILARITY = 0.8
 BITS = 64
-#: A similarity of 0.8 turns 9.7 of 64 bits on average (deviation 2.9); the
-#: radius is over four deviations above that.
+#: A similarity of 0.8 turns 9.7 of 64 bits on average (deviation 2.9) with
+#: equal weights, which differ by a factor of 1.5 at most; the radius is over
+#: four deviations above that.
 RADIUS = 22
 BLOCKS = 4
 BLOCK_BITS = BITS // BLOCKS
@@ -87,9 +88,10 @@ class Items:
 
 
 def weight_of(df: int, n: int) -> float:
-    """Rarer among items weighs more; a shingle of no item weighs as one of a
-    single item."""
-    return 1.0 + math.log(n / max(df, 1))
+    """Rarer among items weighs more, from 1 (in all items) to 1.5 (in one)
+    whatever the number of items, so changed words cannot outweigh a passage
+    that many items share; a shingle of no item weighs as one of a single item."""
+    return 1.0 + 0.5 * math.log(n / max(df, 1)) / math.log(n) if n > 1 else 1.0
 
 
 def prepare(rows: list[tuple], n_items: int, df: dict[int, int]) -> Items:

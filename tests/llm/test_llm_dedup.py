@@ -249,6 +249,17 @@ def test_contamination_matches_all_windows(spark, pass_bytes):
     assert got == brute_leaks(docs, items)
 
 
+@pytest.mark.parametrize("n_items", [60, 1000])
+def test_near_copy_of_an_item_that_is_a_third_of_the_benchmark(spark, n_items):
+    words = [f"q{j}" for j in range(40)]
+    items = [(i, " ".join(words if i % 3 == 0 else [f"o{i}x{j}" for j in range(12)])) for i in range(n_items)]
+    near = " ".join(["before"] * 9 + words[:38] + ["changed", words[39]] + ["after"] * 9)  # two of 36 shingles
+    out = D.contaminated(spark.createDataFrame([(1, near)], "doc_id int, text string"),
+                         spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert {r.item_id for r in out} == {i for i, _ in items if i % 3 == 0}
+    assert D.weight_of(1, 100_000) <= 1.5 * D.weight_of(100_000, 100_000)
+
+
 def test_clean_drops_only_contaminated_rows(spark):
     docs, items = leak_fixture()
     bench = spark.createDataFrame(items, "item_id int, text string")
