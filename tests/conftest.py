@@ -6,9 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -16,14 +13,3 @@ def spark():
     s = get_session("local[*]", shuffle_partitions=8)
     yield s
     s.stop()
-
-
-def tx_frame(spark, rows):
-    """Raw invoice lines from tuples (InvoiceNo, StockCode, Description,
-    Quantity, InvoiceDate 'YYYY-MM-DD HH:MM', UnitPrice, CustomerID, Country)."""
-    import datetime as dt
-
-    from ledgerlens.schema import RAW_TX
-    conv = [(r[0], r[1], r[2], float(r[3]), dt.datetime.strptime(r[4], "%Y-%m-%d %H:%M"), float(r[5]), r[6], r[7])
-            for r in rows]
-    return spark.createDataFrame(conv, RAW_TX)

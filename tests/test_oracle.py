@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pytest
 
-from conftest import ROOT, SF001
+from helpers import ROOT, SF001
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 

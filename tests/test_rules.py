@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tx_frame
+from helpers import tx_frame
 from ledgerlens.config import Config
 from ledgerlens.functions.scoring import edge_count_score, rank_quantile_score
 from ledgerlens.operators import clean as C

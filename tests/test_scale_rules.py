@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, tx_frame
+from helpers import SF001, tx_frame
 from ledgerlens.config import BGNBDParams, Config
 from ledgerlens.functions.special import hyp2f1_numpy
 from ledgerlens.operators import clean as C
