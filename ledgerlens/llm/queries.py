@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import read
+from ledgerlens.llm.common import SPACE, bound, read
 
 QUERIES: dict = {}
 
@@ -95,6 +95,52 @@ def op10(spark, sf_dir):
     return judge(read(spark, sf_dir, "pages"), URL_RULES).drop("url")
 
 
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    from ledgerlens.llm.periodic_runs import periodic_runs
+    docs = read(spark, sf_dir, "documents")
+    out = periodic_runs(docs.select("doc_id", with_periodic_tail(F.col("doc_id"), F.col("text")).alias("text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"], r["period"])))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("l"),
+                     F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+    length = -F.col("l.shorter")
+    return out.select("doc_id", "n_runs", "l.start", length.alias("length"), "l.period",
+                      F.floor(1000 * length / F.col("l.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def with_periodic_tail(key, text):
+    """The contract's planted periods: for a tenth of the keys, the words from
+    a place on repeat those after it."""
+    h = F.crc32(key.cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        place = bound(F.struct(a.alias("a"), p.alias("p")), lambda s: F.transform(
+            F.sequence(F.lit(0).cast("long"), n - 1),
+            lambda i: F.when(i < s["a"], i).otherwise(s["a"] + F.pmod(i - s["a"], s["p"]))))
+        return F.array_join(F.transform(place, lambda i: F.get(words, i.cast("int"))), " ")
+
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    tail = bound(words, lambda ws: F.when(F.size(ws) > 0, planted(ws)))
+    return F.when(F.pmod(h, F.lit(10)) == 0, F.coalesce(tail, text)).otherwise(text)
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    from ledgerlens.llm.spelling_variants import spelling_variants
+    return spelling_variants(read(spark, sf_dir, "documents"), plant=31)
+
+
+@query("op13_fingerprints")
+def op13(spark, sf_dir):
+    from ledgerlens.llm.fingerprints import fingerprints
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
