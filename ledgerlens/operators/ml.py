@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, Config
@@ -58,11 +58,16 @@ VALIDATION_COL = "_is_validation"
 FIT_ROWS = 250_000  # customers of a partition in a fit
 
 
-def with_validation_rows(train: DataFrame, fraction: float = 0.1, cfg: Config = DEFAULT) -> DataFrame:
-    """Mark a hash-chosen share of the training rows as the validation set
-    for early stopping (L8); a customer is on the same side on every run."""
+def validation_rows(fraction: float = 0.1, cfg: Config = DEFAULT) -> Column:
+    """A hash-chosen share of the customers, the validation set for early
+    stopping (L8); a customer is on the same side on every run."""
     bucket = F.abs(F.xxhash64(F.col("CustomerID"), F.lit(cfg.seed + 1))) % 1000
-    return train.withColumn(VALIDATION_COL, bucket < int(round(fraction * 1000)))
+    return bucket < int(round(fraction * 1000))
+
+
+def with_validation_rows(train: DataFrame, fraction: float = 0.1, cfg: Config = DEFAULT) -> DataFrame:
+    """Mark the validation rows in a column of their own."""
+    return train.withColumn(VALIDATION_COL, validation_rows(fraction, cfg))
 
 
 def gbt_model(features: list[str], loss: str = "squared", cfg: Config = DEFAULT,
@@ -112,8 +117,12 @@ def baseline_metrics(test: DataFrame, train: DataFrame) -> DataFrame:
 def regression_metrics(model: PipelineModel, test: DataFrame, train: DataFrame) -> DataFrame:
     """MAE and RMSE of the model and of predicting the training mean, and the
     percent improvement of each (L6)."""
+    return metrics_of(model.transform(test), train)
+
+
+def metrics_of(pred: DataFrame, train: DataFrame) -> DataFrame:
+    """The same of any ``prediction`` column."""
     mean = train.agg(F.avg(TARGET)).scalar()
-    pred = model.transform(test)
     e = F.col("prediction") - F.col(TARGET)
     b = mean - F.col(TARGET)
     a = pred.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),

@@ -418,6 +418,54 @@ def q_feature_importance(spark, sf_dir):
     return ML.feature_importance(spark, model, feats)
 
 
+def _boosted(spark, sf_dir, loss="squared"):
+    """The learners as configured (second order with columns drawn per tree;
+    leaf-wise on the absolute loss), each fitted once per application and data
+    with a validation share of the training rows for early stopping."""
+    from ledgerlens.operators import boosting as BO
+    from ledgerlens.session import cut_lineage
+
+    def train_once():
+        data = cut_lineage(ML.ml_dataset(_features(spark, sf_dir), _cust(spark, sf_dir)))
+        feats = ML.feature_list(data)
+        train, test = ML.train_test_split(data)
+        cfg = BO.SECOND_ORDER if loss == "squared" else BO.LEAF_WISE
+        return BO.fit(train, feats, ML.TARGET, cfg, validation=ML.validation_rows()), train, test
+
+    return _MODELS.get(spark, sf_dir, ("boosting", loss), train_once)
+
+
+@register("boosted_rounds")
+def q_boosted_rounds(spark, sf_dir):
+    from ledgerlens.operators.boosting import rounds_table
+    return rounds_table(spark, _boosted(spark, sf_dir)[0])
+
+
+@register("boosted_metrics")
+def q_boosted_metrics(spark, sf_dir):
+    model, train, test = _boosted(spark, sf_dir)
+    return ML.metrics_of(test.withColumn("prediction", model.predict()), train)
+
+
+@register("boosted_importance")
+def q_boosted_importance(spark, sf_dir):
+    model = _boosted(spark, sf_dir)[0]
+    rows = spark.createDataFrame(list(zip(model.features, model.importances())), "feature string, importance double")
+    return rows.orderBy(F.desc("importance"), "feature").limit(10)
+
+
+@register("leafwise_rounds")
+def q_leafwise_rounds(spark, sf_dir):
+    from ledgerlens.operators.boosting import rounds_table
+    return rounds_table(spark, _boosted(spark, sf_dir, "absolute")[0])
+
+
+@register("leafwise_metrics")
+def q_leafwise_metrics(spark, sf_dir):
+    model, train, test = _boosted(spark, sf_dir, "absolute")
+    return ML.metrics_of(test.withColumn("prediction", model.predict()), train)
+
+
 # --- model fits (parameter rows; no SQL twin) ----------------------------------------
 
 @register("bgnbd_objective")

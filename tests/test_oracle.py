@@ -14,7 +14,8 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 # model fits and the boosted trees have no SQL twin (iterative algorithms)
 ROWS_ONLY = {"bgnbd_fit", "gg_fit", "customer_table_fitted", "calibration_holdout_fitted", "regression_metrics",
-             "regression_metrics_absolute", "feature_importance"}
+             "regression_metrics_absolute", "feature_importance", "boosted_rounds", "boosted_metrics", "boosted_importance",
+             "leafwise_rounds", "leafwise_metrics"}
 
 SAMPLE = ["event_rfm_metrics", "load_customer_table", "tx_clean", "cleaning_audit", "rfm_segments", "segment_distribution", "purchase_summary",
           "driver_metrics", "predict_clv", "customer_table", "kpis", "segment_clv_box", "scenario_totals",
