@@ -223,22 +223,30 @@ def _signed_units(shipped):
     return rows
 
 
+def _lists(units: pa.ListArray):
+    """The words of row i with their counts, from columns read once a batch."""
+    at = units.offsets.to_pylist()
+    held = units.values.slice(0, at[-1])
+    words, counts = held.field("word").to_pylist(), held.field("n").to_pylist()
+    return lambda i: dict(zip(words[at[i]:at[i + 1]], counts[at[i]:at[i + 1]]))
+
+
 def _verified(shipped):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = shipped.value
         for batch in batches:
             out: list[tuple] = []
-            for left_out, a, b, ours, theirs in zip(*(batch.column(i) for i in range(5))):
-                a, b = a.as_py(), b.as_py()
+            ours, theirs = _lists(batch.column(3)), _lists(batch.column(4))
+            for i, (left_out, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                 change = letter_change(a, b)
                 if change is None:
                     continue
                 if change[0]:
                     # the dimension that goes is the last of its letter, as is the one that comes
                     p, q = (vectors.place(f"{c}{of.count(c) - 1}")[0] for c, of in zip(change, (a, b)))
-                    if vectors.canonical(p, q) != left_out.as_py():
+                    if vectors.canonical(p, q) != left_out:
                         continue
-                left, right = ({w["word"]: w["n"] for w in side.as_py()} for side in (ours, theirs))
+                left, right = ours(i), theirs(i)
                 out += ((x, left[x], y, right[y]) for x, y in near_words(left, right, *change))
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64()) * 2)],
@@ -279,11 +287,13 @@ def near_pairs(words: DataFrame, anagrams: int = ANAGRAMS, parts: int | None = N
     shipped = spark.sparkContext.broadcast(Vectors(dimension_shares(units.select("letters"), max(total, 1)), parts))
     signatures = units.mapInArrow(_signed_units(shipped), "sig bigint, role tinyint, left_out smallint, low bigint, high bigint, "
                                                           f"letters string, words {UNIT}")
-    asked = signatures.where(F.col("role") != LONGER).alias("a")
-    index = signatures.where(F.col("role") != SHORT).alias("b")
+    # one exchange serves both sides: the roles are tested together, so neither side is filtered by itself;
+    # sort-merge, as the planner's size of a side is that of the units and not of their signatures
     apart = F.bit_count(F.expr("a.low ^ b.low")) + F.bit_count(F.expr("a.high ^ b.high"))
-    close = F.when(F.col("a.role") == SHORT, apart == 1).otherwise((F.col("a.letters") < F.col("b.letters")) & (apart <= 2))
-    met = asked.join(index, F.expr("a.sig = b.sig and a.left_out = b.left_out") & close)
+    same = F.expr(f"a.role + 3 * b.role = {SAME + 3 * SAME} and a.letters < b.letters") & (apart <= 2)
+    step = F.expr(f"a.role + 3 * b.role = {SHORT + 3 * LONGER}") & (apart == 1)
+    met = signatures.alias("a").join(signatures.alias("b").hint("merge"),
+                                     F.expr("a.sig = b.sig and a.left_out = b.left_out") & (same | step))
     found = met.select("a.left_out", "a.letters", F.col("b.letters").alias("other"), "a.words", F.col("b.words").alias("others"))
     pairs = materialise(found.mapInArrow(_verified(shipped), "a string, a_n bigint, b string, b_n bigint"))
     discard(units)
