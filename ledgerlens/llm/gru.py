@@ -15,6 +15,7 @@ HIDDEN = 16
 CLASSES = 16
 STREAMS = 256  # documents side by side
 STEPS = 16  # tokens of a window, over which errors are propagated back
+SCORE_STEPS = 64  # scoring carries the state on, so its windows may be longer
 RATE = 0.1  # of Adagrad
 FLOOR = 1e-6  # first sum of squares
 CLIP = 5.0
@@ -227,7 +228,7 @@ class Gru:
         total = np.zeros(len(docs))
         streams = Streams(docs, start)
         h = np.zeros((len(self.p["recur"]), len(streams.x)), np.float32)
-        for x, y, fresh, real, doc in streams.windows():
+        for x, y, fresh, real, doc in streams.windows(SCORE_STEPS):
             after, _, h = self.states(x, fresh, h[:, :len(x)])
             mask = real.T.ravel()
             got, _ = self.output(self.rows(after)[mask], y.T.ravel()[mask])

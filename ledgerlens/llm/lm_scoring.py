@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _ids(index: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.fromiter((index.get(w, OTHER_ID) for w in (*words, END)), np.int32, len(words) + 1)
+    out = np.empty(len(words) + 1, np.int32)
+    out[:-1] = np.fromiter(map(index.get, words, repeat(OTHER_ID)), np.int32, len(words))
+    out[-1] = index[END]
+    return out
 
 
 def _replica(shipped):
@@ -134,12 +138,11 @@ def _scorer(shipped, other_log: float):
                 cols: list[list] = [[] for _ in range(6)]
                 while at < batch.num_rows and held < GROUP_TOKENS:
                     words = words_of(batch.column(2)[at].as_py())
-                    found = [place.get(w, -1) for w in words]
-                    places = np.array(found, np.int64)
+                    places = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
                     docs.append(np.append(np.where((places >= 0) & (places < listed), places + 2, OTHER_ID), END_ID).astype(np.int32))
                     held += len(docs[-1])
                     each = logs[places]
-                    rare = Counter([w for w, i in zip(words, found) if i < 0])
+                    rare = Counter([words[i] for i in np.flatnonzero(places < 0).tolist()])
                     known = len(words) - rare.total() + (ends > 0)
                     for col, v in zip(cols, (len(words) + 1, known, each.sum() + end_log, each[places >= listed].sum(),
                                              list(rare), list(rare.values()))):
@@ -163,7 +166,7 @@ def frequent(counts: DataFrame, distinct: int, most: int) -> dict[bytes, int]:
     if distinct > 4 * most:  # four times as many, as the quantile is approximate
         least = counts.agg(F.percentile_approx("c", 1 - 4 * most / distinct, 100_000)).first()[0]
         counts = counts.where(F.col("c") >= least)
-    rows = counts.repartition(1).orderBy(F.desc("c"), "word").limit(most).collect()
+    rows = counts.orderBy(F.desc("c"), "word").limit(most).collect()
     return {bytes(r["word"]): r["c"] for r in rows}
 
 
