@@ -22,6 +22,7 @@ by pair.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -43,6 +44,7 @@ SEED = 20
 BLOCK = 4096  # shingles hashed at a time
 CHUNK_ROWS = 50_000  # of neighbouring keys, sorted in one task
 CHUNKS = 100_000  # at most; beyond, they grow instead
+TEXT_PASSES = 4  # shares of the texts that are looked through for those to verify
 
 
 def permutations(n: int = BANDS * WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +144,11 @@ def _backward(minhash: MinHash):
                 ordered = at >= 0
                 changed = edited(text, following[0] if ordered else "")
                 theirs = minhash.fingerprint(changed)
-                for col, v in zip(cols, (len(text), hashlib.sha256(changed.encode()).hexdigest(), own.tobytes(), theirs.tobytes(),
+                for col, v in zip(cols, (len(text), hashlib.sha256(changed.encode()).digest(), own.tobytes(), theirs.tobytes(),
                                          likeness(own, theirs), likeness(own, following[1]) if ordered else None)):
                     col.append(v)
             taken = batch.take(pa.array(kept, pa.int32()))
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in (0, 2, 3)), *(pa.array(c, k) for c, k in zip(cols, kinds))],
                                              names=names)
     return rows
@@ -206,12 +208,16 @@ def classes(prints: DataFrame, texts: DataFrame, similar: float = SIMILAR, bands
         likely = _both_sides(pairs, nodes, "fingerprint").mapInArrow(_similar_prints(least), "a bigint, b bigint")
         likely = materialise(likely)
         asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = nodes.join(asked, "node", "left_semi").select("d1", "d2", F.col("key").alias("k"), "node")
-        wanted = (texts.join(asked, ["d1", "d2"]).where(F.col("key").eqNullSafe(F.col("k"))).dropDuplicates(["node"])
-                  .select("node", "text").mapInArrow(sets, "node bigint, shingles binary"))
-        wanted = materialise(wanted)
+        asked = materialise(nodes.join(asked, "node", "left_semi").select("d1", "d2", F.col("key").alias("k"), "node"))
+        # a share of the texts at a time, so that no shuffle holds them all
+        parts = []
+        for p in range(TEXT_PASSES):
+            own = texts.where(F.pmod("d1", F.lit(TEXT_PASSES)) == p).join(asked, ["d1", "d2"])
+            parts.append(materialise(own.where(F.col("key").eqNullSafe(F.col("k"))).dropDuplicates(["node"])
+                                     .select("node", "text").mapInArrow(sets, "node bigint, shingles binary")))
+        wanted = functools.reduce(DataFrame.union, parts)
         links = materialise(_both_sides(likely, wanted, "shingles").mapInArrow(_similar_sets(similar), "a bigint, b bigint"))
-        for spent in (likely, wanted):
+        for spent in (likely, asked, *parts):
             discard(spent)
         return links
 
@@ -230,13 +236,17 @@ def classes(prints: DataFrame, texts: DataFrame, similar: float = SIMILAR, bands
     return rooted.join(rooted.groupBy("root").agg(F.min("key").alias("class_id")), "root").select("d1", "d2", "class_id")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS,
-                 width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(key).alias("key"), body.alias("text"), F.xxhash64(body).alias("d1"), F.xxhash64(F.lit(1), body).alias("d2"))
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                 size: int = BANDS * WIDTH) -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, class_id) of every row: characters; digest of the
-    edited text; both fingerprints as hex digits; the likeness of the
-    fingerprint to the edited text's and to the next document's; the smallest
-    key among the near duplicates, itself included.
+    near_edited, near_next) of every row: characters; digest of the edited
+    text; both fingerprints as hex digits; the likeness of the fingerprint to
+    the edited text's and to the next document's.
 
     The key is a number. The next document is the one with the next larger
     key, after the last the first; of rows that share a key the one with the
@@ -245,14 +255,34 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     characters and the fingerprint of no words, which is like itself. Repeated
     rows get equal rows; an empty table gives none; only key and text are
     read. Texts are read whole; a very long one is held by one task."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), body.alias("text"), F.xxhash64(body).alias("d1"), F.xxhash64(F.lit(1), body).alias("d2"))
+    rows = _rows(docs, key, text)
     kind = rows.schema["key"].dataType.simpleString()
-    prints = in_key_order(rows).mapInArrow(_backward(MinHash(bands * width, shingle)), (
-        f"key {kind}, d1 bigint, d2 bigint, n_chars bigint, edited_sha256 string, fingerprint binary, "
+    out = in_key_order(rows).mapInArrow(_backward(MinHash(size, shingle)), (
+        f"key {kind}, d1 bigint, d2 bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, "
         "edited_fingerprint binary, near_edited double, near_next double"))
-    prints = materialise(prints)
-    found = classes(prints.select("key", "d1", "d2", "fingerprint"), rows, similar, bands, width, shingle)
-    hexed = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
-    return prints.join(found, ["d1", "d2"]).select(
-        F.col("key").alias(key), "n_chars", "edited_sha256", *hexed, "near_edited", "near_next", "class_id")
+    hexed = [F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
+    return out.select(F.col("key").alias(key), "n_chars", *hexed, "near_edited", "near_next")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS,
+                    width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """(key, fingerprint, class_id) of every row; class_id: the smallest key
+    among its near duplicates, itself included (null only where all are).
+
+    Equal texts have one class; texts without words are alike. Null texts are
+    empty, repeated rows get equal rows, an empty table gives none, and only
+    key and text are read. A group of texts that share bands but are not
+    similar is compared pair by pair."""
+    rows = _rows(docs, key, text)
+    kind = rows.schema["key"].dataType.simpleString()
+    minhash = MinHash(bands * width, shingle)
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [minhash.fingerprint(t.as_py()).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(found, pa.binary())],
+                                             names=["key", "d1", "d2", "fingerprint"])
+
+    prints = materialise(rows.mapInArrow(printed, f"key {kind}, d1 bigint, d2 bigint, fingerprint binary"))
+    return prints.join(classes(prints, rows, similar, bands, width, shingle), ["d1", "d2"]).select(
+        F.col("key").alias(key), F.lower(F.hex("fingerprint")).alias("fingerprint"), "class_id")

@@ -261,10 +261,10 @@ def near_texts(seed=4):
 def test_fingerprints_match_brute_force(spark, tmp_path, rows):
     frame(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     out = Q.queries()["op13_fingerprints"](spark, str(tmp_path))
-    assert out.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"]
+    assert out.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     out = out.collect()
     assert collections.Counter(r.doc_id for r in out) == collections.Counter(k for k, _ in rows)
-    group, text_of = brute_classes(rows), {}
+    text_of = {}
     by_key = dict(sorted(((k, t or "") for k, t in rows if k is not None), reverse=True))
     keys = sorted(by_key)
     for r in out:
@@ -274,21 +274,27 @@ def test_fingerprints_match_brute_force(spark, tmp_path, rows):
         text, after = by_key[r.doc_id], by_key[keys[(keys.index(r.doc_id) + 1) % len(keys)]]
         changed = text[:len(text) - len(text) // 2] + after[:len(text) // 2]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
-        assert r.class_id == group[text]
         assert abs(r.near_edited - jaccard(shingles(text), shingles(changed))) < 0.25
         assert abs(r.near_next - jaccard(shingles(text), shingles(after))) < 0.25
         assert text_of.setdefault(text, r.fingerprint) == r.fingerprint and len(r.fingerprint) == 500
 
 
+@pytest.mark.parametrize("rows", [near_texts(), ODD, []])
+def test_classes_match_all_pairs(spark, rows):
+    group = brute_classes(rows)
+    got = FP.near_duplicates(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.class_id) for r in got) == collections.Counter((k, group[t or ""]) for k, t in rows)
+
+
 def test_chunks_hand_over_their_first_rows(spark):
     """Any number of chunks and partitions gives the same neighbours."""
     rows = frame(spark, [(3 * i, f"text {i} " * (i % 5)) for i in range(200)]).select(
         F.col("doc_id").alias("key"), "text", F.xxhash64("text").alias("d1"), F.lit(0).cast("long").alias("d2"))
     got = FP.in_key_order(rows, chunk_rows=7).mapInArrow(FP._backward(FP.MinHash(10)), (
-        "key bigint, d1 bigint, d2 bigint, n_chars bigint, edited_sha256 string, fingerprint binary, "
+        "key bigint, d1 bigint, d2 bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, "
         "edited_fingerprint binary, near_edited double, near_next double")).collect()
     texts = [f"text {i} " * (i % 5) for i in range(200)]
-    want = {3 * i: hashlib.sha256(FP.edited(t, texts[(i + 1) % 200]).encode()).hexdigest() for i, t in enumerate(texts)}
+    want = {3 * i: hashlib.sha256(FP.edited(t, texts[(i + 1) % 200]).encode()).digest() for i, t in enumerate(texts)}
     assert len(got) == 200 and {r.key: r.edited_sha256 for r in got} == want
 
 
