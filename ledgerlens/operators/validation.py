@@ -4,7 +4,7 @@ purchase days (M10)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, BGNBDParams, Config
@@ -41,6 +41,40 @@ def calibration_holdout(clean: DataFrame, bg: BGNBDParams | None = None, holdout
                  F.avg(e * e).alias("mse"), F.corr("predicted", F.col("actual").cast("double")).alias("correlation"))
 
 
+def purchase_probabilities(age: Column, p: BGNBDParams, n: int) -> Column:
+    """P(0), ..., P(n - 1) repeat purchases in ``age`` periods under BG/NBD, as
+    an array: each count's terms follow from the one before (the purchase rate
+    while active, and the chance to have left just then)."""
+    r, alpha, a, b = (F.lit(float(v)) for v in (p.r, p.alpha, p.a, p.b))
+    stay, z = alpha / (alpha + age), age / (alpha + age)
+    start = F.struct(F.pow(stay, r).alias("rate"), F.lit(0.0).alias("below"), F.lit(1.0).alias("active"), F.lit(0.0).alias("left"),
+                     F.array().cast("array<double>").alias("probs"))
+
+    def step(s, i):
+        prob = s["active"] * s["rate"] + s["left"] * (1 - s["below"])
+        return F.struct((s["rate"] * (r + i) / (i + 1) * z).alias("rate"), (s["below"] + s["rate"]).alias("below"),
+                        (s["active"] * (b + i) / (a + b + i)).alias("active"),
+                        F.when(i == 0, a / (a + b)).otherwise(s["left"] * (b + i - 1) / (a + b + i)).alias("left"),
+                        F.concat(s["probs"], F.array(prob)).alias("probs"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step, lambda s: s["probs"])
+
+
+def purchase_count_check(summary: DataFrame, p: BGNBDParams, most: int = 12) -> DataFrame:
+    """(purchases, is_tail, observed, expected): customers by their number of
+    repeat purchases, against the model's expectation over the customers' ages
+    (M10); the last row has all counts from ``most`` on. Customers meet by age
+    first, so the recursion runs once per distinct age."""
+    ages = summary.groupBy("T").agg(F.count(F.lit(1)).alias("n")).withColumn("probs", purchase_probabilities(F.col("T"), p, most))
+    rest = 1 - F.aggregate("probs", F.lit(0.0), lambda x, y: x + y)
+    expected = ages.select("n", F.posexplode(F.concat("probs", F.array(rest))).alias("purchases", "prob")).groupBy("purchases").agg(
+        F.sum(F.col("n") * F.col("prob")).alias("expected"))
+    observed = summary.groupBy(F.least(F.col("frequency"), F.lit(float(most))).cast("int").alias("purchases")).agg(
+        F.count(F.lit(1)).alias("observed"))
+    return expected.join(observed, "purchases", "left").select(
+        "purchases", (F.col("purchases") == most).alias("is_tail"), F.coalesce("observed", F.lit(0)).cast("long").alias("observed"), "expected")
+
+
 def interpurchase_distribution(clean: DataFrame, bin_days: int = 30, n: int | None = None) -> DataFrame:
     """Days between consecutive purchase days of a customer, counted in
     ``bin_days`` bins, with the share of all gaps."""

@@ -167,6 +167,21 @@ def clv_histogram(customers: DataFrame, bins: int = 50) -> DataFrame:
                     (rng["lo"] + (F.col("bin") + 1) * width).alias("bin_end"))
 
 
+def clv_histogram_rounded(customers: DataFrame, target: int = 50) -> DataFrame:
+    """Counts of positive CLV per segment in bins of a round width (A19): 1, 2
+    or 5 times a power of ten, the least that needs at most ``target`` bins for
+    the range; bins start at multiples of the width, which may add one. One
+    value makes bins of width one."""
+    pos = positive_clv(customers)
+    rng = pos.agg(F.struct(F.min("predicted_clv").alias("lo"), F.max("predicted_clv").alias("hi"))).scalar()
+    raw = (rng["hi"] - rng["lo"]) / target
+    tens = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    width = F.when(raw <= 0, 1.0).when(raw <= tens, tens).when(raw <= 2 * tens, 2 * tens).when(raw <= 5 * tens, 5 * tens).otherwise(10 * tens)
+    binned = pos.select("Segment", "predicted_clv", width.alias("width"))
+    h = binned.groupBy(F.floor(F.col("predicted_clv") / F.col("width")).alias("bin"), "width", "Segment").agg(F.count(F.lit(1)).alias("count"))
+    return h.select((F.col("bin") * F.col("width")).alias("bin_start"), ((F.col("bin") + 1) * F.col("width")).alias("bin_end"), "Segment", "count")
+
+
 def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """Box-plot statistics per group: quartiles (linear), Tukey fences,
     whiskers (extreme values inside the fences), outlier count (A20, A21)."""
@@ -231,6 +246,18 @@ def customer_detail(customers: DataFrame) -> DataFrame:
     return customers.select(*DETAIL_COLUMNS)
 
 
+def page_after(customers: DataFrame, last=None, size: int = 15) -> DataFrame:
+    """The next ``size`` customers by falling CLV, then recency and id, after
+    the one whose (predicted_clv, Recency, CustomerID) is ``last`` (O5, F18):
+    the position is a filter that the scan takes, so the millionth page costs
+    as much as the first; each task keeps ``size`` rows."""
+    if last is not None:
+        value, recency, customer = last
+        clv, days, name = F.col("predicted_clv"), F.col("Recency"), F.col("CustomerID")
+        customers = customers.filter((clv <= value) & ((clv < value) | (days > recency) | ((days == recency) & (name > customer))))
+    return customers.orderBy(F.col("predicted_clv").desc(), F.col("Recency"), F.col("CustomerID")).limit(size)
+
+
 def customer_table_query(customers: DataFrame, where: str | None = None, sort=(("predicted_clv", False),),
                          page: int = 0, page_size: int = 15) -> DataFrame:
     """User filter, multi-column sort (CustomerID breaks ties) and one page

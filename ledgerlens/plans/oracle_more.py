@@ -340,6 +340,21 @@ FROM sides, m WHERE test"""
                                    ("gg_objective", gg_ll, (s.p, s.q, s.v), "frequency > 0 AND monetary_value > 0")):
         q[name] = with_(BASE, SUMMARY) + f""", l AS (SELECT count(*) AS customers, {ll} AS ll FROM summ WHERE {where})
 SELECT customers, {P('ll')} AS mean_log_likelihood, {P(f'{0.01 * sum(v * v for v in theta)} - ll')} AS objective FROM l"""
+    r, al, a, b = (f"CAST({v} AS DOUBLE)" for v in (g.r, g.alpha, g.a, g.b))
+    q["purchase_count_check"] = with_(BASE, SUMMARY).replace("WITH", "WITH RECURSIVE", 1) + f""", m AS (
+  SELECT T, count(*) AS n, 0 AS i, pow({al} / ({al} + T), {r}) AS rate, CAST(0 AS DOUBLE) AS below, CAST(1 AS DOUBLE) AS active,
+         CAST(0 AS DOUBLE) AS gone FROM summ GROUP BY T
+  UNION ALL
+  SELECT T, n, i + 1, rate * ({r} + i) / (i + 1) * (T / ({al} + T)), below + rate, active * ({b} + i) / ({a} + {b} + i),
+         CASE WHEN i = 0 THEN {a} / ({a} + {b}) ELSE gone * ({b} + i - 1) / ({a} + {b} + i) END FROM m WHERE i < 11
+), e AS (
+  SELECT i AS purchases, sum(n * (active * rate + gone * (1 - below))) AS expected FROM m GROUP BY i
+), every AS (
+  SELECT * FROM e UNION ALL SELECT 12, (SELECT count(*) FROM summ) - (SELECT sum(expected) FROM e)
+), o AS (
+  SELECT CAST(least(frequency, 12) AS INTEGER) AS purchases, count(*) AS observed FROM summ GROUP BY 1
+)
+SELECT purchases, purchases = 12 AS is_tail, coalesce(observed, 0) AS observed, {P('expected')} AS expected FROM every LEFT JOIN o USING (purchases)"""
     ev = """
 ev_clean AS (
   SELECT DISTINCT CAST(event_id AS VARCHAR) AS InvoiceNo, 1.0 AS Quantity, ts AS InvoiceDate, value AS UnitPrice,

@@ -141,6 +141,12 @@ b AS (
   FROM pos, rng)
 SELECT bin, Segment, count(*) AS count, {M('lo + bin * w')} AS bin_start, {M('lo + (bin + 1) * w')} AS bin_end
 FROM b GROUP BY bin, Segment, lo, w"""
+    q["clv_histogram_rounded"] = f + f""", pos AS (SELECT * FROM cust WHERE predicted_clv > 0),
+raw AS (SELECT (max(predicted_clv) - min(predicted_clv)) / 50 AS raw, pow(10.0, floor(log10(nullif(raw, 0)))) AS tens FROM pos),
+wid AS (SELECT CASE WHEN raw <= 0 THEN 1.0 WHEN raw <= tens THEN tens WHEN raw <= 2 * tens THEN 2 * tens WHEN raw <= 5 * tens THEN 5 * tens
+               ELSE 10 * tens END AS w FROM raw),
+b AS (SELECT floor(predicted_clv / w) AS bin, w, Segment, count(*) AS count FROM pos, wid GROUP BY ALL)
+SELECT {M('bin * w')} AS bin_start, {M('(bin + 1) * w')} AS bin_end, Segment, count FROM b"""
     q["segment_clv_box"] = f + ", pos AS (SELECT * FROM cust WHERE predicted_clv > 0)" + _box("pos", "Segment")
     q["driver_bins_second_purchase"] = f + f"""SELECT CustomerID, time_to_second_purchase, {M('predicted_clv')} AS predicted_clv,
   {SECOND_BINS} AS time_to_second_purchase_binned, {SECOND_ORDER} AS bin_order FROM cust WHERE predicted_clv > 0"""

@@ -331,6 +331,11 @@ def q_interpurchase_distribution(spark, sf_dir):
     return rounded(VA.interpurchase_distribution(clean_tx(spark, sf_dir)), ratio=["mean_gap", "share_pct"])
 
 
+@register("purchase_count_check")
+def q_purchase_count_check(spark, sf_dir):
+    return rounded(VA.purchase_count_check(customer_plan(spark, sf_dir).summary, FIXED_BGNBD), ratio=["expected"])
+
+
 @register("time_between")
 def q_time_between(spark, sf_dir):
     return FE.time_between(clean_tx(spark, sf_dir)).select("CustomerID", "InvoiceDate", "TimeDiff")

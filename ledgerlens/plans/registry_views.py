@@ -85,6 +85,11 @@ def q_clv_histogram(spark, sf_dir):
     return rounded(V.clv_histogram(_c(spark, sf_dir)), money=["bin_start", "bin_end"])
 
 
+@register("clv_histogram_rounded")
+def q_clv_histogram_rounded(spark, sf_dir):
+    return rounded(V.clv_histogram_rounded(_c(spark, sf_dir)), money=["bin_start", "bin_end"])
+
+
 @register("segment_clv_box")
 def q_segment_clv_box(spark, sf_dir):
     return rounded(V.segment_clv_box(_c(spark, sf_dir)), money=BOX_MONEY)

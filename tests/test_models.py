@@ -163,3 +163,47 @@ def test_gbt_early_stopping_option(spark):
     assert 1 <= early.stages[-1].getNumTrees <= 100
     with pytest.raises(ValueError):
         ML.gbt_model(["a"], loss="huber")
+
+
+def test_purchase_probabilities_match_the_closed_form(spark):
+    from ledgerlens.operators import validation as VA
+    p = FIXED_BGNBD
+    beta = lambda x, y: math.exp(math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y))
+
+    def prob(x, t):
+        gamma = lambda j: math.exp(math.lgamma(p.r + j) - math.lgamma(p.r) - math.lgamma(j + 1))
+        rate = lambda j: gamma(j) * (p.alpha / (p.alpha + t)) ** p.r * (t / (p.alpha + t)) ** j
+        left = beta(p.a + 1, p.b + x - 1) / beta(p.a, p.b) * (1 - sum(map(rate, range(x)))) if x else 0.0
+        return beta(p.a, p.b + x) / beta(p.a, p.b) * rate(x) + left
+
+    ages = [0.0, 1.0, 200.0, 2500.0]
+    rows = spark.createDataFrame([(t, float(i)) for i, t in enumerate(ages)], "T double, frequency double")
+    got = {r["T"]: r["p"] for r in rows.select("T", VA.purchase_probabilities(F.col("T"), p, 40).alias("p")).collect()}
+    for t in ages:
+        assert np.allclose(got[t], [prob(x, t) for x in range(40)], atol=1e-10) and sum(got[t]) <= 1 + 1e-9
+    out = VA.purchase_count_check(rows, p, most=3).orderBy("purchases").collect()
+    assert [(r.purchases, r.is_tail, r.observed) for r in out] == [(0, False, 1), (1, False, 1), (2, False, 1), (3, True, 1)]
+    assert sum(r.expected for r in out) == pytest.approx(4)
+
+
+def test_pages_by_key_equal_pages_by_offset(spark):
+    from ledgerlens.operators import views as V
+    rng = np.random.default_rng(1)
+    rows = [(f"c{i:03d}", float(rng.integers(0, 9)), int(rng.integers(0, 4))) for i in range(200)]
+    df = spark.createDataFrame(rows, "CustomerID string, predicted_clv double, Recency int").repartition(4)
+    want = [r[0] for r in sorted(rows, key=lambda r: (-r[1], r[2], r[0]))]
+    last, got = None, []
+    while page := V.page_after(df, last, size=17).collect():
+        got += [r.CustomerID for r in page]
+        last = (page[-1].predicted_clv, page[-1].Recency, page[-1].CustomerID)
+    assert got == want
+
+
+@pytest.mark.parametrize("values,width", [([1.0, 99.0], 2.0), ([3.0], 1.0), ([0.1, 0.9], 0.02), ([10.0, 2510.0], 50.0), ([5.0, 5.0], 1.0)])
+def test_round_bins(spark, values, width):
+    from ledgerlens.operators import views as V
+    df = spark.createDataFrame([(v, "s") for v in [*values, -1.0]], "predicted_clv double, Segment string")
+    out = V.clv_histogram_rounded(df).collect()
+    assert sum(r["count"] for r in out) == len(values)
+    assert all(r.bin_end - r.bin_start == pytest.approx(width) for r in out)
+    assert sorted(r.bin_start for r in out) == pytest.approx(sorted({math.floor(v / width) * width for v in values}))
