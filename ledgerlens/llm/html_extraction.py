@@ -208,17 +208,19 @@ def _word(place: tuple) -> str:
 
 def fit(pages: DataFrame, text: str = "html", sample: int = SAMPLE_PAGES) -> dict[str, float]:
     """Feature weights from at most about ``sample`` labelled pages, drawn by a
-    hash over all rows. Features are element names and flags, so the counts
-    that reach the driver are few; rare ones (under 20) are left to the prior."""
-    body = pages.select(F.col(text).cast("string").alias("page")).where(F.col("page").rlike("(?i)<(article|main)\\b"))
+    hash of the whole row, so that copies of a page under other keys are drawn
+    one by one. Features seen under 20 times are left to the prior, so those
+    that reach the driver are at most a twentieth of the sample's words and tags."""
+    body = pages.select(F.col(text).cast("string").alias("page"), F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]).alias("draw"))
+    body = body.where(F.col("page").rlike("(?i)<(article|main)\\b"))
     total = body.count()
     if total > sample:
-        body = body.where(F.pmod(F.xxhash64("page"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
-    counts = body.mapInArrow(learn, "feature string, inside boolean, n bigint").groupBy("feature").agg(
+        body = body.where(F.pmod("draw", F.lit(1 << 30)) < int((1 << 30) * sample / total))
+    counts = body.select("page").mapInArrow(learn, "feature string, inside boolean, n bigint").groupBy("feature").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("yes"),
         F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("no")).where("yes + no >= 20")
     weights = {}
-    for r in counts.orderBy(F.desc(F.col("yes") + F.col("no")), "feature").limit(4096).collect():
+    for r in counts.collect():
         prior = _prior(r["feature"])
         odds = math.log((r["yes"] + 20 * prior) / (r["no"] + 20 * (1 - prior)))
         weights[r["feature"]] = max(-WORD_CLIP / 2, min(WORD_CLIP, odds))
