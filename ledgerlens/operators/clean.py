@@ -126,33 +126,36 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return copies.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
-def _fences(w: DataFrame, column: str):
-    """Tukey fences from exact quartiles (distributed ranks, not a gathered
-    value list), as a one-row scalar subquery struct(lo, hi)."""
-    from ledgerlens.operators.ordered import quantile_columns
-    q = quantile_columns(w, column, [0.25, 0.75], ["q1", "q3"])
-    f = q.select(F.struct((F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"),
-                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi")))
-    return f.scalar()
+def _fences(w: DataFrame, columns) -> dict:
+    """Tukey fences (lo, hi) of each column from exact quartiles: one stacked
+    run of distributed ranks, two numbers a column; null without values."""
+    from ledgerlens.operators.ordered import quantile_values
+
+    def bound(quartiles):
+        if None in quartiles:
+            return F.lit(None).cast("double"), F.lit(None).cast("double")
+        q1, q3 = quartiles
+        return F.lit(q1 - 1.5 * (q3 - q1)), F.lit(q3 + 1.5 * (q3 - q1))
+    return {c: bound(q) for c, q in quantile_values(w, columns, [0.25, 0.75]).items()}
 
 
 def iqr_outliers(df: DataFrame, column: str) -> DataFrame:
     """Rows outside the Tukey fences of ``column`` (F16), with the bounds."""
     w = _with_customer(df)
-    b = _fences(w, column)
-    j = w.withColumn("lower_bound", b["lo"]).withColumn("upper_bound", b["hi"])
-    return j.filter((F.col(column) < F.col("lower_bound")) | (F.col(column) > F.col("upper_bound")))
+    lo, hi = _fences(w, [column])[column]
+    return w.withColumn("lower_bound", lo).withColumn("upper_bound", hi) \
+        .filter((F.col(column) < lo) | (F.col(column) > hi))
 
 
 def iqr_summary(df: DataFrame) -> DataFrame:
     """Fences and outlier counts for Quantity and UnitPrice in one row."""
     w = _with_customer(df)
-    bq, bp = _fences(w, "Quantity"), _fences(w, "UnitPrice")
-    counts = w.agg(
-        F.count_if((F.col("Quantity") < bq["lo"]) | (F.col("Quantity") > bq["hi"])).alias("quantity_outliers"),
-        F.count_if((F.col("UnitPrice") < bp["lo"]) | (F.col("UnitPrice") > bp["hi"])).alias("price_outliers"))
-    return counts.select(bq["lo"].alias("quantity_lower"), bq["hi"].alias("quantity_upper"),
-                         bp["lo"].alias("price_lower"), bp["hi"].alias("price_upper"),
+    fences = _fences(w, ["Quantity", "UnitPrice"])
+    (q_lo, q_hi), (p_lo, p_hi) = fences["Quantity"], fences["UnitPrice"]
+    counts = w.agg(F.count_if((F.col("Quantity") < q_lo) | (F.col("Quantity") > q_hi)).alias("quantity_outliers"),
+                   F.count_if((F.col("UnitPrice") < p_lo) | (F.col("UnitPrice") > p_hi)).alias("price_outliers"))
+    return counts.select(q_lo.alias("quantity_lower"), q_hi.alias("quantity_upper"),
+                         p_lo.alias("price_lower"), p_hi.alias("price_upper"),
                          "quantity_outliers", "price_outliers")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, Config
 from ledgerlens.functions.dates import floor_days, plus_days
-from ledgerlens.operators.ordered import lag_within, quantile_columns
+from ledgerlens.operators.ordered import lag_within, quantile_values
 from ledgerlens.operators.visits import line_count, products
 from ledgerlens.session import cut_lineage
 
@@ -99,15 +99,12 @@ def ml_features(rfm: DataFrame, clean: DataFrame, cfg: Config = DEFAULT, fill: s
         .alias("CategoryDiversityIndex"))
     inv = clean.groupBy("CustomerID", "InvoiceNo").agg(F.sum("TotalPrice").alias("_v"))
     ostd = inv.groupBy("CustomerID").agg(F.stddev_samp("_v").alias("AvgOrderValueStdDev"))
-    # materialised once: the two median subqueries read it instead of
+    # materialised once: the median run reads it instead of
     # repeating the feature plan
     feats = cut_lineage(rfm.join(per, "CustomerID", "left").join(ostd, "CustomerID", "left"))
     if fill == "median":
-        med_recent = quantile_columns(feats, "PurchaseCountLast3Months", [0.5], ["m"]).select("m").scalar()
-        med_std = quantile_columns(feats, "AvgOrderValueStdDev", [0.5], ["m"]).select("m").scalar()
-        feats = (feats.withColumn("PurchaseCountLast3Months",
-                                  F.coalesce(F.col("PurchaseCountLast3Months").cast("double"), med_recent))
-                 .withColumn("AvgOrderValueStdDev", F.coalesce(F.col("AvgOrderValueStdDev"), med_std)))
+        for c, (median,) in quantile_values(feats, IMPUTED, [0.5]).items():
+            feats = feats.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(median).cast("double")))
     else:
         feats = feats.fillna({c: 0.0 for c in IMPUTED})
     numeric = [f.name for f in feats.schema.fields

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import DEFAULT, Config
 from ledgerlens.functions.numeric import safe_ratio
 from ledgerlens.operators.features import ENGINEERED, EXTRA
-from ledgerlens.operators.ordered import quantile_columns
+from ledgerlens.operators.ordered import quantile_values
 
 TARGET = "predicted_clv"
 BASE_FEATURES = ["Recency", "Frequency", "Monetary"]
@@ -37,10 +37,10 @@ def ml_dataset(features: DataFrame, customers: DataFrame, feature_set: str = "li
     for c in cols:
         data = data.withColumn(c, F.when(F.abs(F.col(c)) == float("inf"), None).otherwise(F.col(c)))
     nulls = data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    for c in cols:
-        if nulls[c]:  # medians only where something is missing
-            med = quantile_columns(data, c, [0.5], ["m"]).select("m").scalar()
-            data = data.withColumn(c, F.coalesce(F.col(c), med))
+    gaps = [c for c in cols if nulls[c]]  # medians only where something is missing
+    if gaps:
+        for c, (median,) in quantile_values(data, gaps, [0.5]).items():
+            data = data.withColumn(c, F.coalesce(F.col(c), F.lit(median).cast("double")))
     return data
 
 

@@ -31,10 +31,13 @@ FEW = 10_000  # rows of a per-partition or per-group table that is broadcast
 
 
 def few(df: DataFrame) -> DataFrame:
-    """A table with one row per group, written once and broadcast if it is
-    checked to be small; a large one is joined by the planner's choice."""
-    df = cut_lineage(df)
-    return F.broadcast(df) if df.count() <= FEW else df
+    """A table with one row per group, for a join: read once (at most FEW + 1
+    rows of it) and broadcast if it is checked to be small; a large one is
+    written and joined by the planner's choice."""
+    rows = df.limit(FEW + 1).toArrow()
+    if rows.num_rows <= FEW:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return cut_lineage(df)
 
 
 def ranged(df: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
@@ -57,7 +60,7 @@ def ranged(df: DataFrame, order: list[Column], n: int | None = None) -> DataFram
 
 def _per_partition(r: DataFrame, *aggs: Column) -> list:
     """One row per non-empty partition, ordered by partition index."""
-    return r.groupBy(_PID).agg(*aggs).orderBy(_PID).collect()
+    return sorted(r.groupBy(_PID).agg(*aggs).collect(), key=lambda row: row[_PID])
 
 
 def _attach(r: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -143,17 +146,45 @@ def exact_quantiles(df: DataFrame, value: str, probs, group: str | None = None,
 
     Returns (group, p, quantile)."""
     keys = [group] if group else []
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counts = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    order = ([F.col(group)] if group else []) + [F.col("_v")]
-    cum = global_cumsum(counts, order, "_c", "_cum", n=n)
+    return _quantiles(df.select(*keys, F.col(value).cast("double").alias("_v")), keys, probs, n)
+
+
+def stacked_quantiles(df: DataFrame, values, probs, group: str | None = None, n: int | None = None) -> DataFrame:
+    """``exact_quantiles`` of several columns in one run: the rows are stacked
+    as (group, column, value), so all columns share one count, one order and
+    one running sum. Returns (group, column, p, quantile); a column with no
+    value in a group has no row."""
+    keys = [group] if group else []
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in values]))
+    base = df.select(*keys, cells.alias("_cell")).select(*keys, "_cell.column", "_cell._v")
+    return _quantiles(base, [*keys, "column"], probs, n)
+
+
+def quantile_values(df: DataFrame, values, probs, n: int | None = None) -> dict[str, list[float | None]]:
+    """Quantiles of whole columns as numbers (columns x probabilities of them,
+    whatever the rows), for use as literals that a scan's filter can take; None
+    for a column without values."""
+    got = {(r["column"], r["p"]): r["quantile"] for r in stacked_quantiles(df, values, probs, n=n).collect()}
+    return {c: [got.get((c, float(p))) for p in probs] for c in values}
+
+
+def group_medians(df: DataFrame, values, group: str, n: int | None = None) -> DataFrame:
+    """One row per group with ``<column>_median`` for each of ``values``."""
+    q = stacked_quantiles(df, values, [0.5], group, n)
+    return q.groupBy(group).agg(*[F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(f"{c}_median") for c in values])
+
+
+def _quantiles(base: DataFrame, keys: list[str], probs, n: int | None) -> DataFrame:
+    """(keys, p, quantile) of the column ``_v`` for each of ``keys``."""
+    counts = base.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = global_cumsum(counts, [F.col(k) for k in [*keys, "_v"]], "_c", "_cum", n=n)
     per_group = cum.groupBy(*keys).agg(F.min(F.col("_cum") - F.col("_c")).alias("_before"),
                                        F.sum("_c").alias("_n"))
     if keys:
         j = cum.join(few(per_group), keys, "inner")
     else:
-        g = per_group.select(F.struct("_before", "_n")).scalar()
-        j = cum.withColumn("_before", g["_before"]).withColumn("_n", g["_n"])
+        g = per_group.first()  # one row, also of an empty table
+        j = cum.withColumn("_before", F.lit(g["_before"]).cast("bigint")).withColumn("_n", F.lit(g["_n"]).cast("bigint"))
     a = F.col("_cum") - F.col("_c") - F.col("_before") + 1
     b = F.col("_cum") - F.col("_before")
     covers = []

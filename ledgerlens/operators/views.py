@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.config import DEFAULT, Config
 from ledgerlens.functions.binning import bin_label, bin_order
 from ledgerlens.functions.numeric import safe_ratio
-from ledgerlens.operators.ordered import few, global_cumsum, global_row_number, quantile_columns
+from ledgerlens.operators.ordered import few, global_cumsum, global_row_number, quantile_columns, quantile_values
 from ledgerlens.schema import require_columns
 
 
@@ -282,18 +282,12 @@ def rfm_scatter(customers: DataFrame, segment: str | None = None) -> DataFrame:
 def rfm_describe(rfm: DataFrame, cols=("Recency", "Frequency", "Monetary")) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (exact, linear), max per
     column (A6), one row per statistic column."""
-    parts = []
-    for c in cols:
-        q = quantile_columns(rfm, c, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-        qs = q.select(F.struct("p25", "p50", "p75")).scalar()
-        a = rfm.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                    F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
-        parts.append(a.select(F.lit(c).alias("column"), "count", "mean", "std", "min",
-                              qs["p25"].alias("p25"), qs["p50"].alias("p50"), qs["p75"].alias("p75"), "max"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    quartiles = quantile_values(rfm, cols, [0.25, 0.5, 0.75])
+    stats = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                      F.min(c).cast("double").alias("min"),
+                      *[F.lit(q).cast("double").alias(name) for q, name in zip(quartiles[c], ("p25", "p50", "p75"))],
+                      F.max(c).cast("double").alias("max")) for c in cols]
+    return rfm.agg(F.array(*stats).alias("stats")).select(F.inline("stats"))
 
 
 def clv_cumulative(clv: DataFrame, value: str = "CLV_12months") -> DataFrame:

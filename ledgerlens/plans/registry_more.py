@@ -16,6 +16,7 @@ from ledgerlens.operators import ml as ML
 from ledgerlens.operators import rfm as RF
 from ledgerlens.operators import validation as VA
 from ledgerlens.operators import views as V
+from ledgerlens.operators.ordered import group_medians
 from ledgerlens.plans.common import InputCache, clean_tx, customer_plan, raw_tx, rounded
 from ledgerlens.plans.registry import CUSTOMER_MONEY, CUSTOMER_RATIO, register
 
@@ -104,10 +105,7 @@ def q_segment_stats(spark, sf_dir):
     means = seg.groupBy("Segment").agg(
         F.avg("Recency").alias("Recency_mean"), F.avg("Frequency").alias("Frequency_mean"),
         F.avg("Monetary").alias("Monetary_mean"), F.count(F.lit(1)).alias("count"))
-    out = means
-    from ledgerlens.operators.ordered import quantile_columns
-    for c in ("Recency", "Frequency", "Monetary"):
-        out = out.join(quantile_columns(seg, c, [0.5], [f"{c}_median"], group="Segment"), "Segment", "left")
+    out = means.join(group_medians(seg, ("Recency", "Frequency", "Monetary"), "Segment"), "Segment", "left")
     cols = [c for c in out.columns if c not in ("Segment", "count")]
     return rounded(out, ratio=cols)
 
@@ -136,15 +134,13 @@ def q_clv_horizons(spark, sf_dir):
 
 @register("segment_clv_horizons")
 def q_segment_clv_horizons(spark, sf_dir):
-    from ledgerlens.operators.ordered import quantile_columns
     h = _horizons(spark, sf_dir)
     aggs = [F.count(F.lit(1)).alias("count")]
     for c in ("CLV_3months", "CLV_6months", "CLV_12months"):
         aggs += [F.avg(c).alias(f"{c}_mean"), F.sum(c).alias(f"{c}_sum")]
     aggs.append(F.avg("prob_alive").alias("prob_alive_mean"))
     out = h.groupBy("Segment").agg(*aggs)
-    for c in ("CLV_3months", "CLV_6months", "CLV_12months", "prob_alive"):
-        out = out.join(quantile_columns(h, c, [0.5], [f"{c}_median"], group="Segment"), "Segment", "left")
+    out = out.join(group_medians(h, ("CLV_3months", "CLV_6months", "CLV_12months", "prob_alive"), "Segment"), "Segment", "left")
     money = [c for c in out.columns if c.startswith("CLV_")]
     return rounded(out, money=money, ratio=["prob_alive_mean", "prob_alive_median"])
 

@@ -5,7 +5,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ordered import exact_quantiles, global_cumsum, global_row_number, lag_within
+from ledgerlens.operators.clean import iqr_outliers
+from ledgerlens.operators.ordered import (exact_quantiles, few, global_cumsum, global_row_number, group_medians,
+                                           lag_within, quantile_values, stacked_quantiles)
+from ledgerlens.operators.views import rfm_describe
 
 
 def _frame(spark, n=4000, hot_share=0.5, seed=3):
@@ -64,3 +67,73 @@ def test_exact_quantiles_hot_value(spark):
     got = exact_quantiles(spark.createDataFrame(pdf), "v", [0.1, 0.25, 0.5, 0.9], group="g", n=8).toPandas()
     for _, row in got.iterrows():
         assert np.isclose(row["quantile"], np.quantile(pdf.loc[pdf.g == row["g"], "v"], row["p"]))
+
+
+def _hot_table(n=4000, seed=17):
+    """Half of the rows in one group, a third with one value, some nulls and a
+    column without values."""
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({"g": np.where(rng.random(n) < 0.5, "hot", np.char.add("k", rng.integers(0, 20, n).astype(str))),
+                        "a": np.where(rng.random(n) < 1 / 3, 5.0, rng.integers(0, 400, n) / 4),
+                        "b": rng.normal(0, 1e6, n), "i": rng.integers(0, 9, n)})
+    pdf["none"] = np.nan
+    pdf["b"] = pdf["b"].where(rng.random(n) < 0.9)
+    return pdf
+
+
+def _spark_table(spark, pdf):
+    df = spark.createDataFrame(pdf)
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def test_stacked_quantiles_hot_value_and_hot_group(spark):
+    pdf = _hot_table()
+    df = _spark_table(spark, pdf)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = stacked_quantiles(df, ["a", "b", "i", "none"], probs, group="g", n=8).toPandas()
+    assert len(got) == pdf.g.nunique() * 3 * len(probs) and set(got.column) == {"a", "b", "i"}
+    for _, row in got.iterrows():
+        want = pdf.loc[pdf.g == row["g"], row["column"]].dropna().quantile(row["p"])
+        assert np.isclose(row["quantile"], want, rtol=1e-12, atol=1e-9)
+    medians = group_medians(df, ["a", "b"], "g", n=8).toPandas().set_index("g")
+    want = pdf.groupby("g")[["a", "b"]].median()
+    assert np.allclose(medians.loc[want.index, ["a_median", "b_median"]], want)
+
+
+def test_quantile_values_and_empty_table(spark):
+    pdf = _hot_table()
+    df = _spark_table(spark, pdf)
+    got = quantile_values(df, ["a", "b", "none"], [0.25, 0.75])
+    for c in ("a", "b"):
+        assert np.allclose(got[c], pdf[c].dropna().quantile([0.25, 0.75]))
+    assert got["none"] == [None, None]
+    assert quantile_values(df.limit(0), ["a"], [0.5]) == {"a": [None]}
+    assert exact_quantiles(df.limit(0), "a", [0.5]).count() == 0 or exact_quantiles(df.limit(0), "a", [0.5]).first()["quantile"] is None
+
+
+def test_describe_and_fences_need_few_exchanges(spark):
+    pdf = _hot_table()
+    df = _spark_table(spark, pdf).withColumn("CustomerID", F.lit("1")).withColumnRenamed("i", "Quantity").withColumn("UnitPrice", F.col("a")) \
+        .withColumn("InvoiceNo", F.lit("7")).withColumn("InvoiceDate", F.lit("2011-01-01").cast("timestamp"))
+    described = rfm_describe(df, ("a", "b", "none"))
+    got = {r["column"]: r for r in described.collect()}
+    for c in ("a", "b"):
+        want = pdf[c].describe()
+        assert np.allclose([got[c][k] for k in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")], want, rtol=1e-9)
+    assert got["none"]["count"] == 0 and got["none"]["p50"] is None
+    # what is left to run after the ranks are written is one aggregate
+    assert described._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    outliers = iqr_outliers(df, "UnitPrice")
+    q1, q3 = pdf.a.quantile([0.25, 0.75])
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    assert outliers.count() == ((pdf.a < lo) | (pdf.a > hi)).sum()
+    assert "Exchange" not in outliers._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_joins_small_and_large_tables(spark, monkeypatch):
+    import ledgerlens.operators.ordered as O
+    rows = spark.range(50).withColumn("when", F.timestamp_seconds(F.col("id") * 1800)).withColumn("name", F.when(F.col("id") > 3, F.col("id").cast("string")))
+    small = few(rows)
+    assert small.schema == rows.schema and small.exceptAll(rows).count() == 0 and small.count() == 50
+    monkeypatch.setattr(O, "FEW", 10)
+    assert sorted(map(tuple, few(rows).collect()), key=lambda t: t[0]) == sorted(map(tuple, rows.collect()), key=lambda t: t[0])
