@@ -4,6 +4,8 @@
 Lanczos approximation (g = 7, 9 terms, relative error ~1e-15) applied at
 x + 1 with lgamma(x) = lgamma(x + 1) - ln x; stays in codegen.
 
+``digamma``: its derivative, as a Column or of a number.
+
 ``hyp2f1``: Gauss hypergeometric series 2F1(a, b; c; z) for 0 <= z < 1, as an
 Arrow-batched pandas UDF. The term count depends on z, so the loop runs until
 every row of the batch has converged; rows drop out of the working set as
@@ -58,6 +60,27 @@ def lgamma(x: Column) -> Column:
     return _lanczos(x + 1.0) - F.log(x)
 
 
+# B(2k) / 2k of the Bernoulli numbers, k = 1 to 7.
+DIGAMMA_COEF = (1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760, 1 / 12)
+DIGAMMA_SHIFT = 10
+
+
+def digamma(x):
+    """d/dx ln Γ(x) for x > 0: the asymptotic series at x + 10, where seven
+    terms leave under 1e-15, and ψ(x) = ψ(x + 1) - 1/x back to x. ``x`` is a
+    number or a Column; of Columns pass a reference or a short expression, as
+    it appears in every term."""
+    y = x + float(DIGAMMA_SHIFT)
+    inverse = 1.0 / (y * y)
+    series = DIGAMMA_COEF[-1] * inverse
+    for c in DIGAMMA_COEF[-2::-1]:
+        series = (series + c) * inverse
+    out = (F.log(y) if isinstance(y, Column) else math.log(y)) - 0.5 / y - series
+    for i in range(DIGAMMA_SHIFT):
+        out = out - 1.0 / (x + float(i))
+    return out
+
+
 HYP_TOL = 1e-16
 HALF = 0.5
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, BGNBDParams, Config
-from ledgerlens.functions.special import hyp2f1, hyp2f1_horizons, lgamma
+from ledgerlens.functions.special import digamma, hyp2f1, hyp2f1_horizons, lgamma
 from ledgerlens.operators.optimize import batch_objective, minimize_batched
 from ledgerlens.operators.summary import bgnbd_input
 from ledgerlens.session import cut_lineage
@@ -89,20 +89,55 @@ def _gamma_terms(x: Column, c: dict) -> Column:
             + c["lg_ab"] + lgamma(b + x) - c["lg_b"] - lgamma(a + b + x))
 
 
+def _gamma_slopes(x: Column, c: dict) -> list[Column]:
+    """``_gamma_terms`` derived by r, alpha, a and b."""
+    r, alpha, a, b = c["r"], c["alpha"], c["a"], c["b"]
+    dropped = c["dg_ab"] - digamma(a + b + x)
+    return [digamma(r + x) - c["dg_r"] + c["log_alpha"], r / alpha, dropped, dropped + digamma(b + x) - c["dg_b"]]
+
+
+def _active_and_dropped(x: Column, t: Column, T: Column, c: dict) -> tuple[Column, Column]:
+    """Log-likelihoods of still being active and of having dropped out after
+    the last purchase (null without repeat purchases)."""
+    r, alpha, b = c["r"], c["alpha"], c["b"]
+    return -(r + x) * F.log(alpha + T), F.when(x > 0, c["log_a"] - F.log(b + x - 1.0) - (r + x) * F.log(alpha + t))
+
+
 def _row_terms(x: Column, t: Column, T: Column, c: dict) -> Column:
     """The terms that need (x, t, T): logs and exps only."""
-    r, alpha, b = c["r"], c["alpha"], c["b"]
-    A3 = -(r + x) * F.log(alpha + T)
-    A4 = F.when(x > 0, c["log_a"] - F.log(b + x - 1.0) - (r + x) * F.log(alpha + t))
+    A3, A4 = _active_and_dropped(x, t, T, c)
     m = F.greatest(A3, F.coalesce(A4, A3))
     return m + F.log(F.exp(A3 - m) + F.coalesce(F.exp(A4 - m), F.lit(0.0)))
 
 
+def _row_slopes(x: Column, t: Column, T: Column, c: dict) -> list[Column]:
+    """``_row_terms`` derived by r, alpha, a and b: both cases weighted by
+    their shares of the likelihood."""
+    r, alpha, a, b = c["r"], c["alpha"], c["a"], c["b"]
+    A3, A4 = _active_and_dropped(x, t, T, c)
+    gone = F.coalesce(1.0 / (1.0 + F.exp(A3 - A4)), F.lit(0.0))
+    return [-(1.0 - gone) * F.log(alpha + T) - gone * F.log(alpha + t),
+            -(r + x) * ((1.0 - gone) / (alpha + T) + gone / (alpha + t)),
+            gone / a,
+            F.when(x > 0, -gone / (b + x - 1.0)).otherwise(F.lit(0.0))]
+
+
 def _constants(p: dict) -> dict:
     return {"lg_r": math.lgamma(p["r"]), "lg_b": math.lgamma(p["b"]), "lg_ab": math.lgamma(p["a"] + p["b"]),
+            "dg_r": digamma(p["r"]), "dg_b": digamma(p["b"]), "dg_ab": digamma(p["a"] + p["b"]),
             "log_alpha": math.log(p["alpha"]), "log_a": math.log(p["a"])}
 
 
+def likelihood(per_x: DataFrame, rows: DataFrame, total: float, penalizer: float = 0.0):
+    """Penalised negative mean log-likelihood of weighted rows (fx, ft, fage,
+    w) with its gradient, at (log r, log alpha, log a, log b); ``per_x`` has
+    the weights by fx alone."""
+    x, t, T = F.col("fx"), F.col("ft"), F.col("fage")
+    return batch_objective([(per_x, lambda c: [_gamma_terms(x, c), *_gamma_slopes(x, c)]),
+                            (rows, lambda c: [_row_terms(x, t, T, c), *_row_slopes(x, t, T, c)])],
+                           ["r", "alpha", "a", "b"], _constants, total, penalizer)
+
+
 def objective(summary: DataFrame, p: BGNBDParams, cfg: Config = DEFAULT) -> DataFrame:
     """One row: customers, mean log-likelihood and penalised objective (M1)
     of given parameters on the rows that the fit uses, in the data's own days."""
@@ -122,7 +157,7 @@ def bgnbd_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None
     """Penalised maximum likelihood (M1): minimise -mean(LL) + lambda * sum(theta^2)
     over log-parameters, with T rescaled to max 10 (alpha scaled back).
     Customers sharing (x, t, T) are one weighted row; the log-gamma terms are
-    evaluated once per distinct x."""
+    evaluated once per distinct x; gradients are exact."""
     lam = cfg.bgnbd_penalizer if penalizer is None else penalizer
     rows = bgnbd_input(summary, cfg.fit_all if fit_all is None else fit_all)
     t_max = rows.agg(F.max("T")).first()[0]
@@ -136,18 +171,7 @@ def bgnbd_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None
     comp = cut_lineage(comp)
     per_x = cut_lineage(comp.groupBy("fx").agg(F.sum("w").alias("w")))
     n = comp.agg(F.sum("w")).first()[0]
-    x, t, T = F.col("fx"), F.col("ft"), F.col("fage")
-    mean_ll = batch_objective([(per_x, lambda c: _gamma_terms(x, c)), (comp, lambda c: _row_terms(x, t, T, c))],
-                              ["r", "alpha", "a", "b"], _constants, total=n)
-
-    def f_batch(points):
-        out = []
-        for th, ll in zip(points, mean_ll(points)):
-            val = -ll + lam * float(np.sum(np.exp(th) ** 2)) if ll is not None else float("inf")
-            out.append(val if np.isfinite(val) else float("inf"))
-        return out
-
-    th, report = minimize_batched(f_batch, np.log([1.0, 1.0, 1.0, 1.0]), max_iter=max_iter)
+    th, report = minimize_batched(likelihood(per_x, comp, n, lam), np.log([1.0, 1.0, 1.0, 1.0]), max_iter=max_iter)
     r, al, a, b = np.exp(th)
     if report.at_bound or not report.converged:
         log.warning("BG/NBD fit is no interior optimum: %s", report)

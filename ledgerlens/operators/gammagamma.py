@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DEFAULT, Config, GammaGammaParams
-from ledgerlens.functions.special import lgamma
+from ledgerlens.functions.special import digamma, lgamma
 from ledgerlens.operators.optimize import batch_objective, minimize_batched
 from ledgerlens.operators.summary import gg_input
 from ledgerlens.session import cut_lineage
@@ -37,8 +37,31 @@ def _row_terms(x: Column, m: Column, c: dict) -> Column:
     return (px - 1.0) * F.log(m) - (px + q) * F.log(x * m + v)
 
 
+def _gamma_slopes(x: Column, c: dict) -> list[Column]:
+    """``_gamma_terms`` derived by p, q and v."""
+    p, q, v = c["p"], c["q"], c["v"]
+    both = digamma(p * x + q)
+    return [x * (both - digamma(p * x) + F.log(x)), both - c["dg_q"] + c["log_v"], q / v]
+
+
+def _row_slopes(x: Column, m: Column, c: dict) -> list[Column]:
+    """``_row_terms`` derived by p, q and v."""
+    p, q, v = c["p"], c["q"], c["v"]
+    spend = x * m + v
+    return [x * (F.log(m) - F.log(spend)), -F.log(spend), -(p * x + q) / spend]
+
+
 def _constants(p: dict) -> dict:
-    return {"lg_q": math.lgamma(p["q"]), "log_v": math.log(p["v"])}
+    return {"lg_q": math.lgamma(p["q"]), "dg_q": digamma(p["q"]), "log_v": math.log(p["v"])}
+
+
+def likelihood(per_x: DataFrame, rows: DataFrame, total: float, penalizer: float = 0.0):
+    """Penalised negative mean log-likelihood of weighted rows (x, m, w) with
+    its gradient, at (log p, log q, log v); ``per_x`` has the weights by x."""
+    x, m = F.col("x"), F.col("m")
+    return batch_objective([(per_x, lambda c: [_gamma_terms(x, c), *_gamma_slopes(x, c)]),
+                            (rows, lambda c: [_row_terms(x, m, c), *_row_slopes(x, m, c)])],
+                           ["p", "q", "v"], _constants, total, penalizer)
 
 
 def objective(summary: DataFrame, p: GammaGammaParams, cfg: Config = DEFAULT) -> DataFrame:
@@ -72,18 +95,7 @@ def gg_fit(summary: DataFrame, cfg: Config = DEFAULT, penalizer: float | None =
         F.count(F.lit(1)).cast("double").alias("w"))
     comp = cut_lineage(comp)
     per_x = cut_lineage(comp.groupBy("x").agg(F.sum("w").alias("w")))
-    x, m = F.col("x"), F.col("m")
-    mean_ll = batch_objective([(per_x, lambda c: _gamma_terms(x, c)), (comp, lambda c: _row_terms(x, m, c))],
-                              ["p", "q", "v"], _constants, total=float(stats["n"]))
-
-    def f_batch(points):
-        out = []
-        for th, ll in zip(points, mean_ll(points)):
-            val = -ll + lam * float(np.sum(np.exp(th) ** 2)) if ll is not None else float("inf")
-            out.append(val if np.isfinite(val) else float("inf"))
-        return out
-
-    th, report = minimize_batched(f_batch, np.log([1.0, 1.0, 1.0]), max_iter=max_iter)
+    th, report = minimize_batched(likelihood(per_x, comp, float(stats["n"]), lam), np.log([1.0, 1.0, 1.0]), max_iter=max_iter)
     p, q, v = np.exp(th)
     if q <= 1.0:
         log.warning("Gamma-Gamma q = %.4f <= 1: population mean spend is undefined", q)

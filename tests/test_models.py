@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.config import FIXED_BGNBD, FIXED_GAMMA_GAMMA, BGNBDParams, Config, GammaGammaParams
-from ledgerlens.functions.special import hyp2f1_numpy, lgamma
+from ledgerlens.functions.special import digamma, hyp2f1_numpy, lgamma
 from ledgerlens.operators import bgnbd as BG
 from ledgerlens.operators import clv as CL
 from ledgerlens.operators import gammagamma as GG
@@ -207,3 +207,62 @@ def test_round_bins(spark, values, width):
     assert sum(r["count"] for r in out) == len(values)
     assert all(r.bin_end - r.bin_start == pytest.approx(width) for r in out)
     assert sorted(r.bin_start for r in out) == pytest.approx(sorted({math.floor(v / width) * width for v in values}))
+
+
+def test_digamma_is_the_slope_of_lgamma(spark):
+    xs = [1e-6, 0.01, 0.5, 1.0, 1.4616321449683623, 2.5, 7.0, 33.3, 1e4]
+    euler = 0.5772156649015329
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r.g for r in df.select(digamma(F.col("x")).alias("g")).collect()]
+    for x, g in zip(xs, got):
+        assert math.isclose(g, digamma(x), rel_tol=1e-13, abs_tol=1e-13)
+        if x > 0.1:
+            h = 1e-5 * x
+            assert math.isclose(g, (math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h), rel_tol=1e-6, abs_tol=1e-6)
+    assert math.isclose(digamma(1.0), -euler, rel_tol=1e-14)
+    assert math.isclose(digamma(0.5), -euler - 2 * math.log(2), rel_tol=1e-14)
+    # -1/x - euler + x pi^2 / 6 near zero
+    assert math.isclose(digamma(1e-6), -1e6 - euler + 1e-6 * math.pi ** 2 / 6, rel_tol=1e-14)
+
+
+def _equals_differences(evaluate, points, k, h=1e-4):
+    for th in map(np.array, points):
+        stencil = [th + d * h * e for e in np.eye(k) for d in (-2, -1, 1, 2)]
+        values, gradients = evaluate([th, *stencil])
+        far_down, down, up, far_up = values[1:].reshape(k, 4).T
+        assert np.allclose(gradients[0], (far_down - 8 * down + 8 * up - far_up) / (12 * h), rtol=1e-6, atol=1e-7)
+
+
+def test_fit_gradients_equal_differences(spark):
+    rng = np.random.default_rng(8)
+    bg = []
+    for x in [*range(0, 30), 200]:
+        T = float(rng.uniform(1, 10))
+        bg.append((float(x), float(rng.uniform(0, T)) if x else 0.0, T, float(rng.integers(1, 5))))
+    rows = spark.createDataFrame(bg, "fx double, ft double, fage double, w double")
+    per_x = rows.groupBy("fx").agg(F.sum("w").alias("w"))
+    _equals_differences(BG.likelihood(per_x, rows, 77.0, 0.01), [[0, 0, 0, 0], [-1.4, 1.5, -0.2, 0.9], [0.5, -2, -6, 2], [1, 3, 1, -3]], 4)
+    gg = [(float(x), float(rng.gamma(2, 0.5)), float(rng.integers(1, 5))) for x in [*range(1, 20), 150]]
+    rows = spark.createDataFrame(gg, "x double, m double, w double")
+    per_x = rows.groupBy("x").agg(F.sum("w").alias("w"))
+    _equals_differences(GG.likelihood(per_x, rows, 50.0, 0.01), [[0, 0, 0], [1.8, 1.4, 2.7], [-2, 1, -1]], 3)
+
+
+def test_minimizer_on_plain_functions():
+    from ledgerlens.operators.optimize import minimize_batched
+    calls = []
+
+    def rosenbrock(points):
+        calls.append(len(points))
+        p = np.array(points)
+        x, y = p[:, 0], p[:, 1]
+        return (1 - x) ** 2 + 100 * (y - x * x) ** 2, np.stack([-2 * (1 - x) - 400 * x * (y - x * x), 200 * (y - x * x)], 1)
+    x, report = minimize_batched(rosenbrock, [-1.2, 1.0], max_iter=200)
+    assert np.allclose(x, 1, atol=1e-5) and report.converged and not report.at_bound
+    assert len(calls) <= report.iterations + 1 and max(calls) <= 6
+    # a slope that never ends stops on the box and says so
+    x, report = minimize_batched(lambda p: (np.array([v[0] for v in p]), np.ones((len(p), 1))), [0.0])
+    assert report.at_bound and report.converged and x[0] == -25
+    # nothing to evaluate
+    _, report = minimize_batched(lambda p: (np.full(len(p), np.inf), np.full((len(p), 1), np.nan)), [0.0])
+    assert not report.converged
