@@ -14,7 +14,7 @@ import numpy as np
 
 from ledgerlens.config import FitReport
 
-STEPS = (4.0, 2.0, 1.0, 0.5, 0.1, 0.01)  # line-search step sizes, all in one job
+STEPS = (16.0, 4.0, 2.0, 1.0, 0.5, 0.1, 0.01)  # line-search step sizes, all in one job
 
 
 def minimize_batched(evaluate: Callable[[Sequence[np.ndarray]], tuple[np.ndarray, np.ndarray]], x0,
@@ -86,7 +86,7 @@ def batch_objective(parts, names, constants, total: float, penalizer: float = 0.
     All are summed per candidate in one aggregate; the parts are unioned and
     summed in the same query and divided by ``total``.
 
-    The candidates (at most one per step size: six) travel as a broadcast
+    The candidates (at most one per step size: seven) travel as a broadcast
     table of that many rows. Parameters are data, not literals, so the
     generated code is the same at every step and compiles once.
     ``constants(params) -> dict`` adds per-candidate scalars computed on the
@@ -113,7 +113,7 @@ def batch_objective(parts, names, constants, total: float, penalizer: float = 0.
         params = F.broadcast(spark.createDataFrame(rows, built["schema"]))
         both = None
         for (table, _), aggs in zip(parts, built["aggs"]):
-            # one row per candidate vector (at most six) against every table row
+            # one row per candidate vector (at most seven) against every table row
             part = table.crossJoin(params).groupBy("_k").agg(*aggs)
             both = part if both is None else both.unionByName(part)
         got = {r["_k"]: r for r in both.groupBy("_k").agg(*[F.sum(s).alias(s) for s in sums]).collect()}
