@@ -241,11 +241,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """One row of each group, all columns as they were: the row with the
-    smallest key (of rows that share key and fingerprint, one stays)."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"),
-                         fingerprint(F.col(text), shingle).alias("fp"))
-    prints = materialise(packed.select("key", "fp"))
-    chosen = components(prints, distance).where("fp = keeper").select(
+    smallest key. Of rows that share key and fingerprint the one with the
+    smallest digest of its text stays, once. A null key counts as the largest;
+    null and empty texts are equal; an empty table gives none; all columns
+    travel in a struct, so names cannot clash.
+
+    Each fingerprint is made once: the rows are met again by key and digest of
+    the text, which costs a small part of a fingerprint."""
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    prints = materialise(docs.select(F.col(key).alias("key"), digest.alias("digest"), fingerprint(F.col(text), shingle).alias("fp")))
+    chosen = components(prints.select("key", "fp"), distance).where("fp = keeper").select(
         F.col("fp").alias("f"), F.col("component_id").alias("k"))
-    kept = packed.join(chosen, (F.col("fp") == F.col("f")) & F.col("key").eqNullSafe(F.col("k")), "left_semi")
-    return kept.dropDuplicates(["key", "fp"]).select("row.*")
+    firsts = prints.join(chosen, (F.col("fp") == F.col("f")) & F.col("key").eqNullSafe(F.col("k"))) \
+        .groupBy("k", "f").agg(F.min("digest").alias("d")).select("k", "d")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), digest.alias("digest"))
+    kept = packed.join(firsts, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left_semi")
+    return kept.dropDuplicates(["key", "digest"]).select("row.*")

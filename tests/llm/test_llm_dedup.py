@@ -303,3 +303,13 @@ def test_components_of_repeated_rows_use_little(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text"))
     out = S.near_duplicates(docs)
     assert out.agg(F.max("component_id")).first()[0] == 0 and out.count() == 3000
+
+
+def test_keep_one_with_repeated_and_null_keys(spark):
+    rows = [(1, "Alpha beta gamma delta"), (1, "alpha  beta gamma delta"), (1, "Alpha beta gamma delta"),
+            (2, "alpha beta gamma DELTA"), (None, None), (None, ""), (None, "one two three four five six seven"),
+            (3, "one two three four five six seven"), (None, "eight nine ten eleven twelve")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text or "") for r in S.keep_one(docs).collect()))
+    first = min(("Alpha beta gamma delta", "alpha  beta gamma delta"), key=lambda s: hashlib.md5(s.encode()).hexdigest())
+    assert got == [(0, ""), (0, "eight nine ten eleven twelve"), (1, first), (3, "one two three four five six seven")]
