@@ -23,9 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgerlens.llm.common import by_value, materialise
+from ledgerlens.llm.common import SPACE, by_value, materialise
 
 by_value(__name__)
 
@@ -95,8 +94,8 @@ def weight_of(df: int, n: int) -> float:
 
 
 def prepare(rows: list[tuple], n_items: int, df: dict[int, int]) -> Items:
-    """``rows``: (item id, text) with at least one word; ``df``: over all
-    items, not only this pass."""
+    """``rows``: (digest, text) with at least one word; ``df``: over the
+    distinct texts of all items, not only this pass."""
     ball = _ball()
     ids, lengths, prints, counts, weights = [], [], [], [], {}
     for item, text in rows:
@@ -215,37 +214,73 @@ def length_masks(items: Items) -> dict:
     return out
 
 
+def _texts(benchmark: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """(item, digest, t): items with a word. ``t``: the words, lower-cased
+    (A-Z), joined by one space, so items of the same words share a digest."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    t = F.trim(F.regexp_replace(F.translate(F.col(item_text).cast("string"), upper, upper.lower()), SPACE, " "))
+    return materialise(benchmark.select(F.col(item_key).alias("item"), t.alias("t")).where("t <> ''")
+                       .select("item", F.sha2("t", 256).alias("digest"), "t"))
+
+
+def _passes(texts: DataFrame, pass_bytes: int) -> int:
+    """Number of passes by hash of the distinct texts at which no pass of
+    several texts has more than ``pass_bytes``; counted, not assumed."""
+    size = F.sum(F.octet_length("t"))
+    passes = max(1, -(-(texts.agg(size).first()[0] or 0) // pass_bytes))
+    while passes > 1:
+        parts = texts.groupBy(_number(passes)).agg(size.alias("size"), F.count("*").alias("n"))
+        if not parts.where((F.col("size") > pass_bytes) & (F.col("n") > 1)).head(1):
+            break
+        passes *= 2
+    return passes
+
+
+def _number(passes: int):
+    return F.pmod(F.xxhash64("digest"), F.lit(passes))
+
+
+def _found(rows: DataFrame, items: DataFrame, threshold: float, pass_bytes: int) -> DataFrame:
+    """(key, digest, similarity, word_start, n_words) of ``rows`` (key, text):
+    each distinct item text is shipped once."""
+    spark = rows.sparkSession
+    texts = materialise(items.select("digest", "t").distinct())
+    n_items, passes = texts.count(), _passes(texts, pass_bytes)
+    # distinct texts that have a shingle, counted over the whole benchmark
+    spread = (texts.select("t", _number(passes).alias("p")).mapInArrow(_item_shingles, "h bigint, p bigint")
+              .groupBy("h").agg(F.count("*").alias("n"), F.collect_set("p").alias("ps")))
+    spread = materialise(spread) if passes > 1 else spread  # read by every pass
+    schema = (f"key {rows.schema['key'].dataType.simpleString()}, digest string, similarity double, word_start int, n_words int")
+    out = None
+    for p in range(passes):
+        own = [tuple(r) for r in texts.where(_number(passes) == p).collect()]  # at most pass_bytes, or one text
+        df = {r["h"] & ((1 << BITS) - 1): r["n"] for r in spread.where(F.array_contains("ps", F.lit(p).cast("bigint"))).collect()}
+        shipped = spark.sparkContext.broadcast((own, df))
+        found = rows.mapInArrow(_scan(shipped, n_items, threshold), schema)
+        out = found if out is None else out.union(found)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
                  item_key: str = "item_id", item_text: str = "text", similarity_at_least: float = SIMILARITY,
                  pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(key, item, similarity, word_start, n_words): each pair of a row and an
-    item with a window that is similar enough, with its best window.
+    item with a window that is similar enough, with its best window (the first
+    of several as good).
 
     Words are lower-cased (A-Z) and separated by ASCII white space; shingles
-    have five words. Null or empty texts and items match nothing. Repeated
-    rows and items give their own pairs; empty tables give no rows; other
-    columns are not read. The benchmark is a stated query set, shipped to the
-    tasks in passes of at most ``pass_bytes`` of text, whatever its size."""
-    spark = docs.sparkSession
-    items = materialise(benchmark.select(F.col(item_key).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
-                        .where(F.col("t").rlike(r"[^\x20\x09-\x0D]")))
-    n_items, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    have five words. Null or empty texts and items match nothing; a very long
+    text is held by its task, with windows only around shingles of items.
+    Repeated rows and items give their own pairs; empty tables give no rows;
+    other columns are not read. The benchmark is a stated query set: its
+    distinct texts (by which shingles are weighed too) are shipped to the tasks
+    in passes of at most ``pass_bytes`` of text, or one text, and items get the
+    matches of their text by a join."""
+    items = _texts(benchmark, item_key, item_text)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    kinds = [f.dataType for f in (rows.schema["key"], items.schema["item"])]
-    schema = f"key {kinds[0].simpleString()}, item {kinds[1].simpleString()}, similarity double, word_start int, n_words int"
-    passes = max(1, -(-size // pass_bytes))
-    number = F.pmod(F.xxhash64("t"), F.lit(passes))
-    # items that have a shingle, counted over the whole benchmark
-    spread = (items.select("t", number.alias("p")).mapInArrow(_item_shingles, "h bigint, p bigint")
-              .groupBy("h").agg(F.count("*").alias("n"), F.collect_set("p").alias("ps")))
-    out = None
-    for p in range(passes):
-        own = [tuple(r) for r in items.where(number == p).collect()]  # at most about pass_bytes
-        df = {r["h"] & ((1 << BITS) - 1): r["n"] for r in spread.where(F.array_contains("ps", F.lit(p).cast("bigint"))).collect()}
-        shipped = spark.sparkContext.broadcast((own, df))
-        found = rows.mapInArrow(_scan(shipped, n_items, similarity_at_least, to_arrow_type(kinds[1])), schema)
-        out = found if out is None else out.union(found)
-    return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "similarity", "word_start", "n_words")
+    found = _found(rows, items, similarity_at_least, pass_bytes)
+    return found.join(items.select("item", "digest"), "digest").select(
+        F.col("key").alias(key), F.col("item").alias(item_key), "similarity", "word_start", "n_words")
 
 
 def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +290,7 @@ def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([p] * len(own), pa.int64())], names=["h", "p"])
 
 
-def _scan(shipped, n_items: int, threshold: float, kind: pa.DataType):
+def _scan(shipped, n_items: int, threshold: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, df = shipped.value
         items = prepare(own, n_items, df) if own else None
@@ -269,19 +304,23 @@ def _scan(shipped, n_items: int, threshold: float, kind: pa.DataType):
                         rows.append((r, items.ids[i], score, start, n))
             at, item, score, start, n = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int32())), pa.array(item, kind),
+                [batch.column(0).take(pa.array(at, pa.int32())), pa.array(item, pa.string()),
                  pa.array(score, pa.float64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())],
-                names=["key", "item", "similarity", "word_start", "n_words"])
+                names=["key", "digest", "similarity", "word_start", "n_words"])
     return scan
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
+          item_key: str = "item_id", item_text: str = "text", similarity_at_least: float = SIMILARITY,
+          pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows without a passage of a benchmark item, all columns as they
     were. Each row is judged on its own text and keeps its columns in a
-    struct, so repeated or null keys and clashing names do no harm."""
+    struct, so repeated or null keys and clashing names do no harm; ties,
+    very long and empty texts and tables are as in ``contaminated``."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          F.struct(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h")).alias("id"))
-    texts = packed.select("id", F.col("row").getField(text).alias("text"))
-    bad = contaminated(texts, benchmark, "id", "text", **options).select(F.col("id.k").alias("bad_key"), F.col("id.h").alias("bad_hash")).distinct()
+    rows = packed.select(F.col("id").alias("key"), F.coalesce(F.col("row").getField(text).cast("string"), F.lit("")).alias("text"))
+    found = _found(rows, _texts(benchmark, item_key, item_text), similarity_at_least, pass_bytes)
+    bad = found.select(F.col("key.k").alias("bad_key"), F.col("key.h").alias("bad_hash")).distinct()
     same = F.col("id.k").eqNullSafe(F.col("bad_key")) & (F.col("id.h") == F.col("bad_hash"))
     return packed.join(bad, same, "left_anti").select("row.*")

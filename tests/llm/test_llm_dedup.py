@@ -201,7 +201,8 @@ def brute_leaks(docs, items, threshold=0.8):
     """Best weighted-shingle similarity over every window of the item's size."""
     grams = {i: collections.Counter(D.shingles(D.words_of(t))) for i, t in items}
     grams = {i: g for i, g in grams.items() if g}
-    df = collections.Counter(x for g in grams.values() for x in g)
+    distinct = {tuple(D.words_of(t)): grams[i] for i, t in items if i in grams}  # copies of an item count once
+    df = collections.Counter(x for g in distinct.values() for x in g)
     found = {}
     for d, text in docs:
         words = D.words_of(text)
@@ -214,7 +215,7 @@ def brute_leaks(docs, items, threshold=0.8):
                 k = min(5, n) if n < 5 else 5
                 other = collections.Counter(b" ".join(w[j:j + k]) for j in range(len(w) - k + 1)) if len(w) > k else collections.Counter([b" ".join(w)])
                 keys = own.keys() | other.keys()
-                weight = {x: D.weight_of(df[x] if x in own else 1, len(grams)) for x in keys}
+                weight = {x: D.weight_of(df[x] if x in own else 1, len(distinct)) for x in keys}
                 low, high = (sum(weight[x] * f(own[x], other[x]) for x in keys) for f in (min, max))
                 best = max(best, low / high)
             if best >= threshold:
@@ -227,7 +228,7 @@ def leak_fixture(seed=5):
     vocabulary = [f"v{j}" for j in range(400)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     items = [(i, " ".join(text(n))) for i, n in enumerate([3, 4, 5, 8, 15, 30, 30, 45, 59])]
-    items += [(20, None), (21, ""), (22, items[5][1]), (23, " ".join(items[5][1].split()[:20] + text(10)))]
+    items += [(20, None), (21, ""), (22, items[5][1].upper().replace(" ", " \n")), (23, " ".join(items[5][1].split()[:20] + text(10)))]
     docs = []
     for d in range(40):
         words = text(rng.randint(0, 80))
@@ -260,6 +261,28 @@ def test_near_copy_of_an_item_that_is_a_third_of_the_benchmark(spark, n_items):
     assert D.weight_of(1, 100_000) <= 1.5 * D.weight_of(100_000, 100_000)
 
 
+def test_copies_of_an_item_change_no_similarity_and_fill_no_pass(spark):
+    docs, items = leak_fixture()
+    copies = items + [(1000 + j, items[5][1]) for j in range(len(items) // 2)]  # a third of the benchmark
+    schema = "item_id int, text string"
+    once, often = ({(r.doc_id, r.item_id): (round(r.similarity, 9), r.word_start) for r in D.contaminated(
+        frame(spark, docs), spark.createDataFrame(rows, schema), pass_bytes=300).collect()} for rows in (items, copies))
+    assert {k: v for k, v in often.items() if k[1] < 1000} == once
+    assert {d for d, i in often if i == 1000} == {d for d, i in once if i == 5}
+    texts = D._texts(spark.createDataFrame(copies, schema), "item_id", "text").select("digest", "t").distinct()
+    passes = D._passes(texts, 300)
+    for r in texts.groupBy(D._number(passes)).agg(F.sum(F.octet_length("t")).alias("size"), F.count("*").alias("n")).collect():
+        assert r.size <= 300 or r.n == 1
+
+
+def test_first_of_equal_windows_and_a_very_long_text(spark):
+    item = " ".join(f"z{j}" for j in range(12))
+    text = "start " + (item + " between ") * 2 + "filler words " * 200_000 + item
+    out = D.contaminated(spark.createDataFrame([(1, text)], "doc_id int, text string"),
+                         spark.createDataFrame([(7, item)], "item_id int, text string")).collect()
+    assert [(r.item_id, r.similarity, r.word_start, r.n_words) for r in out] == [(7, 1.0, 1, 12)]
+
+
 def test_clean_drops_only_contaminated_rows(spark):
     docs, items = leak_fixture()
     bench = spark.createDataFrame(items, "item_id int, text string")
