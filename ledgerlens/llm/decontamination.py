@@ -7,8 +7,10 @@ radius) yields every item within the Hamming radius, and the exact weighted
 Jaccard similarity of the shingles decides.
 
 A window without any shingle of an item has similarity zero with it, so
-windows are only made where a document has an item's shingle (a sorted array
-of shingle hashes answers that); nothing can be lost by it.
+windows are only made where a document has an item's shingle; nothing can be
+lost by it. Words are looked up once as numbers (zero if no item has the word),
+a rolling sum of these finds the places that may have such a shingle, and only
+the shingles there are hashed.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,9 @@ BITS = 64
 RADIUS = 22
 BLOCKS = 4
 BLOCK_BITS = BITS // BLOCKS
-COARSE_BITS = 20  # of a shingle's hash, looked up before the sorted hashes
+COARSE_BITS = 20  # of the rolling sum of a shingle's words, looked up before the shingle is hashed
 PASS_BYTES = 16 << 20  # item text that one pass over the documents ships to each task
+ROLL = np.uint64(0x9E3779B97F4A7C15)  # an odd factor
 GROUP = 64  # items of one multi-index (one bit each in a word)
 
 
@@ -80,9 +84,11 @@ class Items:
     lengths: np.ndarray
     fingerprints: np.ndarray
     counts: list  # Counter of shingle hashes of each item
+    totals: list  # weight of all of them, per item
     weights: dict  # shingle hash -> weight
-    known: np.ndarray  # sorted shingle hashes
-    coarse: np.ndarray  # whether any of them starts with these bits
+    words: dict  # word of an item -> number, from 1
+    values: np.ndarray  # number -> factor in the rolling sum; 0 -> 0
+    coarse: np.ndarray  # whether the rolling sum of any item's shingle starts with these bits
     tables: list  # per group of items: BLOCKS x 65536 words, bit g for item g
 
 
@@ -93,13 +99,28 @@ def weight_of(df: int, n: int) -> float:
     return 1.0 + 0.5 * math.log(n / max(df, 1)) / math.log(n) if n > 1 else 1.0
 
 
+def rolled(values: np.ndarray, size: int) -> np.ndarray:
+    """A number for each ``size`` consecutive words; equal words, equal numbers."""
+    n = len(values) - size + 1
+    out = values[:n].copy()
+    for j in range(1, size):
+        out = out * ROLL + values[j:j + n]
+    return out
+
+
+def prefix(sums: np.ndarray) -> np.ndarray:
+    return (sums >> np.uint64(BITS - COARSE_BITS)).astype(np.int64)
+
+
 def prepare(rows: list[tuple], n_items: int, df: dict[int, int]) -> Items:
     """``rows``: (digest, text) with at least one word; ``df``: over the
     distinct texts of all items, not only this pass."""
     ball = _ball()
-    ids, lengths, prints, counts, weights = [], [], [], [], {}
+    ids, lengths, prints, counts, totals, weights, numbers = [], [], [], [], [], {}, {}
     for item, text in rows:
         words = words_of(text)
+        for x in words:
+            numbers.setdefault(x, len(numbers) + 1)
         h = hashes(shingles(words))
         own = Counter(h.tolist())
         for x in own:
@@ -108,6 +129,7 @@ def prepare(rows: list[tuple], n_items: int, df: dict[int, int]) -> Items:
         ids.append(item)
         lengths.append(len(words))
         counts.append(own)
+        totals.append(float(w.sum()))
         prints.append(pack((signs(h) * w[:, None]).sum(axis=0, keepdims=True))[0])
     prints = np.array(prints, np.uint64)
     tables = []
@@ -118,28 +140,31 @@ def prepare(rows: list[tuple], n_items: int, df: dict[int, int]) -> Items:
                 value = (fp >> (b * BLOCK_BITS)) & ((1 << BLOCK_BITS) - 1)
                 table[b, ball ^ np.uint32(value)] |= np.uint64(1 << g)
         tables.append(table)
-    known = np.array(sorted(weights), np.uint64)
+    values = np.concatenate([np.zeros(1, np.uint64), hashes(list(numbers))])
     coarse = np.zeros(1 << COARSE_BITS, bool)
-    coarse[(known >> np.uint64(BITS - COARSE_BITS)).astype(np.int64)] = True
-    return Items(ids, np.array(lengths), prints, counts, weights, known, coarse, tables)
+    for _, text in rows:
+        own = values[[numbers[x] for x in words_of(text)]]
+        coarse[prefix(rolled(own, min(SHINGLE, len(own))))] = True
+    return Items(ids, np.array(lengths), prints, counts, totals, weights, numbers, values, coarse, tables)
 
 
-def candidates(items: Items, prints: np.ndarray, length_mask: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """(window, item) within the radius: the blocks propose, the whole
-    fingerprint confirms."""
+def candidates(items: Items, prints: np.ndarray, length_mask: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int]]:
+    """(windows within the radius, ascending; item): the blocks propose, the
+    whole fingerprint confirms."""
+    block = [((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64) for b in range(BLOCKS)]
     for g, table in enumerate(items.tables):
-        hit = np.zeros(len(prints), np.uint64)
-        for b in range(BLOCKS):
-            hit |= table[b, ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)]
-        hit &= length_mask[g]
-        for w in np.flatnonzero(hit):
-            bits = int(hit[w])
-            while bits:
-                low = bits & -bits
-                bits ^= low
-                i = g * GROUP + low.bit_length() - 1
-                if (int(prints[w]) ^ int(items.fingerprints[i])).bit_count() <= RADIUS:
-                    yield int(w), i
+        if not length_mask[g]:
+            continue
+        hit = (table[0, block[0]] | table[1, block[1]] | table[2, block[2]] | table[3, block[3]]) & length_mask[g]
+        some = np.flatnonzero(hit)
+        bit, at = np.nonzero(np.unpackbits(hit[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T)
+        item, window = bit + g * GROUP, some[at]
+        near = np.bitwise_count(prints[window] ^ items.fingerprints[item]) <= RADIUS
+        item, window = item[near], window[near]
+        if len(item):
+            starts = np.flatnonzero(np.diff(item, prepend=-1))
+            for i, own in zip(item[starts].tolist(), np.split(window, starts[1:])):
+                yield own, i
 
 
 def similarity(items: Items, i: int, window: Counter, default: float) -> float:
@@ -169,27 +194,37 @@ def spans(places: np.ndarray, length: int, n: int) -> Iterator[tuple[int, int]]:
     yield begin, end
 
 
+def total_weight(w: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(w, dtype=np.float64)])
+
+
 def matches(items: Items, n_items: int, words: list[bytes], masks: dict, threshold: float = SIMILARITY) -> dict:
     """item -> (similarity, start, words) of its best window."""
     best: dict = {}
     n = len(words)
     default = weight_of(1, n_items)
+    numbers = np.fromiter(map(items.words.get, words, repeat(0)), np.int32, n)
+    if not numbers.any():
+        return best
+    values = items.values[numbers]
     for size in sorted({min(SHINGLE, int(x)) for x in items.lengths}):
         # items of fewer than five words are one shingle of their own length
         lengths = [int(x) for x in np.unique(items.lengths) if (int(x) == size if size < SHINGLE else x >= size)]
-        if not words:
-            continue
         if n < size:
             h, lengths = hashes(shingles(words)), [x for x in lengths if x >= SHINGLE]
+            places = np.array([0] if int(h[0]) in items.weights else [], np.int64)
         else:
-            grams = map(b" ".join, zip(*(words[i:] for i in range(size))))
-            h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, n - size + 1)
-        places = np.flatnonzero(items.coarse[(h >> np.uint64(BITS - COARSE_BITS)).astype(np.int64)])
-        if len(places):
-            at = np.minimum(np.searchsorted(items.known, h[places]), len(items.known) - 1)
-            places = places[items.known[at] == h[places]]
+            places = np.flatnonzero(items.coarse[prefix(rolled(values, size))])
+            sure = [xxhash.xxh64_intdigest(b" ".join(words[p:p + size])) in items.weights for p in places.tolist()]
+            places = places[np.array(sure, bool)]
         if not len(places):
             continue
+        if n >= size:  # shingles of all windows around the places; the longest windows cover the shorter
+            h = np.zeros(n - size + 1, np.uint64)
+            own = min(max(lengths), n)
+            for begin, end in spans(places, own, n):
+                end += max(own - size + 1, 1)
+                h[begin:end] = hashes([b" ".join(words[i:i + size]) for i in range(begin, end)])
         for length in lengths:
             own = min(length, n)  # a document shorter than the item is one window
             each = max(own - size + 1, 1)  # shingles of a window
@@ -198,10 +233,16 @@ def matches(items: Items, n_items: int, words: list[bytes], masks: dict, thresho
                 w = np.array([items.weights.get(x, default) for x in part.tolist()], np.float32)
                 total = np.vstack([np.zeros((1, BITS)), np.cumsum(signs(part) * w[:, None], axis=0, dtype=np.float64)])
                 prints = pack(np.round(total[each:] - total[:-each], 4))
-                for k, i in candidates(items, prints, masks[length]):
-                    score = similarity(items, i, Counter(part[k:k + each].tolist()), default)
-                    if score >= threshold and score > best.get(i, (0.0,))[0]:
-                        best[i] = (score, begin + k, own)
+                weight, grams = total_weight(w), part.tolist()
+                whole = weight[each:] - weight[:-each]
+                for windows, i in candidates(items, prints, masks[length]):
+                    # no more in common than the weight of the window's shingles that the item has
+                    mine = total_weight(w * np.fromiter(map(items.counts[i].__contains__, grams), bool, len(grams)))
+                    most = (mine[each:] - mine[:-each]) / np.maximum(whole, items.totals[i])
+                    for k in windows[most[windows] >= threshold - 1e-3].tolist():
+                        score = similarity(items, i, Counter(grams[k:k + each]), default)
+                        if score >= threshold and score > best.get(i, (0.0,))[0]:
+                            best[i] = (score, begin + k, own)
     return best
 
 
