@@ -8,7 +8,10 @@ article or main element, nor count if the element holds most of the page. A tag
 The weights are learned from labelled pages: those that mark their content
 with an article or main element, which is not itself a feature. A linear scan
 finds the contiguous region with the largest sum; blocks of the region whose
-surroundings are negative (a notice or an advert in the article) are left out.
+surroundings are negative (a notice or an advert in the article) are left out,
+and inside an article or main element they cost nothing, however long. What
+stands under a heading such as "3 comments", up to the next heading of its
+rank or the end of the element around it, scores as an element named so.
 """
 
 from __future__ import annotations
@@ -68,6 +71,9 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
          "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended",
          "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "sidenav", "signup", "skip", "social",
          "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets", "alert", "complementary", "toc"}
+#: Headings of reader comments.
+COMMENTS = re.compile(r"(?:(?:\d+|all|reader|user|your) )?(?:comments?|replies)(?: ?\(\d+\))?:?|(?:leave|post|add|write) a (?:comment|reply)"
+                      r"|\d+ (?:comments?|responses?|thoughts?) (?:on|to)\b.*|join the (?:discussion|conversation)", re.IGNORECASE | re.DOTALL)
 JOINERS = {"with", "has", "no", "without"}
 
 
@@ -128,16 +134,18 @@ def scan(page: str) -> list[tuple]:
 def _parts(page: str) -> Iterator[tuple]:
     """As scan, but with the names around a place as (element, word of MARKS)."""
     stack: list[tuple[str, bool, bool, tuple]] = []  # name, apart, content, names
+    under: list[tuple[int, str, tuple]] = []  # headings of comments: depth around them, rank, name
     at = 0
 
     def place():
         block = next((n for n, *_ in reversed(stack) if n not in INLINE), "")
         link = any(n == "a" for n, *_ in stack)
-        return (block if block not in CONTENT else "div", link, bool(stack) and stack[-1][1], stack[-1][3] if stack else ())
+        names = (*(stack[-1][3] if stack else ()), *(name for *_, name in under))
+        return (block if block not in CONTENT else "div", link, bool(stack) and stack[-1][1], names)
 
-    def drop(name):
-        while stack and stack.pop()[0] != name:
-            pass
+    def close(kept):
+        del stack[kept:]
+        under[:] = [u for u in under if u[0] <= kept]
 
     marks = list(MARKUP.finditer(page))
     ends, upto = silent(page, marks), 0
@@ -160,8 +168,9 @@ def _parts(page: str) -> Iterator[tuple]:
             name = name[1:]
             if name not in INLINE:
                 yield ("block",)
-            if any(n == name for n, *_ in stack):
-                drop(name)
+            last = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+            if last >= 0:
+                close(last)
             continue
         if name == "br":
             yield ("gap",)
@@ -170,7 +179,12 @@ def _parts(page: str) -> Iterator[tuple]:
             # a paragraph ends where a block begins, with the inline elements left open in it
             opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
             if opened >= 0 and (stack[opened][0] == "p" or stack[opened][0] in CLOSES.get(name, ())):
-                del stack[opened:]
+                close(opened)
+        if name in HEADINGS:
+            under[:] = [u for u in under if u[0] < len(stack) or u[1] < name]
+            end = next((x for x in marks[k + 1:k + 20] if (x["tag"] or "").lower() == f"/{name}"), None)
+            if name != "h1" and end and COMMENTS.fullmatch(SPACE.sub(" ", html.unescape(MARKUP.sub(" ", page[at:end.start()]))).strip()):
+                under.append((len(stack), name, (k, "comments")))
         if name in VOID or (m["rest"] or "").endswith("/"):
             continue
         outer = stack[-1] if stack else ("", False, False, ())
@@ -247,8 +261,8 @@ def _weight(weights: dict[str, float], feature: str) -> float:
 def word_weight(weights: dict[str, float], place: tuple) -> float:
     """Words apart from the article by an element never count as content,
     however often a labelled page had such a block inside its article element;
-    those apart by a name do if its weight says so. A few words of either kind
-    do not end an article that goes on below."""
+    those apart by a name do if its weight says so. Outside article and main
+    elements a few words of either kind do not end an article that goes on below."""
     w = _weight(weights, _word(place))
     if place[2]:
         return max(APART_RANGE[0], min(w, APART_RANGE[1]))
@@ -259,8 +273,14 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     """Main text: blocks of the best region, one a line."""
     parts = scan(page or "")
     best, best_from, best_to, run, start = 0.0, 0, 0, 0.0, 0
+
+    def left_out(place):
+        return (place[2] or place[3]) and word_weight(weights, place) < 0
+
     for i, part in enumerate(parts):  # maximum-scoring contiguous subsequence
         if part[0] == "text" and part[2] is not None:
+            if part[3] and left_out(part[2]):
+                continue  # not charged to the article around it
             score = word_weight(weights, part[2]) * len(part[1].split())
         elif part[0] == "tag":
             score = min(TAG_FLOOR, 0.1 * _weight(weights, f"<{part[1]}"))
@@ -284,7 +304,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             end()
         elif part[0] == "gap":
             block.append(" ")
-        elif part[0] == "text" and (part[2] is None or not ((part[2][2] or part[2][3]) and word_weight(weights, part[2]) < 0)):
+        elif part[0] == "text" and (part[2] is None or not left_out(part[2])):
             block.append(part[1])
     end()
     return "\n".join(blocks)

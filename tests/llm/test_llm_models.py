@@ -171,6 +171,28 @@ def test_names_do_not_take_the_article(page, text):
     assert H.extract(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize("words", [20, 45, 200])
+@pytest.mark.parametrize("tag", ["aside", 'div class="promo"', "form"])
+def test_long_blocks_apart_do_not_end_an_article(words, tag):
+    page = f"<nav>a b</nav><article>{LONG}<{tag}><p>{'no ' * words}</p></{tag.split()[0]}><p>short last words</p></article><footer>c d</footer>"
+    assert H.extract(page, WEIGHTS) == LONG[3:-4].strip() + "\nshort last words"
+
+
+TALK = "<p>I like this very much</p><div><p>me too and more</p></div>"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<body><article>{LONG}</article><h2>Comments</h2>{TALK}</body>", LONG[3:-4].strip()),
+    (f"<div><p>one</p>{LONG}<h3>2 <b>comments</b></h3>{TALK}</div>", "one\n" + LONG[3:-4].strip()),
+    (f"<article>{LONG}<h3>Comments (2)</h3>{TALK}<h3>Sources</h3><p>the last part</p></article>", LONG[3:-4].strip() + "\nSources\nthe last part"),
+    (f"<article>{LONG}<section><h2>Leave a reply</h2>{TALK}</section><p>the last part</p></article>", LONG[3:-4].strip() + "\nthe last part"),
+    (f"<article><h2>Comments</h2>{LONG}</article>", "Comments\n" + LONG[3:-4].strip()),  # most of the page
+    (f"<article><h1>Comments on the budget</h1>{LONG}<h2>Comments and notes</h2><p>kept words</p></article>",
+     "\n".join(["Comments on the budget", LONG[3:-4].strip(), "Comments and notes", "kept words"]))])
+def test_comments_marked_by_a_heading_only(page, text):
+    assert H.extract(page, WEIGHTS) == text
+
+
 def test_learned_weights_of_names_decide(spark):
     page = f'<article>{LONG}<div class="notice">{"kept words " * 9}</div>{LONG}</article><div class="promo">{"buy now " * 9}</div>'
     weights = H.fit(spark.createDataFrame([(page,)] * 3, "html string"))
