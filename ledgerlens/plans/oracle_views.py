@@ -152,6 +152,8 @@ SELECT {M('bin * w')} AS bin_start, {M('(bin + 1) * w')} AS bin_end, Segment, co
   {SECOND_BINS} AS time_to_second_purchase_binned, {SECOND_ORDER} AS bin_order FROM cust WHERE predicted_clv > 0"""
     q["driver_bins_category"] = f + f"""SELECT CustomerID, category_count, {M('predicted_clv')} AS predicted_clv,
   {CAT_BINS} AS category_count_binned, {CAT_ORDER} AS bin_order FROM cust WHERE predicted_clv > 0"""
+    q["driver_values_category"] = f + f"""SELECT CustomerID, category_count, {M('predicted_clv')} AS predicted_clv,
+  CAST(category_count AS VARCHAR) AS category_count_binned, category_count AS bin_order FROM cust WHERE predicted_clv > 0"""
     q["driver_comparison"] = f + f""", pos AS (SELECT *, {SECOND_BINS} AS time_to_second_purchase_binned
   FROM cust WHERE predicted_clv > 0)""" + _box("pos", "time_to_second_purchase_binned")
     q["driver_clv_box"] = f + f""", pos AS (SELECT *, {CAT_BINS} AS category_count_binned

@@ -214,6 +214,14 @@ def q_sales_by_quarter(spark, sf_dir):
                    ratio=["revenue_change_pct", "invoice_change_pct"])
 
 
+@register("distinct_sketch_check")
+def q_distinct_sketch_check(spark, sf_dir):
+    from ledgerlens.operators.sketches import monthly_sketches, sketch_check
+    from ledgerlens.session import cut_lineage
+    clean = clean_tx(spark, sf_dir)
+    return sketch_check(clean, cut_lineage(monthly_sketches(clean)))
+
+
 @register("country_share")
 def q_country_share(spark, sf_dir):
     return rounded(E.country_share(clean_tx(spark, sf_dir, with_country=True)), ratio=["percent"])

@@ -105,6 +105,11 @@ def q_driver_bins_category(spark, sf_dir):
     return rounded(V.driver_bins(_c(spark, sf_dir), "category_count"), money=["predicted_clv"])
 
 
+@register("driver_values_category")
+def q_driver_values_category(spark, sf_dir):
+    return rounded(V.driver_bins(_c(spark, sf_dir), "category_count", binned=False), money=["predicted_clv"])
+
+
 @register("driver_comparison")
 def q_driver_comparison(spark, sf_dir):
     """B4 / A21 for time to second purchase."""

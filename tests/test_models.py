@@ -266,3 +266,21 @@ def test_minimizer_on_plain_functions():
     # nothing to evaluate
     _, report = minimize_batched(lambda p: (np.full(len(p), np.inf), np.full((len(p), 1), np.nan)), [0.0])
     assert not report.converged
+
+
+def test_sketches_of_months_merge_to_any_span(spark):
+    from ledgerlens.operators import sketches as K
+    rows = spark.range(60_000).select(
+        F.expr("date_add(date'2024-01-15', cast(id % 12 as int) * 30)").alias("InvoiceDate"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 9_000).cast("string")).alias("CustomerID"),
+        F.when(F.col("id") % 50 > 0, F.col("id") % 40).alias("StockCode"))
+    months = K.monthly_sketches(rows)
+    assert months.count() == 12
+    for span in ("month", "quarter", "year"):
+        exact = {r[0]: (r[1], r[2]) for r in rows.groupBy(F.to_date(F.date_trunc(span, "InvoiceDate"))).agg(
+            F.count_distinct("CustomerID"), F.count_distinct("StockCode")).collect()}
+        got = {r[0]: (r[1], r[2]) for r in K.merged_counts(months, span).collect()}
+        assert got.keys() == exact.keys()
+        assert all(abs(a - b) <= max(1, 0.05 * b) for d in exact for a, b in zip(got[d], exact[d]))
+    assert K.merged_counts(K.monthly_sketches(rows.limit(0))).count() == 0
+    assert K.sketch_check(rows, months).where("NOT CustomerID_close OR NOT StockCode_close").count() == 0
