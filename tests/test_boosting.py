@@ -138,3 +138,35 @@ def test_odd_tables(spark):
         B.fit(df.where("y is null"), ["a"], "y")
     with pytest.raises(ValueError):
         B.Boosting(loss="huber")
+
+
+def test_a_fit_writes_no_table_and_many_partitions_add_up(spark):
+    import glob
+
+    from ledgerlens.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/cut-*"))
+    cfg = B.Boosting(rounds=2, loss="absolute", max_depth=2, min_rows=5)
+    few, many = (B.fit(table(spark, n=400)[0], ["a", "b", "c"], "y", cfg, parts=p) for p in (2, B.FEW_PARTS + 3))
+    assert set(glob.glob(f"{folder}/cut-*")) == before  # rows stay in the cached blocks
+    assert [t.split for t in few.trees] == [t.split for t in many.trees]
+    assert few.history[-1] == pytest.approx(many.history[-1])
+
+
+@pytest.mark.parametrize("copies", [1, 300])
+def test_bounds_of_a_rank_meet_in_its_value(copies):
+    rng = np.random.default_rng(copies)
+    parts = [np.sort(np.repeat(rng.normal(size=40).round(1), copies)), np.sort(rng.normal(size=700)), np.empty(0)]
+    whole = np.sort(np.concatenate(parts))
+    for rank in (1, len(whole) // 2, len(whole)):
+        low, high, steps = -np.inf, np.inf, 0
+        while low != high:
+            found = []
+            for r in parts:
+                below, end = np.searchsorted(r, low, side="left"), np.searchsorted(r, high, side="right")
+                v, first, n = np.unique(r[below:end], return_index=True, return_counts=True)
+                kept = np.unique(np.linspace(0, len(v) - 1, min(8, len(v))).astype(int))
+                found.append((v[kept], below + first[kept], below + first[kept] + n[kept], (below, end)))
+            low, high = B.bracket(found, rank)
+            assert low <= whole[rank - 1] <= high and (steps := steps + 1) < 9
+        assert low == whole[rank - 1]
