@@ -207,12 +207,13 @@ def clv_to_cac(customers: DataFrame, cac: float = 30.0) -> DataFrame:
     return g.select("Segment", "avg_clv", (F.col("avg_clv") / cac).alias("clv_to_cac"))
 
 
-def gateway_products(clean: DataFrame, customers: DataFrame) -> DataFrame:
+def gateway_products(clean: DataFrame, customers: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Every product bought on a customer's first purchase date, ranked by the
-    mean CLV of those customers (E17). Lines are first
+    mean CLV of those customers (E17). ``seen``: visits of the same lines, to
+    take the first dates from. Lines are first
     collapsed to (customer, date, product) so a heavy customer is combined
     map-side before the join."""
-    fp = first_purchases(clean)
+    fp = first_purchases(clean if seen is None else seen)
     items = clean.groupBy("CustomerID", "InvoiceDate", "StockCode").agg(F.count(F.lit(1)).alias("_n"))
     firsts = items.join(fp, (items.CustomerID == fp.CustomerID) & (items.InvoiceDate == fp.first_purchase),
                         "inner").select(items.CustomerID, "StockCode")

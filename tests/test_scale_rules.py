@@ -141,3 +141,38 @@ def test_audit_counts(spark):
     assert (r.raw_rows, r.rows_with_customer, r.rows_positive_quantity, r.rows_positive_price, r.clean_rows) == (5, 4, 3, 2, 1)
     assert C.cleaning_audit(tx_frame(spark, [line]).limit(0)).first().raw_rows == 0
     assert Config().order_partitions is None
+
+
+def _plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_and_visits_meet_where_the_join_put_them(spark, tmp_path):
+    from ledgerlens.operators.visits import visits
+    from ledgerlens.plans.common import clean_tx
+    lines = pd.DataFrame([(o, p, 2.0, 8.0, f) for o, p, f in [(1, 1, "N"), (1, 1, "N"), (1, 2, "N"), (2, 1, "N"), (2, 1, "R"), (3, 1, "N")]],
+                         columns=["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"])
+    orders = pd.DataFrame([(1, 7.0), (2, 7.0), (2, 7.0), (3, None)], columns=["o_orderkey", "o_custkey"]).astype({"o_custkey": "Int64"})
+    orders["o_orderdate"] = pd.Timestamp("2020-01-01")
+    lines.to_parquet(tmp_path / "lineitem.parquet")
+    orders.to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = visits(clean_tx(spark, str(tmp_path), with_order=True))
+        assert _plan_text(seen).count("Exchange hashpartitioning") == 2  # both sides of the join
+        rows = sorted((r.InvoiceNo, r.lines, r.TotalPrice) for r in seen.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert rows == [("1", 2, 16.0), ("2", 1, 8.0)]
+    assert "_order" not in clean_tx(spark, str(tmp_path)).columns and "_order" not in seen.columns
+
+
+def test_a_plan_ranks_and_scores_only_when_asked(spark):
+    from ledgerlens.plans.customer_plan import build_customer_plan
+    rows = [(str(i), "A", "d", 1, f"2020-01-0{1 + i % 9} 10:00", 2.0 + i, f"c{i % 4}", "UK") for i in range(20)]
+    plan = build_customer_plan(C.tx_clean(tx_frame(spark, rows)))
+    assert plan.summary.count() == 4 and not {"segments", "customers"} & set(vars(plan))
+    other = plan.scored(plan.bg, None)
+    assert other.base is plan.base and other.segments is plan.segments
+    assert {r.predicted_clv for r in other.customers.collect()} == {0.0}
