@@ -147,7 +147,8 @@ def _plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_copies_and_visits_meet_where_the_join_put_them(spark, tmp_path):
+def test_copies_and_visits_meet_where_the_join_put_them(spark, tmp_path, monkeypatch):
+    from ledgerlens.sources import tables as T
     from ledgerlens.operators.visits import visits
     from ledgerlens.plans.common import clean_tx
     lines = pd.DataFrame([(o, p, 2.0, 8.0, f) for o, p, f in [(1, 1, "N"), (1, 1, "N"), (1, 2, "N"), (2, 1, "N"), (2, 1, "R"), (3, 1, "N")]],
@@ -162,6 +163,10 @@ def test_copies_and_visits_meet_where_the_join_put_them(spark, tmp_path):
         seen = visits(clean_tx(spark, str(tmp_path), with_order=True))
         assert _plan_text(seen).count("Exchange hashpartitioning") == 2  # both sides of the join
         rows = sorted((r.InvoiceNo, r.lines, r.TotalPrice) for r in seen.collect())
+        monkeypatch.setattr(T, "LINES_PER_PART", 0.5)  # more partitions than the session's: 12
+        more = visits(clean_tx(spark, str(tmp_path), with_order=True))
+        assert _plan_text(more).count("Exchange hashpartitioning") == 2 and "_orderkey#" in _plan_text(more)
+        assert sorted((r.InvoiceNo, r.lines, r.TotalPrice) for r in more.collect()) == rows
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert rows == [("1", 2, 16.0), ("2", 1, 8.0)]
