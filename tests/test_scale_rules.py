@@ -173,6 +173,40 @@ def test_copies_and_visits_meet_where_the_join_put_them(spark, tmp_path, monkeyp
     assert "_order" not in clean_tx(spark, str(tmp_path)).columns and "_order" not in seen.columns
 
 
+def test_partitions_follow_the_rows_while_a_plan_is_built(spark, tmp_path, monkeypatch):
+    from ledgerlens import session as S
+    from ledgerlens.operators import validation as VA
+    from ledgerlens.plans import common, customer_plan as P, registry_more as M
+    for t in ("lineitem", "orders"):
+        shutil.copyfile(f"{SF001}/{t}.parquet", tmp_path / f"{t}.parquet")
+    had, seen = spark.conf.get(S._PARTS), {}
+
+    def note(name, f):
+        def run(*a, **b):
+            seen[name] = int(spark.conf.get(S._PARTS))
+            return f(*a, **b)
+        return run
+    monkeypatch.setattr(P, "customer_base", note("base", P.customer_base))
+    monkeypatch.setattr(M.FE, "ml_features", note("features", M.FE.ml_features))
+    monkeypatch.setattr(M.E, "segment_transitions", note("transitions", M.E.segment_transitions))
+    monkeypatch.setattr(VA, "calibration_holdout", note("holdout", lambda rows: rows.limit(0).selectExpr(
+        "1D predicted_total", "1D mae", "1D mse", "1D correlation")))
+    monkeypatch.setattr(S, "ROWS_PER_PART", 100)
+    place = str(tmp_path)
+    lines, visits = (spark.read.parquet(f"{place}/lineitem.parquet").count(), common.customer_plan(spark, place).visits.count())
+    M._features(spark, place)
+    M.q_segment_transitions(spark, place)
+    M.q_calibration_holdout_fitted(spark, place)
+    of = lambda n: max(int(had), -(-n // 100))
+    assert seen == {"base": of(lines), "features": of(visits), "transitions": of(visits), "holdout": of(visits)}
+    assert of(lines) > of(visits) > int(had) and spark.conf.get(S._PARTS) == had
+    with S.partitions_for(spark.range(0)), S.partitions_for(spark.range(5)):
+        assert spark.conf.get(S._PARTS) == had
+    with pytest.raises(ZeroDivisionError), S.partitions_for(spark.range(5000)):
+        1 / 0
+    assert spark.conf.get(S._PARTS) == had
+
+
 def test_a_plan_ranks_and_scores_only_when_asked(spark):
     from ledgerlens.plans.customer_plan import build_customer_plan
     rows = [(str(i), "A", "d", 1, f"2020-01-0{1 + i % 9} 10:00", 2.0 + i, f"c{i % 4}", "UK") for i in range(20)]
