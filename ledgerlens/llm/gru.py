@@ -44,10 +44,15 @@ def initial(counts: np.ndarray, bounds: np.ndarray, hidden: int = HIDDEN, seed:
 
 
 def _exp(logits: np.ndarray) -> np.ndarray:
-    np.minimum(logits, TOP, out=logits)
+    if logits.max(initial=0) > TOP:
+        np.minimum(logits, TOP, out=logits)
     return np.exp(logits, out=logits)
 
 
+def _only(a: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    return a if mask.all() else a[mask]
+
+
 class Streams:
     """Documents (arrays of ids, the end included) laid end to end on a fixed
     number of streams of near-equal length. The end's id also starts each
@@ -167,7 +172,8 @@ class Gru:
 
     def backward(self, x, fresh, kept, back, grads):
         """Truncated back-propagation: errors do not leave the window, nor
-        cross the start of a document."""
+        cross the start of a document. Returns the ids whose embedding has a
+        gradient."""
         p, hid = self.p, len(self.p["recur"])
         before, act, own = kept
         steps, _, width = before.shape
@@ -200,6 +206,7 @@ class Gru:
         grads["input"] = p["embed"][seen].T @ by_id
         grads["embed"] = np.zeros_like(p["embed"])
         grads["embed"][seen] = by_id @ p["input"].T
+        return seen
 
     def train(self, docs: list[np.ndarray], start: int) -> None:
         """One pass of truncated back-propagation with Adagrad."""
@@ -209,19 +216,24 @@ class Gru:
             after, kept, h = self.states(x, fresh, h[:, :len(x)])
             grads: dict = {}
             mask = real.T.ravel()
-            _, d = self.output(self.rows(after)[mask], y.T.ravel()[mask], grads)
-            back = np.zeros((len(mask), after.shape[1]), after.dtype)
-            back[mask] = d
+            _, back = self.output(_only(self.rows(after), mask), _only(y.T.ravel(), mask), grads)
+            if len(back) < len(mask):
+                d, back = back, np.zeros((len(mask), after.shape[1]), after.dtype)
+                back[mask] = d
             back = back.reshape(len(after), -1, after.shape[1]).transpose(0, 2, 1)
-            self.backward(x, fresh, kept, np.ascontiguousarray(back), grads)
+            seen = self.backward(x, fresh, kept, np.ascontiguousarray(back), grads)
             size = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
             shrink = np.float32(min(1.0, CLIP / max(size, 1e-9)))
             for k, g in grads.items():
+                own = seen if k == "embed" else slice(None)  # other rows would stay as they are
+                g = g[own]
                 g *= shrink
-                self.squares[k] += g * g
+                squares = self.squares[k][own]
+                squares += g * g
                 g *= np.float32(RATE)
-                g /= np.sqrt(self.squares[k])
-                self.p[k] -= g
+                g /= np.sqrt(squares)
+                self.squares[k][own] = squares
+                self.p[k][own] -= g
 
     def score(self, docs: list[np.ndarray], start: int) -> np.ndarray:
         """Natural-log probability of each whole document."""
@@ -231,6 +243,6 @@ class Gru:
         for x, y, fresh, real, doc in streams.windows(SCORE_STEPS):
             after, _, h = self.states(x, fresh, h[:, :len(x)])
             mask = real.T.ravel()
-            got, _ = self.output(self.rows(after)[mask], y.T.ravel()[mask])
-            total += np.bincount(doc.T.ravel()[mask], got, len(docs))
+            got, _ = self.output(_only(self.rows(after), mask), _only(y.T.ravel(), mask))
+            total += np.bincount(_only(doc.T.ravel(), mask), got, len(docs))
         return total

@@ -13,12 +13,12 @@ round starts from the average. Each training text is used once, whole.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +31,9 @@ LISTED = 2046  # least number of output words of the model, besides the end and
 SHARE = 1 / 25_000  # of the training tokens, from which a word is an output word in any case (so they are 25,000 at most)
 HEAD = 1 << 16  # most frequent words, whose counts every task holds
 ROUNDS = 2
-TABLE = 1_000_000  # distinct words a task counts before it hands them on
-GROUP_TOKENS = 4_000_000  # held by a task at a time, some 60 MB
+TABLE = 1_000_000  # words with counts a task holds; with over half as many distinct ones, it hands them on
+GROUP_TOKENS = 4_000_000  # a replica trains on at a time, some 60 MB
+SLICE = 8 << 20  # bytes of text cut into words at a time, if not one text is longer
 END = b""  # no word is empty
 OTHER_ID, END_ID = 0, 1
 
@@ -47,22 +48,55 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(7)) == 2, F.lit(False))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with few bytes in the column ``text``."""
+    for batch in batches:
+        place = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+        for at, end in zip(cuts, cuts[1:]):
+            if end > at:
+                yield batch.slice(at, end - at)
 
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())],
-                                         names=["word", "c"])
-        seen.clear()
-        return out
 
-    for batch in batches:
-        for text in batch.column(0):
-            seen.update(words_of(text.as_py()))
-            seen[END] += 1
-            if len(seen) > TABLE:
-                yield flush()
-    yield flush()
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Each word of the texts as its place among their distinct words, these,
+    and the number of words of each text: ``words_of`` by Arrow, whose ASCII
+    functions lower and split at the same bytes."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = lists.flatten().dictionary_encode()
+    codes, ends = found.indices.to_numpy(), lists.offsets.to_numpy()
+    words = found.dictionary.cast(pa.binary())
+    empty = pc.index(words, pa.scalar(b"", pa.binary())).as_py()  # before the first space and after the last
+    if empty < 0:
+        return codes, words, np.diff(ends)
+    real = codes != empty
+    return codes[real], words, np.diff(np.concatenate([[0], np.cumsum(real)])[ends])
+
+
+def _placed(index: dict[bytes, int], words: pa.Array, other: int) -> np.ndarray:
+    return np.fromiter(map(index.get, words.to_numpy(zero_copy_only=False).tolist(), repeat(other)), np.int32, len(words))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, ends = [], 0
+
+    def summed():
+        if held:
+            table = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            held[:] = [table.select(["word", "c_sum"]).rename_columns(["word", "c"])]
+        return sum(t.num_rows for t in held)
+
+    for part in _slices(batches, 0):
+        codes, words, _ = _words(part.column(0))
+        table = pa.table({"word": words, "c": np.bincount(codes, minlength=len(words))})
+        held.append(table.filter(pc.greater(table["c"], 0)))
+        ends += part.num_rows
+        if sum(t.num_rows for t in held) > TABLE and summed() > TABLE // 2:
+            yield from held.pop().to_batches()
+    if ends:
+        held.append(pa.table({"word": pa.array([END], pa.binary()), "c": pa.array([ends], pa.int64())}))
+        summed()
+        yield from held.pop().to_batches()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -70,11 +104,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return materialise(texts.mapInArrow(_count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
 
 
-def _ids(index: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    out = np.empty(len(words) + 1, np.int32)
-    out[:-1] = np.fromiter(map(index.get, words, repeat(OTHER_ID)), np.int32, len(words))
-    out[-1] = index[END]
-    return out
+def _documents(ids: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The ids of each text, which has ``n`` of them, and the end."""
+    out = np.full(len(ids) + len(n), END_ID, np.int32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+    return np.split(out, np.cumsum(n + 1)[:-1])
 
 
 def _replica(shipped):
@@ -83,10 +117,11 @@ def _replica(shipped):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, bounds, index = shipped.value
         model, docs, held, tokens = Gru(params, bounds), [], 0, 0
-        for batch in batches:
-            for text in batch.column(0):
-                docs.append(_ids(index, words_of(text.as_py())))
-                held += len(docs[-1])
+        for part in _slices(batches, 0):
+            codes, words, n = _words(part.column(0))
+            for doc in _documents(_placed(index, words, OTHER_ID)[codes], n):
+                docs.append(doc)
+                held += len(doc)
                 if held > GROUP_TOKENS:
                     model.train(docs, END_ID)
                     tokens, docs, held = tokens + held, [], 0
@@ -131,30 +166,23 @@ def _scorer(shipped, other_log: float):
         place = {w: i for i, w in enumerate(order)}  # by falling count: the listed words lead
         logs = np.append(np.log10(np.array(sizes, np.float64) + 1), 0.0)  # the last for words that are not held
         end_log = math.log10(ends + 1)
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                start, docs, held = at, [], 0
-                cols: list[list] = [[] for _ in range(6)]
-                while at < batch.num_rows and held < GROUP_TOKENS:
-                    words = words_of(batch.column(2)[at].as_py())
-                    places = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                    docs.append(np.append(np.where((places >= 0) & (places < listed), places + 2, OTHER_ID), END_ID).astype(np.int32))
-                    held += len(docs[-1])
-                    each = logs[places]
-                    rare = Counter([words[i] for i in np.flatnonzero(places < 0).tolist()])
-                    known = len(words) - rare.total() + (ends > 0)
-                    for col, v in zip(cols, (len(words) + 1, known, each.sum() + end_log, each[places >= listed].sum(),
-                                             list(rare), list(rare.values()))):
-                        col.append(v)
-                    at += 1
-                unlisted = np.array([(d == OTHER_ID).sum() for d in docs])
-                score = model.score(docs, END_ID) / math.log(10) + np.array(cols[3]) - unlisted * other_log
-                part = batch.slice(start, at - start)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.float64()),
-                     pa.array(score, pa.float64()), pa.array(cols[4], pa.list_(pa.binary())), pa.array(cols[5], pa.list_(pa.int64()))],
-                    names=names)
+        for part in _slices(batches, 2):
+            codes, words, n = _words(part.column(2))
+            places, rows = _placed(place, words, -1)[codes], np.repeat(np.arange(len(n)), n)
+            rare, other = places < 0, (places < 0) | (places >= listed)
+            per_row = lambda of, w=None: np.bincount(rows[of], w if w is None else w[of], len(n))  # noqa: B023, E731
+            each = logs[places]
+            unlisted, shares = per_row(other), per_row(other, each)
+            known = n - per_row(rare) + (ends > 0)
+            base = per_row(slice(None), each) + end_log
+            score = model.score(_documents(np.where(other, OTHER_ID, places + 2), n), END_ID) / math.log(10) + shares - unlisted * other_log
+            # each rare word of a text once, with how often it comes
+            pairs, times = np.unique(rows[rare] * len(words) + codes[rare], return_counts=True)
+            cuts = pa.array(np.searchsorted(pairs, np.arange(len(n) + 1) * len(words)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in (n + 1, known)), pa.array(base, pa.float64()),
+                 pa.array(score, pa.float64()), pa.ListArray.from_arrays(cuts, words.take(pa.array(pairs % max(len(words), 1)))),
+                 pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64()))], names=names)
     return scored
 
 

@@ -98,6 +98,43 @@ def test_base_scores_of_odd_rows(spark, rows, head):
     assert all(r.train_tokens == n and math.isfinite(r.score) and r.score < 0 for r in out)
 
 
+def test_words_of_a_slice_are_cut_and_counted_without_a_python_word_each(monkeypatch):
+    import pyarrow as pa
+
+    from ledgerlens.llm import lm_scoring as L
+
+    texts = [t for _, t in ODD[:-2]] + ["".join(map(chr, range(300))) * 2, "A\x0bB\x1cC\x85D\u2003E  f ", "é É", *[f"w{i % 40} w{i} W{i}" for i in range(300)]]
+    cut = [L.words_of(t) for t in texts]
+    monkeypatch.setattr(L, "words_of", None)  # not called for each text any more
+    for some in (texts, [None], [" "], ["a"], texts[3:5]):
+        for kind in (pa.string(), pa.large_string()):
+            codes, words, n = L._words(pa.array(some, kind))
+            names = words.to_pylist()
+            parts = np.split([names[c] for c in codes], np.cumsum(n)[:-1]) if len(codes) else [[]] * len(some)
+            assert [list(p) for p in parts] == [cut[texts.index(t)] if t in texts else [] if t == " " else [b"a"] for t in some]
+    want = Counter(w for words in cut for w in [*words, b""])
+    for size, table in ((1 << 20, 1 << 20), (200, 50)):
+        monkeypatch.setattr(L, "SLICE", size)
+        monkeypatch.setattr(L, "TABLE", table)
+        got: Counter = Counter()
+        for b in L._count(pa.RecordBatch.from_arrays([pa.array(t)], names=["text"]) for t in (texts[:100], texts[100:])):
+            got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        assert got == want
+    assert not sum(b.num_rows for b in L._count(iter([])))
+
+
+def test_unseen_words_keep_their_embedding_and_its_sums():
+    m, _ = model()
+    m = Gru(m.p, m.bounds)
+    before = m.p["embed"].copy()
+    rows: list = []
+    plain = m.backward
+    m.backward = lambda *a: rows.append(plain(*a)) or rows[-1]
+    m.train([np.array([2, 5, 2, 1], np.int32)], END_ID)
+    assert [r.tolist() for r in rows] == [[1, 2, 5]]
+    assert sorted(np.flatnonzero((m.p["embed"] != before).any(axis=1)).tolist()) == [1, 2, 5]
+
+
 def test_scores_of_nothing_and_without_training_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert score_documents(docs).count() == 0
