@@ -215,3 +215,33 @@ def test_a_plan_ranks_and_scores_only_when_asked(spark):
     other = plan.scored(plan.bg, None)
     assert other.base is plan.base and other.segments is plan.segments
     assert {r.predicted_clv for r in other.customers.collect()} == {0.0}
+
+
+def test_features_group_no_visits_by_invoice_and_purchase_times_once(spark, monkeypatch):
+    import re
+    from ledgerlens.plans.customer_plan import build_customer_plan
+    rows = [(str(i % 7), f"S{i % 5}", "d", 1 + i % 3, f"2020-01-0{1 + i % 9} 1{i % 2}:00", 2.0 + i, f"c{i % 7 % 3}", "UK") for i in range(60)]
+    rows += [rows[0], ("one", "S", "d", 2, "2020-01-03 10:00", 4.0, "new", "UK")]
+    plan = build_customer_plan(C.tx_clean(tx_frame(spark, rows)))
+    kept = []
+    monkeypatch.setattr(FE, "cut_lineage", lambda df: kept.append(df) or df)
+    got = FE.ml_features(plan.segments, plan.visits, products_of=plan.drivers, spread_of=plan.order_spread).toPandas().set_index("CustomerID")
+    text = _plan_text(kept[0])
+    assert "InvoiceNo" not in text and not re.search(r"hashpartitioning\([^)]*InvoiceDate", text)
+
+    df = pd.DataFrame(rows, columns=["inv", "code", "d", "q", "t", "price", "c", "k"]).drop_duplicates()
+    df = df.assign(t=pd.to_datetime(df.t), v=df.q * df.price)
+    spread = df.groupby(["c", "inv"]).v.sum().groupby(level=0).std(ddof=1)
+    spread = spread.fillna(spread.median())  # one invoice has none
+    assert set(got.index) == {"c0", "c1", "c2", "new"}
+    for c, own in df.groupby("c"):
+        days = own.sort_values("t").t.diff().dt.days.fillna(0)
+        assert got.AvgOrderValueStdDev[c] == pytest.approx(spread[c], rel=1e-9)
+        assert got.TotalQuantity[c] == own.q.sum() and got.AvgOrderQuantity[c] == pytest.approx(own.q.mean(), rel=1e-12)
+        assert got.MeanTimeBetweenPurchases[c] == pytest.approx(days.mean(), rel=1e-9)
+        assert got.StdTimeBetweenPurchases[c] == pytest.approx(days.std() if len(own) > 1 else 0, rel=1e-9)
+        assert got.UniqueProducts[c] == own.code.nunique()
+        assert got.CategoryDiversityIndex[c] == pytest.approx(min(own.code.nunique() / len(own), 1))
+        assert (got.FirstPurchase[c], got.LastPurchase[c]) == (own.t.min(), own.t.max())
+    lines = FE.ml_features(plan.segments, C.tx_clean(tx_frame(spark, rows))).toPandas().set_index("CustomerID")
+    pd.testing.assert_frame_equal(lines.loc[got.index], got, check_exact=False)
